@@ -1,6 +1,5 @@
 """Writers: result sets, versioned metric state, sync log."""
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,15 +31,15 @@ class MetricStore:
     def _state_path(self, version: int) -> str:
         return f"{self.folder}/state/v={version:06d}"
 
+    def _finish(self, version: int, mode: str) -> None:
+        row = self.spark.range(1).select(F.lit(version).cast("bigint").alias("version"))
+        row.coalesce(1).write.mode(mode).parquet(f"{self.folder}/finished")
+
     def current_version(self) -> int:
         """Number of the newest finished version, 0 when there is none."""
-        try:
-            finished = self.spark.read.schema("version bigint").parquet(f"{self.folder}/finished")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return 0
-        return finished.agg(F.coalesce(F.max("version"), F.lit(0)).alias("v")).first()["v"]
+        self._finish(0, "ignore")
+        finished = self.spark.read.schema("version bigint").parquet(f"{self.folder}/finished")
+        return finished.agg(F.max("version").alias("newest")).first()["newest"]
 
     def state(self, version: int | None = None) -> DataFrame | None:
         version = self.current_version() if version is None else version
@@ -56,8 +55,7 @@ class MetricStore:
     def write(self, state: DataFrame, version: int) -> None:
         """Write ``version``; a version left unfinished by a lost job is replaced."""
         state.write.mode("overwrite").parquet(self._state_path(version))
-        done = self.spark.range(1).select(F.lit(version).cast("bigint").alias("version"))
-        done.coalesce(1).write.mode("append").parquet(f"{self.folder}/finished")
+        self._finish(version, "append")
 
     def upsert(self, events: DataFrame, version: int | None = None) -> int:
         """Fold ``events`` into the newest state before ``version``; returns the new version.
