@@ -1,6 +1,6 @@
 """Project status as of a day."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import (
@@ -15,31 +15,44 @@ from .text import strip
 
 def iso_date(text) -> Column:
     """``YYYY-MM-DD`` or ``YYYYMMDD`` as a date; NULL for anything else."""
-    dashed = F.regexp_replace(text, r"^([0-9]{4})([0-9]{2})([0-9]{2})$", "$1-$2-$3")
-    return F.when(dashed.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), dashed).try_cast("date")
+    shape = F.translate(text, "123456789", "000000000")
+    compact = F.concat(text.substr(1, 4), F.lit("-"), text.substr(5, 2), F.lit("-"), text.substr(7, 2))
+    return F.when(shape == "0000-00-00", text).when(shape == "00000000", compact).try_cast("date")
 
 
-def project_status(status, start, end, as_of) -> Column:
-    """Struct of the status on ``as_of`` and the reason there is none.
+def with_project_status(projects: DataFrame, as_of) -> DataFrame:
+    """Replace ``status`` by the one on ``as_of``; ``status_error`` tells why there is none.
 
-    Archived projects are never checked further; both end points belong to the run.
+    Archived projects are never checked further; both end points belong to the run. The
+    dates are columns of their own on the way, so that each is read once per row.
     """
     as_of = F.lit(as_of).cast("date")
-    start_text, end_text = strip(start), strip(end)
-    start_day, end_day = iso_date(start_text), iso_date(end_text)
-    archived = F.coalesce(status.isin(*PROJECT_ARCHIVED_INPUTS), F.lit(False))
+    start, end = F.col("_start"), F.col("_end")
+    archived = F.col("_archived")
     error = (
         F.when(archived, None)
-        .when((start_text != "") & start_day.isNull(), "start_date_invalid")
-        .when((end_text != "") & end_day.isNull(), "end_date_invalid")
-        .when(end_day < start_day, "end_before_start")
+        .when((F.col("_start_text") != "") & start.isNull(), "start_date_invalid")
+        .when((F.col("_end_text") != "") & end.isNull(), "end_date_invalid")
+        .when(end < start, "end_before_start")
         .cast("string")
     )
-    value = (
+    status = (
         F.when(archived, PROJECT_ARCHIVED)
-        .when(error.isNotNull(), None)
-        .when(as_of < start_day, PROJECT_PENDING)
-        .when(as_of > end_day, PROJECT_ENDED)
+        .when(F.col("status_error").isNotNull(), None)
+        .when(as_of < start, PROJECT_PENDING)
+        .when(as_of > end, PROJECT_ENDED)
         .otherwise(PROJECT_RUNNING)
     )
-    return F.struct(value.alias("status"), error.alias("status_error"))
+    return (
+        projects.withColumns(
+            {
+                "_start_text": strip(F.col("start_date")),
+                "_end_text": strip(F.col("end_date")),
+                "_archived": F.coalesce(F.col("status").isin(*PROJECT_ARCHIVED_INPUTS), F.lit(False)),
+            }
+        )
+        .withColumns({"_start": iso_date(F.col("_start_text")), "_end": iso_date(F.col("_end_text"))})
+        .withColumn("status_error", error)
+        .withColumn("status", status)
+        .drop("_start_text", "_end_text", "_archived", "_start", "_end")
+    )

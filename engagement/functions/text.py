@@ -62,6 +62,7 @@ def matches_keyword(keyword, *cols) -> Column | None:
 def whole_number(col) -> Column:
     """Integer spelled in text (sign and single inner underscores allowed), else NULL."""
     text = strip(col)
-    return F.when(
+    grouped = F.when(
         text.rlike(r"^[+-]?[0-9]+(_[0-9]+)*$"), F.replace(text, F.lit("_"), F.lit(""))
-    ).try_cast("bigint")
+    )
+    return F.coalesce(col.try_cast("bigint"), grouped.try_cast("bigint"))

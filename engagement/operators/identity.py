@@ -34,12 +34,14 @@ def identity_keys(contents: DataFrame, id_col="id") -> DataFrame:
     )
 
 
-def stored_identity_conflicts(incoming, stored, exclude_self=False, id_col="id") -> DataFrame:
+def stored_identity_conflicts(
+    incoming, stored, exclude_self=False, id_col="id", stored_id="id"
+) -> DataFrame:
     """Incoming ids that share a link key with a stored content.
 
     With ``exclude_self`` the stored row of the same id does not count (an update).
     """
-    held, seen = identity_keys(incoming, id_col), identity_keys(stored, id_col)
+    held, seen = identity_keys(incoming, id_col), identity_keys(stored, stored_id)
     if not exclude_self:
         found = held.join(seen.select("key").distinct(), "key", "left_semi")
     else:
@@ -117,11 +119,10 @@ def deduplicate(contents: DataFrame, id_col="id") -> DataFrame:
 
 def deduplicate_incoming(incoming: DataFrame, stored: DataFrame, id_col="seq") -> DataFrame:
     """Flag ``accepted`` for new contents entered in ``id_col`` order on top of stored ones."""
-    blocked = (
-        identity_keys(incoming, id_col)
-        .join(identity_keys(stored).select("key").distinct(), "key", "left_semi")
-        .select(F.col("id").alias(id_col))
-        .distinct()
+    blocked = cut_lineage(
+        stored_identity_conflicts(incoming, stored, id_col=id_col, stored_id="id").select(
+            F.col("id").alias(id_col)
+        )
     )
     fresh = incoming.join(blocked, id_col, "left_anti")
     refused = blocked.union(rejected_ids(fresh, id_col).select(F.col("id").alias(id_col)))

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import contacts
-from ..functions.lifecycle import project_status
+from ..functions.lifecycle import with_project_status
 from ..functions.links import with_canonical_url, with_content_id
 from ..functions.tags import clean_tags
 from ..functions.text import or_default
@@ -22,7 +22,7 @@ from ..schemas import (
     SOURCE_MANUAL,
     SYNC_PENDING,
 )
-from ..sources.records import is_blank, is_present, number_field, read_fields, text_field
+from ..sources.records import is_blank, is_present, number_value, read_fields
 from ..session import cut_lineage
 from .identity import deduplicate_incoming, stored_identity_conflicts
 from .joins import stored_duplicates
@@ -43,13 +43,13 @@ def validate_creators(records: DataFrame, stored: DataFrame) -> DataFrame:
     # The old field name counts only where the new one is not named at all.
     named = is_present("followers_count")
     rows = (
-        read_fields(records, (*texts, "followers_count", "followers"))
+        read_fields(records, texts, ("followers_count", "followers"))
         .select(
             "seq",
             "reason",
-            *[text_field(name).alias(name) for name in texts],
-            F.when(named, number_field("followers_count"))
-            .otherwise(number_field("followers"))
+            *texts,
+            F.when(named, number_value("followers_count"))
+            .otherwise(number_value("followers"))
             .alias("followers"),
             F.when(named, is_blank("followers_count"))
             .otherwise(is_blank("followers"))
@@ -104,25 +104,22 @@ def validate_projects(records: DataFrame, stored: DataFrame, as_of) -> DataFrame
     texts = ("name", "project_code", "status", "owner", "start_date", "end_date", "description")
     rows = (
         read_fields(records, texts)
-        .select("seq", "reason", *[text_field(name).alias(name) for name in texts])
-        .withColumn("given_status", or_default(F.col("status"), PROJECT_AUTO))
-        .withColumn(
-            "derived",
-            project_status(F.col("given_status"), F.col("start_date"), F.col("end_date"), as_of),
-        )
+        .withColumn("status", or_default(F.col("status"), PROJECT_AUTO))
+        .withColumn("given_status", F.col("status"))
     )
+    rows = with_project_status(rows, as_of)
     reason = F.coalesce(
         _first_reason(
             ("name_empty", F.col("name") == ""),
             ("status_unknown", ~F.col("given_status").isin(*PROJECT_STATUS_INPUTS)),
         ),
-        "derived.status_error",
+        "status_error",
     )
     checked = rows.select(
         "seq",
         "name",
         "project_code",
-        F.col("derived.status").alias("status"),
+        "status",
         "owner",
         "start_date",
         "end_date",
@@ -144,12 +141,12 @@ def validate_contents(records, creators, projects, stored) -> DataFrame:
     }
     numbers = ("influencer_id", "project_id", *COUNTERS)
     rows = (
-        read_fields(records, (*texts, *numbers))
+        read_fields(records, texts, numbers)
         .select(
             "seq",
             "reason",
-            *[text_field(name).alias(name) for name in texts],
-            *[number_field(name).alias(name) for name in numbers],
+            *texts,
+            *[number_value(name).alias(name) for name in numbers],
             *[is_blank(name).alias(f"{name}_blank") for name in numbers],
         )
         .withColumns({name: or_default(F.col(name), given) for name, given in texts.items()})

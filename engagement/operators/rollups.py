@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lifecycle import project_status
+from ..functions.lifecycle import with_project_status
 from ..schemas import CREATOR_ACTIVE, INTERACTIONS, PROJECT_RUNNING
 from .joins import with_metrics
 
@@ -22,15 +22,14 @@ def platform_totals(creators, projects, contents, metrics, as_of) -> DataFrame:
     reactions = F.col(INTERACTIONS[0])
     for name in INTERACTIONS[1:]:
         reactions = reactions + F.col(name)
-    status = project_status(F.col("status"), F.col("start_date"), F.col("end_date"), as_of)
     parts = [
         creators.agg(
             F.count("*").alias("influencer_count"),
             F.count_if(F.col("status") == CREATOR_ACTIVE).alias("active_influencer_count"),
         ),
-        projects.agg(
+        with_project_status(projects, as_of).agg(
             F.count("*").alias("project_count"),
-            F.count_if(status["status"] == PROJECT_RUNNING).alias("active_project_count"),
+            F.count_if(F.col("status") == PROJECT_RUNNING).alias("active_project_count"),
         ),
         contents.agg(F.count("*").alias("content_count")),
         metrics.agg(
@@ -45,10 +44,9 @@ def platform_totals(creators, projects, contents, metrics, as_of) -> DataFrame:
 
 def running_projects(projects: DataFrame, as_of) -> DataFrame:
     """Number of projects whose status on ``as_of`` is running, and of unreadable ones."""
-    status = project_status(F.col("status"), F.col("start_date"), F.col("end_date"), as_of)
-    return projects.select(status.alias("s")).agg(
-        F.count_if(F.col("s.status") == PROJECT_RUNNING).alias("active_project_count"),
-        F.count("s.status_error").alias("status_error_count"),
+    return with_project_status(projects, as_of).agg(
+        F.count_if(F.col("status") == PROJECT_RUNNING).alias("active_project_count"),
+        F.count("status_error").alias("status_error_count"),
     )
 
 

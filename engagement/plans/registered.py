@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.lifecycle import with_project_status
 from ..functions.links import with_canonical_url, with_content_id
 from ..functions.numbers import interactions, interactions_or_zero
 from ..functions.text import matches_keyword
@@ -40,10 +41,10 @@ def src_1_table_scan(t):
 @registered
 def src_2_json_ingest(t):
     parsed = records.parse_records(t.creator_lines())
-    return records.read_fields(parsed, ("name", "followers_count")).select(
+    return records.read_fields(parsed, ["name"], ["followers_count"]).select(
         "seq",
-        records.text_field("name").alias("name"),
-        records.number_field("followers_count").alias("followers_count"),
+        "name",
+        records.number_value("followers_count").alias("followers_count"),
         F.coalesce("reason", F.lit("")).alias("reason"),
     )
 
@@ -118,7 +119,7 @@ def flt_4_project_link(t):
 
 @registered
 def flt_5_derived_status(t):
-    rows = search.with_status(t.dated_projects(), AS_OF)
+    rows = with_project_status(t.dated_projects(), AS_OF)
     return where(rows, equals(F.col("status"), "已结束")).select("id", "status", "end_date")
 
 
@@ -388,7 +389,7 @@ def job_7_tags(t):
 
 @registered
 def job_8_project_status(t):
-    return search.with_status(t.dated_projects(), AS_OF).select("id", "status", "status_error")
+    return with_project_status(t.dated_projects(), AS_OF).select("id", "status", "status_error")
 
 
 @registered
@@ -401,10 +402,10 @@ def job_9_page_metrics(t):
 def job_9_page_labels(t):
     # The test pages carry "ad N" comments, the events a quoted field "k".
     ads = pages.page_metrics(
-        t.raw("pages"), fields={"like_count": ("adCount",)}, labels={"like_count": ("ad",)}, supported=F.lit(True)
+        t.spread("pages"), fields={"like_count": ("adCount",)}, labels={"like_count": ("ad",)}, supported=F.lit(True)
     )
     fields = pages.page_metrics(
-        t.raw("events").withColumnRenamed("props", "html"),
+        t.spread("events").withColumnRenamed("props", "html"),
         fields={"like_count": ("k",)}, labels={}, supported=F.lit(True),
     )
     return ads.select(F.lit("pages").alias("source"), F.col("page_id").alias("id"), "like_count", "outcome").union(
@@ -442,7 +443,7 @@ def job_12_creator_report(t):
 
 @registered
 def job_12_project_report(t):
-    return report.project_report(search.with_status(t.dated_projects(), AS_OF))
+    return report.project_report(with_project_status(t.dated_projects(), AS_OF))
 
 
 @registered

@@ -5,7 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lifecycle import project_status
+from ..functions.lifecycle import with_project_status
 from ..functions.numbers import interactions
 from ..functions.text import whole_number
 from ..operators.filters import equals, in_range, linked_to, matches_keyword, where
@@ -50,7 +50,7 @@ class ProjectSearch:
             matches_keyword(self.keyword, "name", "project_code"),
             matches_keyword(self.owner, "owner"),
         )
-        return where(with_status(found, self.as_of), equals(F.col("status"), self.status))
+        return where(with_project_status(found, self.as_of), equals(F.col("status"), self.status))
 
 
 @dataclass(frozen=True)
@@ -82,17 +82,6 @@ class ContentSearch:
         ]
 
 
-def with_status(projects: DataFrame, as_of) -> DataFrame:
-    """Replace the stored project status by the one on ``as_of``."""
-    derived = project_status(F.col("status"), F.col("start_date"), F.col("end_date"), as_of)
-    return (
-        projects.withColumn("derived", derived)
-        .withColumn("status", F.col("derived.status"))
-        .withColumn("status_error", F.col("derived.status_error"))
-        .drop("derived")
-    )
-
-
 def newest_first(df: DataFrame) -> DataFrame:
     """Sort for display; leave it out when the rows go into another job."""
     return df.orderBy(F.col("created_at").desc(), F.col("id").desc())
@@ -174,7 +163,7 @@ def lookup_creators(keys: DataFrame, creators, key_col="key") -> DataFrame:
 
 def lookup_projects(keys: DataFrame, projects, as_of, key_col="key") -> DataFrame:
     wanted = keys.select(key_col, whole_number(F.col(key_col)).alias("wanted_id"))
-    return _answer(wanted, with_status(projects.select(*PROJECTS), as_of))
+    return _answer(wanted, with_project_status(projects.select(*PROJECTS), as_of))
 
 
 def _answer(wanted: DataFrame, details: DataFrame) -> DataFrame:

@@ -11,6 +11,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Larger generated methods are never compiled to machine code; the rule chains of the
+    # validation jobs run faster as several smaller ones.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
     # A record that names a field twice keeps the last value instead of being refused.
     "spark.sql.variant.allowDuplicateKeys": "true",
@@ -32,6 +35,7 @@ def local_session(cores="*", shuffle_partitions=8, memory="8g") -> SparkSession:
         .appName("engagement")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
     spark = configure(builder.getOrCreate())
@@ -60,6 +64,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/engagement/{uuid.uuid4().hex}/{name}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows out to all cores where the scan has fewer splits than there are cores.
+
+    For jobs that spend their time on each row. A large table has more splits than cores
+    and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to a table in the shared folder and go on from there.
 

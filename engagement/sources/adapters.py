@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.links import ContentIdRule, with_canonical_url
 from ..operators.metrics import EVENTS
 from ..schemas import CONTENT_METRICS, CONTENTS, CREATORS, PROJECTS
+from ..session import spread
 
 AS_OF = "1998-08-01"
 NOW = "2024-06-01 00:00:00"
@@ -30,6 +31,10 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """The table on all cores, for jobs that are busy with each row."""
+        return spread(self.raw(name))
+
     def creators(self) -> DataFrame:
         key = F.col("c_custkey")
         text = key.cast("string")
@@ -147,7 +152,7 @@ class Tables:
         start = F.col("o_orderdate").cast("date")
         days = F.when(key % 11 == 0, -5).otherwise((key % 120).cast("int"))
         end = F.when(key % 7 != 0, F.date_add(start, days))
-        return self.raw("orders").select(
+        return self.spread("orders").select(
             key.alias("id"),
             F.concat(F.lit("Project "), key.cast("string")).alias("name"),
             F.when(key % 10 != 0, F.concat(F.lit("P"), (key % 1000).cast("string")))
@@ -203,7 +208,7 @@ class Tables:
             .when(key == 6, F.concat(F.lit("(x)\n"), url, F.lit(",")))
             .otherwise(url)
         )
-        return self.raw("pages").select(F.col("page_id").alias("id"), raw.alias("raw_url"))
+        return self.spread("pages").select(F.col("page_id").alias("id"), raw.alias("raw_url"))
 
     def platform_links(self) -> DataFrame:
         """Page links moved to the hosts and paths of the platforms."""
@@ -222,7 +227,7 @@ class Tables:
             .when(key == 6, F.concat(F.lit("https://weibo.com/"), slug))
             .otherwise(F.col("url"))
         )
-        return self.raw("pages").select(
+        return self.spread("pages").select(
             F.col("page_id").alias("id"), platform.alias("platform"), url.alias("content_url")
         )
 
@@ -284,7 +289,7 @@ class Tables:
             .when(key % 900 == 0, F.concat(body, F.repeat(F.lit(" "), 100_000)))
             .otherwise(body)
         )
-        return self.raw("customer").select(key.alias("seq"), line.alias("body"))
+        return self.spread("customer").select(key.alias("seq"), line.alias("body"))
 
     def project_lines(self) -> DataFrame:
         """Orders as JSON project records."""
@@ -327,7 +332,7 @@ class Tables:
             F.when(key % 71 == 0, F.lit('"share_count": -1')).otherwise(F.lit('"share_count": "12"')),
         ]
         body = F.concat(F.lit("{"), F.concat_ws(", ", *members), F.lit("}"))
-        return self.raw("orders").select(key.alias("seq"), body.alias("body"))
+        return self.spread("orders").select(key.alias("seq"), body.alias("body"))
 
     def contacts(self) -> DataFrame:
         """Customers with contacts in many spellings."""
@@ -357,7 +362,7 @@ class Tables:
             .when(key % 7 == 5, "https://b23.tv/a b/")
             .otherwise("https://b23.tv?u=")
         )
-        return self.raw("customer").select(
+        return self.spread("customer").select(
             key.alias("id"),
             phone.alias("phone"),
             email.alias("email"),
@@ -392,7 +397,7 @@ class Tables:
             .when(key % 9 == 6, F.concat(F.lit("赞,,, "), n, F.lit("赞")))
             .otherwise("")
         )
-        return self.raw("pages").select(
+        return self.spread("pages").select(
             key.alias("page_id"),
             F.when(key % 9 == 8, "抖音").otherwise("小红书").alias("platform"),
             "url",

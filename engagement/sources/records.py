@@ -45,45 +45,49 @@ def parse_records(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_fields(records: DataFrame, keys) -> DataFrame:
-    """(seq, reason) and for each key its JSON type and text: ``key__kind``, ``key__text``.
+def _variant(key) -> Column:
+    return F.try_variant_get("record", f"$.{key}", "variant")
 
-    Both are NULL for a missing field. They are columns of their own so that each field
-    is looked up once, however many rules read it.
+
+def read_fields(records: DataFrame, texts, numbers=()) -> DataFrame:
+    """(seq, reason), the text fields cleaned, and ``key__kind``/``key__text`` per number.
+
+    Each field is looked up once, however many rules read it.
     """
-    columns = []
-    for key in keys:
-        raw = F.try_variant_get("record", f"$.{key}", "variant")
-        columns.append(F.schema_of_variant(raw).alias(f"{key}__kind"))
+    columns = [F.try_variant_get("record", f"$.{key}", "string").alias(key) for key in texts]
+    for key in numbers:
+        columns.append(F.schema_of_variant(_variant(key)).alias(f"{key}__kind"))
         columns.append(F.try_variant_get("record", f"$.{key}", "string").alias(f"{key}__text"))
-    return records.select("seq", "reason", *columns)
+    found = records.select("seq", "reason", "record", *columns)
+    return found.withColumns({key: text_value(key) for key in texts}).drop("record")
 
 
-def text_field(key) -> Column:
-    """Stripped text of a field; missing, null, 0, false and empty containers give ``''``."""
-    kind, text = F.col(f"{key}__kind"), F.col(f"{key}__text")
-    shown = (
-        F.when(kind == "STRING", text)
-        .when(kind == "BOOLEAN", F.when(text == "true", "True"))
-        .when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.when(text.try_cast("double") != 0, text))
-        .when(~text.isin("[]", "{}"), text)
-    )
-    return strip(shown)
+def text_value(key) -> Column:
+    """Stripped text; missing, null, 0, false and empty containers give ``''``.
+
+    The JSON type is asked for only where the text could be one of those.
+    """
+    text = F.col(key)
+    doubtful = F.substring(text, 1, 1).isin("0", "-", "t", "f", "[", "{")
+    unquoted = doubtful & (F.schema_of_variant(_variant(key)) != "STRING")
+    empty = text.isin("false", "[]", "{}") | (F.translate(text, "0.-", "") == "")
+    shown = F.when(text == "true", "True").when(~empty, text)
+    return strip(F.when(unquoted, shown).otherwise(text))
 
 
 def is_present(key) -> Column:
-    """The record names the field, be it with null."""
+    """The record names the number field, be it with null."""
     return F.col(f"{key}__kind").isNotNull()
 
 
 def is_blank(key) -> Column:
-    """The field is missing, null or ``""``."""
+    """The number field is missing, null or ``""``."""
     kind = F.col(f"{key}__kind")
     empty = (kind == "STRING") & (F.col(f"{key}__text") == "")
     return F.coalesce((kind == "VOID") | empty, F.lit(True))
 
 
-def number_field(key) -> Column:
+def number_value(key) -> Column:
     """Whole number of a field, NULL where there is none.
 
     JSON numbers are cut towards zero, JSON booleans are 1 and 0, text must spell a whole
