@@ -9,28 +9,32 @@ from ..schemas import (
     CONTENTS,
     CREATOR_ACTIVE,
     CREATORS,
+    DEFAULTS,
     LEGACY_CREATOR_STATUSES,
     PROJECT_ARCHIVED,
     PROJECT_ARCHIVED_INPUTS,
     PROJECTS,
+    TABLES,
 )
 
 
-def with_missing_columns(df: DataFrame, layout, required=("id",)) -> DataFrame:
-    """Columns of ``layout`` in order, absent ones filled with ``''`` or 0."""
+def with_missing_columns(df: DataFrame, table: str, required) -> DataFrame:
+    """Add the columns of ``table`` the extract lacks, with their defaults."""
+    layout, defaults = TABLES[table], DEFAULTS.get(table, {})
     absent = [name for name in layout if name not in df.columns]
     lost = [name for name in absent if name in required]
     if lost:
         raise ValueError(f"extract lacks {', '.join(lost)}")
     filled = {
-        name: F.lit("" if layout[name] == "string" else 0).cast(layout[name]) for name in absent
+        name: F.lit(defaults.get(name, "" if layout[name] == "string" else 0)).cast(layout[name])
+        for name in absent
     }
     return df.withColumns(filled) if filled else df
 
 
 def migrate_creators(old: DataFrame, now: str) -> DataFrame:
     """Old creator extracts: followers copied, old statuses made active, update time filled."""
-    rows = with_missing_columns(old, CREATORS, ("id", "name", "platform"))
+    rows = with_missing_columns(old, "creators", ("id", "name", "platform"))
     followers = F.col("followers_count")
     if "followers" in old.columns:
         followers = F.when(
@@ -50,7 +54,7 @@ def migrate_creators(old: DataFrame, now: str) -> DataFrame:
 
 
 def migrate_projects(old: DataFrame) -> DataFrame:
-    rows = with_missing_columns(old, PROJECTS, ("id", "name"))
+    rows = with_missing_columns(old, "projects", ("id", "name"))
     status = F.col("status")
     archived = status.isin(*PROJECT_ARCHIVED_INPUTS)
     return rows.withColumn(
@@ -60,7 +64,9 @@ def migrate_projects(old: DataFrame) -> DataFrame:
 
 def migrate_contents(old: DataFrame, rules=CONTENT_ID_RULES) -> DataFrame:
     """Fill canonical link and content id where they are missing, keep them elsewhere."""
-    rows = with_missing_columns(old, CONTENTS, ("id", "influencer_id", "project_id", "content_url"))
+    rows = with_missing_columns(
+        old, "contents", ("id", "influencer_id", "project_id", "platform", "content_url")
+    )
     rows = with_canonical_url(rows, target="_canonical")
     rows = with_content_id(rows, rules, canonical="_canonical", target="_content_id")
     blank = F.lit("")
@@ -74,4 +80,4 @@ def migrate_contents(old: DataFrame, rules=CONTENT_ID_RULES) -> DataFrame:
 
 
 def migrate_metrics(old: DataFrame) -> DataFrame:
-    return with_missing_columns(old, CONTENT_METRICS, ("content_id",)).select(*CONTENT_METRICS)
+    return with_missing_columns(old, "content_metrics", ("content_id",)).select(*CONTENT_METRICS)

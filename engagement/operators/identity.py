@@ -9,9 +9,10 @@ from ..session import cut_lineage
 
 
 def identity_keys(contents: DataFrame, id_col="id") -> DataFrame:
-    """(id, key): one row per link key a content holds, at most three.
+    """(id, key, hash): one row per link key a content holds, at most three.
 
-    A key is a struct of kind, scope and text. An empty ``canonical_url`` or
+    A key is a struct of kind, scope and text, ``hash`` a 64-bit hash of it for cheap
+    pre-selection; decisions are always made on the key. An empty ``canonical_url`` or
     ``platform_content_id`` is no key.
     """
 
@@ -29,8 +30,10 @@ def identity_keys(contents: DataFrame, id_col="id") -> DataFrame:
             F.coalesce(F.col("platform"), F.lit("")),
         ),
     )
-    return contents.select(F.col(id_col).alias("id"), F.explode(keys).alias("key")).filter(
-        "key is not null"
+    return (
+        contents.select(F.col(id_col).alias("id"), F.explode(keys).alias("key"))
+        .filter("key is not null")
+        .withColumn("hash", F.xxhash64("key"))
     )
 
 
@@ -39,9 +42,14 @@ def stored_identity_conflicts(
 ) -> DataFrame:
     """Incoming ids that share a link key with a stored content.
 
-    With ``exclude_self`` the stored row of the same id does not count (an update).
+    With ``exclude_self`` the stored row of the same id does not count (an update). The
+    stored table is first cut down to the key hashes of the batch. Those are written out,
+    so Spark knows their size: it broadcasts a small batch and leaves the stored table
+    unshuffled, and shuffles a big one.
     """
-    held, seen = identity_keys(incoming, id_col), identity_keys(stored, stored_id)
+    held = identity_keys(incoming, id_col)
+    wanted = cut_lineage(held.select("hash").distinct())
+    seen = identity_keys(stored, stored_id).join(wanted, "hash", "left_semi")
     if not exclude_self:
         found = held.join(seen.select("key").distinct(), "key", "left_semi")
     else:
@@ -68,12 +76,15 @@ def rejected_ids(contents: DataFrame, id_col="id") -> DataFrame:
     key held by a third of all rows costs that many look-ups and no pairs. The smallest
     open id is settled in every round, so the loop ends; the number of rounds is the
     depth of the longest chain of refusals, not the size of the table.
+
+    Keys nobody else holds (by far the most) are left out before the first round, by an
+    aggregation over hashes. A hash shared by two keys only lets a few of them through.
     """
     held = identity_keys(contents, id_col)
-    contested = held.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1")
+    contested = held.groupBy("hash").agg(F.count("*").alias("rows")).filter("rows > 1")
     remaining = Observation()
     settled = cut_lineage(
-        held.join(contested, "key", "left_semi")
+        held.join(cut_lineage(contested.select("hash")), "hash", "left_semi")
         .groupBy("id")
         .agg(F.collect_list("key").alias("keys"))
         .withColumn("verdict", F.lit(None).cast("string"))

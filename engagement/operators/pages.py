@@ -1,6 +1,6 @@
 """Extraction of engagement counters from saved pages."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import displayed_count
@@ -16,23 +16,30 @@ from ..schemas import (
 )
 
 
+def supported_page() -> Column:
+    return (F.col("platform") == PAGE_PLATFORM) | F.col("url").contains(PAGE_HOST)
+
+
 def page_metrics(pages: DataFrame, fields=PAGE_FIELDS, labels=PAGE_LABELS, supported=None) -> DataFrame:
     """Add one column per counter and the ``outcome`` of each page.
 
     ``pages`` has ``url``, ``html`` and ``platform``. Outcomes: ``unsupported`` (another
-    platform), ``challenge`` (the page asks for a verification), ``no_metrics``, ``ok``.
+    platform), ``no_page`` (no text), ``challenge`` (the page asks for a verification),
+    ``no_metrics``, ``ok``.
     Counters not found are NULL. ``supported`` replaces the platform test.
 
     White space is removed only from pages where a field is missing, once per page.
     """
     if supported is None:
-        supported = (F.col("platform") == PAGE_PLATFORM) | F.col("url").contains(PAGE_HOST)
+        supported = supported_page()
     challenge = F.lit(True)
     for word in PAGE_CHALLENGE_WORDS:
         challenge = challenge & F.col("html").contains(word)
     read = pages.withColumn(
         "_state",
-        F.when(~F.coalesce(supported, F.lit(False)), "unsupported").when(challenge, "challenge"),
+        F.when(~F.coalesce(supported, F.lit(False)), "unsupported")
+        .when(F.col("html").isNull(), "no_page")
+        .when(challenge, "challenge"),
     )
     readable = F.col("_state").isNull()
     read = read.withColumns(

@@ -16,6 +16,7 @@ from ..sources.sinks import MetricStore, append_log, write_parts
 from ..streaming.metric_stream import start_metric_store
 from . import report, search
 from .dashboard import dashboard, recent_contents
+from .sync import run_sync
 
 QUERIES = {}
 
@@ -192,6 +193,20 @@ def search_4_lookup(t):
     return found.select("key", "lookup", "id", "title", "influencer_name", "interaction_count")
 
 
+@registered
+def search_4_lookup_creators(t):
+    keys = t.raw("orders").select((F.col("o_custkey") * 2).cast("string").alias("key"))
+    return search.lookup_creators(keys, t.creators()).select("key", "lookup", "id", "name", "followers_count")
+
+
+@registered
+def search_4_lookup_projects(t):
+    key = F.col("l_orderkey")
+    keys = t.raw("lineitem").select(F.concat(F.lit(" "), (key * 2).cast("string")).alias("key"))
+    found = search.lookup_projects(keys, t.dated_projects(), AS_OF)
+    return found.select("key", "lookup", "id", "status", "status_error")
+
+
 # Joins
 
 
@@ -231,6 +246,13 @@ def jn_4_stored_duplicates(t):
     )
 
 
+@registered
+def jn_4_stored_projects(t):
+    rows = t.dated_projects()
+    moved = rows.withColumn("project_code", F.when(F.col("id") % 2 == 0, F.col("project_code")).otherwise("P7"))
+    return quality.refuse_stored_projects(moved, rows).select("id", "project_code")
+
+
 @registered
 def jn_4_stored_contents(t):
     rows = t.entangled_contents()
@@ -413,6 +435,24 @@ def job_9_page_labels(t):
     )
 
 
+@registered
+def job_9_page_sync(t):
+    # Every page is the link of one content; contents of odd ids link to no page.
+    key = F.col("page_id")
+    contents = t.raw("pages").select(
+        key.alias("id"),
+        F.when(key % 9 == 8, "抖音").otherwise("小红书").alias("platform"),
+        F.concat(F.lit("p"), F.when(key % 2 == 0, key).otherwise(-key).cast("string")).alias("content_url"),
+    )
+    pages_by_id = t.metric_pages().withColumn("url", F.concat(F.lit("p"), F.col("page_id").cast("string")))
+    store = MetricStore(t.spark, scratch_path(t.spark, "store"))
+    store.upsert(t.metric_events())
+    run_sync(contents, pages_by_id, store, scratch_path(t.spark, "log"), 10**15, NOW)
+    return store.metrics().select(
+        "content_id", "view_count", "like_count", "data_source", "sync_status", "last_sync_at", "failed_reason"
+    )
+
+
 @registered
 def job_10_metric_state(t):
     return metrics.metric_rows(metrics.fold_events(t.metric_events()))
@@ -436,6 +476,12 @@ def job_11_migrate_contents(t):
     return moved.select("id", "content_url", "canonical_url", "platform_content_id", "status", "remark")
 
 
+@registered
+def job_11_migrate_metrics(t):
+    old = t.metrics().drop("data_source", "last_sync_at", "next_sync_at", "failed_reason")
+    return backfill.migrate_metrics(old)
+
+
 @registered
 def job_12_creator_report(t):
     return report.creator_report(t.creators())

@@ -89,6 +89,14 @@ TABLES = {
     "pages": PAGES,
 }
 
+# What a missing column of an older extract is filled with, '' or 0 otherwise.
+DEFAULTS = {
+    "creators": {"status": "正常"},
+    "projects": {"status": "进行中"},
+    "contents": {"status": "正常"},
+    "content_metrics": {"data_source": "手动", "sync_status": "待同步"},
+}
+
 COUNTERS = ("view_count", "like_count", "comment_count", "collect_count", "share_count")
 INTERACTIONS = ("like_count", "comment_count", "collect_count", "share_count")
 

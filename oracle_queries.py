@@ -225,6 +225,15 @@ ORACLE["search_4_lookup"] = with_views("details", """
         FROM lineitem) k
     LEFT JOIN details d ON d.id = k.l_orderkey AND NOT bad AND k.l_orderkey % 7 <> 0""")
 
+ORACLE["search_4_lookup_creators"] = with_views("creators", """
+    SELECT CAST(o_custkey * 2 AS VARCHAR) AS key, CASE WHEN id IS NULL THEN 'not_found' ELSE 'ok' END AS lookup,
+        id, name, followers_count
+    FROM orders LEFT JOIN creators ON id = o_custkey * 2""")
+ORACLE["search_4_lookup_projects"] = with_views("lived", """
+    SELECT concat(' ', l_orderkey * 2) AS key, CASE WHEN id IS NULL THEN 'not_found' ELSE 'ok' END AS lookup,
+        id, status, status_error
+    FROM lineitem LEFT JOIN lived ON id = l_orderkey * 2""")
+
 ORACLE["jn_1_star"] = with_views("details", """
     SELECT c.id, i.name AS influencer_name, p.name AS project_name, m.view_count
     FROM contents c JOIN creators i ON i.id = c.influencer_id
@@ -247,6 +256,10 @@ ORACLE["jn_4_stored_duplicates"] = with_views("part_creators", """
     SELECT a.id, 'update' FROM part_creators a
     WHERE EXISTS (SELECT 1 FROM part_creators b
         WHERE b.id <> a.id AND b.name = a.name AND b.platform = a.platform)""")
+ORACLE["jn_4_stored_projects"] = with_views("dated", """
+    SELECT a.id, a.code AS project_code
+    FROM (SELECT id, CASE WHEN id % 2 = 0 THEN project_code ELSE 'P7' END AS code FROM dated) a
+    WHERE a.code <> '' AND EXISTS (SELECT 1 FROM dated b WHERE b.project_code = a.code AND b.id <> a.id)""")
 ORACLE["jn_4_stored_contents"] = with_views("entangled", """
     SELECT a.id, a.content_url, a.platform, a.platform_content_id FROM entangled a
     WHERE EXISTS (SELECT 1 FROM entangled b WHERE b.id <> a.id AND (b.content_url = a.content_url
@@ -546,6 +559,28 @@ ORACLE["snk_3_sync_log_append"] = with_views("metric_events", """
         CASE WHEN kind = 'ok' THEN '' WHEN seq % 2 = 0 THEN 'timeout' ELSE '同步失败' END AS error_message
     FROM metric_events WHERE kind IN ('ok', 'fail')""")
 
+ORACLE["job_9_page_sync"] = with_views("metric_events", f"""
+    , state AS ({STATE}),
+    read AS ({ORACLE['job_9_page_metrics']}),
+    synced AS (
+        SELECT page_id AS content_id, like_count,
+            CASE WHEN page_id % 9 = 8 THEN 'unsupported' WHEN page_id % 2 = 1 THEN 'no_page' ELSE outcome END AS outcome
+        FROM read)
+    SELECT content_id, coalesce(s.view_count, 0) AS view_count,
+        coalesce(CASE WHEN outcome = 'ok' THEN y.like_count END, s.like_count, 0) AS like_count,
+        CASE WHEN outcome IS NULL THEN s.data_source ELSE '网页解析' END AS data_source,
+        CASE WHEN outcome IS NULL THEN s.sync_status WHEN outcome = 'ok' THEN '同步成功' ELSE '同步失败' END AS sync_status,
+        CASE WHEN outcome IS NULL THEN s.last_sync_at ELSE '2024-06-01 00:00:00' END AS last_sync_at,
+        CASE WHEN outcome IS NULL THEN s.failed_reason
+            WHEN outcome = 'ok' THEN '' WHEN outcome = 'no_page' THEN '同步失败'
+            WHEN outcome = 'challenge' THEN '页面可能触发验证或风控，暂时无法自动抓取'
+            WHEN outcome = 'no_metrics' THEN '没有从页面中识别到点赞、评论或收藏数据'
+            ELSE '当前第一版只支持小红书链接自动同步' END AS failed_reason
+    FROM state s FULL JOIN synced y USING (content_id)""").replace("\n\n    , state", ", state")
+
+ORACLE["job_11_migrate_metrics"] = with_views("metrics", """
+    SELECT *, '手动' AS data_source, '' AS last_sync_at, '' AS next_sync_at, '' AS failed_reason, '' AS updated_at
+    FROM metrics""")
 ORACLE["job_11_migrate_creators"] = """
     SELECT c_custkey AS id, c_name AS name, c_mktsegment AS platform, '' AS account_id, '' AS profile_url,
         '' AS category,
@@ -583,7 +618,7 @@ ORACLE["job_11_migrate_contents"] = f"""
             WHEN 6 THEN concat('https://weibo.com/', slug) ELSE {CANONICAL} END END AS canonical_url,
         CASE WHEN id % 3 = 1 THEN 'kept' WHEN k = 1 THEN 'item' WHEN k IN (0, 2, 4, 5) THEN slug
             WHEN k = 3 THEN concat('BV', slug) ELSE '' END AS platform_content_id,
-        '' AS status, '' AS remark
+        '正常' AS status, '' AS remark
     FROM own"""
 
 ORACLE["job_12_creator_report"] = with_views("creators", """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from engagement.operators import quality
 from engagement.operators.backfill import migrate_metrics, with_missing_columns
-from engagement.schemas import CONTENT_METRICS, CONTENTS, CREATORS, PROJECTS, ddl
+from engagement.schemas import CONTENT_METRICS, CREATORS, ddl
 from engagement.sources.records import number_value, parse_records, read_fields, read_lines
 
 GOOD = {"name": "A", "platform": "B站", "category": "美食"}
@@ -18,10 +18,6 @@ def parsed(spark, *bodies):
     return parse_records(spark.createDataFrame(list(enumerate(texts)), "seq bigint, body string"))
 
 
-def empty(spark, layout):
-    return spark.createDataFrame([], ddl(layout))
-
-
 def reasons(df):
     return [row["reason"] for row in df.orderBy("seq").collect()]
 
@@ -178,5 +174,4 @@ def test_missing_columns(spark):
         "data_source": "手动", "sync_status": "待同步",
     }
     with pytest.raises(ValueError):
-        with_missing_columns(old.select(F.col("view_count")), CONTENT_METRICS, ("content_id",))
-    assert set(PROJECTS) < set(CONTENTS) | set(PROJECTS)
+        with_missing_columns(old.select(F.col("view_count")), "content_metrics", ("content_id",))
