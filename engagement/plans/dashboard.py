@@ -20,7 +20,7 @@ def recent_contents(contents, creators, projects, metrics, rows=RECENT_ROWS) ->
     of being shuffled.
     """
     latest = cut_lineage(
-        with_creators(contents, creators)
+        with_creators(contents.alias("c"), creators)
         .select("c.id", "c.title", "c.platform", "c.published_at", "c.project_id", "i.name")
         .orderBy(F.col("published_at").desc(), F.col("id").desc())
         .limit(rows)

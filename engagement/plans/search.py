@@ -137,10 +137,10 @@ def count_contents(contents, creators, metrics, search: ContentSearch) -> DataFr
 
     Projects never change the number, and metrics are joined only if a filter reads them.
     """
-    rows = where(with_creators(contents, creators), *search.content_conditions(), search.keyword_condition())
-    metric_conditions = [c for c in search.metric_conditions() if c is not None]
-    if metric_conditions:
-        rows = where(with_metrics(rows, metrics), *metric_conditions)
+    rows = where(contents.alias("c"), *search.content_conditions())
+    if any(condition is not None for condition in search.metric_conditions()):
+        rows = where(with_metrics(rows, metrics), *search.metric_conditions())
+    rows = where(with_creators(rows, creators), search.keyword_condition())
     return rows.agg(F.count("*").alias("row_count"))
 
 

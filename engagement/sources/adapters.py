@@ -92,7 +92,7 @@ class Tables:
 
     def contents(self) -> DataFrame:
         key = F.col("o_orderkey")
-        day = F.date_format("o_orderdate", "yyyy-MM-dd")
+        day = F.col("o_orderdate").cast("date").cast("string")
         url = F.concat(F.lit("https://m.example.com/o/"), key.cast("string"), F.lit("?s=1"))
         return (
             self.raw("orders")
@@ -152,6 +152,7 @@ class Tables:
         start = F.col("o_orderdate").cast("date")
         days = F.when(key % 11 == 0, -5).otherwise((key % 120).cast("int"))
         end = F.when(key % 7 != 0, F.date_add(start, days))
+        first_day = start.cast("string")
         return self.spread("orders").select(
             key.alias("id"),
             F.concat(F.lit("Project "), key.cast("string")).alias("name"),
@@ -160,11 +161,11 @@ class Tables:
             .alias("project_code"),
             F.when(F.col("o_orderstatus") == "F", "已归档").otherwise("进行中").alias("status"),
             F.col("o_orderpriority").alias("owner"),
-            F.date_format(start, "yyyy-MM-dd").alias("start_date"),
-            F.coalesce(F.date_format(end, "yyyy-MM-dd"), F.lit("")).alias("end_date"),
+            first_day.alias("start_date"),
+            F.coalesce(end.cast("string"), F.lit("")).alias("end_date"),
             F.when(key % 6 == 0, "").otherwise(F.concat(F.lit("note "), "o_orderpriority")).alias("description"),
-            F.date_format(start, "yyyy-MM-dd").alias("created_at"),
-            F.date_format(start, "yyyy-MM-dd").alias("updated_at"),
+            first_day.alias("created_at"),
+            first_day.alias("updated_at"),
         )
 
     def part_creators(self) -> DataFrame:

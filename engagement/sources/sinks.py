@@ -12,6 +12,17 @@ def write_parts(parts: dict[str, DataFrame], folder: str, kind="parquet") -> Non
         df.write.mode("overwrite").format(kind).save(f"{folder}/{name}")
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int) -> DataFrame:
+    """Save as a catalog table bucketed by ``key``, one file per bucket.
+
+    Contents by ``id`` and metrics by ``content_id`` with the same number of buckets join
+    without a shuffle from then on. ``key`` should be unique: a bucket is never split.
+    """
+    writer = df.repartition(buckets, key).write.mode("overwrite").format("parquet")
+    writer.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from engagement.operators.joins import star
+from engagement.operators.joins import star, with_metrics
 from engagement.operators.rollups import platform_totals
 from engagement.plans import search
 from engagement.plans.dashboard import recent_contents
@@ -13,7 +13,7 @@ from engagement.plans.registered import QUERIES
 from engagement.schemas import TABLES
 from engagement.session import cut_lineage, shared_folder
 from engagement.sources.adapters import AS_OF, Tables
-from engagement.sources.sinks import write_parts
+from engagement.sources.sinks import write_bucketed, write_parts
 from engagement.sources.tables import read_table
 
 
@@ -112,6 +112,20 @@ def test_hot_creator_is_split(spark):
             spark.conf.set(key, value)
 
 
+def test_bucketed_tables_join_without_shuffle(spark, stored, tmp_path):
+    contents = write_bucketed(stored["contents"], "contents_b", str(tmp_path / "c"), "id", 4)
+    metrics = write_bucketed(stored["content_metrics"], "metrics_b", str(tmp_path / "m"), "content_id", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = with_metrics(contents.alias("c"), metrics).select("c.id", "m.view_count")
+        assert "Exchange" not in plan_of(joined)
+        assert joined.count() == stored["contents"].count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("drop table contents_b")
+        spark.sql("drop table metrics_b")
+
+
 def test_written_tables_live_in_the_shared_folder(spark):
     df = cut_lineage(spark.range(3))
     assert shared_folder(spark) in df.inputFiles()[0]

@@ -12,6 +12,7 @@ from engagement.functions.text import WHITESPACE, matches_keyword, strip, whole_
 from engagement.operators.filters import bound, in_range, linked_to
 from engagement.operators.pages import page_metrics
 from engagement.plans import report
+from engagement.sources.adapters import Tables
 
 
 def test_whitespace_is_all_of_unicode():
@@ -105,6 +106,12 @@ def test_canonical_url(spark):
     assert [row["canonical_url"] for row in found] == [c for _, c in CANONICAL]
 
 
+def test_canonical_url_of_a_page_link_is_stable(spark, folder):
+    once = with_canonical_url(Tables(spark, folder).raw("pages"), "url", "once")
+    twice = with_canonical_url(once, "once", "twice")
+    assert twice.filter("once <> twice or once = ''").count() == 0
+
+
 CONTENT_IDS = [
     ("小红书", "https://www.xiaohongshu.com/explore/abc?x=1", "abc"),
     ("小红书", "https://www.xiaohongshu.com/discovery/item/abc", "item"),
