@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
-def identity_keys(contents: DataFrame, id_col="id") -> DataFrame:
+def identity_keys(contents: DataFrame, id_col="id", carry=()) -> DataFrame:
     """(id, key, hash): one row per link key a content holds, at most three.
 
     A key is a struct of kind, scope and text, ``hash`` a 64-bit hash of it for cheap
@@ -31,33 +31,32 @@ def identity_keys(contents: DataFrame, id_col="id") -> DataFrame:
         ),
     )
     return (
-        contents.select(F.col(id_col).alias("id"), F.explode(keys).alias("key"))
+        contents.select(F.col(id_col).alias("id"), *carry, F.explode(keys).alias("key"))
         .filter("key is not null")
         .withColumn("hash", F.xxhash64("key"))
     )
 
 
-def stored_identity_conflicts(
-    incoming, stored, exclude_self=False, id_col="id", stored_id="id"
-) -> DataFrame:
-    """Incoming ids that share a link key with a stored content.
+def stored_identity_conflicts(incoming, stored, id_col="seq", target=None) -> DataFrame:
+    """``id_col`` of the incoming rows that share a link key with a stored content.
 
-    With ``exclude_self`` the stored row of the same id does not count (an update). The
-    stored table is first cut down to the key hashes of the batch. Those are written out,
-    so Spark knows their size: it broadcasts a small batch and leaves the stored table
-    unshuffled, and shuffles a big one.
+    An update names the stored row it replaces in the column ``target``; that row does
+    not count. The stored table is first cut down to the key hashes of the batch. Those
+    are written out, so Spark knows their size: it broadcasts a small batch and leaves
+    the stored table unshuffled, and shuffles a big one.
     """
-    held = identity_keys(incoming, id_col)
+    carry = [F.col(target).alias("target")] if target else []
+    held = identity_keys(incoming, id_col, carry)
     wanted = cut_lineage(held.select("hash").distinct())
-    seen = identity_keys(stored, stored_id).join(wanted, "hash", "left_semi")
-    if not exclude_self:
+    seen = identity_keys(stored).join(wanted, "hash", "left_semi")
+    if not target:
         found = held.join(seen.select("key").distinct(), "key", "left_semi")
     else:
         seen = seen.groupBy("key").agg(
             F.min("id").alias("first_stored"), F.max("id").alias("last_stored")
         )
-        found = held.join(seen, "key").filter("first_stored <> id or last_stored <> id")
-    return found.select("id").distinct()
+        found = held.join(seen, "key").filter("first_stored <> target or last_stored <> target")
+    return found.select(F.col("id").alias(id_col)).distinct()
 
 
 def rejected_ids(contents: DataFrame, id_col="id") -> DataFrame:
@@ -130,11 +129,7 @@ def deduplicate(contents: DataFrame, id_col="id") -> DataFrame:
 
 def deduplicate_incoming(incoming: DataFrame, stored: DataFrame, id_col="seq") -> DataFrame:
     """Flag ``accepted`` for new contents entered in ``id_col`` order on top of stored ones."""
-    blocked = cut_lineage(
-        stored_identity_conflicts(incoming, stored, id_col=id_col, stored_id="id").select(
-            F.col("id").alias(id_col)
-        )
-    )
+    blocked = cut_lineage(stored_identity_conflicts(incoming, stored, id_col))
     fresh = incoming.join(blocked, id_col, "left_anti")
     refused = blocked.union(rejected_ids(fresh, id_col).select(F.col("id").alias(id_col)))
     return incoming.join(

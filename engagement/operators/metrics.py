@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import or_default
 from ..schemas import (
     CONTENT_METRICS,
+    COUNTERS,
     LOG_FAILED,
     LOG_OK,
     SOURCE_MANUAL,
@@ -41,6 +42,20 @@ PAGE_COUNTERS = ("like_count", "comment_count", "collect_count")
 CELLS = ("manual", *PAGE_COUNTERS, "last_event", "status", "sync")
 
 
+def entry_events(accepted: DataFrame, kind: str, event_time: str, id_col="id") -> DataFrame:
+    """Accepted content records as ``create`` or ``edit`` events of their metrics."""
+    return accepted.select(
+        F.col(id_col).alias("content_id"),
+        "seq",
+        F.lit(kind).alias("kind"),
+        F.lit(event_time).alias("event_time"),
+        *COUNTERS,
+        "data_source",
+        "sync_status",
+        F.lit("").alias("failed_reason"),
+    ).select(*EVENTS)
+
+
 def _cell(written, **values) -> Column:
     fields = [F.col("seq"), *[value.alias(name) for name, value in values.items()]]
     return F.when(written, F.struct(*fields))

@@ -34,8 +34,12 @@ def _first_reason(*rules):
     return F.coalesce(F.col("reason"), *checks)
 
 
-def validate_creators(records: DataFrame, stored: DataFrame) -> DataFrame:
-    """Check creator records; ``seq`` is the order of entry, ``id`` (if any) the row updated."""
+def _id_of(df: DataFrame) -> list[str]:
+    return ["id"] if "id" in df.columns else []
+
+
+def check_creators(records: DataFrame) -> DataFrame:
+    """Creator records by the rules that need no other row."""
     texts = (
         "name", "platform", "account_id", "profile_url", "category", "wechat", "phone", "email",
         "other_contact", "owner", "status", "remark",
@@ -46,6 +50,7 @@ def validate_creators(records: DataFrame, stored: DataFrame) -> DataFrame:
         read_fields(records, texts, ("followers_count", "followers"))
         .select(
             "seq",
+            *_id_of(records),
             "reason",
             *texts,
             F.when(named, number_value("followers_count"))
@@ -79,8 +84,9 @@ def validate_creators(records: DataFrame, stored: DataFrame) -> DataFrame:
         "phone.reason",
         "email.reason",
     )
-    checked = rows.select(
+    return rows.select(
         "seq",
+        *_id_of(rows),
         "name",
         "platform",
         "account_id",
@@ -96,11 +102,10 @@ def validate_creators(records: DataFrame, stored: DataFrame) -> DataFrame:
         "remark",
         reason.alias("reason"),
     )
-    return _reject_repeats(checked, stored, ["name", "platform"], "duplicate_creator")
 
 
-def validate_projects(records: DataFrame, stored: DataFrame, as_of) -> DataFrame:
-    """Check project records; the status becomes the one on ``as_of``."""
+def check_projects(records: DataFrame, as_of) -> DataFrame:
+    """Project records by the rules that need no other row; the status is the one on ``as_of``."""
     texts = ("name", "project_code", "status", "owner", "start_date", "end_date", "description")
     rows = (
         read_fields(records, texts)
@@ -115,8 +120,9 @@ def validate_projects(records: DataFrame, stored: DataFrame, as_of) -> DataFrame
         ),
         "status_error",
     )
-    checked = rows.select(
+    return rows.select(
         "seq",
+        *_id_of(rows),
         "name",
         "project_code",
         "status",
@@ -126,11 +132,10 @@ def validate_projects(records: DataFrame, stored: DataFrame, as_of) -> DataFrame
         "description",
         reason.alias("reason"),
     )
-    return _reject_repeats(checked, stored, ["project_code"], "duplicate_project_code")
 
 
-def validate_contents(records, creators, projects, stored) -> DataFrame:
-    """Check content records against the stored creators, projects and contents.
+def check_contents(records: DataFrame, creators: DataFrame, projects: DataFrame) -> DataFrame:
+    """Content records by their own rules and the stored creators and projects.
 
     The platform of a content is the one of its creator, whatever the record says.
     """
@@ -144,6 +149,7 @@ def validate_contents(records, creators, projects, stored) -> DataFrame:
         read_fields(records, texts, numbers)
         .select(
             "seq",
+            *_id_of(records),
             "reason",
             *texts,
             *[number_value(name).alias(name) for name in numbers],
@@ -186,8 +192,9 @@ def validate_contents(records, creators, projects, stored) -> DataFrame:
         *counter_rules,
     )
     linked = with_content_id(with_canonical_url(linked.withColumn("reason", reason)))
-    checked = cut_lineage(linked.select(
+    return linked.select(
         "seq",
+        *_id_of(linked),
         "title",
         "influencer_id",
         "project_id",
@@ -204,18 +211,74 @@ def validate_contents(records, creators, projects, stored) -> DataFrame:
         "data_source",
         "sync_status",
         "reason",
-    ))
-    verdicts = deduplicate_incoming(
-        checked.filter("reason is null").select(
-            "seq", "platform", "content_url", "canonical_url", "platform_content_id"
-        ),
-        stored,
-        "seq",
     )
-    repeats = verdicts.filter(~F.col("accepted")).select("seq", F.lit(True).alias("repeat"))
-    return checked.join(repeats, "seq", "left").withColumn(
-        "reason", F.coalesce("reason", F.when(F.col("repeat"), "duplicate_content"))
-    ).drop("repeat")
+
+
+IDENTITY = ("platform", "content_url", "canonical_url", "platform_content_id")
+
+
+def validate_creators(records: DataFrame, stored: DataFrame) -> DataFrame:
+    """New creators, entered in ``seq`` order on top of the stored ones."""
+    return _reject_repeats(check_creators(records), stored, ["name", "platform"], "duplicate_creator")
+
+
+def validate_projects(records: DataFrame, stored: DataFrame, as_of) -> DataFrame:
+    """New projects, entered in ``seq`` order on top of the stored ones."""
+    return _reject_repeats(
+        check_projects(records, as_of), stored, ["project_code"], "duplicate_project_code"
+    )
+
+
+def validate_contents(records, creators, projects, stored) -> DataFrame:
+    """New contents, entered in ``seq`` order on top of the stored ones."""
+    checked = cut_lineage(check_contents(records, creators, projects))
+    candidates = checked.filter("reason is null").select("seq", *IDENTITY)
+    repeats = deduplicate_incoming(candidates, stored, "seq").filter(~F.col("accepted"))
+    return _with_reason(checked, repeats, "duplicate_content")
+
+
+def validate_creator_updates(records: DataFrame, stored: DataFrame) -> DataFrame:
+    """Changed creators: each record replaces the stored row named by its ``id``.
+
+    Every update is judged against the stored rows alone, as in the two below.
+    """
+    checked = _known_only(cut_lineage(check_creators(records)), stored)
+    taken = stored_duplicates(checked, stored, ["name", "platform"], exclude_self=True)
+    return _with_reason(checked, taken, "duplicate_creator")
+
+
+def validate_project_updates(records: DataFrame, stored: DataFrame, as_of) -> DataFrame:
+    """Changed projects; an empty code never collides."""
+    checked = _known_only(cut_lineage(check_projects(records, as_of)), stored)
+    taken = stored_duplicates(checked, stored, ["project_code"], exclude_self=True)
+    return _with_reason(checked, taken, "duplicate_project_code")
+
+
+def validate_content_updates(records, creators, projects, stored) -> DataFrame:
+    """Changed contents; an unknown ``id`` is reported before anything else."""
+    checked = cut_lineage(check_contents(records, creators, projects))
+    checked = _known_only(checked, stored, first=True)
+    candidates = checked.filter("reason is null").select("seq", "id", *IDENTITY)
+    taken = stored_identity_conflicts(candidates, stored, "seq", target="id")
+    return _with_reason(checked, taken, "duplicate_content")
+
+
+def _known_only(checked: DataFrame, stored: DataFrame, first=False) -> DataFrame:
+    """Refuse updates of rows that are not stored."""
+    known = stored.select("id", F.lit(True).alias("known"))
+    missing = F.when(F.col("known").isNull(), "not_found")
+    order = (missing, "reason") if first else ("reason", missing)
+    return checked.join(known, "id", "left").withColumn("reason", F.coalesce(*order)).drop("known")
+
+
+def _with_reason(checked: DataFrame, refused: DataFrame, reason: str) -> DataFrame:
+    """Give ``reason`` to the rows of ``refused`` that have none yet."""
+    found = refused.select("seq", F.lit(reason).alias("late_reason"))
+    return (
+        checked.join(found, "seq", "left")
+        .withColumn("reason", F.coalesce("reason", "late_reason"))
+        .drop("late_reason")
+    )
 
 
 def _reject_repeats(checked: DataFrame, stored: DataFrame, keys, reason) -> DataFrame:
@@ -259,21 +322,6 @@ def reason_counts(checked: DataFrame) -> DataFrame:
     )
 
 
-def refuse_stored_creators(updates: DataFrame, stored: DataFrame) -> DataFrame:
-    """Creator updates (with ``id``) whose name and platform belong to another creator."""
-    return stored_duplicates(updates, stored, ["name", "platform"], exclude_self=True)
-
-
-def refuse_stored_projects(updates: DataFrame, stored: DataFrame) -> DataFrame:
-    """Project updates (with ``id``) whose non-empty code belongs to another project."""
-    return stored_duplicates(updates, stored, ["project_code"], exclude_self=True)
-
-
-def refuse_stored_contents(updates: DataFrame, stored: DataFrame) -> DataFrame:
-    """Content updates (with ``id``) that share a link key with another content."""
-    return updates.join(stored_identity_conflicts(updates, stored, exclude_self=True), "id", "left_semi")
-
-
 def normalize_contacts(df: DataFrame) -> DataFrame:
     """Replace phone, email and profile_url by clean values, with a reason column each."""
     out = (

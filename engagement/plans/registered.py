@@ -240,7 +240,7 @@ def jn_4_stored_duplicates(t):
     rows = t.part_creators()
     even, odd = rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1")
     inserts = joins.stored_duplicates(odd, even, ["name", "platform"])
-    updates = quality.refuse_stored_creators(rows, rows)
+    updates = joins.stored_duplicates(rows, rows, ["name", "platform"], exclude_self=True)
     return inserts.select("id", F.lit("insert").alias("entry")).union(
         updates.select("id", F.lit("update").alias("entry"))
     )
@@ -250,14 +250,15 @@ def jn_4_stored_duplicates(t):
 def jn_4_stored_projects(t):
     rows = t.dated_projects()
     moved = rows.withColumn("project_code", F.when(F.col("id") % 2 == 0, F.col("project_code")).otherwise("P7"))
-    return quality.refuse_stored_projects(moved, rows).select("id", "project_code")
+    found = joins.stored_duplicates(moved, rows, ["project_code"], exclude_self=True)
+    return found.select("id", "project_code")
 
 
 @registered
 def jn_4_stored_contents(t):
     rows = t.entangled_contents()
-    found = quality.refuse_stored_contents(rows, rows)
-    return found.select("id", "content_url", "platform", "platform_content_id")
+    found = identity.stored_identity_conflicts(rows, rows, "id", target="id")
+    return rows.join(found, "id").select("id", "content_url", "platform", "platform_content_id")
 
 
 @registered
@@ -394,6 +395,37 @@ def job_5_validate_contents(t):
     return checked.select("seq", "influencer_id", "canonical_url", "platform_content_id", "view_count", "share_count", "reason")
 
 
+@registered
+def job_5_update_creators(t):
+    key = F.col("seq")
+    target = F.when(key % 5 == 0, key + 1).when(key % 7 == 0, -key - 1).otherwise(key)
+    parsed = records.parse_records(t.creator_lines()).withColumn("id", target)
+    stored = t.creators().withColumn("platform", F.lit("抖音"))
+    return quality.validate_creator_updates(parsed, stored).select("seq", "id", "name", "reason")
+
+
+@registered
+def job_5_update_projects(t):
+    key = F.col("seq")
+    parsed = records.parse_records(t.project_lines()).withColumn("id", F.when(key % 3 == 0, -key - 1).otherwise(key))
+    checked = quality.validate_project_updates(parsed, t.dated_projects(), AS_OF)
+    return checked.select("seq", "id", "project_code", "reason")
+
+
+@registered
+def job_5_update_contents(t):
+    parsed = records.parse_records(t.content_lines())
+    parsed = parsed.withColumn("id", F.when(F.col("seq") % 13 == 0, -1).otherwise(F.col("seq")))
+    creators = t.creators().withColumn("platform", F.lit("抖音"))
+    number = F.col("id").cast("string")
+    url = F.concat(F.lit("https://www.douyin.com/video/"), number)
+    stored = t.contents().withColumns(
+        {"platform": F.lit("抖音"), "content_url": url, "canonical_url": url, "platform_content_id": number}
+    )
+    checked = quality.validate_content_updates(parsed, creators, t.projects(), stored)
+    return checked.select("seq", "id", "canonical_url", "reason")
+
+
 @registered
 def job_6_contacts(t):
     return quality.normalize_contacts(t.contacts()).drop("platform")

@@ -52,13 +52,15 @@ def _variant(key) -> Column:
 def read_fields(records: DataFrame, texts, numbers=()) -> DataFrame:
     """(seq, reason), the text fields cleaned, and ``key__kind``/``key__text`` per number.
 
-    Each field is looked up once, however many rules read it.
+    Each field is looked up once, however many rules read it. The ``id`` of the row an
+    update is for is kept, too.
     """
+    kept = [name for name in ("seq", "id", "reason") if name in records.columns]
     columns = [F.try_variant_get("record", f"$.{key}", "string").alias(key) for key in texts]
     for key in numbers:
         columns.append(F.schema_of_variant(_variant(key)).alias(f"{key}__kind"))
         columns.append(F.try_variant_get("record", f"$.{key}", "string").alias(f"{key}__text"))
-    found = records.select("seq", "reason", "record", *columns)
+    found = records.select(*kept, "record", *columns)
     return found.withColumns({key: text_value(key) for key in texts}).drop("record")
 
 

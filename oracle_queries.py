@@ -473,6 +473,37 @@ ORACLE["job_5_validate_contents"] = """
             WHEN k > min(k) FILTER (reason IS NULL) OVER (PARTITION BY slug) THEN 'duplicate_content' END AS reason
     FROM ruled"""
 
+ORACLE["job_5_update_creators"] = f"""
+    WITH entered AS ({ORACLE['job_5_validate_creators']}),
+    aimed AS (
+        SELECT seq, name, CASE WHEN reason = 'duplicate_creator' THEN NULL ELSE reason END AS reason,
+            CASE WHEN seq % 5 = 0 THEN seq + 1 WHEN seq % 7 = 0 THEN -seq - 1 ELSE seq END AS id
+        FROM entered)
+    SELECT seq, id, name, CASE WHEN reason IS NOT NULL THEN reason
+            WHEN id NOT IN (SELECT c_custkey FROM customer) THEN 'not_found'
+            WHEN EXISTS (SELECT 1 FROM customer WHERE c_name = name AND c_custkey <> id)
+            THEN 'duplicate_creator' END AS reason
+    FROM aimed"""
+ORACLE["job_5_update_projects"] = f"""
+    WITH entered AS ({ORACLE['job_5_validate_projects']}),
+    codes AS (SELECT o_orderkey AS id, concat('P', o_orderkey % 1000) AS code FROM orders WHERE o_orderkey % 10 <> 0),
+    held AS (SELECT code, min(id) AS first_id, max(id) AS last_id FROM codes GROUP BY code),
+    aimed AS (
+        SELECT seq, project_code, CASE WHEN seq % 3 = 0 THEN -seq - 1 ELSE seq END AS id,
+            CASE WHEN reason = 'duplicate_project_code' THEN NULL ELSE reason END AS reason
+        FROM entered)
+    SELECT seq, id, project_code, CASE WHEN reason IS NOT NULL THEN reason
+            WHEN id < 0 THEN 'not_found'
+            WHEN first_id <> id OR last_id <> id THEN 'duplicate_project_code' END AS reason
+    FROM aimed LEFT JOIN held ON code = project_code"""
+ORACLE["job_5_update_contents"] = f"""
+    WITH entered AS ({ORACLE['job_5_validate_contents']})
+    SELECT seq, CASE WHEN seq % 13 = 0 THEN -1 ELSE seq END AS id, canonical_url,
+        CASE WHEN seq % 13 = 0 THEN 'not_found'
+            WHEN reason IS NOT NULL AND reason <> 'duplicate_content' THEN reason
+            WHEN CAST(platform_content_id AS BIGINT) <> seq THEN 'duplicate_content' END AS reason
+    FROM entered"""
+
 ORACLE["job_6_contacts"] = """
     SELECT c_custkey AS id,
         CASE c_custkey % 6 WHEN 0 THEN '' WHEN 1 THEN concat('138', digits) WHEN 2 THEN concat('139', digits)

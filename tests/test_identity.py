@@ -90,7 +90,7 @@ def test_on_top_of_stored_rows(spark):
     )
     assert decided(found, "seq") == one_by_one(incoming, stored)
     conflicts = stored_identity_conflicts(
-        spark.createDataFrame(incoming, LAYOUT), spark.createDataFrame(stored, LAYOUT), exclude_self=True
+        spark.createDataFrame(incoming, LAYOUT), spark.createDataFrame(stored, LAYOUT), "id", target="id"
     )
     expected = {
         row[0] for row in incoming if any(keys_of(row) & keys_of(s) for s in stored if s[0] != row[0])

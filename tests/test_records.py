@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from engagement.operators import quality
 from engagement.operators.backfill import migrate_metrics, with_missing_columns
+from engagement.operators.metrics import entry_events, fold_events, metric_rows
 from engagement.schemas import CONTENT_METRICS, CREATORS, ddl
 from engagement.sources.records import number_value, parse_records, read_fields, read_lines
 
@@ -146,18 +147,26 @@ def test_content_rules(spark):
         "content_type_unknown", "creator_not_found", "project_not_found", "view_count_not_a_number",
         "like_count_negative", "duplicate_content", None, "duplicate_content",
     ]
+    accepted, _ = quality.split_by_reason(checked)
+    state = metric_rows(fold_events(entry_events(accepted, "create", "now", "seq")))
+    assert {r["content_id"]: r["view_count"] for r in state.collect()} == {0: 0, 15: 3}
     kept = checked.filter("seq = 15").first()
     assert (kept["platform"], kept["project_id"], kept["view_count"]) == ("B站", 2, 3)
     assert (kept["content_type"], kept["data_source"], kept["sync_status"]) == ("视频", "手动", "待同步")
 
 
 def test_updates_against_other_rows(spark):
-    stored = spark.createDataFrame([(1, "A", "p"), (2, "B", "p")], "id bigint, name string, platform string")
-    updates = spark.createDataFrame([(1, "A", "p"), (2, "A", "p")], "id bigint, name string, platform string")
-    assert [r["id"] for r in quality.refuse_stored_creators(updates, stored).collect()] == [2]
+    stored = spark.createDataFrame([(1, "A", "B站"), (2, "B", "B站")], "id bigint, name string, platform string")
+    bodies = [GOOD, GOOD, {**GOOD, "name": "C"}, {**GOOD, "email": "x"}, {**GOOD, "name": "Z"}]
+    records = parsed(spark, *bodies).withColumn("id", F.element_at(F.array(*map(F.lit, (1, 2, 2, 9, 9))), (F.col("seq") + 1).cast("int")))
+    checked = quality.validate_creator_updates(records, stored)
+    assert reasons(checked) == [None, "duplicate_creator", None, "email_invalid", "not_found"]
+
     codes = spark.createDataFrame([(1, "P"), (2, "")], "id bigint, project_code string")
-    moved = spark.createDataFrame([(2, "P"), (3, "")], "id bigint, project_code string")
-    assert [r["id"] for r in quality.refuse_stored_projects(moved, codes).collect()] == [2]
+    bodies = [{"name": "A", "project_code": "P"}, {"name": "A", "project_code": "P"}, {"name": "A"}]
+    records = parsed(spark, *bodies).withColumn("id", F.element_at(F.array(*map(F.lit, (1, 2, 2))), (F.col("seq") + 1).cast("int")))
+    checked = quality.validate_project_updates(records, codes, "2024-06-01")
+    assert reasons(checked) == [None, "duplicate_project_code", None]
 
 
 def test_lines_from_files(spark, tmp_path):
