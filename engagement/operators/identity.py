@@ -1,11 +1,9 @@
 """Content identity: duplicate detection over three link keys, and uniqueness audits."""
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_path
 
 
 def identity_keys(contents: DataFrame, id_col="id", carry=()) -> DataFrame:
@@ -81,15 +79,17 @@ def rejected_ids(contents: DataFrame, id_col="id") -> DataFrame:
     """
     held = identity_keys(contents, id_col)
     contested = held.groupBy("hash").agg(F.count("*").alias("rows")).filter("rows > 1")
-    remaining = Observation()
+    spark = contents.sparkSession
+    rounds = scratch_path(spark, "rounds")
+    done, remaining = 0, Observation()
     settled = cut_lineage(
         held.join(cut_lineage(contested.select("hash")), "hash", "left_semi")
         .groupBy("id")
         .agg(F.collect_list("key").alias("keys"))
         .withColumn("verdict", F.lit(None).cast("string"))
-        .observe(remaining, F.count("*").alias("rows"))
+        .observe(remaining, F.count("*").alias("rows")),
+        f"{rounds}/round={done}",
     )
-    refused = []
     while remaining.get["rows"]:
         entries = settled.filter("verdict is null").select(
             "id", F.size("keys").alias("holds"), F.explode("keys").alias("key")
@@ -106,15 +106,15 @@ def rejected_ids(contents: DataFrame, id_col="id") -> DataFrame:
         verdict = F.when(F.bool_or(F.col("winner") == F.col("id")), "accepted").when(
             F.count("winner") > 0, "refused"
         )
-        remaining = Observation()
+        done, remaining = done + 1, Observation()
         settled = cut_lineage(
             entries.join(taken, "key", "left")
             .groupBy("id")
             .agg(F.collect_list("key").alias("keys"), verdict.alias("verdict"))
-            .observe(remaining, F.count_if(F.col("verdict").isNull()).alias("rows"))
+            .observe(remaining, F.count_if(F.col("verdict").isNull()).alias("rows")),
+            f"{rounds}/round={done}",
         )
-        refused.append(settled.filter("verdict = 'refused'").select("id"))
-    return reduce(DataFrame.union, refused, held.filter("false").select("id"))
+    return spark.read.schema(settled.schema).parquet(rounds).filter("verdict = 'refused'").select("id")
 
 
 def deduplicate(contents: DataFrame, id_col="id") -> DataFrame:

@@ -74,13 +74,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` to a table in the shared folder and go on from there.
 
     Later steps read the table: they repeat no work when an executor is lost, take only
     the columns they use, and know its size when they choose a join.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, "table")
+    path = path or scratch_path(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

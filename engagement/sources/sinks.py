@@ -32,7 +32,8 @@ class MetricStore:
 
     Parquet knows no MERGE and a path cannot be overwritten while it is read. An upsert
     therefore writes a whole new version and then appends its number to the list of
-    finished versions; a job lost half-way leaves the current version as it was.
+    finished versions; a job lost half-way leaves the current version as it was. One job
+    at a time may write to a store.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
