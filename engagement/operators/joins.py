@@ -58,16 +58,22 @@ def missing_references(contents, creators, projects) -> DataFrame:
     return checked.select("c.*", reason.alias("reason")).filter("reason is not null")
 
 
+def stored_with_keys_of(incoming: DataFrame, stored: DataFrame, keys) -> DataFrame:
+    """Stored rows whose ``keys`` are filled and occur in the incoming rows."""
+    filled = " and ".join(f"`{key}` <> ''" for key in keys)
+    return stored.join(incoming.filter(filled).select(*keys).distinct(), list(keys), "left_semi")
+
+
 def stored_duplicates(incoming, stored, keys, exclude_self=False, id_col="id") -> DataFrame:
     """Incoming rows whose ``keys`` are all equal to those of a stored row.
 
     Rows with an empty or NULL key part never collide. With ``exclude_self`` the row stored under
-    the incoming id does not count. Stored rows are reduced to one row per key first, so
-    a hot key costs one look-up and not a list of partners.
+    the incoming id does not count. The stored table is cut down to the keys of the
+    batch (without a shuffle if the batch is small enough to broadcast) and to one row
+    per key, so a hot key costs one look-up and not a list of partners.
     """
-    filled = " and ".join(f"`{key}` <> ''" for key in keys)
     seen = (
-        stored.filter(filled)
+        stored_with_keys_of(incoming, stored, keys)
         .groupBy(*keys)
         .agg(F.min(id_col).alias("first_stored"), F.max(id_col).alias("last_stored"))
     )

@@ -23,6 +23,7 @@ from ..schemas import (
     SYNC_OK,
     SYNC_PENDING,
 )
+from ..session import cut_lineage
 
 EVENTS = {
     "content_id": "bigint",
@@ -111,8 +112,18 @@ def fold_events(events: DataFrame) -> DataFrame:
 
 
 def add_events(state: DataFrame, events: DataFrame) -> DataFrame:
-    """Upsert: ``events`` on top of an earlier state."""
-    return fold(state.select("content_id", *CELLS).unionByName(cells(events)))
+    """Upsert: ``events`` on top of an earlier state.
+
+    The events are folded and written out first, so Spark knows their size: it broadcasts
+    a small batch and passes over the state without a shuffle.
+    """
+    batch = cut_lineage(fold_events(events))
+    newer = batch.withColumnsRenamed({name: f"new_{name}" for name in CELLS})
+    merged = state.join(newer, "content_id", "left").select(
+        "content_id", *[F.greatest(name, f"new_{name}").alias(name) for name in CELLS]
+    )
+    touched = state.join(batch, "content_id", "left_semi").select("content_id")
+    return merged.unionByName(batch.join(touched, "content_id", "left_anti"))
 
 
 def metric_rows(state: DataFrame) -> DataFrame:

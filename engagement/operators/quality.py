@@ -25,7 +25,7 @@ from ..schemas import (
 from ..sources.records import is_blank, is_present, number_value, read_fields
 from ..session import cut_lineage
 from .identity import deduplicate_incoming, stored_identity_conflicts
-from .joins import stored_duplicates
+from .joins import stored_duplicates, stored_with_keys_of
 
 
 def _first_reason(*rules):
@@ -296,7 +296,7 @@ def _reject_repeats(checked: DataFrame, stored: DataFrame, keys, reason) -> Data
     winners = (
         keyed.groupBy(*keys)
         .agg(F.min("seq").alias("seq"))
-        .join(stored.select(*keys), keys, "left_anti")
+        .join(stored_with_keys_of(keyed, stored.select(*keys), keys), keys, "left_anti")
         .select("seq", F.lit(True).alias("first"))
     )
     has_key = F.lit(True)

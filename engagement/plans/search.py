@@ -147,13 +147,14 @@ def count_contents(contents, creators, metrics, search: ContentSearch) -> DataFr
 def lookup_contents(keys: DataFrame, contents, creators, projects, metrics, key_col="key") -> DataFrame:
     """One row per requested key: ``lookup`` is ok, not_found or bad_id, then the detail.
 
-    Contents are cut down to the requested ids before the star join.
+    Contents and metrics are cut down to the requested ids before the star join; a short
+    list of keys is broadcast, and neither table is shuffled whole.
     """
     wanted = keys.select(key_col, whole_number(F.col(key_col)).alias("wanted_id"))
-    narrowed = contents.join(
-        wanted.select(F.col("wanted_id").alias("id")).distinct(), "id", "left_semi"
-    )
-    return _answer(wanted, content_details(narrowed, creators, projects, metrics))
+    ids = wanted.select("wanted_id").distinct()
+    contents = contents.join(ids, F.col("id") == F.col("wanted_id"), "left_semi")
+    metrics = metrics.join(ids, F.col("content_id") == F.col("wanted_id"), "left_semi")
+    return _answer(wanted, content_details(contents, creators, projects, metrics))
 
 
 def lookup_creators(keys: DataFrame, creators, key_col="key") -> DataFrame:

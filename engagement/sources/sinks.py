@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.metrics import add_events, cells, fold, metric_rows
+from ..operators.metrics import add_events, fold_events, metric_rows
 
 
 def write_parts(parts: dict[str, DataFrame], folder: str, kind="parquet") -> None:
@@ -79,6 +79,6 @@ class MetricStore:
         if version <= current:
             return current
         before = self.state(current)
-        state = fold(cells(events)) if before is None else add_events(before, events)
+        state = fold_events(events) if before is None else add_events(before, events)
         self.write(state, version)
         return version
