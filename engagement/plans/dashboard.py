@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import interactions_or_zero
-from ..operators.joins import with_creators, with_metrics, with_projects
+from ..operators.joins import star
 from ..operators.rollups import platform_rollup, platform_totals, ranked, sync_rollup
 from ..schemas import RECENT_ROWS, SYNC_PENDING
 from ..session import cut_lineage
@@ -15,38 +15,44 @@ from ..session import cut_lineage
 def recent_contents(contents, creators, projects, metrics, rows=RECENT_ROWS) -> DataFrame:
     """Latest contents by ``published_at``, then id, with names and counters.
 
-    Only the join that can drop a content runs over the whole table. The ``rows`` latest
-    are then written out, and projects and metrics are scanned for those few ids instead
-    of being shuffled.
+    The only join over whole tables finds the contents whose creator exists, on three
+    narrow columns. The ``rows`` latest are then written out, and all other columns and
+    tables are scanned for those few ids instead of being shuffled.
     """
-    latest = cut_lineage(
-        with_creators(contents.alias("c"), creators)
-        .select("c.id", "c.title", "c.platform", "c.published_at", "c.project_id", "i.name")
-        .orderBy(F.col("published_at").desc(), F.col("id").desc())
-        .limit(rows)
-        .withColumnRenamed("name", "influencer_name")
-    ).alias("c")
-    # Both look-up lists hold at most ``rows`` rows, whatever the size of the tables.
-    few_projects = projects.join(
-        F.broadcast(latest.select(F.col("project_id").alias("id"))), "id", "left_semi"
+    newest = [F.col("published_at").desc(), F.col("id").desc()]
+    known = contents.join(
+        creators.select(F.col("id").alias("influencer_id")), "influencer_id", "left_semi"
     )
-    few_metrics = metrics.join(
-        F.broadcast(latest.select(F.col("id").alias("content_id"))), "content_id", "left_semi"
+    top = cut_lineage(known.select("id", "published_at").orderBy(*newest).limit(rows))
+
+    def only(table, key, ids):
+        # ``ids`` has at most ``rows`` rows, whatever the size of the tables.
+        return table.join(F.broadcast(ids.toDF(key)), key, "left_semi")
+
+    latest = cut_lineage(
+        only(contents, "id", top.select("id")).select(
+            "id", "title", "platform", "published_at", "influencer_id", "project_id"
+        )
     )
     return (
-        with_metrics(with_projects(latest, few_projects), few_metrics)
+        star(
+            latest,
+            only(creators, "id", latest.select("influencer_id")),
+            only(projects, "id", latest.select("project_id")),
+            only(metrics, "content_id", latest.select("id")),
+        )
         .select(
             "c.id",
             "c.title",
             "c.platform",
             "c.published_at",
-            "c.influencer_name",
+            F.col("i.name").alias("influencer_name"),
             F.coalesce("p.name", F.lit("")).alias("project_name"),
             F.coalesce("m.view_count", F.lit(0)).alias("view_count"),
             interactions_or_zero("m.").alias("interaction_count"),
             F.coalesce("m.sync_status", F.lit(SYNC_PENDING)).alias("sync_status"),
         )
-        .orderBy(F.col("published_at").desc(), F.col("id").desc())
+        .orderBy(*newest)
     )
 
 

@@ -58,7 +58,7 @@ def test_recent_contents_take_the_top_before_the_wide_joins(spark, stored):
         found = recent_contents(stored["contents"], stored["creators"], stored["projects"], stored["content_metrics"])
     finally:
         module.cut_lineage = original
-    assert "TakeOrderedAndProject" in seen[0]
+    assert "TakeOrderedAndProject" in seen[0] and "title" not in seen[0]
     assert found.count() == 5
 
 
