@@ -6,9 +6,10 @@ import os
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry, oracle_sql
+from engagement.plans.registered import QUERIES
 
-QUERIES, EXPECTED = queries(), oracle_sql()
+EXPECTED = oracle_sql()
 
 
 @pytest.fixture(scope="module")
