@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from .scratch import stored
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -40,7 +40,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     edges = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    edges = cut_lineage(edges.distinct())
+    edges = stored(edges.distinct())
     before = None
     while True:
         state = edges.agg(
@@ -49,6 +49,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if before == state or not state["n"]:
             break
         before = state
-        edges = cut_lineage(_stars(cut_lineage(_stars(edges, True)), False))
+        edges = stored(_stars(stored(_stars(edges, True)), False))
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

@@ -1,9 +1,12 @@
 """The registered queries of this subpackage and, where SQL can express them, their SQL."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
+from .shingle_join import similar_documents
 from .span_dedup import dedup_spans
+from .token_counts import count_tokens
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -11,12 +14,23 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+def op6_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_documents(_table(spark, folder, "documents"), k=3, percent=90)
+
+
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
-    return dedup_spans(docs, window=20, k=8, keep_text=False).drop("kept_text")
+    return dedup_spans(docs, window=20, k=6, keep_text=False).drop("kept_text")
 
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op6_shingle_join": op6_shingle_join,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
