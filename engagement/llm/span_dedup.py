@@ -7,11 +7,11 @@ ones), so equal windows have equal anchors at equal offsets. Only anchors are sh
 about one for every ``(window - k) / 2`` words:
 
 1. anchors whose hash occurs once cannot lie in a repeated window; they go;
-2. an anchor is *nonbranching* if all its occurrences have the same words around, as far
-   as any window of the anchor reaches: then all its windows repeat exactly where the
-   anchor repeats, and its first occurrence (smallest doc_id, then position) is theirs;
-3. only windows of branching anchors, at the ends of shared passages, are hashed and
-   grouped one by one;
+2. occurrences of an anchor with the same words around, as far as any window of the
+   anchor reaches, form one path: all windows repeat there exactly where the anchor does,
+   so they are not first but at the path's first occurrence (smallest doc_id, then place);
+3. where an anchor has several paths it *branches*, as at the ends of shared passages:
+   the windows at the first occurrence of each such path are hashed and grouped one by one;
 4. the windows that are not first are laid on the source text by their coordinates, where
    runs of them compact to spans.
 
@@ -22,10 +22,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from .scratch import dropped, stored
 from .ship import ship
 from .words import Texts, WordHash, scan, signed
 
@@ -61,13 +61,15 @@ def _around(words: np.ndarray, low: np.ndarray, high: np.ndarray, longest: int)
     return out
 
 
-ANCHOR = "doc_id long, mark int, h long, around long, pos int, first int, last int"
+#: A place is the word number in the upper half and the mark in the lower; reach holds how
+#: many words before the anchor the first and the last of its windows start, a byte each.
+ANCHOR = "doc_id long, place long, h long, around long, reach int"
 
 
 def _find_anchors(window: int, k: int):
     def find(batches):
         for batch in batches:
-            ids, marks = batch.column("doc_id"), batch.column("mark")
+            ids, marks = batch.column("doc_id"), batch.column("mark").to_numpy()
             for texts in scan(batch.column("text")):
                 words = FIRST.words(texts.data, texts.starts, texts.ends)
                 edges, anchor, row, first, last = _anchors(texts, words, window, k)
@@ -81,24 +83,23 @@ def _find_anchors(window: int, k: int):
                 # How far the text reaches on either side is part of the surroundings.
                 around = around * SECOND.step + (anchor - low).astype(np.uint64)
                 around = around * SECOND.step + (high - anchor).astype(np.uint64)
-                place = pa.array(row + texts.first_row)
+                place = ((anchor - begin) << 32) | marks[row + texts.first_row].view(np.uint32)
+                reach = ((anchor - first) << 8) | (anchor - last)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.take(place),
-                        marks.take(place),
+                        ids.take(pa.array(row + texts.first_row)),
+                        pa.array(place),
                         pa.array(signed(edges[anchor])),
                         pa.array(signed(around)),
-                        pa.array((anchor - begin).astype(np.int32)),
-                        pa.array((first - begin).astype(np.int32)),
-                        pa.array((last - begin).astype(np.int32)),
+                        pa.array(reach.astype(np.int32)),
                     ],
-                    names=["doc_id", "mark", "h", "around", "pos", "first", "last"],
+                    names=["doc_id", "place", "h", "around", "reach"],
                 )
 
     return find
 
 
-WINDOW = "doc_id long, mark int, h long, g long, pos int"
+WINDOW = "doc_id long, place long, h long, g long"
 
 
 def _hash_windows(window: int):
@@ -106,7 +107,8 @@ def _hash_windows(window: int):
 
     def windows(batches):
         for batch in batches:
-            ids, marks, spans = (batch.column(c) for c in ("doc_id", "mark", "spans"))
+            ids, spans = batch.column("doc_id"), batch.column("spans")
+            marks = batch.column("mark").to_numpy()
             for texts in scan(batch.column("text")):
                 words = FIRST.words(texts.data, texts.starts, texts.ends)
                 second = SECOND.words(texts.data, texts.starts, texts.ends)
@@ -120,10 +122,10 @@ def _hash_windows(window: int):
                     continue
                 row, at = np.concatenate(rows), np.concatenate(at)
                 h, g = FIRST.runs(words, window)[at], SECOND.runs(second, window)[at]
-                pos = at - texts.bounds[row - texts.first_row]
+                place = ((at - texts.bounds[row - texts.first_row]) << 32) | marks[row].view(np.uint32)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(row)), marks.take(pa.array(row)), pa.array(signed(h)), pa.array(signed(g)), pa.array(pos.astype(np.int32))],
-                    names=["doc_id", "mark", "h", "g", "pos"],
+                    [ids.take(pa.array(row)), pa.array(place), pa.array(signed(h)), pa.array(signed(g))],
+                    names=["doc_id", "place", "h", "g"],
                 )
 
     return windows
@@ -180,42 +182,57 @@ def _with_spans(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
     return docs.join(spans, same, how).drop("spans_id", "spans_mark")
 
 
-def repeated_windows(docs: DataFrame, window: int = 20, k: int = 8) -> DataFrame:
+def _first(*also) -> Column:
+    """The earliest occurrence: smallest doc_id (null is smallest), then place."""
+    return F.min(F.struct("doc_id", "place", *also)).alias("earliest")
+
+
+def _is_first() -> Column:
+    same_id = F.col("earliest.doc_id").eqNullSafe(F.col("doc_id"))
+    return same_id & (F.col("earliest.place") == F.col("place"))
+
+
+def _pos() -> Column:
+    return F.shiftright("place", 32).cast("int")
+
+
+def _mark() -> Column:
+    return F.shiftright(F.shiftleft("place", 32), 32).cast("int").alias("mark")
+
+
+def _reached() -> list[Column]:
+    """Columns doc_id, mark, first, last of the windows of an anchor."""
+    first = (_pos() - F.shiftright("reach", 8)).alias("first")
+    last = (_pos() - F.col("reach").bitwiseAND(255)).alias("last")
+    return ["doc_id", _mark(), first, last]
+
+
+def repeated_windows(docs: DataFrame, window: int = 20, k: int = 6) -> DataFrame:
     """(doc_id, mark, first, last): runs of windows that occurred earlier.
 
     ``docs`` has (doc_id, mark, text); see ``dedup_spans`` for ``mark``.
     """
-    found = docs.mapInArrow(_find_anchors(window, k), ANCHOR)
-    anchors = cut_lineage(found)
+    anchors = stored(docs.mapInArrow(_find_anchors(window, k), ANCHOR))
     repeated = anchors.groupBy("h").count().where("count > 1").select("h")
-    seen = cut_lineage(anchors.join(repeated, "h", "left_semi"))
-    # min over (doc_id, place) packed in a struct; place orders by position, then mark.
-    place = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("mark").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-    seen = seen.withColumn("place", place)
-    stats = seen.groupBy("h").agg(
-        F.min(F.struct("doc_id", "place")).alias("earliest"),
-        (F.min("around") == F.max("around")).alias("uniform"),
-    )
-    known = cut_lineage(
-        seen.join(stats, "h").select(
-            "doc_id", "mark", "first", "last", "uniform",
-            (F.col("earliest.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("earliest.place") == F.col("place"))).alias("is_first"),
-        )
-    )
-    later = known.where("uniform and not is_first").select("doc_id", "mark", "first", "last")
-    doubtful = _spans(known.where("not uniform"))
-    windows = cut_lineage(_with_spans(docs, doubtful, "inner").mapInArrow(_hash_windows(window), WINDOW))
-    windows = windows.withColumn("place", place)
-    earliest = windows.groupBy("h", "g").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("earliest")
-    ).where("n > 1").drop("n")
-    again = windows.join(earliest, ["h", "g"]).where(
-        ~(F.col("earliest.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("earliest.place") == F.col("place")))
-    )
-    return later.union(again.select("doc_id", "mark", F.col("pos").alias("first"), F.col("pos").alias("last")))
-
-
-def dedup_spans(docs: DataFrame, window: int = 20, k: int = 8, keep_text: bool = True, keep: tuple = ()) -> DataFrame:
+    seen = stored(anchors.join(repeated, "h", "left_semi"))
+    dropped(anchors)
+    classes = stored(seen.groupBy("h", "around").agg(_first("reach")))
+    # The surroundings decide all windows of an anchor, so only the first occurrence of
+    # each kind of surroundings can hold a window's first occurrence.
+    later = stored(seen.join(classes, ["h", "around"]).where(~_is_first()).select(*_reached()))
+    dropped(seen)
+    branching = classes.groupBy("h").count().where("count > 1").select("h")
+    ends = classes.join(branching, "h", "left_semi").select("earliest.*").select(*_reached())
+    windows = stored(_with_spans(docs, _spans(ends), "inner").mapInArrow(_hash_windows(window), WINDOW))
+    dropped(classes)
+    earliest = windows.groupBy("h", "g").agg(F.count("*").alias("n"), _first()).where("n > 1").drop("n")
+    again = windows.join(earliest, ["h", "g"]).where(~_is_first())
+    again = stored(again.select("doc_id", _mark(), _pos().alias("first"), _pos().alias("last")))
+    dropped(windows)
+    return later.union(again)
+
+
+def dedup_spans(docs: DataFrame, window: int = 20, k: int = 6, keep_text: bool = True, keep: tuple = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text, kept_sha256, and the columns in ``keep``.
 
     Every word covered by a window of ``window`` words is removed if the same words start
@@ -228,8 +245,8 @@ def dedup_spans(docs: DataFrame, window: int = 20, k: int = 8, keep_text: bool =
     earlier than each other; of different texts the one with the smaller text hash is. An
     empty table gives an empty result. ``docs`` may have any other columns.
     """
-    if not 1 <= k <= window:
-        raise ValueError("k must lie between 1 and window")
+    if not 1 <= k <= window <= k + 255:
+        raise ValueError("k must lie between window - 255 and window")
     ship(docs.sparkSession)
     docs = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
