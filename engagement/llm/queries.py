@@ -5,8 +5,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
 from .shingle_join import similar_documents
+from .sentence_pieces import encode_pieces
 from .span_dedup import dedup_spans
 from .token_counts import count_tokens
+from .url_digests import judge_urls
+from .vector_forest import near_vectors
+
+#: Host and path rules that decide before the block list.
+URL_RULES = [
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+]
+#: Blocked hosts with all their subdomains.
+BLOCKED_HOSTS = [
+    f"{name}.example.{top}"
+    for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+    for top in ("com", "net", "org")
+]
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,10 +37,23 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op3_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), sharpness=1.0, seed=0, keep=("doc_id",))
+
+
 def op6_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
     return similar_documents(_table(spark, folder, "documents"), k=3, percent=90)
 
 
+def op7_vector_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(_table(spark, folder, "embeddings"), least=0.95)
+
+
+def op8_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_urls(_table(spark, folder, "pages"), URL_RULES, BLOCKED_HOSTS)
+
+
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     return dedup_spans(docs, window=20, k=6, keep_text=False).drop("kept_text")
@@ -30,7 +61,10 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op3_sentence_pieces": op3_sentence_pieces,
     "op6_shingle_join": op6_shingle_join,
+    "op7_vector_forest": op7_vector_forest,
+    "op8_url_filters": op8_url_filters,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
