@@ -1,7 +1,10 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
 Trees are grown on a bounded sample: each node splits its vectors at the median of a
-random projection, and those within ``spill`` of the median go to both sides. All vectors
+random projection, and those within a margin of the median go to both sides. The margin is
+a share of what two vectors of the least similarity differ by in a random direction, so a
+cluster of similar vectors is not cut up: where most vectors would go both ways, the node
+stays a leaf, however large. All vectors
 are then sent down every tree, vectors of one leaf are compared exactly, and links are
 united. Equal vectors are one vector with a weight throughout, and a pair that meets in
 several leaves counts in the first of them only. Leaves put out one row for each vector
@@ -52,7 +55,7 @@ class Tree:
             todo += [(left, rows[seen < self.high[node]]), (right, rows[seen >= self.low[node]])]
 
 
-def grow(sample: np.ndarray, total: int, leaf_rows: int, spill: float, seed: int) -> Tree:
+def grow(sample: np.ndarray, total: int, leaf_rows: int, margin: float, seed: int) -> Tree:
     """A tree whose leaves should hold about ``leaf_rows`` of ``total`` vectors."""
     random = np.random.default_rng(seed)
     weight = max(1.0, total / max(1, len(sample)))
@@ -69,7 +72,7 @@ def grow(sample: np.ndarray, total: int, leaf_rows: int, spill: float, seed: int
         if len(rows) * weight > leaf_rows and len(rows) >= 16:
             direction = random.standard_normal(sample.shape[1])
             seen = sample[rows] @ (direction / np.linalg.norm(direction)).astype(np.float32)
-            a, b = np.quantile(seen, [0.5 - spill, 0.5 + spill])
+            a, b = np.median(seen) - margin, np.median(seen) + margin
             left, right = rows[seen < b], rows[seen >= a]
             # Vectors that no projection parts stay together in one leaf.
             if max(len(left), len(right)) <= 0.75 * len(rows):
@@ -219,7 +222,7 @@ def _compare(least: float):
 
 
 def near_vectors(
-    vectors: DataFrame, least: float = 0.95, trees: int = 12, leaf_rows: int = 512, spill: float = 0.04, sample: int = SAMPLE
+    vectors: DataFrame, least: float = 0.95, trees: int = 8, leaf_rows: int = 512, spill: float = 0.5, sample: int = SAMPLE
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept of each row of ``vectors`` (vec_id, embedding, ...).
 
@@ -232,7 +235,7 @@ def near_vectors(
 
     Vectors that are null, empty or zero, hold null or non-finite components, or have a
     null vec_id link with nothing and are kept. Repeated rows are one vector; rows that
-    share a vec_id but differ are separate vectors in one component. An empty table gives
+    share a vec_id but differ are in one component and all show the largest n_links. An empty table gives
     an empty result; other columns, labels included, are ignored.
     """
     spark = vectors.sparkSession
@@ -251,7 +254,8 @@ def near_vectors(
         chosen = nodes.where(F.col("dim") == size["dim"]).orderBy(F.xxhash64("fa", "fb"), "fa", "fb").limit(sample)
         taken = [bytes(r["vec"]) for r in chosen.select("vec").collect()]
         unit = _matrix(taken, size["dim"]).astype(np.float32)
-        forest[size["dim"]] = [grow(unit, size["count"], leaf_rows, spill, seed) for seed in range(trees)]
+        margin = spill * (max(0.0, 2 - 2 * least) / size["dim"]) ** 0.5
+        forest[size["dim"]] = [grow(unit, size["count"], leaf_rows, margin, seed) for seed in range(trees)]
     shared = spark.sparkContext.broadcast(forest)
     node_kind = "fa long, fb long, node long, copies long, dim int, vec binary"
     placed = stored(nodes.mapInArrow(_assign(shared), f"{node_kind}, leaf int, leaves array<int>"))
