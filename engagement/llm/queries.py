@@ -4,8 +4,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from .shingle_join import similar_documents
+from .quality_rules import judge_quality
+from .rule_classifier import score_quality
 from .sentence_pieces import encode_pieces
+from .shingle_join import similar_documents
+from .source_mix import mix_sources, mix_sql
 from .span_dedup import dedup_spans
 from .token_counts import count_tokens
 from .url_digests import judge_urls
@@ -37,11 +40,19 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_quality(_table(spark, folder, "documents"))
+
+
 def op3_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), sharpness=1.0, seed=0, keep=("doc_id",))
 
 
+def op4_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_sources(_table(spark, folder, "documents"), exponent=0.7, epochs=1.0, seed=0)
+
+
 def op6_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
     return similar_documents(_table(spark, folder, "documents"), k=3, percent=90)
 
@@ -59,13 +70,126 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return dedup_spans(docs, window=20, k=6, keep_text=False).drop("kept_text")
 
 
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return score_quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"), threshold=0.7)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_quality_rules": op2_quality_rules,
     "op3_sentence_pieces": op3_sentence_pieces,
+    "op4_source_mix": op4_source_mix,
     "op6_shingle_join": op6_shingle_join,
     "op7_vector_forest": op7_vector_forest,
     "op8_url_filters": op8_url_filters,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_source_mix": mix_sql(0.7, 0),
+    "op6_shingle_join": r"""
+        with recursive words as (
+            select doc_id, list_filter(
+                string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[ 	-]+'), lambda w: w <> '') as w
+            from documents
+        ),
+        shingles as (
+            select distinct doc_id, unnest(case when len(w) >= 3
+                then list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])
+                when len(w) > 0 then [w] else [] end) as s
+            from words
+        ),
+        sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+        common as (
+            select a.doc_id as a, b.doc_id as b, count(*) as n
+            from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id
+            group by all
+        ),
+        links as (
+            select a, b from common c join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+            where 100 * c.n >= 90 * (x.n + y.n - c.n)
+        ),
+        reach(doc_id, other) as (
+            select doc_id, doc_id from documents
+            union
+            select r.doc_id, l.b from reach r join links l on l.a = r.other
+        ),
+        component as (select doc_id, min(other) as component_id from reach group by doc_id)
+        select d.doc_id, coalesce(s.n, 0) as n_shingles, c.component_id
+        from documents d left join sizes s using (doc_id) join component c using (doc_id)
+    """,
+    "op7_vector_forest": """
+        with recursive vectors as (
+            select vec_id, embedding::double[] as v, coalesce(len(embedding) > 0 and len(list_filter(embedding,
+                lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0, false) as ok
+            from embeddings
+        ),
+        links as (
+            select a.vec_id as a, b.vec_id as b from vectors a join vectors b
+            on a.ok and b.ok and a.vec_id <> b.vec_id and list_cosine_similarity(a.v, b.v) >= 0.95
+        ),
+        reach(vec_id, other) as (
+            select vec_id, vec_id from vectors
+            union
+            select r.vec_id, l.b from reach r join links l on l.a = r.other
+        ),
+        component as (select vec_id, min(other) as component_id from reach group by vec_id)
+        select vec_id, (select count(*) from links where a = c.vec_id) as n_links, component_id, vec_id = component_id as kept
+        from component c
+    """,
+    "op8_url_filters": f"""
+        with parts as (
+            select page_id,
+                translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''),
+                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path
+            from pages
+        ),
+        ruled as (
+            select *, case
+                when (host = 'example.org' or host like '%.example.org') and path like '/en/1%' then 'example.org/en/1'
+                when (host = 'example.org' or host like '%.example.org') and path like '/es/%' then 'example.org/es/'
+                when (host = 'com' or host like '%.com') and path like '/fr/%' then 'com/fr/'
+                when (host = 'com' or host like '%.com') and path like '/de/%' then 'com/de/'
+                when (host = 'org' or host like '%.org') and path like '/%' then 'org/'
+            end as rule
+            from parts
+        ),
+        listed as (
+            select *, (select min(h) from (values {", ".join(f"('{h}')" for h in BLOCKED_HOSTS)}) as t(h)
+                where host = h or host like '%.' || h) as entry
+            from ruled
+        )
+        select page_id, host, path, rule, case
+            when rule in ('example.org/en/1', 'example.org/es/', 'com/de/') then 'block'
+            when rule in ('com/fr/', 'org/') then 'allow'
+            when entry is not null then 'block' else 'allow' end as verdict, entry
+        from listed
+    """,
+    "op9_substring_dedup": r"""
+        with words as (
+            select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ 	-]+'), lambda w: w <> '') as w
+            from documents
+        ),
+        windows as (
+            select doc_id, i, w[i:i + 19] as x
+            from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from words)
+        ),
+        later as (
+            select doc_id, i from (select doc_id, i, row_number() over (partition by x order by doc_id, i) as r from windows)
+            where r > 1
+        ),
+        removed as (
+            select doc_id, list(distinct j) as gone from (select doc_id, unnest(range(i, i + 20)) as j from later) group by doc_id
+        ),
+        kept as (
+            select doc_id, len(w) as n_words, coalesce(len(gone), 0) as n_removed, w, coalesce(gone, []) as gone
+            from words left join removed using (doc_id)
+        )
+        select doc_id, n_words, n_removed, sha256(array_to_string(list_transform(list_filter(
+            list_zip(w, range(1, len(w) + 1)), lambda p: not list_contains(gone, p[2])), lambda p: p[1]), ' ')) as kept_sha256
+        from kept
+    """,
+}
