@@ -10,10 +10,13 @@ from .sentence_pieces import encode_pieces
 from .shingle_join import similar_documents
 from .source_mix import mix_sources, mix_sql
 from .span_dedup import dedup_spans
+from .surrogates import replace_personal_data
 from .token_counts import count_tokens
 from .url_digests import judge_urls
 from .vector_forest import near_vectors
 
+#: Whoever runs this on real data keeps a key of their own, in a secret place.
+SURROGATE_KEY = "example-key"
 #: Host and path rules that decide before the block list.
 URL_RULES = [
     ("allow", "org/"),
@@ -53,6 +56,10 @@ def op4_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(_table(spark, folder, "documents"), exponent=0.7, epochs=1.0, seed=0)
 
 
+def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return replace_personal_data(_table(spark, folder, "documents"), key=SURROGATE_KEY)
+
+
 def op6_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
     return similar_documents(_table(spark, folder, "documents"), k=3, percent=90)
 
@@ -79,6 +86,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_sentence_pieces": op3_sentence_pieces,
     "op4_source_mix": op4_source_mix,
+    "op5_personal_data": op5_personal_data,
     "op6_shingle_join": op6_shingle_join,
     "op7_vector_forest": op7_vector_forest,
     "op8_url_filters": op8_url_filters,
@@ -92,7 +100,8 @@ ORACLE: dict[str, str] = {
         with recursive words as (
             select doc_id, list_filter(
                 string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                    '[ 	-]+'), lambda w: w <> '') as w
+                    '[ 	-
+]+'), lambda w: w <> '') as w
             from documents
         ),
         shingles as (
@@ -170,7 +179,8 @@ ORACLE: dict[str, str] = {
     """,
     "op9_substring_dedup": r"""
         with words as (
-            select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ 	-]+'), lambda w: w <> '') as w
+            select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ 	-
+]+'), lambda w: w <> '') as w
             from documents
         ),
         windows as (
