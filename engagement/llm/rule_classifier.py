@@ -126,29 +126,53 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def score_quality(
-    docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_rows: int = FIT_ROWS,
-    trees: int = 20, depth: int = 3, penalty: float = 0.0005, seed: int = 7,
-) -> DataFrame:
-    """doc_id, held_out, score, predicted and the statistics of each row of ``docs``.
-
-    The model learns from at most ``fit_rows`` rows of ``labels`` (doc_id, quality) that
-    are not held out: those with crc32(doc_id as text) mod 4 = 2. ``score`` is the
-    probability of label 1, ``predicted`` 1 where it reaches ``threshold``.
-
-    Null and empty texts have all statistics 0 and are scored as such. Every row gives one
-    row, repeated ones and null doc_ids too (a null is not held out and has no label).
-    Labels that are null, or belong to no document, are not used. Without usable labels
-    every score is the same. Other columns are ignored.
+def fit_quality(
+    found: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, trees: int = 20, depth: int = 3,
+    penalty: float = 0.0005, seed: int = 7,
+) -> RuleModel:
+    """Learn from ``found`` (doc_id and ``STATISTICS``) and ``labels`` (doc_id, quality).
+
+    At most ``fit_rows`` labelled rows take part, none of them held out: those have
+    crc32(doc_id as text) mod 4 = 2. Labels that are null or neither 0 nor 1, or belong to
+    no document, are not used. Without usable labels every score is the same.
     """
-    found = stored(text_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("fit__y"))
     usable = usable.where(F.col("fit__y").isin(0.0, 1.0) & F.col("doc_id").isNotNull() & ~held_out())
     chosen = usable.join(found, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "fit__y", *STATISTICS).limit(fit_rows)
     # One ordered partition, so that the forest's samples do not depend on the cluster.
     labelled = stored(chosen.coalesce(1).sortWithinPartitions("doc_id"))
-    model = fit_rules(labelled, "fit__y", trees, depth, penalty, seed)
-    scored = found.withColumn("score", model.score())
+    return fit_rules(labelled, "fit__y", trees, depth, penalty, seed)
+
+
+def _statistics(docs: DataFrame) -> DataFrame:
+    return stored(text_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **fit) -> DataFrame:
+    """doc_id, held_out, score, predicted and the statistics of each row of ``docs``.
+
+    ``score`` is the probability of label 1 by the model of ``fit_quality``, ``predicted``
+    1 where it reaches ``threshold``; ``fit`` are that function's parameters.
+
+    Null and empty texts have all statistics 0 and are scored as such. Every row gives one
+    row, repeated ones and null doc_ids too (a null is not held out and has no label); an
+    empty table gives an empty result. Other columns are ignored.
+    """
+    found = _statistics(docs)
+    scored = found.withColumn("score", fit_quality(found, labels, **fit).score())
     return scored.select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *STATISTICS
     )
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **fit) -> DataFrame:
+    """The rows of ``docs`` whose score, as in ``score_quality``, reaches ``threshold``.
+
+    The statistics are computed once to learn and once to judge, so that no text is
+    shuffled or written.
+    """
+    model = fit_quality(_statistics(docs), labels, **fit)
+    given = [f"given__{i}" for i in range(len(docs.columns))]
+    named = docs.select(*[F.col(f"`{c}`").alias(g) for c, g in zip(docs.columns, given)], F.col("text"))
+    kept = text_statistics(named, given).where(model.score() >= threshold)
+    return kept.select(*[F.col(g).alias(c) for c, g in zip(docs.columns, given)])
