@@ -117,7 +117,11 @@ def add_events(state: DataFrame, events: DataFrame) -> DataFrame:
     The events are folded and written out first, so Spark knows their size: it broadcasts
     a small batch and passes over the state without a shuffle.
     """
-    batch = cut_lineage(fold_events(events))
+    return add_folded(state, cut_lineage(fold_events(events)))
+
+
+def add_folded(state: DataFrame, batch: DataFrame) -> DataFrame:
+    """Upsert of events folded already; ``batch`` is read three times."""
     newer = batch.withColumnsRenamed({name: f"new_{name}" for name in CELLS})
     merged = state.join(newer, "content_id", "left").select(
         "content_id", *[F.greatest(name, f"new_{name}").alias(name) for name in CELLS]

@@ -5,11 +5,12 @@ Voided contents are counted everywhere: the rollups do not look at content statu
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lifecycle import with_project_status
 from ..schemas import CREATOR_ACTIVE, INTERACTIONS, PROJECT_RUNNING
+from ..session import cut_lineage
 from .joins import with_metrics
 
 
@@ -30,6 +31,7 @@ def platform_totals(creators, projects, contents, metrics, as_of) -> DataFrame:
         with_project_status(projects, as_of).agg(
             F.count("*").alias("project_count"),
             F.count_if(F.col("status") == PROJECT_RUNNING).alias("active_project_count"),
+            F.count("status_error").alias("status_error_count"),
         ),
         contents.agg(F.count("*").alias("content_count")),
         metrics.agg(
@@ -73,5 +75,21 @@ def ranked(rollup: DataFrame, *measures) -> DataFrame:
     return rollup.orderBy(*[F.col(m).desc() for m in measures], *key)
 
 
+def with_position(ordered: DataFrame) -> DataFrame:
+    """``ordered`` (the result of an orderBy) with each row's place, from 1, as ``position``.
+
+    Sorted rows lie in range partitions, one after the other. They are written out with
+    partition and running number, and the rows of the partitions before are added: one
+    row per partition is summed up, never all rows in one task.
+    """
+    number = F.monotonically_increasing_id()
+    rows = cut_lineage(ordered.withColumn("part", F.spark_partition_id()).withColumn("number", number))
+    parts = rows.groupBy("part").agg(F.count("*").alias("n"), F.min("number").alias("first"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    position = F.col("before") + F.col("number") - F.col("first") + 1
+    return rows.join(parts, "part").withColumn("position", position).drop("part", "number", "first", "before")
+
+
 def row_count(df: DataFrame, name="row_count") -> DataFrame:
     return df.agg(F.count("*").alias(name))

@@ -1,5 +1,6 @@
 """One runnable query per operator, over the views of a test table folder."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.lifecycle import with_project_status
@@ -29,14 +30,31 @@ def registered(query):
     return query
 
 
+def _as_texts(parts, keys):
+    """Rows of several layouts as (part, key, values): the values as text, null as \\N."""
+    rows = []
+    for name, df in parts.items():
+        values = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in df.columns if c != "key"])
+        rows.append(df.select(F.lit(name).alias("part"), F.col(keys.get(name, "content_id")).alias("key"), values.alias("values")))
+    first, *rest = rows
+    for df in rest:
+        first = first.unionByName(df)
+    return first
+
+
 # Sources and sinks
 
 
 @registered
 def src_1_table_scan(t):
     path = scratch_path(t.spark, "tables")
-    write_parts({"creators": t.creators()}, path)
-    return tables.read_table(t.spark, f"{path}/creators", "creators")
+    parts = {
+        "creators": t.creators(), "projects": t.projects(), "contents": t.contents(), "content_metrics": t.metrics(),
+        "sync_logs": metrics.sync_log(t.metric_events()),
+    }
+    write_parts(parts, path)
+    keys = {name: "id" for name in ("creators", "projects", "contents")}
+    return _as_texts({name: tables.read_table(t.spark, f"{path}/{name}", name) for name in parts}, keys)
 
 
 @registered
@@ -53,7 +71,7 @@ def src_2_json_ingest(t):
 @registered
 def src_3_page_scan(t):
     found = tables.read_pages(t.spark, f"{t.folder}/pages.parquet")
-    return found.select("page_id", "url", F.length("html").cast("bigint").alias("html_length"))
+    return found.select("page_id", "url", F.sha2("html", 256).alias("html_sha256"))
 
 
 @registered
@@ -62,8 +80,19 @@ def snk_1_result_write(t):
     parts = dashboard(creators, projects, contents, content_metrics, AS_OF).parts()
     path = scratch_path(t.spark, "dashboard")
     write_parts(parts, path, "json")
-    layout = "platform string, content_count bigint, view_count bigint"
-    return t.spark.read.schema(layout).json(f"{path}/platform_distribution")
+    read = {name: t.spark.read.schema(df.schema).json(f"{path}/{name}") for name, df in parts.items()}
+    order = {
+        "totals": ["influencer_count"],
+        "recent_contents": [F.desc("published_at"), F.desc("id")],
+        "platform_distribution": [F.desc("content_count"), F.desc("view_count"), "platform"],
+        "sync_distribution": [F.desc("content_count"), "sync_status"],
+    }
+    # A few rows each; the order is checked as part of the key.
+    read = {
+        name: df.withColumn("key", F.row_number().over(Window.orderBy(*order[name])).cast("bigint"))
+        for name, df in read.items()
+    }
+    return _as_texts(read, dict.fromkeys(read, "key"))
 
 
 @registered
@@ -309,12 +338,13 @@ def agg_5_result_count(t):
 
 @registered
 def srt_1_recent_contents(t):
-    return recent_contents(*t.star())
+    return rollups.with_position(recent_contents(*t.star()))
 
 
 @registered
 def srt_2_newest_first(t):
-    return search.search_contents(*t.star(), search.ContentSearch()).select("id", "created_at", "title")
+    rows = search.search_contents(*t.star(), search.ContentSearch()).select("id", "created_at", "title")
+    return rollups.with_position(rows)
 
 
 @registered
@@ -324,9 +354,13 @@ def srt_3_ranked_rollups(t):
         rollups.platform_rollup(contents, content_metrics), "content_count", "view_count"
     )
     by_status = rollups.ranked(rollups.sync_rollup(content_metrics), "content_count")
-    return by_platform.select(F.col("platform").alias("group_key"), "content_count").union(
-        by_status.select("sync_status", "content_count")
+    by_platform = rollups.with_position(by_platform).select(
+        F.lit("platform").alias("rollup"), F.col("platform").alias("group_key"), "content_count", "view_count", "position"
+    )
+    by_status = rollups.with_position(by_status).select(
+        F.lit("sync_status"), "sync_status", "content_count", F.lit(None).cast("bigint"), "position"
     )
+    return by_platform.union(by_status)
 
 
 # Jobs
@@ -374,7 +408,8 @@ def job_4_uniqueness_audit(t):
 
 @registered
 def job_5_validate_creators(t):
-    stored = t.creators().filter("id % 10 = 0").withColumn("platform", F.lit("抖音"))
+    renamed = F.when(F.col("id") % 10 == 0, F.col("name")).otherwise(F.concat(F.lit("stored "), F.col("name")))
+    stored = t.creators().withColumns({"platform": F.lit("抖音"), "name": renamed})
     checked = quality.validate_creators(records.parse_records(t.creator_lines()), stored)
     return checked.select("seq", "name", "category", "followers_count", "phone", "email", "reason")
 
@@ -456,10 +491,10 @@ def job_9_page_metrics(t):
 def job_9_page_labels(t):
     # The test pages carry "ad N" comments, the events a quoted field "k".
     ads = pages.page_metrics(
-        t.spread("pages"), fields={"like_count": ("adCount",)}, labels={"like_count": ("ad",)}, supported=F.lit(True)
+        t.raw("pages"), fields={"like_count": ("adCount",)}, labels={"like_count": ("ad",)}, supported=F.lit(True)
     )
     fields = pages.page_metrics(
-        t.spread("events").withColumnRenamed("props", "html"),
+        t.raw("events").withColumnRenamed("props", "html"),
         fields={"like_count": ("k",)}, labels={}, supported=F.lit(True),
     )
     return ads.select(F.lit("pages").alias("source"), F.col("page_id").alias("id"), "like_count", "outcome").union(
@@ -473,15 +508,25 @@ def job_9_page_sync(t):
     key = F.col("page_id")
     contents = t.raw("pages").select(
         key.alias("id"),
+        (key % 10).alias("influencer_id"),
         F.when(key % 9 == 8, "抖音").otherwise("小红书").alias("platform"),
         F.concat(F.lit("p"), F.when(key % 2 == 0, key).otherwise(-key).cast("string")).alias("content_url"),
     )
-    pages_by_id = t.metric_pages().withColumn("url", F.concat(F.lit("p"), F.col("page_id").cast("string")))
+    # Every fifth link was saved once more, by a later page; contents of creator 7 have none.
+    again = (key % 5 == 3) & (key % 9 != 8)
+    link = F.concat(F.lit("p"), F.when(again, key - 1).otherwise(key).cast("string"))
+    creators = t.spark.range(7).union(t.spark.range(8, 10))
+    pages_by_id = t.metric_pages().withColumn("url", link)
     store = MetricStore(t.spark, scratch_path(t.spark, "store"))
     store.upsert(t.metric_events())
-    run_sync(contents, pages_by_id, store, scratch_path(t.spark, "log"), 10**15, NOW)
-    return store.metrics().select(
-        "content_id", "view_count", "like_count", "data_source", "sync_status", "last_sync_at", "failed_reason"
+    log_path = scratch_path(t.spark, "log")
+    run_sync(contents, creators, pages_by_id, store, log_path, 10**15, NOW)
+    log = tables.read_table(t.spark, log_path, "sync_logs").select(
+        F.col("content_id").alias("logged_id"), F.col("status").alias("log_status"), "raw_summary"
+    )
+    return store.metrics().join(log, F.col("content_id") == F.col("logged_id"), "left").select(
+        "content_id", "view_count", "like_count", "data_source", "sync_status", "last_sync_at", "failed_reason",
+        "log_status", "raw_summary",
     )
 
 
@@ -540,8 +585,11 @@ def str_1_metric_stream(t):
             "event_type": "string", "value": "double", "props": "string",
         }
     )
+    # The store holds half of the events already, from a batch.
     arriving = as_metric_events(tables.stream_table(t.spark, t.folder, layout, "events*.parquet"))
+    arriving = arriving.filter(F.col("seq") % 2 == 1)
     store = MetricStore(t.spark, scratch_path(t.spark, "store"))
+    store.upsert(t.metric_events().filter(F.col("seq") % 2 == 0))
     start_metric_store(
         arriving, store, scratch_path(t.spark, "log"), scratch_path(t.spark, "checkpoint")
     ).awaitTermination()

@@ -10,15 +10,23 @@ from ..session import cut_lineage
 from ..sources.sinks import MetricStore, append_log
 
 
-def synced_contents(contents: DataFrame, pages: DataFrame, seq: int, event_time: str) -> DataFrame:
-    """One sync event per content, numbered ``seq``, from the page saved for its link.
+def synced_contents(
+    contents: DataFrame, creators: DataFrame, pages: DataFrame, seq: int, event_time: str
+) -> DataFrame:
+    """One sync event per content, numbered ``seq``, from the latest page saved for its link.
 
-    Pages are reduced to their counters where they are read; only those are shuffled to
-    the contents, never the page texts. A content without a page fails without a reason.
+    Pages are reduced to their counters where they are read, and these to the page with
+    the largest ``page_id`` of each link before they are joined; page texts are never
+    shuffled. A content without a page fails without a reason; one without a creator is
+    not found, so it has no event.
     """
     read = page_metrics(pages, supported=F.lit(True)).select(
-        "url", *PAGE_FIELDS, F.col("outcome").alias("page_outcome")
+        "page_id", "url", *PAGE_FIELDS, F.col("outcome").alias("page_outcome")
     )
+    latest = F.max(F.struct("page_id", *PAGE_FIELDS, "page_outcome")).alias("page")
+    read = read.groupBy("url").agg(latest).select("url", "page.*").drop("page_id")
+    known = creators.select(F.col("id").alias("influencer_id"))
+    contents = contents.join(known, "influencer_id", "left_semi")
     linked = contents.select(F.col("id").alias("content_id"), "platform", F.col("content_url").alias("url"))
     outcome = (
         F.when(~supported_page(), "unsupported")
@@ -32,9 +40,9 @@ def synced_contents(contents: DataFrame, pages: DataFrame, seq: int, event_time:
     )
 
 
-def run_sync(contents, pages, store: MetricStore, log_path: str, seq: int, event_time: str) -> int:
+def run_sync(contents, creators, pages, store: MetricStore, log_path: str, seq: int, event_time: str) -> int:
     """Read the pages of ``contents``, write the new metric state and append the log."""
-    events = cut_lineage(synced_contents(contents, pages, seq, event_time))
+    events = cut_lineage(synced_contents(contents, creators, pages, seq, event_time))
     version = store.upsert(events)
     append_log(sync_log(events), log_path)
     return version

@@ -64,14 +64,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/engagement/{uuid.uuid4().hex}/{name}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows out to all cores where the scan has fewer splits than there are cores.
-
-    For jobs that spend their time on each row. A large table has more splits than cores
-    and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder this package wrote, in whatever store it lies."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def cut_lineage(df: DataFrame, path: str | None = None) -> DataFrame:

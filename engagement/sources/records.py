@@ -4,17 +4,34 @@ A record stays one VARIANT column, because the rules depend on how a field was w
 ``3.7`` is cut to 3 and ``"3.7"`` is refused, a missing field is not a ``null`` field.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, whole_number
 from ..schemas import MAX_RECORD_BYTES
+from ..session import cut_lineage
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON text per line; ``seq`` orders them by file and position."""
-    return spark.read.text(path).select(
-        F.monotonically_increasing_id().alias("seq"), F.col("value").alias("body")
+    """One JSON text per line; ``seq`` counts them from 0 by file path and position.
+
+    The order does not depend on the sizes of files and splits. The lines are written out
+    once, so that they can be counted and numbered from the same reading: a line's number
+    is how many lines the splits before its own have, plus its place in its split.
+    """
+    read = spark.read.text(path).select(
+        F.col("value").alias("body"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("place"),
+    )
+    lines = cut_lineage(read)
+    splits = lines.groupBy("file", "start").agg(F.count("*").alias("lines"), F.min("place").alias("first"))
+    # One row per split of the input, however many lines there are.
+    before = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("before", F.coalesce(F.sum("lines").over(before), F.lit(0))).drop("lines")
+    return lines.join(splits, ["file", "start"]).select(
+        (F.col("before") + F.col("place") - F.col("first")).alias("seq"), "body"
     )
 
 
@@ -22,13 +39,19 @@ def parse_records(lines: DataFrame) -> DataFrame:
     """Add ``record`` (VARIANT) and ``reason`` (NULL when the text is a JSON object).
 
     The text is parsed as the only element of an array, so that anything after the first
-    value is an error too.
+    value is an error too. What follows a closing bracket is not seen that way; a text
+    with such a bracket must also parse as a field of an object. ``NaN`` and ``Infinity``
+    are not JSON here.
     """
     size = F.octet_length("body")
     wrapped = F.try_parse_json(F.concat(F.lit("["), F.col("body"), F.lit("]")))
     parsed = F.when(size.between(1, MAX_RECORD_BYTES), wrapped)
+    field = F.try_parse_json(F.concat(F.lit('{"v":'), F.col("body"), F.lit("}")))
+    closed = F.when(F.col("body").contains("]"), field.isNotNull()).otherwise(True)
+    # The text of a valid value begins with its kind.
+    first = F.substring(F.regexp_extract("body", r"^[ \t\r\n]*(.)", 1), 1, 1)
     return (
-        lines.withColumn("parsed", parsed)
+        lines.withColumn("parsed", F.when(closed, parsed))
         .withColumn("record", F.try_variant_get("parsed", "$[0]", "variant"))
         .withColumn(
             "reason",
@@ -39,7 +62,7 @@ def parse_records(lines: DataFrame) -> DataFrame:
                 | F.try_variant_get("parsed", "$[1]", "variant").isNotNull(),
                 "bad_json",
             )
-            .when(~F.schema_of_variant("record").startswith("OBJECT"), "not_an_object"),
+            .when(first != "{", "not_an_object"),
         )
         .drop("parsed")
     )

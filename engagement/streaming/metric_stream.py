@@ -1,5 +1,7 @@
 """Metric state from a stream of create, edit and sync events."""
 
+import hashlib
+
 from pyspark.sql import DataFrame
 
 from ..operators.metrics import fold_events, metric_rows, sync_log
@@ -18,13 +20,17 @@ def metric_stream(events: DataFrame) -> DataFrame:
 def start_metric_store(events: DataFrame, store: MetricStore, log_path: str, checkpoint: str):
     """Stream ``events`` into ``store`` and the sync log; returns the running query.
 
-    Each micro-batch becomes one version. A batch that is run again after a failure finds
-    its version finished and its folder of log rows replaced, so nothing counts twice.
+    Each micro-batch becomes the next version, whatever else writes to the store between
+    two of them. The stream is known by its ``checkpoint``: a batch run again after a
+    failure finds itself finished and its folder of log rows replaced, so nothing counts
+    twice, and a new checkpoint starts a new stream, whose batches all count.
     """
+    writer = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        sync_log(batch).write.mode("overwrite").parquet(f"{log_path}/batch={batch_id:06d}")
-        store.upsert(batch, version=batch_id + 1)
+        folder = f"{log_path}/writer={writer}/batch={batch_id:06d}"
+        sync_log(batch).write.mode("overwrite").parquet(folder)
+        store.upsert(batch, writer=writer, batch=batch_id)
 
     return (
         events.writeStream.foreachBatch(keep)

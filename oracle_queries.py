@@ -162,15 +162,13 @@ PROJECT_COLUMNS = (
     "id, name, project_code, status, owner, start_date, end_date, description, created_at, updated_at"
 )
 
-ORACLE["src_1_table_scan"] = with_views("creators", f"SELECT {CREATOR_COLUMNS} FROM creators")
-ORACLE["src_3_page_scan"] = "SELECT page_id, url, length(html) AS html_length FROM pages"
+ORACLE["src_3_page_scan"] = "SELECT page_id, url, sha256(html) AS html_sha256 FROM pages"
 
 ROLLUP = """
     SELECT c.platform, count(*) AS content_count,
         CAST(coalesce(sum(m.view_count), 0) AS BIGINT) AS view_count
     FROM contents c LEFT JOIN metrics m ON m.content_id = c.id GROUP BY c.platform"""
-ORACLE["snk_1_result_write"] = with_views("contents metrics", ROLLUP)
-ORACLE["agg_2_platform_rollup"] = ORACLE["snk_1_result_write"]
+ORACLE["agg_2_platform_rollup"] = with_views("contents metrics", ROLLUP)
 
 ORACLE["flt_1_keyword"] = with_views("creators", f"""
     SELECT id, name, owner FROM creators
@@ -288,6 +286,7 @@ ORACLE["agg_1_totals"] = with_views("contents creators metrics lived", """
         (SELECT count(*) FROM creators WHERE status = '正常') AS active_influencer_count,
         (SELECT count(*) FROM lived) AS project_count,
         (SELECT count(*) FROM lived WHERE status = '进行中') AS active_project_count,
+        (SELECT count(status_error) FROM lived) AS status_error_count,
         (SELECT count(*) FROM contents) AS content_count,
         CAST(coalesce((SELECT sum(view_count) FROM metrics), 0) AS BIGINT) AS total_views,
         CAST(coalesce((SELECT sum(like_count + comment_count + collect_count + share_count) FROM metrics), 0)
@@ -307,13 +306,66 @@ ORACLE["agg_5_result_count"] = with_views("details lived", f"""
         AND view_count >= 100 AND interaction_count <= 70""")
 ORACLE["srt_1_recent_contents"] = with_views("details", """
     SELECT id, title, platform, published_at, influencer_name, project_name, view_count,
-        interaction_count, coalesce(sync_status, '待同步') AS sync_status
+        interaction_count, coalesce(sync_status, '待同步') AS sync_status,
+        row_number() OVER (ORDER BY published_at DESC, id DESC) AS position
     FROM details ORDER BY published_at DESC, id DESC LIMIT 5""")
 ORACLE["srt_2_newest_first"] = with_views(
-    "details", "SELECT id, created_at, title FROM details ORDER BY created_at DESC, id DESC")
+    "details", """SELECT id, created_at, title, row_number() OVER (ORDER BY created_at DESC, id DESC) AS position
+    FROM details""")
 ORACLE["srt_3_ranked_rollups"] = with_views("contents metrics", """
-    SELECT platform AS group_key, count(*) AS content_count FROM contents GROUP BY 1
-    UNION ALL SELECT sync_status, count(*) FROM metrics GROUP BY 1""")
+    SELECT 'platform' AS rollup, platform AS group_key, content_count, view_count,
+        row_number() OVER (ORDER BY content_count DESC, view_count DESC, platform) AS position
+    FROM (""" + ROLLUP + """)
+    UNION ALL
+    SELECT 'sync_status', sync_status, n, NULL, row_number() OVER (ORDER BY n DESC, sync_status)
+    FROM (SELECT sync_status, count(*) AS n FROM metrics GROUP BY 1)""")
+
+
+def as_texts(part, key, columns, rows):
+    """Rows as (part, key, values), as the queries over several layouts give them."""
+    values = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '\\N')" for c in columns)
+    return f"SELECT '{part}' AS part, CAST({key} AS BIGINT) AS key, concat_ws('|', {values}) AS values FROM ({rows})"
+
+
+def columns_of(text):
+    return [name.strip() for name in text.split(",")]
+
+
+METRIC_COLUMNS = (
+    "content_id, view_count, like_count, comment_count, collect_count, share_count, "
+    "data_source, sync_status, last_sync_at, next_sync_at, failed_reason, updated_at"
+)
+LOG_COLUMNS = "content_id, source, status, started_at, finished_at, raw_summary, error_message"
+CONTENT_COLUMNS = (
+    "id, title, influencer_id, project_id, platform, content_url, canonical_url, platform_content_id, "
+    "published_at, content_type, owner, status, remark, created_at, updated_at"
+)
+TOTAL_COLUMNS = (
+    "influencer_count, active_influencer_count, project_count, active_project_count, status_error_count, "
+    "content_count, total_views, total_interactions"
+)
+RECENT_COLUMNS = (
+    "id, title, platform, published_at, influencer_name, project_name, view_count, interaction_count, sync_status"
+)
+
+
+def body_of(key, views):
+    """What follows the views in an expected query."""
+    return ORACLE[key].removeprefix(with_views(views, ""))
+
+
+ORACLE["snk_1_result_write"] = with_views("contents creators projects metrics lived details", " UNION ALL ".join([
+    as_texts("totals", 1, columns_of(TOTAL_COLUMNS), f"""
+        SELECT * REPLACE ((SELECT count(*) FROM projects) AS project_count,
+            (SELECT count(*) FROM projects) AS active_project_count, 0 AS status_error_count)
+        FROM ({body_of("agg_1_totals", "contents creators metrics lived")})"""),
+    as_texts("recent_contents", "position", columns_of(RECENT_COLUMNS), body_of("srt_1_recent_contents", "details")),
+    as_texts("platform_distribution", "position", columns_of("platform, content_count, view_count"),
+        f"SELECT *, row_number() OVER (ORDER BY content_count DESC, view_count DESC, platform) AS position FROM ({ROLLUP})"),
+    as_texts("sync_distribution", "position", columns_of("sync_status, content_count"),
+        "SELECT sync_status, count(*) AS content_count, row_number() OVER (ORDER BY count(*) DESC, sync_status) AS position "
+        "FROM metrics GROUP BY 1"),
+]))
 
 ORACLE["job_1_canonical_url"] = f"""
     WITH texts AS (
@@ -423,7 +475,7 @@ ORACLE["job_5_validate_creators"] = f"""
         CASE WHEN refused IS NOT NULL THEN '' WHEN k <> 9 THEN '13800138000' END AS phone,
         CASE WHEN refused IS NOT NULL THEN '' WHEN k <> 10 THEN 'a@b.co' END AS email,
         CASE WHEN reason IS NOT NULL THEN reason
-            WHEN name IN (SELECT c_name FROM customer WHERE c_custkey % 10 = 0)
+            WHEN name IN (SELECT CASE WHEN c_custkey % 10 = 0 THEN c_name ELSE concat('stored ', c_name) END FROM customer)
                 OR seq > min(seq) FILTER (reason IS NULL) OVER (PARTITION BY name)
             THEN 'duplicate_creator' END AS reason
     FROM named"""
@@ -590,13 +642,29 @@ ORACLE["snk_3_sync_log_append"] = with_views("metric_events", """
         CASE WHEN kind = 'ok' THEN '' WHEN seq % 2 = 0 THEN 'timeout' ELSE '同步失败' END AS error_message
     FROM metric_events WHERE kind IN ('ok', 'fail')""")
 
+ORACLE["src_1_table_scan"] = with_views("creators projects contents metrics metric_events", " UNION ALL ".join([
+    as_texts("creators", "id", columns_of(CREATOR_COLUMNS), "SELECT * FROM creators"),
+    as_texts("projects", "id", columns_of(PROJECT_COLUMNS), """
+        SELECT *, '进行中' AS status, '' AS owner, '' AS start_date, '' AS end_date, '' AS description,
+            '2024-01-01 00:00:00' AS created_at, '2024-01-01 00:00:00' AS updated_at FROM projects"""),
+    as_texts("contents", "id", columns_of(CONTENT_COLUMNS), "SELECT * FROM contents"),
+    as_texts("content_metrics", "content_id", columns_of(METRIC_COLUMNS), """
+        SELECT *, '手动' AS data_source, '' AS last_sync_at, '' AS next_sync_at, '' AS failed_reason, '' AS updated_at
+        FROM metrics"""),
+    as_texts("sync_logs", "content_id", columns_of(LOG_COLUMNS), body_of("snk_3_sync_log_append", "metric_events")),
+]))
+
 ORACLE["job_9_page_sync"] = with_views("metric_events", f"""
     , state AS ({STATE}),
     read AS ({ORACLE['job_9_page_metrics']}),
+    linked AS (
+        SELECT *, CASE WHEN page_id % 5 = 3 AND page_id % 9 <> 8 THEN page_id - 1 ELSE page_id END AS link FROM read),
+    latest AS (SELECT * FROM linked QUALIFY row_number() OVER (PARTITION BY link ORDER BY page_id DESC) = 1),
     synced AS (
-        SELECT page_id AS content_id, like_count,
-            CASE WHEN page_id % 9 = 8 THEN 'unsupported' WHEN page_id % 2 = 1 THEN 'no_page' ELSE outcome END AS outcome
-        FROM read)
+        SELECT c.page_id AS content_id, l.like_count, l.comment_count, l.collect_count,
+            CASE WHEN c.page_id % 9 = 8 THEN 'unsupported' WHEN l.link IS NULL THEN 'no_page' ELSE l.outcome END AS outcome
+        FROM pages c LEFT JOIN latest l ON l.link = c.page_id AND c.page_id % 2 = 0
+        WHERE c.page_id % 10 <> 7)
     SELECT content_id, coalesce(s.view_count, 0) AS view_count,
         coalesce(CASE WHEN outcome = 'ok' THEN y.like_count END, s.like_count, 0) AS like_count,
         CASE WHEN outcome IS NULL THEN s.data_source ELSE '网页解析' END AS data_source,
@@ -606,7 +674,11 @@ ORACLE["job_9_page_sync"] = with_views("metric_events", f"""
             WHEN outcome = 'ok' THEN '' WHEN outcome = 'no_page' THEN '同步失败'
             WHEN outcome = 'challenge' THEN '页面可能触发验证或风控，暂时无法自动抓取'
             WHEN outcome = 'no_metrics' THEN '没有从页面中识别到点赞、评论或收藏数据'
-            ELSE '当前第一版只支持小红书链接自动同步' END AS failed_reason
+            ELSE '当前第一版只支持小红书链接自动同步' END AS failed_reason,
+        CASE WHEN outcome = 'ok' THEN '成功' WHEN outcome IS NOT NULL THEN '失败' END AS log_status,
+        CASE WHEN outcome = 'ok' THEN concat('{{', concat_ws(', ', '"like_count": ' || y.like_count,
+                '"comment_count": ' || y.comment_count, '"collect_count": ' || y.collect_count), '}}')
+            WHEN outcome IS NOT NULL THEN '' END AS raw_summary
     FROM state s FULL JOIN synced y USING (content_id)""").replace("\n\n    , state", ", state")
 
 ORACLE["job_11_migrate_metrics"] = with_views("metrics", """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from engagement.operators.metrics import EVENTS, add_events, cells, fold, fold_events, metric_rows, sync_log
 from engagement.operators.pages import page_metrics, sync_events
+from engagement.plans.sync import synced_contents
 from engagement.schemas import ddl
 from engagement.sources.adapters import Tables
 from engagement.sources.sinks import MetricStore
@@ -69,15 +70,55 @@ def test_order_and_grouping_do_not_matter(spark, folder):
     assert rows_of(metric_rows(fold(cells(given)))) == expected
 
 
-def test_store_keeps_versions_and_ignores_repeats(spark, tmp_path):
+def test_store_keeps_versions_and_replays(spark, tmp_path):
     store = MetricStore(spark, str(tmp_path / "store"))
     with pytest.raises(ValueError):
         store.metrics()
     assert store.upsert(events(spark, event(1, "create", like_count=1))) == 1
     assert store.upsert(events(spark, event(2, "edit", like_count=2))) == 2
-    assert store.upsert(events(spark, event(3, "edit", like_count=3)), version=2) == 2
+    with pytest.raises(ValueError):
+        store.upsert(events(spark, event(3, "edit", like_count=3)), version=2)
     assert store.metrics().first()["like_count"] == 2
     assert store.metrics(1).first()["like_count"] == 1
+    # A batch of a named writer counts once, under whatever version it was finished.
+    assert store.upsert(events(spark, event(3, "edit", like_count=3)), writer="a", batch=0) == 3
+    assert store.upsert(events(spark, event(4, "edit", like_count=4)), writer="a", batch=0) == 3
+    assert store.upsert(events(spark, event(5, "edit", like_count=5)), writer="b", batch=0) == 4
+    assert store.metrics().first()["like_count"] == 5
+
+
+def test_only_touched_buckets_are_written_and_old_versions_go(spark, tmp_path):
+    store = MetricStore(spark, str(tmp_path / "store"), buckets=8, keep=2)
+    many = [event(i, "create", like_count=i) | {"content_id": i} for i in range(1, 60)]
+    store.upsert(events(spark, *many))
+    store.upsert(events(spark, event(100, "edit", like_count=100)))
+    assert len(list((tmp_path / "store/state/v=000001").glob("bucket=*"))) == 8
+    assert len(list((tmp_path / "store/state/v=000002").glob("bucket=*"))) == 1
+    store.upsert(events(spark, event(101, "edit", like_count=101)))
+    store.upsert(events(spark, event(102, "edit", like_count=102)))
+    assert len(list((tmp_path / "store/state/v=000001").glob("bucket=*"))) == 7
+    assert not list((tmp_path / "store/state/v=000002").glob("bucket=*"))
+    found = {r["content_id"]: r["like_count"] for r in store.metrics().collect()}
+    assert found == {i: i for i in range(2, 60)} | {1: 102}
+    assert {r["like_count"] for r in store.metrics(3).where("content_id = 1").collect()} == {101}
+    with pytest.raises(ValueError):
+        store.metrics(2)
+
+
+def test_new_stream_on_an_old_store_loses_nothing(spark, tmp_path):
+    store = MetricStore(spark, str(tmp_path / "store"))
+    store.upsert(events(spark, event(1, "create", like_count=1)))
+    source, log = str(tmp_path / "in"), str(tmp_path / "log")
+    for i, checkpoint in enumerate(("cp1", "cp1", "cp2")):
+        made = event(10 + i, "sync_ok", like_count=10 + i) | {"content_id": 10 + i}
+        events(spark, made).coalesce(1).write.mode("append").parquet(source)
+        arriving = spark.readStream.schema(ddl(EVENTS)).option("maxFilesPerTrigger", 1).parquet(source)
+        start_metric_store(arriving, store, log, str(tmp_path / checkpoint)).awaitTermination()
+        # Another job writes between two micro-batches.
+        store.upsert(events(spark, event(20 + i, "edit", like_count=20 + i)))
+    found = {r["content_id"]: r["like_count"] for r in store.metrics().collect()}
+    assert found == {1: 22, 10: 10, 11: 11, 12: 12}
+    assert spark.read.parquet(log).select("content_id").distinct().count() == 3
 
 
 def test_unfinished_version_is_replaced(spark, tmp_path):
@@ -103,7 +144,7 @@ def test_stream_equals_batch(spark, folder, tmp_path):
     start_metric_store(arriving, store, log, str(tmp_path / "cp")).awaitTermination()
     assert store.current_version() == 4
     assert rows_of(store.metrics()) == expected
-    logged = spark.read.parquet(log).drop("batch")
+    logged = spark.read.parquet(log).drop("writer", "batch")
     assert rows_of(logged) == rows_of(sync_log(given))
     # A restart finds nothing new.
     start_metric_store(arriving, store, log, str(tmp_path / "cp")).awaitTermination()
@@ -114,6 +155,18 @@ def test_stream_equals_batch(spark, folder, tmp_path):
     assert rows_of(spark.table("running")) == expected
 
 
+def test_the_latest_page_of_a_link_counts_and_contents_need_a_creator(spark):
+    contents = spark.createDataFrame(
+        [(1, 7, "小红书", "u"), (2, 8, "小红书", "u")], "id bigint, influencer_id bigint, platform string, content_url string"
+    )
+    creators = spark.createDataFrame([(7,)], "id bigint")
+    pages = spark.createDataFrame(
+        [(1, "u", '"likes":"5"'), (2, "u", '"likes":"3"')], "page_id bigint, url string, html string"
+    )
+    found = synced_contents(contents, creators, pages, 9, "now").select("content_id", "like_count").collect()
+    assert found == [(1, 3)]
+
+
 def test_pages_feed_the_state(spark):
     pages = spark.createDataFrame(
         [(1, 1, "小红书", "u", '"likes":"2k"'), (2, 1, "小红书", "u", "小红书验证"), (3, 1, "抖音", "u", "")],

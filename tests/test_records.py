@@ -184,3 +184,26 @@ def test_missing_columns(spark):
     }
     with pytest.raises(ValueError):
         with_missing_columns(old.select(F.col("view_count")), "content_metrics", ("content_id",))
+
+
+def test_what_follows_a_record_is_an_error(spark):
+    bodies = ['{"a":1}]', '{"a":1}] x', '{"a":1}],[{"b":2}', '{"a":1} ] trailing junk {', '{"a":[1]}', ' {"a":"]"} ', "[1]"]
+    lines = spark.createDataFrame(list(enumerate(bodies)), "seq bigint, body string")
+    found = {r["seq"]: r["reason"] for r in parse_records(lines).collect()}
+    assert found == {0: "bad_json", 1: "bad_json", 2: "bad_json", 3: "bad_json", 4: None, 5: None, 6: "not_an_object"}
+
+
+def test_lines_are_numbered_by_file_and_position(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("first\n")
+    (tmp_path / "b.jsonl").write_text("".join(f"b{i}\n" for i in range(2000)))
+    (tmp_path / "c.jsonl").write_text("c0\nc1")
+    expected = ["first", *[f"b{i}" for i in range(2000)], "c0", "c1"]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "1k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = read_lines(spark, str(tmp_path)).collect()
+            assert [r["body"] for r in sorted(rows)] == expected
+            assert sorted(r["seq"] for r in rows) == list(range(len(expected)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
