@@ -313,7 +313,8 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, counters:
     groups = groups.join(blocks, "g").select(
         "doc_id", "g", "blocks", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block")
     )
-    members = docs.join(groups, "doc_id").mapInArrow(
+    # As many groups as there are copies, so they are never broadcast, however few here.
+    members = docs.join(groups.hint("merge"), "doc_id").mapInArrow(
         _member_sets(k), "doc_id long, g long, block int, blocks int, shingles binary"
     )
     turns = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
