@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schemas import PROFILE_DOMAINS, UNRESTRICTED_PLATFORM
-from .links import SCHEME, url_host
+from .links import SCHEME, doubtful_authority, url_host
 from .text import SPACE_CLASS, drop_whitespace, has_whitespace, strip
 
 
@@ -47,6 +47,7 @@ def profile_url(col, platform) -> Column:
     reason = (
         F.when(text == "", None)
         .when(has_whitespace(text), "profile_url_whitespace")
+        .when(doubtful_authority(text), "profile_url_invalid")
         .when(~text.rlike(r"^(?i:https?)://[^/?#]"), "profile_url_scheme")
         .when(platform == UNRESTRICTED_PLATFORM, None)
         .when(allowed.isNotNull() & ~allowed_host(url_host(text), allowed), "profile_url_domain")

@@ -15,6 +15,9 @@ PARAMETER_SCHEMES = (
     "ftp", "hdl", "prospero", "http", "https", "shttp", "rtsp", "rtsps",
     "sip", "sips", "mms", "sftp", "tel",
 )
+# Signs that compatibility normalization turns into one of / ? # @ : or a text
+# with one; a link whose authority holds one is refused.
+DOUBTFUL_SIGNS = "⁇⁈⁉℀℁℅℆⩴︓︖﹕﹖﹟﹫＃／：？＠"
 
 
 def first_link(text) -> Column:
@@ -37,12 +40,20 @@ def _without_parameters(scheme, path) -> Column:
     ).otherwise(path)
 
 
-def with_canonical_url(df: DataFrame, source="content_url", target="canonical_url") -> DataFrame:
+def doubtful_authority(url) -> Column:
+    """The part between ``//`` and the path holds a sign that looks like a separator."""
+    return F.regexp_extract(url, f"^(?:{SCHEME}:)?//([^/?#]*)", 1).rlike(f"[{DOUBTFUL_SIGNS}]")
+
+
+def with_canonical_url(
+    df: DataFrame, source="content_url", target="canonical_url", error=None
+) -> DataFrame:
     """Scheme and host in lower case, one leading ``m.`` and the tail of the link dropped.
 
     ``www.``, port, user info, path case and the http/https difference stay. Text
     without scheme or host only loses its trailing slashes. The link and its head are
-    columns of their own on the way, so that each regex runs once per row.
+    columns of their own on the way, so that each regex runs once per row. ``error`` names
+    a column for the reason a link is refused, whose canonical form is NULL then.
     """
     link, head = F.col("_link"), F.col("_head")
     clean = F.translate(link, "\t\r\n", "")
@@ -57,12 +68,17 @@ def with_canonical_url(df: DataFrame, source="content_url", target="canonical_ur
             F.rtrim(_without_parameters(scheme, path), F.lit("/")),
         )
     )
-    return (
+    # Only signs beyond ASCII are in doubt.
+    refused = F.when(link.rlike(f"[{DOUBTFUL_SIGNS}]") & doubtful_authority(clean), "url_invalid")
+    out = (
         df.withColumn("_link", first_link(F.col(source)))
         .withColumn("_head", F.lower(F.regexp_extract(clean, f"^{SCHEME}://[^/?#]+", 0)))
-        .withColumn(target, canonical)
-        .drop("_link", "_head")
+        .withColumn("_refused", refused)
+        .withColumn(target, F.when(F.col("_refused").isNull(), canonical))
     )
+    if error:
+        out = out.withColumn(error, F.col("_refused"))
+    return out.drop("_link", "_head", "_refused")
 
 
 def url_scheme(url) -> Column:

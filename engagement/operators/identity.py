@@ -117,6 +117,59 @@ def rejected_ids(contents: DataFrame, id_col="id") -> DataFrame:
     return spark.read.schema(settled.schema).parquet(rounds).filter("verdict = 'refused'").select("id")
 
 
+def refused_updates(claims: DataFrame, stored: DataFrame) -> DataFrame:
+    """``seq`` of updates that claim a key another row holds when their turn comes.
+
+    ``claims`` has (id, target, key), one row for each key that update ``id`` wants for the
+    stored row ``target``, and one with a NULL key for an update that may want none;
+    ``stored`` has (id, key) of the rows as they are. Updates take
+    effect in id order. An accepted one gives its target the claimed keys and sets free
+    those the target had.
+
+    An update reads and writes its target, the keys it claims and the keys its target
+    holds. Each round settles every update that comes first on all of these, and refuses
+    every update with a key whose holder no earlier open update can change, so that a key
+    wanted by a third of all updates is settled in two rounds. A round is aggregations and
+    key joins over open updates and the holdings they meet; it settles at least the first
+    open update, and rounds are as many as the longest chain of updates that wait for each
+    other (for one row updated many times, as many as these that claim keys).
+    """
+    spark = claims.sparkSession
+    rounds = scratch_path(spark, "updates")
+    opened = cut_lineage(claims.select("id", "target", "key").distinct())
+    wanted = cut_lineage(opened.filter("key is not null").select("key").distinct())
+    targets = cut_lineage(opened.select(F.col("target").alias("holder")).distinct())
+    held = stored.select(F.col("id").alias("holder"), "key").distinct()
+    # Only rows that are updated, or hold a wanted key, ever matter.
+    changing, contested = held.join(targets, "holder", "left_semi"), held.join(wanted, "key", "left_semi")
+    holdings = cut_lineage(changing.unionByName(contested).distinct())
+    done = 0
+    cut_lineage(opened.select("id").limit(0), f"{rounds}/round={done}")
+    while not opened.isEmpty():
+        updates = opened.select("id", "target").distinct()
+        keyed = opened.filter("key is not null")
+        held_now = updates.join(holdings, F.col("target") == F.col("holder")).select("id", "key")
+        touched = keyed.select("id", "key").union(held_now).distinct()
+        first = touched.groupBy("key").agg(F.min("id").alias("first"))
+        waits = touched.join(first, "key").filter("first < id").select("id")
+        turn = updates.groupBy("target").agg(F.min("id").alias("turn"))
+        waits = waits.union(updates.join(turn, "target").filter("turn < id").select("id")).distinct()
+        others = keyed.join(holdings, "key").filter("holder <> target").select("id", "holder")
+        next_change = turn.select(F.col("target").alias("holder"), "turn")
+        fixed = others.join(next_change, "holder", "left").filter("turn is null or turn >= id").select("id").distinct()
+        done += 1
+        refused = cut_lineage(fixed, f"{rounds}/round={done}")
+        ready = updates.join(waits, "id", "left_anti").join(refused, "id", "left_anti")
+        accepted = cut_lineage(ready.join(others.select("id"), "id", "left_anti"))
+        settled = accepted.select("id").union(refused)
+        gained = keyed.join(accepted.select("id"), "id", "left_semi").select(F.col("target").alias("holder"), "key")
+        changed = accepted.select(F.col("target").alias("holder"))
+        holdings = cut_lineage(holdings.join(changed, "holder", "left_anti").unionByName(gained))
+        opened = cut_lineage(opened.join(settled, "id", "left_anti"))
+    refused = spark.read.schema("id bigint, round int").parquet(rounds)
+    return refused.select(F.col("id").alias("seq"))
+
+
 def deduplicate(contents: DataFrame, id_col="id") -> DataFrame:
     """``contents`` with the flag ``accepted``, false for rows refused as duplicates."""
     refused = rejected_ids(contents, id_col).select(

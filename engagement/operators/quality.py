@@ -24,8 +24,8 @@ from ..schemas import (
 )
 from ..sources.records import is_blank, is_present, number_value, read_fields
 from ..session import cut_lineage
-from .identity import deduplicate_incoming, stored_identity_conflicts
-from .joins import stored_duplicates, stored_with_keys_of
+from .identity import deduplicate_incoming, identity_keys, refused_updates
+from .joins import stored_with_keys_of
 
 
 def _first_reason(*rules):
@@ -191,7 +191,8 @@ def check_contents(records: DataFrame, creators: DataFrame, projects: DataFrame)
         ("project_not_found", F.col("project_id").isNotNull() & F.col("project_key").isNull()),
         *counter_rules,
     )
-    linked = with_content_id(with_canonical_url(linked.withColumn("reason", reason)))
+    linked = with_canonical_url(linked.withColumn("reason", reason), error="link_error")
+    linked = with_content_id(linked).withColumn("reason", F.coalesce("reason", "link_error"))
     return linked.select(
         "seq",
         *_id_of(linked),
@@ -240,27 +241,55 @@ def validate_contents(records, creators, projects, stored) -> DataFrame:
 def validate_creator_updates(records: DataFrame, stored: DataFrame) -> DataFrame:
     """Changed creators: each record replaces the stored row named by its ``id``.
 
-    Every update is judged against the stored rows alone, as in the two below.
+    As in the two below, updates are entered in ``seq`` order: an accepted one takes its
+    keys and sets free those its row held before.
     """
     checked = _known_only(cut_lineage(check_creators(records)), stored)
-    taken = stored_duplicates(checked, stored, ["name", "platform"], exclude_self=True)
-    return _with_reason(checked, taken, "duplicate_creator")
+    return _reject_taken(checked, stored, _text_keys("name", "platform"), "duplicate_creator")
 
 
 def validate_project_updates(records: DataFrame, stored: DataFrame, as_of) -> DataFrame:
     """Changed projects; an empty code never collides."""
     checked = _known_only(cut_lineage(check_projects(records, as_of)), stored)
-    taken = stored_duplicates(checked, stored, ["project_code"], exclude_self=True)
-    return _with_reason(checked, taken, "duplicate_project_code")
+    return _reject_taken(checked, stored, _text_keys("project_code"), "duplicate_project_code")
 
 
 def validate_content_updates(records, creators, projects, stored) -> DataFrame:
-    """Changed contents; an unknown ``id`` is reported before anything else."""
+    """Changed contents; an unknown ``id`` is reported before anything else.
+
+    A content without a creator is not found.
+    """
     checked = cut_lineage(check_contents(records, creators, projects))
-    checked = _known_only(checked, stored, first=True)
-    candidates = checked.filter("reason is null").select("seq", "id", *IDENTITY)
-    taken = stored_identity_conflicts(candidates, stored, "seq", target="id")
-    return _with_reason(checked, taken, "duplicate_content")
+    with_creator = creators.select(F.col("id").alias("influencer_id"))
+    checked = _known_only(checked, stored.join(with_creator, "influencer_id", "left_semi"), first=True)
+
+    def keys(df, id_col, carry=()):
+        return identity_keys(df, id_col, carry).drop("hash")
+
+    return _reject_taken(checked, stored, keys, "duplicate_content")
+
+
+def _text_keys(*columns):
+    """Like ``identity_keys``, for one key of text columns that counts if none is empty."""
+
+    def keys(df, id_col, carry=()):
+        given = df
+        for column in columns:
+            given = given.filter(F.col(column) != "")
+        return given.select(F.col(id_col).alias("id"), *carry, F.struct(*columns).alias("key"))
+
+    return keys
+
+
+def _reject_taken(checked: DataFrame, stored: DataFrame, keys, reason) -> DataFrame:
+    """Refuse updates whose keys another row holds when their turn comes."""
+    checked = cut_lineage(checked)
+    valid, held = checked.filter("reason is null"), keys(stored, "id")
+    claims = keys(valid, "seq", [F.col("id").alias("target")])
+    # An update without a key sets free those of its row.
+    nothing = valid.select(F.col("seq").alias("id"), F.col("id").alias("target"))
+    claims = claims.unionByName(nothing, allowMissingColumns=True)
+    return _with_reason(checked, refused_updates(claims, held), reason)
 
 
 def _known_only(checked: DataFrame, stored: DataFrame, first=False) -> DataFrame:

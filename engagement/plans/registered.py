@@ -368,7 +368,7 @@ def srt_3_ranked_rollups(t):
 
 @registered
 def job_1_canonical_url(t):
-    return with_canonical_url(t.link_texts(), "raw_url")
+    return with_canonical_url(t.link_texts(), "raw_url", error="url_error")
 
 
 @registered

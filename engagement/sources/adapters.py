@@ -200,6 +200,7 @@ class Tables:
             .when(key == 2, F.upper(url))
             .when(key == 3, F.regexp_replace(url, "^https?://", ""))
             .when(key == 4, F.concat(url, F.lit("/;p=1?q=2")))
+            .when((key == 5) & (F.col("page_id") % 2 == 1), F.replace(url, F.lit(".example."), F.lit("？q.example.")))
             .when(key == 5, F.concat(F.lit("　"), url, F.lit("//　")))
             .when(key == 6, F.concat(F.lit("(x)\n"), url, F.lit(",")))
             .otherwise(url)

@@ -372,10 +372,13 @@ ORACLE["job_1_canonical_url"] = f"""
         SELECT page_id AS id, CASE page_id % 7
             WHEN 1 THEN concat('看看 ', url, '。 谢谢') WHEN 2 THEN upper(url)
             WHEN 3 THEN regexp_replace(url, '^https?://', '') WHEN 4 THEN concat(url, '/;p=1?q=2')
-            WHEN 5 THEN concat('　', url, '//　') WHEN 6 THEN concat('(x)', chr(10), url, ',')
+            WHEN 5 THEN CASE WHEN page_id % 2 = 0 THEN concat('　', url, '//　')
+                ELSE replace(url, '.example.', '？q.example.') END WHEN 6 THEN concat('(x)', chr(10), url, ',')
             ELSE url END AS raw_url FROM pages),
     links AS (SELECT *, {LINK} AS link FROM texts)
-    SELECT id, raw_url, {CANONICAL} AS canonical_url FROM links"""
+    SELECT id, raw_url, CASE WHEN url_error IS NULL THEN {CANONICAL} END AS canonical_url, url_error
+    FROM (SELECT *, CASE WHEN regexp_matches(link, '^[A-Za-z]+://[^/?#]*？') THEN 'url_invalid' END AS url_error
+        FROM links)"""
 ORACLE["job_2_content_id"] = f"""
     WITH made AS (
         SELECT page_id AS id, url AS raw_url, page_id % 8 AS k,
@@ -534,6 +537,8 @@ ORACLE["job_5_update_creators"] = f"""
     SELECT seq, id, name, CASE WHEN reason IS NOT NULL THEN reason
             WHEN id NOT IN (SELECT c_custkey FROM customer) THEN 'not_found'
             WHEN EXISTS (SELECT 1 FROM customer WHERE c_name = name AND c_custkey <> id)
+                -- A name that no stored row has goes to the first update that wants it.
+                OR seq > min(seq) FILTER (reason IS NULL AND id IN (SELECT c_custkey FROM customer)) OVER (PARTITION BY name)
             THEN 'duplicate_creator' END AS reason
     FROM aimed"""
 ORACLE["job_5_update_projects"] = f"""

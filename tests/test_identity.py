@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from engagement.operators.identity import (
     deduplicate,
     deduplicate_incoming,
+    refused_updates,
     stored_identity_conflicts,
     uniqueness_violations,
 )
@@ -131,3 +132,43 @@ def test_resolution_order(spark):
     )
     found = {r["ref_id"]: r["resolved_id"] for r in resolve_creators(refs, creators).collect()}
     assert found == {case[0]: case[4] for case in cases}
+
+
+def walk(updates, stored):
+    """Refused ids when updates (id, target, keys) take effect one after the other."""
+    held = {row: set(keys) for row, keys in stored.items()}
+    refused = set()
+    for number, target, keys in sorted(updates):
+        if any(keys & other for row, other in held.items() if row != target):
+            refused.add(number)
+        else:
+            held[target] = set(keys)
+    return refused
+
+
+def refused(spark, updates, stored):
+    claims = [(n, t, k) for n, t, keys in updates for k in (*keys, None)]
+    held = [(row, k) for row, keys in stored.items() for k in keys]
+    found = refused_updates(
+        spark.createDataFrame(claims, "id bigint, target bigint, key string"),
+        spark.createDataFrame(held, "id bigint, key string"),
+    )
+    return {r["seq"] for r in found.collect()}
+
+
+def test_updates_take_turns(spark):
+    stored = {1: {"A"}, 2: {"B"}, 3: {"D"}}
+    assert refused(spark, [(1, 1, {"C"}), (2, 2, {"C"}), (3, 3, {"A"})], stored) == {2}
+    assert refused(spark, [(1, 3, {"A"}), (2, 1, {"C"}), (3, 3, {"A"})], stored) == {1}
+    assert refused(spark, [], stored) == set()
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_updates_equal_one_after_the_other(spark, seed):
+    r = random.Random(seed)
+    keys = [f"k{i}" for i in range(14)]
+    stored = {row: set(r.sample(keys, r.randint(1, 2))) for row in range(8)}
+    updates = [(n, r.randrange(8), set(r.sample(keys, r.randint(0, 3)))) for n in range(24)]
+    # Many want one key.
+    updates += [(100 + n, r.randrange(8), {"hot"}) for n in range(10)]
+    assert refused(spark, updates, stored) == walk(updates, stored)
