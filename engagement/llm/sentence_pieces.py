@@ -53,7 +53,7 @@ class Pieces:
         self.sizes = np.array([len(t) for t in texts], dtype=np.int64)
         self.begins = np.concatenate(([0], np.cumsum(self.sizes)))
         self.bytes = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        keyed = sorted((int(self.keys(_codes(t))[-1][-1]), i, w) for t, (i, w) in self.weights.items())
+        keyed = sorted((self._key(t), i, w) for t, (i, w) in self.weights.items())
         self.sorted_keys = np.array([k for k, _, _ in keyed], dtype=np.uint64)
         self.sorted_ids = np.array([i for _, i, _ in keyed], dtype=np.int32)
         self.sorted_weights = np.array([w for _, _, w in keyed])
@@ -62,16 +62,21 @@ class Pieces:
         self.maybe = np.zeros(1 << 20, dtype=bool)
         self.maybe[self.sorted_keys >> np.uint64(44)] = True
 
-    def keys(self, codes: np.ndarray) -> list[np.ndarray]:
-        """64-bit keys of the substrings of 1, 2, ... characters that end at each place."""
-        own, base = mix(codes.astype(np.uint64) + np.uint64(1)), np.uint64(0x9FB21C651E98DF25)
-        out, total, factor = [], np.zeros(len(codes), dtype=np.uint64), np.uint64(1)
-        for n in range(1, min(self.longest, len(codes)) + 1):
-            total = total.copy()
-            total[n - 1 :] += own[: len(own) - n + 1] * factor
-            factor = np.uint64((int(factor) * int(base)) & 0xFFFFFFFFFFFFFFFF)
-            out.append(mix(total + np.uint64(n)))
-        return out
+    def _key(self, text: str) -> int:
+        codes = _codes(text)
+        found = [keys for _, keys in self.keys(codes, np.arange(len(codes)))]
+        return int(found[len(codes) - 1][-1])
+
+    def keys(self, codes: np.ndarray, place: np.ndarray):
+        """(ends, 64-bit keys) of the substrings of 1, 2, ... characters inside units."""
+        own, base = mix(codes.astype(np.uint64) + np.uint64(1)), 0x9FB21C651E98DF25
+        ends, total, factor = np.arange(len(codes)), np.zeros(len(codes), dtype=np.uint64), 1
+        for n in range(self.longest):
+            inside = place[ends] >= n
+            ends, total = ends[inside], total[inside]
+            total = total + own[ends - n] * np.uint64(factor)
+            factor = factor * base & 0xFFFFFFFFFFFFFFFF
+            yield ends, mix(total + np.uint64(n + 1))
 
     def edges(self, codes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece and weight of the substrings that end at each character, by length - 1.
@@ -81,11 +86,11 @@ class Pieces:
         """
         ids = np.full((len(codes), self.longest), -1, dtype=np.int32)
         weights = np.zeros((len(codes), self.longest))
-        for n, keys in enumerate(self.keys(codes)):
-            at = np.flatnonzero(self.maybe[keys >> np.uint64(44)] & (place >= n))
+        for n, (ends, keys) in enumerate(self.keys(codes, place)):
+            at = np.flatnonzero(self.maybe[keys >> np.uint64(44)])
             found = np.minimum(np.searchsorted(self.sorted_keys, keys[at]), len(self.sorted_keys) - 1)
             same = self.sorted_keys[found] == keys[at]
-            at, found = at[same], found[same]
+            at, found = ends[at[same]], found[same]
             ids[at, n] = self.sorted_ids[found]
             weights[at, n] = self.sorted_weights[found]
         alone = np.flatnonzero(ids[:, 0] < 0)
@@ -106,19 +111,20 @@ class Pieces:
         unit = np.repeat(np.arange(units), lengths)
         ahead = np.ones(len(place) + units)  # of each place between characters
         back = np.arange(1, width + 1)
-        chances = np.empty_like(weights)
+        chances = np.ones_like(weights)
         order = np.argsort(place, kind="stable")
         begin = np.concatenate(([0], np.cumsum(np.bincount(place))))
         for p in range(len(begin) - 1):
-            rows = order[begin[p] : begin[p + 1]]
+            rows, wide = order[begin[p] : begin[p + 1]], min(p + 1, width)
             end = rows + unit[rows] + 1
-            sums = np.cumsum(ahead[np.maximum(end[:, None] - back, 0)] * weights[rows], axis=1)
+            sums = np.cumsum(ahead[end[:, None] - back[:wide]] * weights[rows, :wide], axis=1)
             total = sums[:, -1]
             ahead[end] = total
-            chances[rows] = sums / total[:, None]
+            # The last chance stays 1.
+            chances[rows, : wide - 1] = sums[:, :-1] / total[:, None]
             for i in np.flatnonzero(total < 1e-100):
                 # Only ratios within a unit matter, and only the last places count on.
-                last = slice(end[i] - min(width, p + 1), end[i] + 1)
+                last = slice(end[i] - wide, end[i] + 1)
                 ahead[last] /= total[i]
         return chances
 
@@ -127,8 +133,8 @@ class Pieces:
 
         ``keys`` are random 64-bit numbers, one for a unit. Equal units share a lattice.
         """
-        number: dict[str, int] = {}
-        which = np.fromiter((number.setdefault(u, len(number)) for u in units), dtype=np.int64, count=len(units))
+        number = {unit: i for i, unit in enumerate(dict.fromkeys(units))}
+        which = np.fromiter(map(number.__getitem__, units), dtype=np.int64, count=len(units))
         lengths = np.fromiter(map(len, number), dtype=np.int64, count=len(number))
         begin = np.cumsum(lengths) - lengths
         codes = _codes("".join(number))
@@ -142,7 +148,12 @@ class Pieces:
             end = first[rows] + left - 1
             random = mix(keys[rows] + np.uint64(0x9E3779B97F4A7C15) * left.astype(np.uint64))
             point = (random >> np.uint64(11)).astype(np.float64) / (1 << 53)
-            size = np.minimum((chances[end] <= point[:, None]).sum(axis=1), self.longest - 1)
+            size, longer = np.zeros(len(rows), dtype=np.int64), np.arange(len(rows))
+            for n in range(self.longest - 1):
+                longer = longer[chances[end[longer], n] <= point[longer]]
+                if not len(longer):
+                    break
+                size[longer] = n + 1
             piece = ids[end, size]
             odd = np.flatnonzero(piece == -2)
             piece[odd] = -3 - codes[end[odd]].astype(np.int32)
