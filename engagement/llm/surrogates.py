@@ -34,7 +34,7 @@ KINDS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![A-Za-z0-9])",
     "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "secret": r"(?:password|passwd|secret|token|api_key) ?[=:] ?\"?[A-Za-z0-9+/_.-]{8,}",
+    "secret": r"(?:password|passwd|secret|token|api_key) ?[=:] ?\"?(?=[+/_.-]*[A-Za-z0-9])[A-Za-z0-9+/_.-]{8,}",
     "person": rf"(?<![\p{{L}}])(?:{TITLE})\.? {NAME}(?: {NAME})?(?![\p{{L}}])",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
@@ -50,6 +50,8 @@ ALPHABETS = (
     "αβγδεζηθικλμνξοπρστυφχψω",
     "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
 )
+#: So many surrogates of the very form are proposed for an entity; later ones are longer.
+SAME_FORM = 3
 #: Consonants, vowels and the endings of given names by gender, for Latin and Cyrillic.
 SYLLABLES = {
     "latin": ("bdfgklmnprstvz", "aeiou", {"f": "a", "m": "n", "x": "e"}),
@@ -142,33 +144,40 @@ def entity_parts(surface: Column, kind: Column) -> Column:
 
 
 def proposal(key: str, attempt: int) -> Column:
-    """The surrogate proposed for (kind, canon), in canonical form."""
-    kind, canon = F.col("kind"), F.col("canon")
-    blocks = F.sequence(F.lit(0), F.floor(F.length(canon) / 32).cast("int") + 1)
-    seed = F.concat_ws("\x1f", F.lit(key), kind, canon, F.lit(str(attempt)))
+    """The surrogate proposed for (kind, canon), in canonical form.
+
+    From attempt ``SAME_FORM`` on it has one place more with each attempt, so that a form
+    with few or no free places does not run out.
+    """
+    kind, entity = F.col("kind"), F.col("canon")
+    more = max(0, attempt - SAME_FORM + 1)
+    blocks = F.sequence(F.lit(0), F.floor((F.length(entity) + more + 2 * attempt) / 32).cast("int") + 1)
+    seed = F.concat_ws("\x1f", F.lit(key), kind, entity, F.lit(str(attempt)))
     stream = F.array_join(F.transform(blocks, lambda b: F.sha2(F.concat_ws("\x1f", seed, b.cast("string")), 512)), "")
     noise = _Noise(F.col("noise"))
-    local, label = F.substring_index(canon, "@", 1), F.regexp_extract(canon, r"@([^.]+)", 1)
+    grown = F.when(kind.isin("secret", "key"), "a" * more).otherwise("0" * more)
+    canon = F.concat(entity, grown) if more else entity
+    local, label = F.concat(F.substring_index(entity, "@", 1), F.lit("a" * more)), F.regexp_extract(entity, r"@([^.]+)", 1)
     top = F.lit("comnetorg").substr(noise.at(0) % 3 * 3 + 1, F.lit(3))
     # Names below example.com, .net and .org belong to nobody.
     email = F.concat(filled(local, noise, 1), F.lit("@"), filled(label, noise, 1 + 24), F.lit(".example."), top)
-    octets = [noise.at(i).cast("string") for i in range(1, 4)]
+    octets = [noise.at(i).cast("string") for i in range(1, 4 + more)]
     ip = F.concat_ws(".", (noise.at(0) % 223 + 1).cast("string"), *octets)
     body = F.concat(F.substring(canon, 1, 1), filled(canon.substr(F.lit(2), F.length(canon) - 2), noise))
     card = F.concat(body, ((10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
     number = F.length(F.ltrim(canon, F.lit("+")))
-    code = F.length(canon) - F.when(canon.startswith("+") & (number > 10), 10).otherwise(number - 1)
+    code = F.length(canon) - F.when(canon.startswith("+") & (number > 10), 10 + more).otherwise(number - 1)
     lead = F.substring(F.lit("23456789"), 1, 8).substr(noise.at(0) % 8 + 1, F.lit(1))
-    phone = F.concat(canon.substr(F.lit(1), code), lead, filled(canon.substr(code + 2, F.lit(32)), noise, 1))
+    phone = F.concat(canon.substr(F.lit(1), code), lead, filled(canon.substr(code + 2, F.length(canon)), noise, 1))
     out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone)
     # Areas from 900 on are given to nobody.
-    out = out.when(kind == "ssn", F.concat(F.lit("9"), filled(canon.substr(F.lit(2), F.lit(8)), noise)))
-    out = out.when(kind == "key", F.concat(F.substring(canon, 1, 4), filled(canon.substr(F.lit(5), F.lit(64)), noise)))
-    out = out.when(kind == "iban", F.concat(F.substring(canon, 1, 2), filled(canon.substr(F.lit(3), F.lit(64)), noise)))
+    out = out.when(kind == "ssn", F.concat(F.lit("9"), filled(canon.substr(F.lit(2), F.length(canon)), noise)))
+    out = out.when(kind == "key", F.concat(F.substring(canon, 1, 4), filled(canon.substr(F.lit(5), F.length(canon)), noise)))
+    out = out.when(kind == "iban", F.concat(F.substring(canon, 1, 2), filled(canon.substr(F.lit(3), F.length(canon)), noise)))
     out = out.when(kind == "secret", filled(canon, noise))
     for script, (_, _, endings) in SYLLABLES.items():
         # Each further attempt has one syllable more, so there are always names left.
-        fits = canon.rlike(r"\p{IsCyrillic}") if script == "cyrillic" else F.lit(True)
+        fits = entity.rlike(r"\p{IsCyrillic}") if script == "cyrillic" else F.lit(True)
         out_names = F.when(kind == "family", spoken(noise, script, F.lit(3 + attempt), ""))
         for gender, ending in endings.items():
             out_names = out_names.when(kind == f"given_{gender}", spoken(noise, script, F.lit(2 + attempt), ending))
@@ -181,8 +190,8 @@ def assign_surrogates(entities: DataFrame, key: str) -> DataFrame:
 
     Each round proposes a surrogate for every open entity. A proposal is accepted if no
     entity of its kind has it as its own form, no accepted surrogate is equal, and of
-    equal proposals it belongs to the smallest entity. Forms have at least seven free
-    places and names grow, so the open entities dwindle from round to round.
+    equal proposals it belongs to the smallest entity. Names grow with each round and all
+    other forms from round ``SAME_FORM`` on, so no kind runs out of free surrogates.
     """
     entities = stored(entities.select("kind", "canon").distinct())
     real = entities.select("kind", F.col("canon").alias("surrogate"))
@@ -205,13 +214,15 @@ def assign_surrogates(entities: DataFrame, key: str) -> DataFrame:
 
 
 def poured(surface: Column, digits: Column) -> Column:
-    """``surface`` with its letters and digits replaced one by one by those of ``digits``."""
+    """``surface`` with its letters and digits replaced one by one by those of ``digits``;
+    what ``digits`` has beyond them follows."""
 
     def place(c: Column, i: Column) -> Column:
         before = F.length(F.regexp_replace(surface.substr(F.lit(1), i), "[^0-9A-Za-z]", ""))
         return F.when(c.rlike("[0-9A-Za-z]"), digits.substr(before + 1, F.lit(1))).otherwise(c)
 
-    return F.array_join(F.transform(F.split(surface, ""), place), "")
+    places = F.length(F.regexp_replace(surface, "[^0-9A-Za-z]", ""))
+    return F.concat(F.array_join(F.transform(F.split(surface, ""), place), ""), digits.substr(places + 1, F.length(digits)))
 
 
 def replacement(surface: Column, kind: Column, parts: Column) -> Column:
