@@ -24,14 +24,25 @@ TITLES = {
 TITLE = "|".join(t for titles in TITLES.values() for t in titles)
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 NAME = r"\p{Lu}\p{Ll}+"
-#: Kinds in the order in which they are tried at a place, with their patterns.
-KINDS = {
+#: Forms that are found first and that digits in groups stop at.
+FORMS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "ip": rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
-    "card": r"(?<![0-9+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])"
     r"|(?<![0-9])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+}
+#: Not replaced, but no part of a card number either.
+DATE = (
+    r"(?<![0-9])(?<![0-9]-)(?:[0-9]{4}[-/.](?:0?[1-9]|1[0-2])[-/.](?:[12][0-9]|3[01]|0?[1-9])"
+    r"|(?:[12][0-9]|3[01]|0?[1-9])[-/.](?:[12][0-9]|3[01]|0?[1-9])[-/.][0-9]{4})(?![0-9]|-[0-9])"
+)
+FORM = "|".join(f"(?:{p})" for p in (*FORMS.values(), DATE))
+#: Kinds in the order in which they are tried at a place, with their patterns. ``card`` is
+#: a whole run of digits in groups, in which ``card_pieces`` looks for the numbers.
+KINDS = FORMS | {
+    "date": DATE,
+    "card": rf"(?<![0-9+])(?=(?:[0-9][ -]?){{13}})[0-9]++(?:[ -](?!{FORM})[0-9]++)*+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![A-Za-z0-9])",
     "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "secret": r"(?:password|passwd|secret|token|api_key) ?[=:] ?\"?(?=[+/_.-]*[A-Za-z0-9])[A-Za-z0-9+/_.-]{8,}",
@@ -39,7 +50,19 @@ KINDS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: A text without any of these holds no entity; spares most texts the long pattern.
-HINT = rf"[0-9@]|(?:password|passwd|secret|token|api_key) ?[=:]|(?:{TITLE})\.? "
+HINT = rf"[0-9@]|AKIA|(?:password|passwd|secret|token|api_key) ?[=:]|(?:{TITLE})\.? "
+#: Digits of each group of a card number, by the letter that marks its first group.
+CARDS = {
+    "a": r"[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{3}",
+    "b": r"[0-9]{4}(?:[ -][0-9]{4}){3}",
+    "c": r"[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}",
+    "d": r"[0-9]{13,19}",
+}
+#: The numbers of a run with marks, else 13 to 19 digits in any groups without a mark.
+MARKED = (
+    r"a[0-9]+(?:[ -][a-d]?[0-9]+){4}|b[0-9]+(?:[ -][a-d]?[0-9]+){3}|c[0-9]+(?:[ -][a-d]?[0-9]+){2}|d[0-9]+"
+    r"|(?<![0-9a-d])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+)
 #: Letters and digits of the scripts that are kept, each filled from itself.
 ALPHABETS = (
     "0123456789",
@@ -75,17 +98,56 @@ def digits_of(text: Column) -> Column:
 
 
 def kind_of(surface: Column) -> Column:
-    """The kind of a match, null where a check digit does not hold."""
+    """The kind of a match, null for a date."""
     out = F.lit(None).cast("string")
     for kind, pattern in reversed(KINDS.items()):
         whole = surface.rlike(rf"\A(?:{pattern})\z")
-        if kind == "card":
-            # Where the check fails, the digits may still be read as something else.
-            whole = whole & (luhn_sum(digits_of(surface)) % 10 == 0)
-        out = F.when(whole, F.lit(kind)).otherwise(out)
+        out = F.when(whole, F.lit(None) if kind == "date" else F.lit(kind)).otherwise(out)
     return out
 
 
+def card_pieces(run: Column) -> Column:
+    """array<struct<piece, is>>: a run of digits in groups, cut before and after each card
+    number in it; ``is`` is ``card`` or null.
+
+    Each group is tried as the first one of a number in the usual groups; the first that
+    has a right check digit takes its groups. What is left is tried in any groups.
+    """
+
+    def bound(value: Column, use) -> Column:
+        """``use`` of a value that is computed once, not for each element of an array."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def marks(split: Column) -> Column:
+        def marked(group: Column, i: Column) -> Column:
+            mark = F.lit("")
+            for letter, n in (("d", 1), ("c", 3), ("b", 4), ("a", 5)):
+                number = F.array_join(F.slice(split["groups"], i + 1, F.lit(n)), "-")
+                right = number.rlike(rf"\A(?:{CARDS[letter]})\z") & (luhn_sum(digits_of(number)) % 10 == 0)
+                mark = F.when(right, letter).otherwise(mark)
+            return F.concat(F.get(split["gaps"], i), mark, group)
+
+        return F.array_join(F.transform(split["groups"], marked), "")
+
+    def piece(part: Column, card: Column) -> Column:
+        return F.struct(F.regexp_replace(part, "[a-d]", "").alias("piece"), F.when(card, "card").alias("is"))
+
+    def pieces(cut: Column) -> Column:
+        def both(number: Column, i: Column) -> Column:
+            right = luhn_sum(digits_of(number)) % 10 == 0
+            return F.array(piece(F.get(cut["between"], i), F.lit(False)), piece(number, right))
+
+        last = F.array(piece(F.element_at(cut["between"], -1), F.lit(False)))
+        return F.concat(F.flatten(F.transform(cut["numbers"], both)), last)
+
+    split = F.struct(F.split(run, "[ -]").alias("groups"), F.split(run, "[0-9]+").alias("gaps"))
+    found = bound(
+        bound(split, marks),
+        lambda m: F.struct(F.regexp_extract_all(m, F.lit(MARKED), F.lit(0)).alias("numbers"), F.split(m, MARKED, -1).alias("between")),
+    )
+    return bound(found, pieces)
+
+
 @dataclass(frozen=True)
 class _Noise:
     """Numbers 0 to 255 from a column of hexadecimal digits."""
@@ -239,7 +301,8 @@ def replacement(surface: Column, kind: Column, parts: Column) -> Column:
 def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with surrogates in ``text``, and n_replaced, how many places of it changed.
 
-    Found are e-mail and IPv4 addresses, card numbers (check digit holds), phone numbers,
+    Found are e-mail and IPv4 addresses, card numbers (check digit holds; also between other
+    groups of digits), phone numbers,
     US social security numbers, IBANs, access keys, values of ``password=`` and the like,
     and names after a title, whose gender decides the given name. A surrogate has the kind
     and the form of what it replaces; equal entities get equal surrogates in all
@@ -260,24 +323,40 @@ def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:
     )
     surfaces = held.select("doc_id", "pii__mark", F.explode(F.array_distinct("pii__matches")).alias("surface"))
     surfaces = surfaces.distinct().withColumn("is", kind_of(F.col("surface"))).where(F.col("is").isNotNull())
-    parts = surfaces.select("*", F.posexplode(entity_parts(F.col("surface"), F.col("is"))).alias("part", "entity"))
-    parts = stored(parts.select("doc_id", "pii__mark", "surface", "is", "part", "entity.kind", "entity.canon"))
-    named = parts.join(assign_surrogates(parts, key), ["kind", "canon"])
-    whole = named.groupBy("doc_id", "pii__mark", "surface", "is").agg(
+    whole = F.array(F.struct(F.col("surface").alias("piece"), F.col("is")))
+    cut = F.when(F.col("is") == "card", card_pieces(F.col("surface"))).otherwise(whole)
+    surfaces = surfaces.withColumn("pieces", cut).where(F.exists("pieces", lambda p: p["is"].isNotNull()))
+    pieces = surfaces.select("doc_id", "pii__mark", "surface", F.posexplode("pieces").alias("place", "p"))
+    pieces = pieces.select("doc_id", "pii__mark", "surface", "place", "p.piece", "p.is")
+    # A piece between card numbers has one part without an entity.
+    none = F.array(F.lit(None).cast("struct<kind: string, canon: string>"))
+    each = F.coalesce(entity_parts(F.col("piece"), F.col("is")), none)
+    parts = pieces.select("*", F.posexplode(each).alias("part", "entity")).select("*", "entity.*").drop("entity")
+    parts = stored(parts)
+    surrogates = assign_surrogates(parts.where("kind is not null"), key)
+    keys = ["doc_id", "pii__mark", "surface"]
+    named = parts.join(surrogates, ["kind", "canon"], "left")
+    whole = named.groupBy(*keys, "place", "piece", "is").agg(
         F.array_sort(F.collect_list(F.struct("part", "surrogate"))).alias("parts")
     )
-    new = replacement(F.col("surface"), F.col("is"), F.transform("parts", lambda p: p["surrogate"]))
-    by_text = whole.withColumn("new", new).groupBy("doc_id", "pii__mark").agg(
-        F.map_from_entries(F.collect_list(F.struct("surface", "new"))).alias("pii__map")
+    new = replacement(F.col("piece"), F.col("is"), F.transform("parts", lambda p: p["surrogate"]))
+    put = whole.withColumn("new", F.when(F.col("is").isNull(), F.col("piece")).otherwise(new))
+    put = put.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("place", "new"))).alias("put"), F.count("is").cast("int").alias("n")
+    )
+    put = put.withColumn("put", F.struct(F.array_join(F.transform("put", lambda p: p["new"]), "").alias("new"), "n"))
+    by_text = put.groupBy("doc_id", "pii__mark").agg(
+        F.map_from_entries(F.collect_list(F.struct("surface", "put"))).alias("pii__map")
     )
     by_text = by_text.withColumnsRenamed({"doc_id": "pii__id", "pii__mark": "pii__same"})
     same = held["doc_id"].eqNullSafe(by_text["pii__id"]) & (held["pii__mark"] == by_text["pii__same"])
     held = held.join(by_text, same, "left").withColumn("pii__between", F.split("text", PATTERN, -1))
     put = F.transform(
         "pii__matches",
-        lambda m, i: F.concat(F.get("pii__between", i), F.coalesce(F.try_element_at("pii__map", m), m)),
+        lambda m, i: F.concat(F.get("pii__between", i), F.coalesce(F.try_element_at("pii__map", m)["new"], m)),
     )
-    changed = F.size(F.filter("pii__matches", lambda m: F.try_element_at("pii__map", m).isNotNull()))
+    places = F.transform("pii__matches", lambda m: F.coalesce(F.try_element_at("pii__map", m)["n"], F.lit(0)))
+    changed = F.aggregate(places, F.lit(0), lambda a, b: a + b)
     held = held.withColumn("text", F.concat(F.array_join(put, ""), F.element_at("pii__between", -1)))
     names = [c for c in docs.columns if c != "pii__found"]
     clean = docs.where("not pii__found").select(*names, F.lit(0).alias("n_replaced"))
