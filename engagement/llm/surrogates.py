@@ -23,7 +23,8 @@ TITLES = {
 }
 TITLE = "|".join(t for titles in TITLES.values() for t in titles)
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-NAME = r"\p{Lu}\p{Ll}+"
+#: Also with hyphens, apostrophes and inner capitals, but without the 's of a genitive.
+NAME = r"\p{Lu}(?:[\p{L}\p{M}]++|(?=['’-]\p{L}))(?:['’-](?!s(?![\p{L}\p{M}]))[\p{L}\p{M}]++)*+"
 #: Forms that are found first and that digits in groups stop at.
 FORMS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -46,7 +47,7 @@ KINDS = FORMS | {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![A-Za-z0-9])",
     "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "secret": r"(?:password|passwd|secret|token|api_key) ?[=:] ?\"?(?=[+/_.-]*[A-Za-z0-9])[A-Za-z0-9+/_.-]{8,}",
-    "person": rf"(?<![\p{{L}}])(?:{TITLE})\.? {NAME}(?: {NAME})?(?![\p{{L}}])",
+    "person": rf"(?<![\p{{L}}])(?:{TITLE})\.? {NAME}(?: {NAME})?(?![\p{{L}}\p{{M}}])",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: A text without any of these holds no entity; spares most texts the long pattern.
@@ -185,10 +186,13 @@ def spoken(noise: _Noise, script: str, syllables: Column, ending: str) -> Column
 
 
 def entity_parts(surface: Column, kind: Column) -> Column:
-    """array<struct<kind, canon>>: one entity, or the given and the family name."""
+    """array<struct<kind, canon, gender>>: one entity, or the given and the family name.
+
+    ``gender`` is that of the title before a given name, else null.
+    """
 
     def one(name, canon):
-        return F.array(F.struct(F.lit(name).alias("kind"), canon.alias("canon")))
+        return F.array(F.struct(F.lit(name).alias("kind"), canon.alias("canon"), F.lit(None).cast("string").alias("gender")))
 
     digits = digits_of(surface)
     parts = F.when(kind == "email", one("email", F.lower(surface)))
@@ -199,12 +203,25 @@ def entity_parts(surface: Column, kind: Column) -> Column:
     parts = parts.when(kind == "secret", one("secret", F.regexp_extract(surface, r"[A-Za-z0-9+/_.-]+\z", 0)))
     title, names = F.regexp_extract(surface, rf"\A(?:{TITLE})", 0), F.split(surface, " ")
     gender = F.when(title.isin(*TITLES["f"]), "f").when(title.isin(*TITLES["m"]), "m").otherwise("x")
-    given = F.struct(F.concat(F.lit("given_"), gender).alias("kind"), F.lower(F.get(names, F.lit(1))).alias("canon"))
-    family = F.struct(F.lit("family").alias("kind"), F.lower(F.element_at(names, -1)).alias("canon"))
+    given = F.struct(F.lit("given").alias("kind"), F.lower(F.get(names, F.lit(1))).alias("canon"), gender.alias("gender"))
+    no_gender = F.lit(None).cast("string").alias("gender")
+    family = F.struct(F.lit("family").alias("kind"), F.lower(F.element_at(names, -1)).alias("canon"), no_gender)
     person = F.when(F.size(names) > 2, F.array(given, family)).otherwise(F.array(family))
     return parts.when(kind == "person", person)
 
 
+def with_gender(parts: DataFrame) -> DataFrame:
+    """``parts`` with one kind given_f, given_m or given_x for all of a given name.
+
+    The titles before it in all documents decide, those of either gender by their number.
+    """
+    n_f, n_m = F.count(F.when(F.col("gender") == "f", 1)), F.count(F.when(F.col("gender") == "m", 1))
+    gender = F.when(n_f > n_m, "f").when(n_m > n_f, "m").otherwise("x")
+    genders = parts.where("kind = 'given'").groupBy("kind", "canon").agg(gender.alias("settled"))
+    kind = F.when(F.col("kind") == "given", F.concat(F.lit("given_"), "settled")).otherwise(F.col("kind"))
+    return parts.join(genders, ["kind", "canon"], "left").withColumn("kind", kind).drop("settled", "gender")
+
+
 def proposal(key: str, attempt: int) -> Column:
     """The surrogate proposed for (kind, canon), in canonical form.
 
@@ -287,6 +304,34 @@ def poured(surface: Column, digits: Column) -> Column:
     return F.concat(F.array_join(F.transform(F.split(surface, ""), place), ""), digits.substr(places + 1, F.length(digits)))
 
 
+def worn(name: Column, surrogate: Column) -> Column:
+    """The surrogate of a name, in capitals like the name."""
+    capitals = (name == F.upper(name)) & (F.length(name) > 1)
+    return F.when(capitals, F.upper(surrogate)).otherwise(surrogate)
+
+
+def with_mentions(named: DataFrame) -> DataFrame:
+    """doc_id, pii__mark, and of the names found in this text: pii__pattern, which matches
+    them or what ``PATTERN`` does, and pii__names, their surrogates by lower case.
+
+    A word that is a given and a family name counts as the given one.
+    """
+    names = named.where("is = 'person'").withColumn("name", F.get(F.split("piece", " "), F.col("part") + F.size(F.split("piece", " ")) - F.col("n_parts")))
+    names = names.groupBy("doc_id", "pii__mark", "canon").agg(
+        F.collect_set("name").alias("names"), F.max_by("surrogate", "kind").alias("surrogate")
+    )
+    out = names.groupBy("doc_id", "pii__mark").agg(
+        F.flatten(F.collect_list("names")).alias("names"),
+        F.map_from_entries(F.collect_list(F.struct("canon", "surrogate"))).alias("pii__names"),
+    )
+    # Of two names that begin alike the longer one is tried first; names hold no signs of patterns.
+    longest = F.reverse(F.array_sort(F.transform("names", lambda n: F.struct(F.length(n).alias("n"), n.alias("name")))))
+    words = F.array_join(F.transform(longest, lambda n: n["name"]), "|")
+    edge = r"[\p{L}\p{M}\p{N}_]"
+    mention = F.concat(F.lit(rf"|(?<!{edge})(?=\p{{Lu}})(?iu:"), words, F.lit(rf")(?!{edge})"))
+    return out.select("doc_id", "pii__mark", F.concat(F.lit(PATTERN), mention).alias("pii__pattern"), "pii__names")
+
+
 def replacement(surface: Column, kind: Column, parts: Column) -> Column:
     """The text that takes the place of a match; ``parts`` are its surrogates in order."""
     one = F.get(parts, F.lit(0))
@@ -295,7 +340,9 @@ def replacement(surface: Column, kind: Column, parts: Column) -> Column:
     out = out.when(kind.isin("card", "ssn", "iban"), poured(surface, one)).when(kind == "phone", poured(surface, digits_of(one)))
     out = out.when(kind == "secret", F.concat(F.regexp_extract(surface, r"\A(.*?)[A-Za-z0-9+/_.-]+\z", 1), one))
     title = F.substring_index(surface, " ", 1)
-    return out.when(kind == "person", F.concat_ws(" ", title, F.array_join(parts, " ")))
+    names = F.slice(F.split(surface, " "), 2, 2)
+    shown = F.transform(parts, lambda p, i: worn(F.get(names, i), p))
+    return out.when(kind == "person", F.concat_ws(" ", title, F.array_join(shown, " ")))
 
 
 def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:
@@ -304,7 +351,9 @@ def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:
     Found are e-mail and IPv4 addresses, card numbers (check digit holds; also between other
     groups of digits), phone numbers,
     US social security numbers, IBANs, access keys, values of ``password=`` and the like,
-    and names after a title, whose gender decides the given name. A surrogate has the kind
+    and names after a title, which are then replaced wherever else they are in the same
+    text as whole words with a capital. The titles before a given name in all documents
+    decide the gender of its surrogate. A surrogate has the kind
     and the form of what it replaces; equal entities get equal surrogates in all
     documents, different ones different surrogates, and no surrogate occurs as an entity
     in the input. Who has ``key`` and an entity can tell its surrogate, not the reverse.
@@ -318,10 +367,9 @@ def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:
     text = F.col("text")
     found = F.coalesce(text.rlike(HINT) & text.rlike(PATTERN), F.lit(False))
     docs = docs.withColumn("pii__found", found)
-    held = docs.where("pii__found").withColumns(
-        {"pii__mark": F.xxhash64("text"), "pii__matches": F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))}
-    )
-    surfaces = held.select("doc_id", "pii__mark", F.explode(F.array_distinct("pii__matches")).alias("surface"))
+    held = docs.where("pii__found").withColumn("pii__mark", F.xxhash64("text"))
+    matches = F.array_distinct(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
+    surfaces = held.select("doc_id", "pii__mark", F.explode(matches).alias("surface"))
     surfaces = surfaces.distinct().withColumn("is", kind_of(F.col("surface"))).where(F.col("is").isNotNull())
     whole = F.array(F.struct(F.col("surface").alias("piece"), F.col("is")))
     cut = F.when(F.col("is") == "card", card_pieces(F.col("surface"))).otherwise(whole)
@@ -329,13 +377,14 @@ def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:
     pieces = surfaces.select("doc_id", "pii__mark", "surface", F.posexplode("pieces").alias("place", "p"))
     pieces = pieces.select("doc_id", "pii__mark", "surface", "place", "p.piece", "p.is")
     # A piece between card numbers has one part without an entity.
-    none = F.array(F.lit(None).cast("struct<kind: string, canon: string>"))
+    none = F.array(F.lit(None).cast("struct<kind: string, canon: string, gender: string>"))
     each = F.coalesce(entity_parts(F.col("piece"), F.col("is")), none)
-    parts = pieces.select("*", F.posexplode(each).alias("part", "entity")).select("*", "entity.*").drop("entity")
-    parts = stored(parts)
+    parts = pieces.withColumns({"each": each, "n_parts": F.size(each)})
+    parts = parts.select("*", F.posexplode("each").alias("part", "entity")).select("*", "entity.*").drop("each", "entity")
+    parts = stored(with_gender(stored(parts)))
     surrogates = assign_surrogates(parts.where("kind is not null"), key)
     keys = ["doc_id", "pii__mark", "surface"]
-    named = parts.join(surrogates, ["kind", "canon"], "left")
+    named = stored(parts.join(surrogates, ["kind", "canon"], "left"))
     whole = named.groupBy(*keys, "place", "piece", "is").agg(
         F.array_sort(F.collect_list(F.struct("part", "surrogate"))).alias("parts")
     )
@@ -348,14 +397,24 @@ def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:
     by_text = put.groupBy("doc_id", "pii__mark").agg(
         F.map_from_entries(F.collect_list(F.struct("surface", "put"))).alias("pii__map")
     )
-    by_text = by_text.withColumnsRenamed({"doc_id": "pii__id", "pii__mark": "pii__same"})
+    both = by_text["doc_id"].eqNullSafe(F.col("m.doc_id")) & (by_text["pii__mark"] == F.col("m.pii__mark"))
+    by_text = by_text.join(with_mentions(named).alias("m"), both, "left").select(
+        by_text["doc_id"].alias("pii__id"), by_text["pii__mark"].alias("pii__same"), "pii__map", "pii__pattern", "pii__names"
+    )
     same = held["doc_id"].eqNullSafe(by_text["pii__id"]) & (held["pii__mark"] == by_text["pii__same"])
-    held = held.join(by_text, same, "left").withColumn("pii__between", F.split("text", PATTERN, -1))
+    held = held.join(by_text, same, "left").withColumn("pii__pattern", F.coalesce("pii__pattern", F.lit(PATTERN)))
+    held = held.withColumns(
+        {"pii__matches": F.regexp_extract_all("text", "pii__pattern", F.lit(0)), "pii__between": F.split("text", F.col("pii__pattern"), -1)}
+    )
+
+    def mentioned(m: Column) -> Column:
+        return worn(m, F.try_element_at("pii__names", F.lower(m)))
+
     put = F.transform(
         "pii__matches",
-        lambda m, i: F.concat(F.get("pii__between", i), F.coalesce(F.try_element_at("pii__map", m)["new"], m)),
+        lambda m, i: F.concat(F.get("pii__between", i), F.coalesce(F.try_element_at("pii__map", m)["new"], mentioned(m), m)),
     )
-    places = F.transform("pii__matches", lambda m: F.coalesce(F.try_element_at("pii__map", m)["n"], F.lit(0)))
+    places = F.transform("pii__matches", lambda m: F.coalesce(F.try_element_at("pii__map", m)["n"], mentioned(m).isNotNull().cast("int")))
     changed = F.aggregate(places, F.lit(0), lambda a, b: a + b)
     held = held.withColumn("text", F.concat(F.array_join(put, ""), F.element_at("pii__between", -1)))
     names = [c for c in docs.columns if c != "pii__found"]

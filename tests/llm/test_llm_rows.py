@@ -135,6 +135,24 @@ def test_numbers_beside_other_digits(spark):
     assert re.fullmatch(r"9\d\d-\d\d-\d{4} 9\d\d-\d\d-\d{4}", texts[5]) and texts[11] == given[11]
 
 
+def test_further_mentions_of_a_name(spark):
+    texts, n = replaced(
+        spark,
+        "Smith left. Mr John Smith, JOHN SMITH said, John's. Smithy, Smithson, goldsmith, smith.",
+        "Mrs Smith-Jones met Mr McDonald and Mr O'Brien; Smith-Jones, McDonald, O'Brien's.",
+        "Dr Anna Schmidt", "Frau Anna Schmidt", "John Smith is not named by a title here.",
+    )
+    assert n == [5, 6, 1, 1, 0] and texts[4].startswith("John Smith")
+    found = re.fullmatch(
+        r"(\w+) left\. Mr (\w+) (\w+), (\w+) (\w+) said, (\w+)'s\. Smithy, Smithson, goldsmith, smith\.", texts[0]
+    ).groups()
+    family, given = found[0], found[1]
+    assert found == (family, given, family, given.upper(), family.upper(), given) and not {"Smith", "John"} & set(found)
+    found = re.fullmatch(r"Mrs (\w+) met Mr (\w+) and Mr (\w+); (\w+), (\w+), (\w+)'s\.", texts[1]).groups()
+    assert found[:3] == found[3:] and len(set(found)) == 3
+    assert texts[2].split(" ")[1:] == texts[3].split(" ")[1:] and texts[3].split(" ")[1].endswith("a")
+
+
 def test_values_without_letters_and_digits_are_no_secrets(spark):
     given = ["password: ........", "token: --------", 'secret = "/+/+/+/+/+', "api_key=_________"]
     assert replaced(spark, *given) == (given, [0] * len(given))
