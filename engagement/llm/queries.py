@@ -1,7 +1,10 @@
 """The registered queries of this subpackage and, where SQL can express them, their SQL."""
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import configure
 from .quality_rules import judge_quality
@@ -13,6 +16,7 @@ from .span_dedup import dedup_spans
 from .surrogates import replace_personal_data
 from .token_counts import count_tokens
 from .url_digests import judge_urls
+from .vector_codes import compress_vectors
 from .vector_forest import near_vectors
 
 #: Whoever runs this on real data keeps a key of their own, in a secret place.
@@ -81,6 +85,16 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return score_quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"), threshold=0.7)
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    found = compress_vectors(_table(spark, folder, "embeddings"), parts=16, entries=64, rounds=2)
+    digest = hashlib.sha256(found.flat().encode()).hexdigest()
+    # A sum of a label is one row, however many vectors have it; beyond 64 bits it is null.
+    total = F.sum(F.col("error").cast("decimal(38,0)")).try_cast("long")
+    labels = found.codes.groupBy("label").agg(total.alias("label_error")).withColumnRenamed("label", "of")
+    coded = found.codes.join(labels, F.col("label").eqNullSafe(F.col("of")))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
@@ -92,9 +106,44 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_vector_codes": op11_vector_codes,
 }
 
+
+def _codes_sql(parts: int, entries: int, rounds: int) -> str:
+    """Rounds of assignment and integer means, every distance computed."""
+    steps = [f"""
+        rows as (select row_number() over () as r, vec_id, label,
+            list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+            from embeddings
+            where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        cut as (select r, j, v[j * (len(v) // {parts}) + 1:(j + 1) * (len(v) // {parts})] as x
+            from rows, range({parts}) as t(j)),
+        firsts as (select r, row_number() over (order by vec_id) - 1 as e from rows),
+        book0 as (select j, e, x from cut join firsts using (r) where e < {entries})"""]
+    for n in range(rounds + 1):
+        steps.append(f"""
+        near{n} as (select r, j, any_value(c.x) as x, min(struct_pack(d := list_sum(list_transform(
+            list_zip(c.x, b.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint, e := e)) as best
+            from cut c join book{n} b using (j) group by r, j)""")
+        if n < rounds:
+            steps.append(f"""
+        sums{n} as (select j, best.e as e, i, sum(x[i]) as s, count(*)::hugeint as c
+            from near{n}, range(1, len(x) + 1) as t(i) group by all),
+        means{n} as (select j, e, list(((s - ((s % c) + c) % c) // c)::bigint order by i) as x from sums{n} group by j, e),
+        book{n + 1} as (select j, e, coalesce(m.x, b.x) as x from book{n} b left join means{n} m using (j, e))""")
+    return f"""
+        with {",".join(steps)},
+        digest as (select sha256(string_agg(array_to_string(x, ','), ',' order by j, e)) as codebooks_sha256 from book{rounds}),
+        coded as (select r, string_agg(printf('%02x', best.e::int), '' order by j) as code, sum(best.d)::bigint as error
+            from near{rounds} group by r)
+        select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256
+        from rows join coded using (r) cross join digest
+    """
+
+
 ORACLE: dict[str, str] = {
+    "op11_vector_codes": _codes_sql(16, 64, 2),
     "op4_source_mix": mix_sql(0.7, 0),
     "op6_shingle_join": r"""
         with recursive words as (
