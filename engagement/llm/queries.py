@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
+from .collocations import mine_collocations
 from .quality_rules import judge_quality
 from .rule_classifier import score_quality
 from .sentence_pieces import encode_pieces
@@ -95,6 +96,10 @@ def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     return coded.select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return mine_collocations(_table(spark, folder, "documents"), least=30, share=80, top=2000)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
@@ -107,6 +112,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_vector_codes": op11_vector_codes,
+    "op12_collocations": op12_collocations,
 }
 
 
@@ -144,6 +150,41 @@ def _codes_sql(parts: int, entries: int, rounds: int) -> str:
 
 ORACLE: dict[str, str] = {
     "op11_vector_codes": _codes_sql(16, 64, 2),
+    "op12_collocations": r"""
+        with pieces as (
+            select coalesce(lang, 'und') as lang, unnest(string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+            from documents
+        ),
+        words as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') as w from pieces),
+        totals as (select lang, sum(len(w))::bigint as n from words group by lang),
+        grams as (
+            select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase
+            from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from words, range(1, 5) as t(k))
+        ),
+        counts as (select lang, k, phrase, count(*) as a from grams group by all having count(*) >= 30),
+        cuts as (
+            select lang, k as words, phrase, a, cut, string_split(phrase, ' ') as w
+            from counts, range(1, 4) as t(cut) where k > 1 and cut < k
+        ),
+        scored as (
+            select c.lang, c.phrase, c.words, c.a, min(struct_pack(score := (2000000::hugeint * c.a // (l.a + r.a))::bigint, cut := cut, l := l.a, r := r.a)) as low
+            from cuts c join counts l on l.lang = c.lang and l.phrase = array_to_string(w[:cut], ' ')
+            join counts r on r.lang = c.lang and r.phrase = array_to_string(w[cut + 1:], ' ')
+            group by all
+        ),
+        kept as (
+            select * from scored s where not exists (
+                select 1 from counts x where x.lang = s.lang and x.k > s.words
+                and contains(' ' || x.phrase || ' ', ' ' || s.phrase || ' ') and 100::hugeint * x.a >= 80::hugeint * s.a)
+        ),
+        ranked as (
+            select lang, row_number() over (partition by lang order by low.score desc, a desc, phrase) as rank,
+                phrase, a, low.l as l, low.r as r, low.score as score
+            from kept
+        )
+        select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= 2000
+    """,
     "op4_source_mix": mix_sql(0.7, 0),
     "op6_shingle_join": r"""
         with recursive words as (
