@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..session import configure
 from .collocations import mine_collocations
+from .prefix_tree import REST, pack_conversations, read_back
 from .quality_rules import judge_quality
 from .rule_classifier import score_quality
 from .sentence_pieces import encode_pieces
@@ -100,6 +101,14 @@ def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return mine_collocations(_table(spark, folder, "documents"), least=30, share=80, top=2000)
 
 
+def op13_prefix_tree(spark: SparkSession, folder: str) -> DataFrame:
+    chats = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    added = [(-1, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+    chats = chats.unionByName(spark.createDataFrame(added, "conv_id long, turn long, role string, text string"))
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    return read_back(pack_conversations(chats, vocabulary), vocabulary)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
@@ -113,6 +122,7 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_vector_codes": op11_vector_codes,
     "op12_collocations": op12_collocations,
+    "op13_prefix_tree": op13_prefix_tree,
 }
 
 
@@ -150,6 +160,23 @@ def _codes_sql(parts: int, entries: int, rounds: int) -> str:
 
 ORACLE: dict[str, str] = {
     "op11_vector_codes": _codes_sql(16, 64, 2),
+    "op13_prefix_tree": rf"""
+        with chats as (
+            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+            union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+        ),
+        turns as (
+            select *, 32 + length(regexp_replace(role, '([<\[])(\\*)({REST})', '\1\\\2\3', 'g'))
+                + length(regexp_replace(text, '([<\[])(\\*)({REST})', '\1\\\2\3', 'g')) as chars
+            from chats
+        )
+        select conv_id, count(*) as n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+            sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
+            sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+            sum(chars)::bigint as formatted_chars
+        from turns group by conv_id
+    """,
     "op12_collocations": r"""
         with pieces as (
             select coalesce(lang, 'und') as lang, unnest(string_split_regex(
