@@ -25,9 +25,13 @@ TITLE = "|".join(t for titles in TITLES.values() for t in titles)
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Also with hyphens, apostrophes and inner capitals, but without the 's of a genitive.
 NAME = r"\p{Lu}(?:[\p{L}\p{M}]++|(?=['’-]\p{L}))(?:['’-](?!s(?![\p{L}\p{M}]))[\p{L}\p{M}]++)*+"
-#: Forms that are found first and that digits in groups stop at.
+#: Characters of the local part of an e-mail address.
+LOCAL = r"[A-Za-z0-9._%+-]"
+#: Forms that are found first and that digits in groups stop at. Java's matcher recurses for
+#: each turn of a repeated group, so what repeats without bound is one class of characters or
+#: possessive, and a run is entered at its start only, or where the last match ended.
 FORMS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": rf"(?:(?<!{LOCAL})|\G){LOCAL}++@(?=[A-Za-z0-9-])[A-Za-z0-9.-]*(?<!\.)\.[A-Za-z]{{2,}}",
     "ip": rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
     "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])"
     r"|(?<![0-9])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
@@ -74,6 +78,10 @@ ALPHABETS = (
     "αβγδεζηθικλμνξοπρστυφχψω",
     "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
 )
+#: Characters that one hash fills.
+BLOCK = 64
+#: Parts of the table of a text's entities, which is searched from its start.
+SLOTS = 256
 #: So many surrogates of the very form are proposed for an entity; later ones are longer.
 SAME_FORM = 3
 #: Consonants, vowels and the endings of given names by gender, for Latin and Cyrillic.
@@ -115,10 +123,6 @@ def card_pieces(run: Column) -> Column:
     has a right check digit takes its groups. What is left is tried in any groups.
     """
 
-    def bound(value: Column, use) -> Column:
-        """``use`` of a value that is computed once, not for each element of an array."""
-        return F.get(F.transform(F.array(value), use), F.lit(0))
-
     def marks(split: Column) -> Column:
         def marked(group: Column, i: Column) -> Column:
             mark = F.lit("")
@@ -160,17 +164,32 @@ class _Noise:
         return F.conv(self.hexadecimal.substr(place, F.lit(2)), 16, 10).cast("int")
 
 
-def filled(form: Column, noise: _Noise, skip: int = 0) -> Column:
-    """``form`` with its letters and digits drawn anew, each from its own alphabet."""
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, not for each element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def filled(form: Column, seed: Column) -> Column:
+    """``form`` with its letters and digits drawn anew, each from its own alphabet.
+
+    ``BLOCK`` characters share a hash, so a long form costs no more for each character
+    than a short one.
+    """
+
+    def block(text: Column, n: Column) -> Column:
+        def draw(noise: Column) -> Column:
+            def drawn(c: Column, i: Column) -> Column:
+                out = c
+                for letters in ALPHABETS:
+                    new = F.lit(letters).substr(_Noise(noise).at(i) % len(letters) + 1, F.lit(1))
+                    out = F.when(F.instr(F.lit(letters), c) > 0, new).otherwise(out)
+                return out
 
-    def draw(c: Column, i: Column) -> Column:
-        out = c
-        for letters in ALPHABETS:
-            new = F.lit(letters).substr(noise.at(i + skip) % len(letters) + 1, F.lit(1))
-            out = F.when(F.instr(F.lit(letters), c) > 0, new).otherwise(out)
-        return out
+            return F.array_join(F.transform(F.split(text, ""), drawn), "")
 
-    return F.when(form == "", "").otherwise(F.array_join(F.transform(F.split(form, ""), draw), ""))
+        return bound(F.sha2(F.concat_ws("\x1f", seed, n.cast("string")), 512), draw)
+
+    return F.array_join(F.transform(F.regexp_extract_all(form, F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0)), block), "")
 
 
 def spoken(noise: _Noise, script: str, syllables: Column, ending: str) -> Column:
@@ -230,30 +249,31 @@ def proposal(key: str, attempt: int) -> Column:
     """
     kind, entity = F.col("kind"), F.col("canon")
     more = max(0, attempt - SAME_FORM + 1)
-    blocks = F.sequence(F.lit(0), F.floor((F.length(entity) + more + 2 * attempt) / 32).cast("int") + 1)
+    blocks = F.sequence(F.lit(0), F.lit((more + 2 * attempt) // 32 + 1))
     seed = F.concat_ws("\x1f", F.lit(key), kind, entity, F.lit(str(attempt)))
     stream = F.array_join(F.transform(blocks, lambda b: F.sha2(F.concat_ws("\x1f", seed, b.cast("string")), 512)), "")
-    noise = _Noise(F.col("noise"))
+    noise, digest = _Noise(F.col("noise")), F.col("noise").substr(1, 128)
     grown = F.when(kind.isin("secret", "key"), "a" * more).otherwise("0" * more)
     canon = F.concat(entity, grown) if more else entity
     local, label = F.concat(F.substring_index(entity, "@", 1), F.lit("a" * more)), F.regexp_extract(entity, r"@([^.]+)", 1)
     top = F.lit("comnetorg").substr(noise.at(0) % 3 * 3 + 1, F.lit(3))
     # Names below example.com, .net and .org belong to nobody.
-    email = F.concat(filled(local, noise, 1), F.lit("@"), filled(label, noise, 1 + 24), F.lit(".example."), top)
+    email = F.concat(filled(local, digest), F.lit("@"), filled(label, F.concat(digest, F.lit("@"))), F.lit(".example."), top)
     octets = [noise.at(i).cast("string") for i in range(1, 4 + more)]
     ip = F.concat_ws(".", (noise.at(0) % 223 + 1).cast("string"), *octets)
-    body = F.concat(F.substring(canon, 1, 1), filled(canon.substr(F.lit(2), F.length(canon) - 2), noise))
+    rest = canon.substr(F.lit(2), F.length(canon))
+    body = F.concat(F.substring(canon, 1, 1), filled(canon.substr(F.lit(2), F.length(canon) - 2), digest))
     card = F.concat(body, ((10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
     number = F.length(F.ltrim(canon, F.lit("+")))
     code = F.length(canon) - F.when(canon.startswith("+") & (number > 10), 10 + more).otherwise(number - 1)
     lead = F.substring(F.lit("23456789"), 1, 8).substr(noise.at(0) % 8 + 1, F.lit(1))
-    phone = F.concat(canon.substr(F.lit(1), code), lead, filled(canon.substr(code + 2, F.length(canon)), noise, 1))
+    phone = F.concat(canon.substr(F.lit(1), code), lead, filled(canon.substr(code + 2, F.length(canon)), digest))
     out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone)
     # Areas from 900 on are given to nobody.
-    out = out.when(kind == "ssn", F.concat(F.lit("9"), filled(canon.substr(F.lit(2), F.length(canon)), noise)))
-    out = out.when(kind == "key", F.concat(F.substring(canon, 1, 4), filled(canon.substr(F.lit(5), F.length(canon)), noise)))
-    out = out.when(kind == "iban", F.concat(F.substring(canon, 1, 2), filled(canon.substr(F.lit(3), F.length(canon)), noise)))
-    out = out.when(kind == "secret", filled(canon, noise))
+    out = out.when(kind == "ssn", F.concat(F.lit("9"), filled(rest, digest)))
+    out = out.when(kind == "key", F.concat(F.substring(canon, 1, 4), filled(canon.substr(F.lit(5), F.length(canon)), digest)))
+    out = out.when(kind == "iban", F.concat(F.substring(canon, 1, 2), filled(canon.substr(F.lit(3), F.length(canon)), digest)))
+    out = out.when(kind == "secret", filled(canon, digest))
     for script, (_, _, endings) in SYLLABLES.items():
         # Each further attempt has one syllable more, so there are always names left.
         fits = entity.rlike(r"\p{IsCyrillic}") if script == "cyrillic" else F.lit(True)
@@ -310,26 +330,56 @@ def worn(name: Column, surrogate: Column) -> Column:
     return F.when(capitals, F.upper(surrogate)).otherwise(surrogate)
 
 
+def slot(value: Column) -> Column:
+    return F.pmod(F.xxhash64(value), F.lit(SLOTS))
+
+
+def table_of(rows: DataFrame, name: str, value: str, out: str) -> DataFrame:
+    """doc_id, pii__mark, and ``out``: a map by slot of maps from ``name`` to ``value``."""
+    own = rows.withColumn("slot", slot(F.col(name))).groupBy("doc_id", "pii__mark", "slot")
+    own = own.agg(F.map_from_entries(F.collect_list(F.struct(name, value))).alias("own"))
+    whole = F.map_from_entries(F.collect_list(F.struct("slot", "own")))
+    return own.groupBy("doc_id", "pii__mark").agg(whole.alias(out))
+
+
+def looked_up(table: str, name: Column) -> Column:
+    return F.try_element_at(F.try_element_at(table, slot(name)), name)
+
+
 def with_mentions(named: DataFrame) -> DataFrame:
     """doc_id, pii__mark, and of the names found in this text: pii__pattern, which matches
     them or what ``PATTERN`` does, and pii__names, their surrogates by lower case.
 
-    A word that is a given and a family name counts as the given one.
+    A word that is a given and a family name counts as the given one. The pattern branches
+    by the first and second letter, so that a place is compared with few of many names.
     """
+    key = ["doc_id", "pii__mark"]
     names = named.where("is = 'person'").withColumn("name", F.get(F.split("piece", " "), F.col("part") + F.size(F.split("piece", " ")) - F.col("n_parts")))
-    names = names.groupBy("doc_id", "pii__mark", "canon").agg(
-        F.collect_set("name").alias("names"), F.max_by("surrogate", "kind").alias("surrogate")
-    )
-    out = names.groupBy("doc_id", "pii__mark").agg(
-        F.flatten(F.collect_list("names")).alias("names"),
-        F.map_from_entries(F.collect_list(F.struct("canon", "surrogate"))).alias("pii__names"),
+    names = names.groupBy(*key, "canon").agg(F.collect_set("name").alias("names"), F.max_by("surrogate", "kind").alias("surrogate"))
+    words = names.select(*key, F.explode("names").alias("name"))
+    letters = {f"letter{i}": F.lower(F.substring("name", i, 1)) for i in (1, 2)}
+    words = words.withColumns(letters | {"one": F.substring("name", 1, 1), "two": F.substring("name", 2, 1)})
+    words = words.withColumn("rest", F.expr("substring(name, 3)"))
+
+    def either(first: str, then: str) -> Column:
+        """Longer alternatives first; names hold no signs of patterns."""
+        every = F.collect_set(F.struct(F.length(then).alias("n"), F.col(then).alias("of")))
+        ways = F.array_join(F.transform(F.reverse(F.array_sort(every)), lambda w: w["of"]), "|")
+        return F.concat(F.min(first), F.lit("(?:"), ways, F.lit(")"))
+
+    ways = words.groupBy(*key, "letter1", "letter2").agg(F.min("one").alias("one"), either("two", "rest").alias("way"))
+    # A name of one letter has no second one: it comes after those that begin with it.
+    last = F.when(F.col("letter2") == "", 0).otherwise(1).alias("n")
+    ways = ways.groupBy(*key, "letter1").agg(
+        F.concat(F.min("one"), F.lit("(?:"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(last, "way")), False), lambda w: w["way"]), "|"), F.lit(")")).alias("way")
     )
-    # Of two names that begin alike the longer one is tried first; names hold no signs of patterns.
-    longest = F.reverse(F.array_sort(F.transform("names", lambda n: F.struct(F.length(n).alias("n"), n.alias("name")))))
-    words = F.array_join(F.transform(longest, lambda n: n["name"]), "|")
+    ways = ways.groupBy(*key).agg(F.array_join(F.collect_list("way"), "|").alias("ways"))
     edge = r"[\p{L}\p{M}\p{N}_]"
-    mention = F.concat(F.lit(rf"|(?<!{edge})(?=\p{{Lu}})(?iu:"), words, F.lit(rf")(?!{edge})"))
-    return out.select("doc_id", "pii__mark", F.concat(F.lit(PATTERN), mention).alias("pii__pattern"), "pii__names")
+    mention = F.concat(F.lit(rf"|(?<!{edge})(?=\p{{Lu}})(?iu:"), "ways", F.lit(rf")(?!{edge})"))
+    pattern = ways.select(F.col("doc_id").alias("of"), F.col("pii__mark").alias("same"), F.concat(F.lit(PATTERN), mention).alias("pii__pattern"))
+    held = table_of(names, "canon", "surrogate", "pii__names")
+    met = held.join(pattern, held["doc_id"].eqNullSafe(pattern["of"]) & (held["pii__mark"] == pattern["same"]))
+    return met.select("doc_id", "pii__mark", "pii__pattern", "pii__names")
 
 
 def replacement(surface: Column, kind: Column, parts: Column) -> Column:
@@ -394,9 +444,7 @@ def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("place", "new"))).alias("put"), F.count("is").cast("int").alias("n")
     )
     put = put.withColumn("put", F.struct(F.array_join(F.transform("put", lambda p: p["new"]), "").alias("new"), "n"))
-    by_text = put.groupBy("doc_id", "pii__mark").agg(
-        F.map_from_entries(F.collect_list(F.struct("surface", "put"))).alias("pii__map")
-    )
+    by_text = table_of(put, "surface", "put", "pii__map")
     both = by_text["doc_id"].eqNullSafe(F.col("m.doc_id")) & (by_text["pii__mark"] == F.col("m.pii__mark"))
     by_text = by_text.join(with_mentions(named).alias("m"), both, "left").select(
         by_text["doc_id"].alias("pii__id"), by_text["pii__mark"].alias("pii__same"), "pii__map", "pii__pattern", "pii__names"
@@ -408,13 +456,13 @@ def replace_personal_data(docs: DataFrame, key: str) -> DataFrame:
     )
 
     def mentioned(m: Column) -> Column:
-        return worn(m, F.try_element_at("pii__names", F.lower(m)))
+        return worn(m, looked_up("pii__names", F.lower(m)))
 
     put = F.transform(
         "pii__matches",
-        lambda m, i: F.concat(F.get("pii__between", i), F.coalesce(F.try_element_at("pii__map", m)["new"], mentioned(m), m)),
+        lambda m, i: F.concat(F.get("pii__between", i), F.coalesce(looked_up("pii__map", m)["new"], mentioned(m), m)),
     )
-    places = F.transform("pii__matches", lambda m: F.coalesce(F.try_element_at("pii__map", m)["n"], mentioned(m).isNotNull().cast("int")))
+    places = F.transform("pii__matches", lambda m: F.coalesce(looked_up("pii__map", m)["n"], mentioned(m).isNotNull().cast("int")))
     changed = F.aggregate(places, F.lit(0), lambda a, b: a + b)
     held = held.withColumn("text", F.concat(F.array_join(put, ""), F.element_at("pii__between", -1)))
     names = [c for c in docs.columns if c != "pii__found"]

@@ -107,6 +107,62 @@ def test_surrogates_odd_rows(spark):
     assert replace_personal_data(table(spark, []), "key").count() == 0
 
 
+@pytest.mark.parametrize(
+    "name, text, hit",
+    [
+        ("word", "x" * 1_000_000 + " 10.1.2.3", "10.1.2.3"),
+        ("word with an at sign", "x" * 500_000 + "@" + "y" * 500_000 + " 10.1.2.3", "10.1.2.3"),
+        ("labels", "a@" + "b." * 500_000 + "com", "@" + "b." * 20),
+        ("labels without an end", "a@" + "b." * 500_000 + " 10.1.2.3", "10.1.2.3"),
+        ("dots", "a" + "." * 500_000 + " a@" + "." * 500_000 + " 10.1.2.3", "10.1.2.3"),
+        ("secret", "token=" + "aB3_" * 100_000, "aB3_aB3_"),
+        ("local part", "q7" * 200_000 + "@mail.example.com", "q7q7q7"),
+        ("hyphens", "Mr Anna" + "-Ab" * 100_000 + " came", "Anna"),
+        ("hyphens only", "Mr A" + "-" * 100_000 + " 10.1.2.3", "10.1.2.3"),
+        ("digits", "9" * 1_000_000 + " 10.1.2.3", "10.1.2.3"),
+        ("groups", "1 " * 200_000 + "10.1.2.3", "10.1.2.3"),
+        ("titles", "Mr. " * 200_000 + "10.1.2.3", "10.1.2.3"),
+    ],
+)
+def test_surrogates_of_long_runs(spark, name, text, hit):
+    found, n = replaced(spark, text)
+    assert hit in text and hit not in found[0] and n[0] >= 1, name
+
+
+def test_many_entities_of_one_text(spark):
+    names = [f"N{a}{b}{c}" for a in "abcdefghijklmnopqrst" for b in "aeiouwyzxv" for c in "bcdfghjklmnpqrstvwxzaeiou"]
+    text = " ".join(f"Herr {name} und {name.upper()}" for name in names) + " " + " ".join(f"u{i}@h{i % 9}.com" for i in range(20_000))
+    found, n = replaced(spark, text)
+    assert n == [2 * len(names) + 20_000] and len(names) == 5000
+    words = found[0].split(" ")
+    given = {w for w in words if w not in ("Herr", "und")}
+    assert not given & set(names) and len(given) == 2 * len(names) + 20_000
+
+
+#: The forms in plain Python, without the library's patterns.
+def plain_entities(text):
+    mails = re.findall(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", text)
+    rest = re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", " ", text)
+    addresses = [a for a in re.findall(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)", rest) if all(int(x) < 256 and str(int(x)) == x for x in a.split("."))]
+    cards = [c for c in re.findall(r"(?<![\d+ -])\d{4}(?:[ -]?\d{4}){3}(?![\d-])", rest) if luhn(re.sub(r"\D", "", c))]
+    return [*mails, *addresses, *cards, *re.findall(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", rest), *re.findall(r"\bAKIA[0-9A-Z]{16}\b", rest)]
+
+
+def test_whole_table_has_no_entity_left(spark, folder):
+    docs = spark.read.parquet(f"{folder.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "source", "text")
+    before = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    after = {r["doc_id"]: (r["text"] or "", r["n_replaced"]) for r in replace_personal_data(docs, "key").collect()}
+    seen = {i: plain_entities(text) for i, text in before.items()}
+    assert sum(map(len, seen.values())) > 20 and after.keys() == before.keys()
+    real = {e for own in seen.values() for e in own}
+    for i, own in seen.items():
+        text, n = after[i]
+        assert n >= len(own) and not any(e in text for e in own)
+        assert not real & set(plain_entities(text))
+        if n == 0:
+            assert text == before[i]
+
+
 def test_collisions_are_resolved(spark):
     # Names of one or two syllables would collide; every entity still gets its own.
     entities = spark.range(3000).selectExpr("'given_f' as kind", "concat('n', id) as canon")
