@@ -25,7 +25,7 @@ from .ship import ship
 from .words import mix
 
 #: Bytes of text counted together; a piece is never cut, so a longer piece makes more.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: Bytes of text for each task that adds up counts.
 BUCKET = 16 << 20
 #: Bits of the map of frequent pairs: 8 MB, whatever the corpus.
@@ -237,7 +237,7 @@ def _add(least: int):
 
 
 def _counted(texts: DataFrame, buckets: int, least: int, filtered=None) -> DataFrame:
-    runs = texts.mapInArrow(_runs(4 * buckets, filtered), RUN)
+    runs = texts.mapInArrow(_runs(8 * buckets, filtered), RUN)
     # Every run of a bucket comes from another block; a hot phrase is one line in each.
     dealt = runs.repartition(buckets, "bucket").sortWithinPartitions("bucket", "lang", "words")
     return stored(dealt.mapInArrow(_add(least), COUNT))
