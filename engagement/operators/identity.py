@@ -4,6 +4,10 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, scratch_path
+from .conflicts import components, fold_entries, fold_updates, numbered, small_parts
+
+#: Rounds over all open rows before what is left is looked at group by group.
+ROUNDS_FIRST = 2
 
 
 def identity_keys(contents: DataFrame, id_col="id", carry=()) -> DataFrame:
@@ -76,6 +80,8 @@ def rejected_ids(contents: DataFrame, id_col="id") -> DataFrame:
 
     Keys nobody else holds (by far the most) are left out before the first round, by an
     aggregation over hashes. A hash shared by two keys only lets a few of them through.
+    After ``ROUNDS_FIRST`` rounds, which settle all but chains, what is open is cut into
+    groups, and all small ones are walked at once; rounds go on for large groups only.
     """
     held = identity_keys(contents, id_col)
     contested = held.groupBy("hash").agg(F.count("*").alias("rows")).filter("rows > 1")
@@ -91,32 +97,55 @@ def rejected_ids(contents: DataFrame, id_col="id") -> DataFrame:
         f"{rounds}/round={done}",
     )
     while remaining.get["rows"]:
-        entries = settled.filter("verdict is null").select(
-            "id", F.size("keys").alias("holds"), F.explode("keys").alias("key")
-        )
-        first = entries.groupBy("key").agg(
-            F.min("id").alias("winner"), F.min_by("holds", "id").alias("holds")
-        )
-        accepted = (
-            first.groupBy("winner", "holds")
-            .agg(F.collect_list("key").alias("keys"))
-            .filter("size(keys) = holds")
-        )
-        taken = accepted.select("winner", F.explode("keys").alias("key"))
-        verdict = F.when(F.bool_or(F.col("winner") == F.col("id")), "accepted").when(
-            F.count("winner") > 0, "refused"
-        )
+        opened = settled.filter("verdict is null")
+        walk = _walk_groups if done == ROUNDS_FIRST else _settle_first
         done, remaining = done + 1, Observation()
         settled = cut_lineage(
-            entries.join(taken, "key", "left")
-            .groupBy("id")
-            .agg(F.collect_list("key").alias("keys"), verdict.alias("verdict"))
-            .observe(remaining, F.count_if(F.col("verdict").isNull()).alias("rows")),
+            walk(opened).observe(remaining, F.count_if(F.col("verdict").isNull()).alias("rows")),
             f"{rounds}/round={done}",
         )
     return spark.read.schema(settled.schema).parquet(rounds).filter("verdict = 'refused'").select("id")
 
 
+def _settle_first(opened: DataFrame) -> DataFrame:
+    """One round: accepts rows that come first on all their keys, refuses who shares one."""
+    entries = opened.select("id", F.size("keys").alias("holds"), F.explode("keys").alias("key"))
+    first = entries.groupBy("key").agg(F.min("id").alias("winner"), F.min_by("holds", "id").alias("holds"))
+    accepted = (
+        first.groupBy("winner", "holds")
+        .agg(F.collect_list("key").alias("keys"))
+        .filter("size(keys) = holds")
+    )
+    taken = accepted.select("winner", F.explode("keys").alias("key"))
+    verdict = F.when(F.bool_or(F.col("winner") == F.col("id")), "accepted").when(
+        F.count("winner") > 0, "refused"
+    )
+    return (
+        entries.join(taken, "key", "left")
+        .groupBy("id")
+        .agg(F.collect_list("key").alias("keys"), verdict.alias("verdict"))
+    )
+
+
+def _walk_groups(opened: DataFrame) -> DataFrame:
+    """Settles all rows but those of large groups."""
+    entries = opened.select("id", F.explode("keys").alias("key"))
+    shared = entries.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b")
+    shared = cut_lineage(entries.join(numbered(shared), "key").select(F.col("id").alias("row"), F.col("number").alias("key")))
+    rows = components(shared).join(shared.groupBy("row").agg(F.collect_list("key").alias("keys")), "row")
+    rows = cut_lineage(rows.select("part", F.col("row").alias("id"), "keys"))
+    small = small_parts(rows.select("part", (F.size("keys") + 1).alias("entries")))
+    rows = rows.join(small, "part")
+    folded = fold_entries(rows.filter("small").drop("small"))
+    verdict = F.when(F.col("refused"), "refused").otherwise("accepted")
+    decided = folded.select("id", verdict.alias("verdict")).unionByName(
+        rows.filter("not small").select("id", F.lit(None).cast("string").alias("verdict"))
+    )
+    # A row that shares no key with an open one is first on all of them.
+    alone = opened.select("id", "keys").join(decided.withColumn("met", F.lit(True)), "id", "left")
+    return alone.select("id", "keys", F.when(F.col("met"), F.col("verdict")).otherwise("accepted").alias("verdict"))
+
+
 def refused_updates(claims: DataFrame, stored: DataFrame) -> DataFrame:
     """``seq`` of updates that claim a key another row holds when their turn comes.
 
@@ -126,25 +155,64 @@ def refused_updates(claims: DataFrame, stored: DataFrame) -> DataFrame:
     effect in id order. An accepted one gives its target the claimed keys and sets free
     those the target had.
 
+    Only contested keys matter: claimed for one row, and claimed for or held by another. A
+    key of a row that no update changes refuses all claims at once. What is left falls
+    into groups of rows that share contested keys. Small groups are walked in id order, all
+    at once, so a row updated many times or a chain of renamings costs one pass; rounds
+    (``_take_turns``) are for groups with more than ``conflicts.FOLD`` entries. The stored
+    table is first cut down to the key hashes of the batch, and keys are numbers from then on.
+    """
+    spark = claims.sparkSession
+    path = scratch_path(spark, "updates")
+    hashed = claims.filter("key is not null").withColumn("hash", F.xxhash64("key"))
+    wanted = cut_lineage(hashed.select("hash").distinct())
+    held = stored.select(F.col("id").alias("row"), "key").withColumn("hash", F.xxhash64("key"))
+    held = cut_lineage(held.join(wanted, "hash", "left_semi").select("row", "key").distinct())
+    touched = hashed.select("key", F.col("target").alias("row")).unionByName(held.select("key", "row"))
+    contested = touched.groupBy("key").agg(F.min("row").alias("a"), F.max("row").alias("b")).filter("a <> b")
+    contested = numbered(contested)
+    numbers = ["id", "target", F.col("number").alias("key")]
+    wants = cut_lineage(hashed.join(contested, "key").select(*numbers).distinct())
+    holds = cut_lineage(held.join(contested, "key").select("row", F.col("number").alias("key")))
+    updates = claims.select("id", F.col("target").alias("row")).distinct()
+    changing = updates.select("row").distinct()
+    fixed = holds.join(changing, "row", "left_anti").groupBy("key")
+    fixed = fixed.agg(F.min("row").alias("a"), F.max("row").alias("b"))
+    hopeless = wants.join(fixed, "key").filter("a <> target or b <> target")
+    hopeless = cut_lineage(hopeless.select("id").distinct(), f"{path}/round=0")
+    wants = wants.join(hopeless, "id", "left_anti")
+    moving = holds.join(changing, "row", "left_semi")
+    parts = components(wants.select(F.col("target").alias("row"), "key").unionByName(moving))
+    keys = wants.groupBy("id").agg(F.collect_list("key").alias("keys"))
+    turns = updates.join(parts, "row").join(hopeless, "id", "left_anti").join(keys, "id", "left")
+    none = F.expr("cast(array() as array<bigint>)")
+    turns = cut_lineage(turns.select("part", "id", F.col("row").alias("target"), F.coalesce("keys", none).alias("keys")))
+    start = cut_lineage(moving.join(parts, "row").select("part", "row", "key"))
+    sizes = turns.select("part", (F.size("keys") + 1).alias("entries")).union(start.select("part", F.lit(1)))
+    small = cut_lineage(small_parts(sizes))
+    is_small, is_large = small.filter("small").select("part"), small.filter("not small").select("part")
+    folded = fold_updates(turns.join(is_small, "part"), start.join(is_small, "part"))
+    cut_lineage(folded, f"{path}/round=1")
+    if not is_large.isEmpty():
+        opened = turns.join(is_large, "part").select("id", "target", F.explode_outer("keys").alias("key"))
+        holdings = start.join(is_large, "part").select(F.col("row").alias("holder"), "key")
+        _take_turns(opened, holdings, path)
+    refused = spark.read.schema("id bigint, round int").parquet(path)
+    return refused.select(F.col("id").alias("seq"))
+
+
+def _take_turns(opened: DataFrame, holdings: DataFrame, path: str) -> None:
+    """Writes the ids of refused updates, round by round from the second.
+
     An update reads and writes its target, the keys it claims and the keys its target
     holds. Each round settles every update that comes first on all of these, and refuses
     every update with a key whose holder no earlier open update can change, so that a key
     wanted by a third of all updates is settled in two rounds. A round is aggregations and
     key joins over open updates and the holdings they meet; it settles at least the first
     open update, and rounds are as many as the longest chain of updates that wait for each
-    other (for one row updated many times, as many as these that claim keys).
+    other.
     """
-    spark = claims.sparkSession
-    rounds = scratch_path(spark, "updates")
-    opened = cut_lineage(claims.select("id", "target", "key").distinct())
-    wanted = cut_lineage(opened.filter("key is not null").select("key").distinct())
-    targets = cut_lineage(opened.select(F.col("target").alias("holder")).distinct())
-    held = stored.select(F.col("id").alias("holder"), "key").distinct()
-    # Only rows that are updated, or hold a wanted key, ever matter.
-    changing, contested = held.join(targets, "holder", "left_semi"), held.join(wanted, "key", "left_semi")
-    holdings = cut_lineage(changing.unionByName(contested).distinct())
-    done = 0
-    cut_lineage(opened.select("id").limit(0), f"{rounds}/round={done}")
+    opened, holdings, done = cut_lineage(opened), cut_lineage(holdings), 1
     while not opened.isEmpty():
         updates = opened.select("id", "target").distinct()
         keyed = opened.filter("key is not null")
@@ -158,7 +226,7 @@ def refused_updates(claims: DataFrame, stored: DataFrame) -> DataFrame:
         next_change = turn.select(F.col("target").alias("holder"), "turn")
         fixed = others.join(next_change, "holder", "left").filter("turn is null or turn >= id").select("id").distinct()
         done += 1
-        refused = cut_lineage(fixed, f"{rounds}/round={done}")
+        refused = cut_lineage(fixed, f"{path}/round={done}")
         ready = updates.join(waits, "id", "left_anti").join(refused, "id", "left_anti")
         accepted = cut_lineage(ready.join(others.select("id"), "id", "left_anti"))
         settled = accepted.select("id").union(refused)
@@ -166,8 +234,6 @@ def refused_updates(claims: DataFrame, stored: DataFrame) -> DataFrame:
         changed = accepted.select(F.col("target").alias("holder"))
         holdings = cut_lineage(holdings.join(changed, "holder", "left_anti").unionByName(gained))
         opened = cut_lineage(opened.join(settled, "id", "left_anti"))
-    refused = spark.read.schema("id bigint, round int").parquet(rounds)
-    return refused.select(F.col("id").alias("seq"))
 
 
 def deduplicate(contents: DataFrame, id_col="id") -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from engagement.operators import conflicts, identity
 from engagement.operators.identity import (
     deduplicate,
     deduplicate_incoming,
@@ -172,3 +173,78 @@ def test_updates_equal_one_after_the_other(spark, seed):
     # Many want one key.
     updates += [(100 + n, r.randrange(8), {"hot"}) for n in range(10)]
     assert refused(spark, updates, stored) == walk(updates, stored)
+
+
+@pytest.mark.parametrize("limit", [0, 12, 10**6])
+@pytest.mark.parametrize("seed", range(2))
+def test_updates_are_settled_alike_in_folds_and_rounds(spark, monkeypatch, limit, seed):
+    monkeypatch.setattr(conflicts, "FOLD", limit)
+    r = random.Random(seed)
+    keys = [f"k{i}" for i in range(30)]
+    stored = {row: set(r.sample(keys, r.randint(0, 2))) for row in range(24)}
+    # Rows from 18 on are never changed.
+    updates = [(n, r.randrange(18), set(r.sample(keys, r.randint(0, 2)))) for n in range(60)]
+    assert refused(spark, updates, stored) == walk(updates, stored)
+
+
+def no_rounds(*_):
+    raise AssertionError("a round")
+
+
+def test_a_row_updated_a_thousand_times_takes_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(identity, "_take_turns", no_rounds)
+    monkeypatch.setattr(conflicts, "FOLD", 4000)
+    stored = {1: {"a0"}, 2: {"b"}, 3: {"c"}}
+    updates = [(n, 1, {f"a{n % 7}"}) for n in range(1000)] + [(2000, 2, {"a5"}), (2001, 3, {"a6"}), (2002, 1, {"b"})]
+    updates += [(1000 + n, 2, {f"a{n % 9}"}) for n in range(300)]
+    assert refused(spark, updates, stored) == walk(updates, stored)
+
+
+def test_a_key_of_an_unchanged_row_refuses_at_once(spark, monkeypatch):
+    monkeypatch.setattr(identity, "_take_turns", no_rounds)
+    stored = {0: {"hot"}} | {n: {f"k{n}"} for n in range(1, 3000)}
+    updates = [(n, n, {"hot" if n % 3 == 0 else f"k{n}"}) for n in range(1, 3000)]
+    assert refused(spark, updates, stored) == {n for n in range(1, 3000) if n % 3 == 0}
+
+
+def test_many_chains_are_walked_at_once(spark, monkeypatch):
+    rounds = []
+    settle = identity._settle_first
+    monkeypatch.setattr(identity, "_settle_first", lambda opened: rounds.append(1) or settle(opened))
+    chains = spark.range(10_000 * 50).selectExpr(
+        "id", "'p' as platform", "concat('u', id div 50, '-', (id % 50) div 2) as content_url", "'' as canonical_url",
+        "concat('x', id div 50, '-', (id % 50 + 1) div 2) as platform_content_id",
+    )
+    found = deduplicate(chains).groupBy((F.col("id") % 50).alias("place")).agg(
+        F.count_if("accepted").alias("accepted"), F.count("*").alias("rows")
+    )
+    assert {(r["place"], r["accepted"]) for r in found.collect()} == {(n, 10_000 * (n % 2 == 0)) for n in range(50)}
+    assert len(rounds) == identity.ROUNDS_FIRST
+
+
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_rows_are_settled_alike_in_folds_and_rounds(spark, monkeypatch, limit):
+    monkeypatch.setattr(conflicts, "FOLD", limit)
+    monkeypatch.setattr(identity, "ROUNDS_FIRST", 0)
+    draw = random.Random(3)
+    rows = [(n, "p", f"u{draw.randrange(70)}", draw.choice(["", f"c{draw.randrange(70)}"]), "") for n in draw.sample(range(1000), 120)]
+    assert decided(deduplicate(spark.createDataFrame(rows, LAYOUT))) == one_by_one(rows)
+
+
+def test_components(spark):
+    draw = random.Random(5)
+    rows = [(draw.randrange(200), draw.randrange(150)) for _ in range(160)] + [(1000 + n, 500 + n // 2) for n in range(40)]
+    rows += [(1000 + n, 700 + (n + 1) // 2) for n in range(40)]
+    found = {r["row"]: r["part"] for r in conflicts.components(spark.createDataFrame(rows, "row bigint, key bigint")).collect()}
+    part = {row: row for row, _ in rows}
+    while True:
+        least = {}
+        for row, key in rows:
+            least[key] = min(least.get(key, row), part[row])
+        after = {row: min(least[k] for r, k in rows if r == row) for row in part}
+        if after == part:
+            break
+        part = after
+    alone = {row for row in part if sum(p == part[row] for p in part.values()) == 1}
+    assert found == {row: p for row, p in part.items() if row not in alone}
+    assert conflicts.components(spark.createDataFrame([], "row bigint, key bigint")).count() == 0
