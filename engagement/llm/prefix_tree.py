@@ -13,12 +13,13 @@ are one. Places are sums within range partitions plus the sums of the partitions
 a tree that a third of all conversations share is spread over many tasks.
 """
 
+import base64
 import hashlib
-import os
 import re
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,7 @@ REST = r"\|im_(?:start|sep|end)\|>|\|endoftext\|>|/?s>|/?INST\]|</?SYS>>"
 LEARNED = "assistant"
 _PLAIN = re.compile(rf"([<\[])(\\*)({REST})")
 _ESCAPED = re.compile(rf"([<\[])\\(\\*)({REST})")
+_BLANK = re.compile(r"\s{500,}")
 
 
 def escape(text: str) -> str:
@@ -48,38 +50,59 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1\2\3", text)
 
 
+@dataclass(frozen=True)
+class Vocabulary:
+    """A byte-level vocabulary: a file of ranks, which every executor has at that place, and
+    the pattern that cuts texts into what is merged."""
+
+    path: str
+    pattern: str
+
+
 class Template:
     """Turns to tokens and back; the three marks are ids beyond the vocabulary."""
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    def __init__(self, vocabulary: Vocabulary):
+        import tiktoken
 
-        self.tokenizer = Tokenizer.from_file(path)
-        # Special strings inside texts are ordinary text.
-        self.tokenizer.encode_special_tokens = True
-        first = self.tokenizer.get_vocab_size()
+        with open(vocabulary.path, "rb") as lines:
+            ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
+        self.encoding = tiktoken.Encoding("own", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens={})
+        first = max(ranks.values()) + 1
         self.start, self.middle, self.end = first, first + 1, first + 2
-
-    def encode(self, role: str, text: str) -> tuple[list[int], int, int]:
+        #: Tokens are stored as little-endian unsigned integers of this kind.
+        self.kind = np.dtype("<u2" if self.end < 1 << 16 else "<u4")
+
+    def tokens(self, text: str) -> list[int]:
+        """The library's pattern recurses over long white space, so that is merged apart."""
+        out, at = [], 0
+        for blank in _BLANK.finditer(text):
+            # The last one belongs to what follows.
+            end = blank.end() - (blank.end() < len(text))
+            out += self.encoding.encode_ordinary(text[at : blank.start()])
+            out += self.encoding._encode_single_piece(text[blank.start() : end].encode())
+            at = end
+        return out + self.encoding.encode_ordinary(text[at:])
+
+    def encode(self, role: str, text: str) -> tuple[np.ndarray, int, int]:
         """Tokens of a turn, and from where to where they are learned."""
-        head, body = (self.tokenizer.encode(escape(x), add_special_tokens=False).ids for x in (role, text))
-        tokens = [self.start, *head, self.middle, *body, self.end]
+        head, body = self.tokens(escape(role)), self.tokens(escape(text))
         first = len(head) + 2
+        tokens = np.array([self.start, *head, self.middle, *body, self.end], dtype=self.kind)
         return tokens, first, first + len(body) if role == LEARNED else first
 
-    def text(self, tokens: list[int]) -> str:
-        return self.tokenizer.decode(tokens, skip_special_tokens=False) if tokens else ""
+    def text(self, tokens: np.ndarray) -> str:
+        return self.encoding.decode_bytes(tokens.tolist()).decode()
 
-    def decode(self, tokens: list[int]) -> tuple[str, str]:
+    def decode(self, tokens: np.ndarray) -> tuple[str, str]:
         """Role and text of a turn, as they stand in the output."""
-        middle = tokens.index(self.middle)
+        middle = int((tokens == self.middle).argmax())
         return self.text(tokens[1:middle]), self.text(tokens[middle + 1 : -1])
 
 
 @lru_cache(maxsize=2)
-def _template(path: str) -> Template:
-    return Template(path)
+def _template(vocabulary: Vocabulary) -> Template:
+    return Template(vocabulary)
 
 
 def _rows(batches, names):
@@ -121,19 +144,19 @@ def _chain(batches):
     yield from _sent(chained(), CHAIN)
 
 
-NODE = pa.schema([("node", pa.binary()), ("parent", pa.binary()), ("depth", pa.int32()), ("n_tokens", pa.int64()), ("loss_first", pa.int32()), ("loss_last", pa.int32()), ("tokens", pa.list_(pa.int32()))])
+NODE = pa.schema([("node", pa.binary()), ("parent", pa.binary()), ("depth", pa.int32()), ("n_tokens", pa.int64()), ("loss_first", pa.int32()), ("loss_last", pa.int32()), ("tokens", pa.binary())])
 
 
-def _tokenize(path: str):
+def _tokenize(vocabulary: Vocabulary):
     def tokenize(batches):
-        template = _template(path)
+        template = _template(vocabulary)
 
         def nodes():
             for node, parent, depth, role, text in _rows(batches, ("node", "parent", "depth", "role", "text")):
                 tokens, first, last = template.encode(role, text)
-                yield node, parent, depth, len(tokens), first, last, tokens
+                yield node, parent, depth, len(tokens), first, last, tokens.tobytes()
 
-        yield from _sent(nodes(), NODE, 256)
+        yield from _sent(nodes(), NODE)
 
     return tokenize
 
@@ -219,13 +242,14 @@ class Packed:
     turns: DataFrame  #: conv_id, place, tree, offset
 
 
-def pack_conversations(conversations: DataFrame, path: str) -> Packed:
+def pack_conversations(conversations: DataFrame, vocabulary: Vocabulary) -> Packed:
     """The conversations (conv_id, turn, role, text, ...) as packed prefix trees.
 
     ``nodes`` lie by tree and offset, and their tokens one after the other are the tree's
     sequence. ``attend`` has the intervals (first, last, exclusive) of the sequence that a
     node's tokens see, the last one ending with the node itself, inside which attention is
-    causal. ``loss_first`` to ``loss_last`` (exclusive, within the node) are the tokens of
+    causal. ``tokens`` are unsigned integers of 16 bits, or of 32 for a vocabulary that needs
+    them, in little-endian order. ``loss_first`` to ``loss_last`` (exclusive, within the node) are the tokens of
     an assistant's text. ``turns`` tells for each conversation and its places from 0 which
     node is its turn.
 
@@ -233,8 +257,7 @@ def pack_conversations(conversations: DataFrame, path: str) -> Packed:
     are turns of their own. A null role or text counts as empty, rows with a null conv_id
     are one conversation. Very long texts are one node; a worker holds one conversation's
     running digest and a few turns, not the conversation. An empty table gives empty tables;
-    other columns are ignored. ``path`` names a byte-level vocabulary that every executor
-    has at that place.
+    other columns are ignored.
     """
     ship(conversations.sparkSession)
     rows = conversations.select(
@@ -246,8 +269,8 @@ def pack_conversations(conversations: DataFrame, path: str) -> Packed:
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     chain = stored(rows.mapInArrow(_chain, "conv_id long, place int, node binary, parent binary, role string, text string"))
     once = chain.withColumnRenamed("place", "depth").select("node", "parent", "depth", "role", "text").dropDuplicates(["node"])
-    kind = "node binary, parent binary, depth int, n_tokens long, loss_first int, loss_last int, tokens array<int>"
-    nodes = stored(once.mapInArrow(_tokenize(path), kind))
+    kind = "node binary, parent binary, depth int, n_tokens long, loss_first int, loss_last int, tokens binary"
+    nodes = stored(once.mapInArrow(_tokenize(vocabulary), kind))
     forks = nodes.where("parent is not null").groupBy("parent").agg(F.count("*").alias("children"))
     forks = forks.where("children > 1").select(F.col("parent").alias("fork"))
     known = nodes.select("node", "parent", "n_tokens").join(forks, F.col("parent") == F.col("fork"), "left")
@@ -276,11 +299,11 @@ def pack_conversations(conversations: DataFrame, path: str) -> Packed:
 READ = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
 
-def _read(path: str):
+def _read(vocabulary: Vocabulary):
     """Digests of conversations from their tokens, sorted by conversation and place."""
 
     def read(batches):
-        template = _template(path)
+        template = _template(vocabulary)
         marks = len(START) + len(MIDDLE) + len(END)
 
         def conversations():
@@ -290,6 +313,7 @@ def _read(path: str):
                     if own:
                         yield own[0], own[1], own[2].hexdigest(), own[3], own[4].hexdigest(), own[5]
                     own = [conv_id, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                tokens = np.frombuffer(tokens, dtype=template.kind)
                 role, text = template.decode(tokens)
                 own[1] += 1
                 own[2].update(f"{unescape(role)}\n{unescape(text)}\n".encode())
@@ -305,7 +329,7 @@ def _read(path: str):
     return read
 
 
-def read_back(packed: Packed, path: str) -> DataFrame:
+def read_back(packed: Packed, vocabulary: Vocabulary) -> DataFrame:
     """What the packed trees say of each conversation.
 
     conv_id, n_turns, turns_sha256 (of role, line break, text, line break for each turn),
@@ -315,4 +339,4 @@ def read_back(packed: Packed, path: str) -> DataFrame:
     nodes = packed.nodes.select("tree", "offset", "loss_first", "loss_last", "tokens")
     rows = packed.turns.join(nodes, ["tree", "offset"]).drop("tree", "offset")
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "place")
-    return rows.mapInArrow(_read(path), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return rows.mapInArrow(_read(vocabulary), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

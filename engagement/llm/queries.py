@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..session import configure
 from .collocations import mine_collocations
-from .prefix_tree import REST, pack_conversations, read_back
+from .prefix_tree import REST, Vocabulary, pack_conversations, read_back
 from .quality_rules import judge_quality
 from .rule_classifier import score_quality
 from .sentence_pieces import encode_pieces
@@ -105,7 +105,7 @@ def op13_prefix_tree(spark: SparkSession, folder: str) -> DataFrame:
     chats = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     added = [(-1, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
     chats = chats.unionByName(spark.createDataFrame(added, "conv_id long, turn long, role string, text string"))
-    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    vocabulary = Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return read_back(pack_conversations(chats, vocabulary), vocabulary)
 
 

@@ -11,10 +11,10 @@ import pytest
 
 from engagement.llm import collocations, prefix_tree
 from engagement.llm.collocations import blocks, frequent_phrases, mine_collocations
-from engagement.llm.prefix_tree import escape, pack_conversations, read_back, unescape
+from engagement.llm.prefix_tree import Template, Vocabulary, escape, pack_conversations, read_back, unescape
 from engagement.llm.vector_codes import choose_pivots, compress_vectors, nearest, squared
 
-VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+VOCABULARY = Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 @pytest.mark.parametrize("spread", [2, 40, 100_000])
@@ -171,6 +171,17 @@ def test_escape_is_reversible(text):
     assert not re.search(rf"[<\[](?:{prefix_tree.REST})", done)
 
 
+@pytest.mark.parametrize("text", ["", "a  b", "x" + " " * 900_000 + "y", "\n" * 700_000, " \t" * 300 + " é", "z" * 800_000, "\u2003" * 600 + "1"])
+def test_tokens_are_the_librarys_and_lossless(text):
+    import tokenizers
+
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    template = Template(VOCABULARY)
+    found = template.tokens(text)
+    assert found == library.encode(text, add_special_tokens=False).ids
+    assert template.text(np.array(found, dtype=template.kind)) == text
+
+
 CHATS = "conv_id long, turn long, role string, text string, tree string, node int"
 
 
@@ -228,7 +239,7 @@ def test_trees_hold_each_turn_once_and_see_their_path(spark):
         # The tokens of a tree lie one after the other, without gaps.
         at = 0
         for (_, offset), r in sorted((k, r) for k, r in nodes.items() if k[0] == tree):
-            assert offset == at and r["n_tokens"] == len(r["tokens"])
+            assert offset == at and r["n_tokens"] * 2 == len(r["tokens"])
             at += r["n_tokens"]
     forks = 0
     for path in paths.values():
