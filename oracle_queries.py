@@ -528,18 +528,32 @@ ORACLE["job_5_validate_contents"] = """
             WHEN k > min(k) FILTER (reason IS NULL) OVER (PARTITION BY slug) THEN 'duplicate_content' END AS reason
     FROM ruled"""
 
+# One update after the other: a creator's own name is wanted by its row only, so only the
+# other names need a walk. ``held`` has who holds which of them at the time.
 ORACLE["job_5_update_creators"] = f"""
-    WITH entered AS ({ORACLE['job_5_validate_creators']}),
+    WITH RECURSIVE entered AS ({ORACLE['job_5_validate_creators']}),
     aimed AS (
         SELECT seq, name, CASE WHEN reason = 'duplicate_creator' THEN NULL ELSE reason END AS reason,
             CASE WHEN seq % 5 = 0 THEN seq + 1 WHEN seq % 7 = 0 THEN -seq - 1 ELSE seq END AS id
-        FROM entered)
+        FROM entered),
+    valid AS (
+        SELECT row_number() OVER (ORDER BY seq) AS turn, seq, id, name FROM aimed
+        WHERE reason IS NULL AND id IN (SELECT c_custkey FROM customer)),
+    claimed AS (SELECT name FROM valid GROUP BY name HAVING min(id) <> max(id)
+        UNION SELECT name FROM valid JOIN customer ON c_name = name WHERE c_custkey <> id),
+    start AS (SELECT c_custkey AS row, c_name AS name FROM customer WHERE c_name IN (SELECT name FROM claimed)),
+    walk(turn, held, refused) AS (
+        SELECT 0::BIGINT, coalesce(list(struct_pack(row := row, name := name)), []), false FROM start
+        UNION ALL
+        SELECT v.turn, CASE WHEN taken THEN held
+                WHEN v.name IN (SELECT name FROM claimed)
+                THEN list_append(list_filter(held, lambda h: h.row <> v.id), struct_pack(row := v.id, name := v.name))
+                ELSE list_filter(held, lambda h: h.row <> v.id) END, taken
+        FROM (SELECT w.held, u.*, len(list_filter(w.held, lambda h: h.name = u.name AND h.row <> u.id)) > 0 AS taken
+            FROM walk w JOIN valid u ON u.turn = w.turn + 1) v)
     SELECT seq, id, name, CASE WHEN reason IS NOT NULL THEN reason
             WHEN id NOT IN (SELECT c_custkey FROM customer) THEN 'not_found'
-            WHEN EXISTS (SELECT 1 FROM customer WHERE c_name = name AND c_custkey <> id)
-                -- A name that no stored row has goes to the first update that wants it.
-                OR seq > min(seq) FILTER (reason IS NULL AND id IN (SELECT c_custkey FROM customer)) OVER (PARTITION BY name)
-            THEN 'duplicate_creator' END AS reason
+            WHEN seq IN (SELECT seq FROM valid JOIN walk USING (turn) WHERE refused) THEN 'duplicate_creator' END AS reason
     FROM aimed"""
 ORACLE["job_5_update_projects"] = f"""
     WITH entered AS ({ORACLE['job_5_validate_projects']}),

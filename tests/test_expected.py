@@ -12,8 +12,7 @@ from engagement.plans.registered import QUERIES
 EXPECTED = oracle_sql()
 
 
-@pytest.fixture(scope="module")
-def duck(folder):
+def views(folder):
     connection = duckdb.connect()
     for path in glob.glob(f"{folder}/*.parquet"):
         name = os.path.basename(path).removesuffix(".parquet")
@@ -21,6 +20,11 @@ def duck(folder):
     return connection
 
 
+@pytest.fixture(scope="module")
+def duck(folder):
+    return views(folder)
+
+
 def ordered(rows):
     return sorted(rows, key=lambda row: [(value is None, str(value)) for value in row])
 
@@ -37,5 +41,11 @@ def test_same_rows(name, spark, duck, folder):
     assert ordered(got) == ordered(tuple(row[i] for i in places) for row in expected.fetchall())
 
 
+@pytest.mark.parametrize("name", [name for name in QUERIES if name.startswith("job_5_update")])
+def test_updates_on_more_rows(name, spark, folder):
+    larger = folder.replace("0.001", "0.01")
+    test_same_rows(name, spark, views(larger), larger)
+
+
 def test_entry(spark):
     assert entry(spark).count() == 5
