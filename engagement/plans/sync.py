@@ -7,7 +7,7 @@ from ..operators.metrics import sync_log
 from ..operators.pages import page_metrics, supported_page, sync_events
 from ..schemas import PAGE_FIELDS
 from ..session import cut_lineage
-from ..sources.sinks import MetricStore, append_log
+from ..sources.sinks import append_log, upsert_metrics
 
 
 def synced_contents(
@@ -40,9 +40,8 @@ def synced_contents(
     )
 
 
-def run_sync(contents, creators, pages, store: MetricStore, log_path: str, seq: int, event_time: str) -> int:
-    """Read the pages of ``contents``, write the new metric state and append the log."""
+def run_sync(contents, creators, pages, folder: str, log_path: str, seq: int, event_time: str) -> None:
+    """Read the pages of ``contents``, bring the metric table up to date and append the log."""
     events = cut_lineage(synced_contents(contents, creators, pages, seq, event_time))
-    version = store.upsert(events)
+    upsert_metrics(events, folder)
     append_log(sync_log(events), log_path)
-    return version

@@ -1,5 +1,6 @@
 """Session settings and the shared folder for intermediate tables."""
 
+import re
 import tempfile
 import uuid
 
@@ -52,7 +53,7 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="engagement-")
         context.setCheckpointDir(folder)
@@ -64,6 +65,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/engagement/{uuid.uuid4().hex}/{name}"
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    """Make an empty folder where there is none, in whatever store it lies."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).mkdirs(target)
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder this package wrote, in whatever store it lies."""
     context = spark.sparkContext

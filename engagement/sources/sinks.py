@@ -1,10 +1,15 @@
-"""Writers: result sets, versioned metric state, sync log."""
+"""Writers: result sets, metric table, sync log."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
-from ..operators.metrics import add_folded, fold_events, metric_rows
-from ..session import cut_lineage, remove_folder, scratch_path
+from ..operators.metrics import EVENTS, add_folded, fold_events, metric_rows
+from ..schemas import ddl
+from ..session import cut_lineage, make_folder, remove_folder, scratch_path
+
+#: Partitions of a metric table; larger tables want more of them.
+BUCKETS = 16
 
 
 def write_parts(parts: dict[str, DataFrame], folder: str, kind="parquet") -> None:
@@ -28,106 +33,46 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-class MetricStore:
-    """Metric state as numbered, never changed versions below one folder.
+def metric_state(spark: SparkSession, folder: str) -> DataFrame:
+    """The cells of each content in the metric table below ``folder``, with their bucket.
 
-    Parquet knows no MERGE and a path cannot be overwritten while it is read. The state is
-    cut into ``buckets`` by a hash of content_id, and a version is a list of bucket
-    folders: an upsert rewrites the buckets its events touch, takes over the others, and
-    then appends the version to the list of finished ones. A job lost half-way leaves the
-    current version as it was. The last ``keep`` versions can be read; what only older
-    ones use is deleted. One job at a time may write to a store.
+    No rows where nothing was written yet. Read it anew after an upsert: that replaces files.
     """
+    layout = fold_events(spark.createDataFrame([], ddl(EVENTS))).schema.add("bucket", IntegerType())
+    make_folder(spark, folder)
+    return spark.read.schema(layout).parquet(folder)
+
+
+def metric_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The metrics rows of the metric table below ``folder``."""
+    return metric_rows(metric_state(spark, folder))
+
 
-    FINISHED = "version bigint, writer string, batch bigint, places map<int, bigint>"
-
-    def __init__(self, spark: SparkSession, folder: str, buckets: int = 16, keep: int = 5):
-        self.spark = spark
-        self.folder = folder
-        self.buckets = buckets
-        self.keep = keep
-
-    def _state_path(self, version: int) -> str:
-        return f"{self.folder}/state/v={version:06d}"
-
-    def _bucket_path(self, bucket: int, version: int) -> str:
-        return f"{self._state_path(version)}/bucket={bucket}"
-
-    def _finish(self, row: tuple, mode: str = "append") -> None:
-        rows = self.spark.createDataFrame([row], self.FINISHED)
-        rows.coalesce(1).write.mode(mode).parquet(f"{self.folder}/finished")
-
-    def _finished(self) -> DataFrame:
-        self._finish((0, None, None, {}), "ignore")
-        return self.spark.read.schema(self.FINISHED).parquet(f"{self.folder}/finished")
-
-    def current_version(self) -> int:
-        """Number of the newest finished version, 0 when there is none."""
-        return self._finished().agg(F.max("version").alias("newest")).first()["newest"]
-
-    def _places(self, version: int) -> dict[int, int]:
-        """The version that wrote each bucket of ``version``."""
-        row = self._finished().where(F.col("version") == version).first()
-        if row is None or version <= self.current_version() - self.keep:
-            raise ValueError(f"version {version} is not below {self.folder}, or no longer")
-        return dict(row["places"])
-
-    def _read(self, places: dict[int, int]) -> DataFrame | None:
-        paths = [self._bucket_path(b, v) for b, v in sorted(places.items())]
-        return self.spark.read.parquet(*paths) if paths else None
-
-    def state(self, version: int | None = None) -> DataFrame | None:
-        version = self.current_version() if version is None else version
-        return self._read(self._places(version)) if version else None
-
-    def metrics(self, version: int | None = None) -> DataFrame:
-        """The metrics table of a version, the newest one by default."""
-        state = self.state(version)
-        if state is None:
-            raise ValueError(f"no metric state below {self.folder}")
-        return metric_rows(state)
-
-    def upsert(
-        self, events: DataFrame, version: int | None = None, writer: str | None = None, batch: int | None = None
-    ) -> int:
-        """Fold ``events`` into the newest state; returns the number of the new version.
-
-        Every call makes the version after the newest one. A ``writer`` that may repeat a
-        batch names itself and the ``batch``: a batch it has finished is not added again,
-        and the version it made is returned. A ``version`` that is not the next one raises.
-        """
-        if writer is not None and batch is not None:
-            done = self._finished().where((F.col("writer") == writer) & (F.col("batch") == batch)).first()
-            if done is not None:
-                return done["version"]
-        current = self.current_version()
-        if version not in (None, current + 1):
-            raise ValueError(f"the next version of {self.folder} is {current + 1}, not {version}")
-        version = current + 1
-        bucket = F.pmod(F.xxhash64("content_id"), F.lit(self.buckets)).cast("int")
-        path = scratch_path(self.spark, "batch")
-        folded = cut_lineage(fold_events(events).withColumn("bucket", bucket), path)
-        # At most ``buckets`` numbers.
-        touched = [row["bucket"] for row in folded.select("bucket").distinct().collect()]
-        places = self._places(current) if current else {}
-        before = self._read({b: v for b, v in places.items() if b in touched})
-        newer = folded.drop("bucket")
-        state = newer if before is None else add_folded(before, newer)
-        if touched:
-            written = state.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket")
-            written.parquet(self._state_path(version))
-        self._finish((version, writer, batch, places | dict.fromkeys(touched, version)))
-        remove_folder(self.spark, path)
-        self._forget(version - self.keep)
-        return version
-
-    def _forget(self, version: int) -> None:
-        """Delete the buckets of ``version`` that no later version uses."""
-        if version < 1:
-            return
-        rows = self._finished().where(F.col("version") >= version).collect()
-        used = {place for row in rows if row["version"] > version for place in row["places"].items()}
-        for row in rows:
-            if row["version"] == version:
-                for place in set(row["places"].items()) - used:
-                    remove_folder(self.spark, self._bucket_path(*place))
+def upsert_metrics(events: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
+    """Fold ``events`` into the metric table below ``folder``."""
+    upsert_folded(fold_events(events), folder, buckets)
+
+
+def upsert_folded(folded: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
+    """Put folded events on top of the metric table below ``folder``.
+
+    The table is partitioned by a hash of content_id. The batch is written first: a stream
+    then evaluates it once, and Spark knows its size. Only the partitions it touches are
+    read, joined by key and overwritten; the others stay as they are. The fold keeps the
+    newest cell by ``seq``, so a batch that comes again, or late, changes nothing it should
+    not. Spark replaces the partitions when all tasks are done, so lost executors cost
+    nothing; a driver lost in the middle of that leaves some partitions as before or
+    gone, and these are made again from the events. One job at a time may write.
+    """
+    spark = folded.sparkSession
+    bucket = F.pmod(F.xxhash64("content_id"), F.lit(buckets)).cast("int")
+    path = scratch_path(spark, "batch")
+    batch = cut_lineage(folded.withColumn("bucket", bucket), path)
+    # At most ``buckets`` numbers.
+    touched = [row["bucket"] for row in batch.select("bucket").distinct().collect()]
+    if touched:
+        before = metric_state(spark, folder).where(F.col("bucket").isin(touched)).drop("bucket")
+        state = add_folded(before, batch.drop("bucket")).withColumn("bucket", bucket)
+        writer = state.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket")
+        writer.option("partitionOverwriteMode", "dynamic").parquet(folder)
+    remove_folder(spark, path)

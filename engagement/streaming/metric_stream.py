@@ -1,11 +1,12 @@
 """Metric state from a stream of create, edit and sync events."""
 
-import hashlib
-
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.metrics import fold_events, metric_rows, sync_log
-from ..sources.sinks import MetricStore
+from ..sources.sinks import BUCKETS, upsert_folded
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def metric_stream(events: DataFrame) -> DataFrame:
@@ -17,24 +18,28 @@ def metric_stream(events: DataFrame) -> DataFrame:
     return metric_rows(fold_events(events))
 
 
-def start_metric_store(events: DataFrame, store: MetricStore, log_path: str, checkpoint: str):
-    """Stream ``events`` into ``store`` and the sync log; returns the running query.
+def start_metric_table(
+    events: DataFrame, folder: str, log_path: str, checkpoint: str, buckets: int = BUCKETS
+) -> tuple[StreamingQuery, StreamingQuery]:
+    """Stream ``events`` into the metric table below ``folder`` and into the sync log.
 
-    Each micro-batch becomes the next version, whatever else writes to the store between
-    two of them. The stream is known by its ``checkpoint``: a batch run again after a
-    failure finds itself finished and its folder of log rows replaced, so nothing counts
-    twice, and a new checkpoint starts a new stream, whose batches all count.
+    The running fold keeps one row per content in RocksDB, on the executors' disks and in
+    the checkpoint. In ``update`` mode each micro-batch hands on the contents it changed,
+    and these replace their rows in the table. A batch run again after a failure puts the
+    same cells there again, so nothing counts twice, whatever else writes to the table in
+    between. The log is a file sink, which takes each event once. Both queries read what
+    is there and stop; started again on their checkpoint they go on from there.
     """
-    writer = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    # Taken by queries when they start.
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        folder = f"{log_path}/writer={writer}/batch={batch_id:06d}"
-        sync_log(batch).write.mode("overwrite").parquet(folder)
-        store.upsert(batch, writer=writer, batch=batch_id)
-
-    return (
-        events.writeStream.foreachBatch(keep)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+        upsert_folded(batch, folder, buckets)
+
+    def start(rows: DataFrame, name: str, mode: str):
+        writer = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{checkpoint}/{name}")
+        return writer.trigger(availableNow=True)
+
+    state = start(fold_events(events), "state", "update").foreachBatch(keep).start()
+    log = start(sync_log(events), "log", "append").format("parquet").option("path", log_path).start()
+    return state, log

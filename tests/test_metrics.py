@@ -1,4 +1,4 @@
-"""Metric state: event rules, order independence, versions, stream = batch."""
+"""Metric state: event rules, order independence, partitioned table, stream = batch."""
 
 import random
 
@@ -10,8 +10,8 @@ from engagement.operators.pages import page_metrics, sync_events
 from engagement.plans.sync import synced_contents
 from engagement.schemas import ddl
 from engagement.sources.adapters import Tables
-from engagement.sources.sinks import MetricStore
-from engagement.streaming.metric_stream import metric_stream, start_metric_store
+from engagement.sources.sinks import metric_state, metric_table, upsert_metrics
+from engagement.streaming.metric_stream import ROCKSDB, metric_stream, start_metric_table
 
 
 def events(spark, *rows):
@@ -70,91 +70,110 @@ def test_order_and_grouping_do_not_matter(spark, folder):
     assert rows_of(metric_rows(fold(cells(given)))) == expected
 
 
-def test_store_keeps_versions_and_replays(spark, tmp_path):
-    store = MetricStore(spark, str(tmp_path / "store"))
-    with pytest.raises(ValueError):
-        store.metrics()
-    assert store.upsert(events(spark, event(1, "create", like_count=1))) == 1
-    assert store.upsert(events(spark, event(2, "edit", like_count=2))) == 2
-    with pytest.raises(ValueError):
-        store.upsert(events(spark, event(3, "edit", like_count=3)), version=2)
-    assert store.metrics().first()["like_count"] == 2
-    assert store.metrics(1).first()["like_count"] == 1
-    # A batch of a named writer counts once, under whatever version it was finished.
-    assert store.upsert(events(spark, event(3, "edit", like_count=3)), writer="a", batch=0) == 3
-    assert store.upsert(events(spark, event(4, "edit", like_count=4)), writer="a", batch=0) == 3
-    assert store.upsert(events(spark, event(5, "edit", like_count=5)), writer="b", batch=0) == 4
-    assert store.metrics().first()["like_count"] == 5
-
-
-def test_only_touched_buckets_are_written_and_old_versions_go(spark, tmp_path):
-    store = MetricStore(spark, str(tmp_path / "store"), buckets=8, keep=2)
+def likes(spark, folder):
+    return {r["content_id"]: r["like_count"] for r in metric_table(spark, folder).collect()}
+
+
+def test_a_batch_that_comes_again_or_late_changes_nothing(spark, tmp_path):
+    folder = str(tmp_path / "metrics")
+    assert metric_table(spark, folder).count() == 0
+    first = events(spark, event(1, "create", like_count=1))
+    for batch in (first, events(spark, event(3, "edit", like_count=3)), first, events(spark, event(2, "edit", like_count=2)), events(spark)):
+        upsert_metrics(batch, folder)
+    assert likes(spark, folder) == {1: 3}
+
+
+def files(folder):
+    return {path.parent.name: path.name for path in folder.glob("bucket=*/*.parquet")}
+
+
+def test_only_touched_partitions_are_written(spark, tmp_path):
+    folder = tmp_path / "metrics"
     many = [event(i, "create", like_count=i) | {"content_id": i} for i in range(1, 60)]
-    store.upsert(events(spark, *many))
-    store.upsert(events(spark, event(100, "edit", like_count=100)))
-    assert len(list((tmp_path / "store/state/v=000001").glob("bucket=*"))) == 8
-    assert len(list((tmp_path / "store/state/v=000002").glob("bucket=*"))) == 1
-    store.upsert(events(spark, event(101, "edit", like_count=101)))
-    store.upsert(events(spark, event(102, "edit", like_count=102)))
-    assert len(list((tmp_path / "store/state/v=000001").glob("bucket=*"))) == 7
-    assert not list((tmp_path / "store/state/v=000002").glob("bucket=*"))
-    found = {r["content_id"]: r["like_count"] for r in store.metrics().collect()}
-    assert found == {i: i for i in range(2, 60)} | {1: 102}
-    assert {r["like_count"] for r in store.metrics(3).where("content_id = 1").collect()} == {101}
-    with pytest.raises(ValueError):
-        store.metrics(2)
-
-
-def test_new_stream_on_an_old_store_loses_nothing(spark, tmp_path):
-    store = MetricStore(spark, str(tmp_path / "store"))
-    store.upsert(events(spark, event(1, "create", like_count=1)))
-    source, log = str(tmp_path / "in"), str(tmp_path / "log")
+    upsert_metrics(events(spark, *many), str(folder), buckets=8)
+    before = files(folder)
+    upsert_metrics(events(spark, event(100, "edit", like_count=100)), str(folder), buckets=8)
+    after = files(folder)
+    assert len(before) == len(after) == 8 and sum(before[k] != after[k] for k in before) == 1
+    assert likes(spark, str(folder)) == {i: i for i in range(2, 60)} | {1: 100}
+    # A look-up of few contents reads their partitions only.
+    some = metric_state(spark, str(folder)).where("bucket = 3")
+    assert "PartitionFilters: [isnotnull(bucket" in some._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+
+
+def run_stream(arriving, folder, log, checkpoint):
+    for query in start_metric_table(arriving, folder, log, checkpoint):
+        query.awaitTermination()
+        assert query.exception() is None
+
+
+def test_batches_and_streams_on_one_table_lose_nothing(spark, tmp_path):
+    folder, source, log = (str(tmp_path / name) for name in ("metrics", "in", "log"))
+    upsert_metrics(events(spark, event(1, "create", like_count=1)), folder)
     for i, checkpoint in enumerate(("cp1", "cp1", "cp2")):
         made = event(10 + i, "sync_ok", like_count=10 + i) | {"content_id": 10 + i}
         events(spark, made).coalesce(1).write.mode("append").parquet(source)
         arriving = spark.readStream.schema(ddl(EVENTS)).option("maxFilesPerTrigger", 1).parquet(source)
-        start_metric_store(arriving, store, log, str(tmp_path / checkpoint)).awaitTermination()
+        run_stream(arriving, folder, f"{log}/{checkpoint}", str(tmp_path / checkpoint))
         # Another job writes between two micro-batches.
-        store.upsert(events(spark, event(20 + i, "edit", like_count=20 + i)))
-    found = {r["content_id"]: r["like_count"] for r in store.metrics().collect()}
-    assert found == {1: 22, 10: 10, 11: 11, 12: 12}
-    assert spark.read.parquet(log).select("content_id").distinct().count() == 3
+        upsert_metrics(events(spark, event(20 + i, "edit", like_count=20 + i)), folder)
+    assert likes(spark, folder) == {1: 22, 10: 10, 11: 11, 12: 12}
+    assert spark.read.parquet(f"{log}/cp1").count() == 2 and spark.read.parquet(f"{log}/cp2").count() == 3
 
 
-def test_unfinished_version_is_replaced(spark, tmp_path):
-    store = MetricStore(spark, str(tmp_path / "store"))
-    store.upsert(events(spark, event(1, "create", like_count=1)))
-    fold_events(events(spark, event(9, "create", like_count=9))).write.parquet(store._state_path(2))
-    assert store.current_version() == 1
-    store.upsert(events(spark, event(2, "edit", like_count=2)))
-    assert store.metrics().first()["like_count"] == 2
-
-
-def test_stream_equals_batch(spark, folder, tmp_path):
+def test_stream_equals_batch_over_a_restart(spark, folder, tmp_path):
     given = Tables(spark, folder).metric_events()
     expected = rows_of(metric_rows(fold_events(given)))
     order = [0, 1, 2, 3]
     random.Random(3).shuffle(order)
-    source = str(tmp_path / "in")
-    for part in order:
+    source, table, log, checkpoint = (str(tmp_path / name) for name in ("in", "metrics", "log", "cp"))
+    arriving = spark.readStream.schema(ddl(EVENTS)).option("maxFilesPerTrigger", 1)
+    for part in order[:2]:
         given.filter(f"seq % 4 = {part}").coalesce(1).write.mode("append").parquet(source)
-    arriving = spark.readStream.schema(ddl(EVENTS)).option("maxFilesPerTrigger", 1).parquet(source)
-    store = MetricStore(spark, str(tmp_path / "store"))
-    log = str(tmp_path / "log")
-    start_metric_store(arriving, store, log, str(tmp_path / "cp")).awaitTermination()
-    assert store.current_version() == 4
-    assert rows_of(store.metrics()) == expected
-    logged = spark.read.parquet(log).drop("writer", "batch")
-    assert rows_of(logged) == rows_of(sync_log(given))
+    run_stream(arriving.parquet(source), table, log, checkpoint)
+    for part in order[2:]:
+        given.filter(f"seq % 4 = {part}").coalesce(1).write.mode("append").parquet(source)
+    run_stream(arriving.parquet(source), table, log, checkpoint)
+    assert rows_of(metric_table(spark, table)) == expected
+    assert rows_of(spark.read.parquet(log)) == rows_of(sync_log(given))
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == ROCKSDB
     # A restart finds nothing new.
-    start_metric_store(arriving, store, log, str(tmp_path / "cp")).awaitTermination()
-    assert store.current_version() == 4
+    before = files(tmp_path / "metrics")
+    run_stream(arriving.parquet(source), table, log, checkpoint)
+    assert files(tmp_path / "metrics") == before
 
-    running = metric_stream(arriving).writeStream.outputMode("complete").format("memory").queryName("running")
+    running = metric_stream(arriving.parquet(source)).writeStream.outputMode("complete").format("memory").queryName("running")
     running.option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start().awaitTermination()
     assert rows_of(spark.table("running")) == expected
 
 
+def test_a_batch_lost_before_its_end_is_made_up(spark, tmp_path, monkeypatch):
+    from engagement.streaming import metric_stream as module
+
+    folder, source, log, checkpoint = (str(tmp_path / name) for name in ("metrics", "in", "log", "cp"))
+    put, calls = module.upsert_folded, []
+
+    def dies_once(batch, *where):
+        put(batch, *where)
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost after the table was written")
+
+    monkeypatch.setattr(module, "upsert_folded", dies_once)
+    for i in range(4):
+        made = [event(10 * i + k, "edit", like_count=i) | {"content_id": k} for k in range(3)]
+        events(spark, *made).coalesce(1).write.mode("append").parquet(source)
+    arriving = spark.readStream.schema(ddl(EVENTS)).option("maxFilesPerTrigger", 1).parquet(source)
+    state, logged = start_metric_table(arriving, folder, log, checkpoint)
+    logged.awaitTermination()
+    with pytest.raises(Exception, match="lost after"):
+        state.awaitTermination()
+    run_stream(arriving, folder, log, checkpoint)
+    assert likes(spark, folder) == {0: 3, 1: 3, 2: 3} and len(calls) >= 5
+
+
 def test_the_latest_page_of_a_link_counts_and_contents_need_a_creator(spark):
     contents = spark.createDataFrame(
         [(1, 7, "小红书", "u"), (2, 8, "小红书", "u")], "id bigint, influencer_id bigint, platform string, content_url string"
