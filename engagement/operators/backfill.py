@@ -1,6 +1,6 @@
 """Forward migration of older extracts to the current layout."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.links import CONTENT_ID_RULES, with_canonical_url, with_content_id
@@ -16,6 +16,7 @@ from ..schemas import (
     PROJECTS,
     TABLES,
 )
+from ..session import cut_lineage
 
 
 def with_missing_columns(df: DataFrame, table: str, required) -> DataFrame:
@@ -32,6 +33,42 @@ def with_missing_columns(df: DataFrame, table: str, required) -> DataFrame:
     return df.withColumns(filled) if filled else df
 
 
+def read_extracts(spark: SparkSession, folder: str, table: str, required, legacy=None) -> DataFrame:
+    """Parquet extracts of several ages in one folder, in one read, as one layout.
+
+    A file of an older age lacks columns. Where the columns of all files are merged those
+    come as NULL, though a column added later holds its default for the rows that were
+    there before. One narrow aggregation counts the values of each column by file; a column
+    without any value in a file is taken as missing there and gets its default, a NULL
+    elsewhere stays. Only ``project_id`` and ``legacy`` columns (name to type), which the
+    migration reads and the layout has no more, stay NULL. A file with rows that lacks a
+    ``required`` column is refused. The counts are one row for each file.
+    """
+    layout, defaults = TABLES[table], DEFAULTS.get(table, {})
+    merged = spark.read.option("mergeSchema", "true").parquet(folder)
+    absent = [name for name in layout if name not in merged.columns and name not in required]
+    kept = [name for name in merged.columns if name in layout or name in (legacy or {})]
+    rows = merged.select(*kept, F.col("_metadata.file_path").alias("file"))
+    later = [name for name in kept if name in layout and name not in required and name != "project_id"]
+    counts = rows.groupBy("file").agg(*[F.count(name).alias(f"n_{name}") for name in kept])
+    counts = cut_lineage(counts)
+    lost = [name for name in required if name not in kept]
+    holes = F.lit(False)
+    for name in set(required) - set(lost) - {"project_id"}:
+        holes = holes | (F.col(f"n_{name}") == 0)
+    bad = [row["file"] for row in counts.filter(holes).limit(1).collect()]
+    if lost or bad:
+        raise ValueError(f"extract lacks {', '.join(lost) or 'a required column: ' + bad[0]}")
+
+    def default(name):
+        return F.lit(defaults.get(name, "" if layout[name] == "string" else 0)).cast(layout[name])
+
+    filled = {name: F.when(F.col(f"n_{name}") == 0, default(name)).otherwise(F.col(name).cast(layout[name])) for name in later}
+    rows = rows.join(counts, "file").withColumns(filled | {name: default(name) for name in absent})
+    old = [F.col(name).cast(kind).alias(name) if name in kept else F.lit(None).cast(kind).alias(name) for name, kind in (legacy or {}).items()]
+    return rows.select(*layout, *old)
+
+
 def migrate_creators(old: DataFrame, now: str) -> DataFrame:
     """Old creator extracts: followers copied, old statuses made active, update time filled."""
     rows = with_missing_columns(old, "creators", ("id", "name", "platform"))

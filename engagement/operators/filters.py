@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import matches_keyword
 
-__all__ = ["all_of", "bound", "equals", "in_range", "linked_to", "matches_keyword", "where"]
+__all__ = ["all_of", "bound", "equals", "has_tag", "in_range", "linked_to", "matches_keyword", "where"]
 
 
 def all_of(*conditions) -> Column | None:
@@ -25,6 +25,12 @@ def equals(col, value) -> Column | None:
     return col == value if value else None
 
 
+def has_tag(tags, value) -> Column | None:
+    """Rows whose array ``tags`` holds the whole tag ``value``; a keyword also finds parts of one."""
+    value = (value or "").strip()
+    return F.array_contains(tags, value) if value else None
+
+
 def bound(value, name) -> int | None:
     """A range bound given as number or text: None when blank, never negative."""
     if value is None or (isinstance(value, str) and not value.strip()):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, scratch_path
 from .conflicts import components, fold_entries, fold_updates, numbered, small_parts
+from .keyfilter import sieve
 
 #: Rounds over all open rows before what is left is looked at group by group.
 ROUNDS_FIRST = 2
@@ -45,12 +46,12 @@ def stored_identity_conflicts(incoming, stored, id_col="seq", target=None) -> Da
     An update names the stored row it replaces in the column ``target``; that row does
     not count. The stored table is first cut down to the key hashes of the batch. Those
     are written out, so Spark knows their size: it broadcasts a small batch and leaves
-    the stored table unshuffled, and shuffles a big one.
+    the stored table unshuffled; for a big one a Bloom filter cuts it down before that.
     """
     carry = [F.col(target).alias("target")] if target else []
     held = identity_keys(incoming, id_col, carry)
     wanted = cut_lineage(held.select("hash").distinct())
-    seen = identity_keys(stored).join(wanted, "hash", "left_semi")
+    seen = sieve(identity_keys(stored), F.col("hash"), wanted, "hash").join(wanted, "hash", "left_semi")
     if not target:
         found = held.join(seen.select("key").distinct(), "key", "left_semi")
     else:
@@ -167,7 +168,8 @@ def refused_updates(claims: DataFrame, stored: DataFrame) -> DataFrame:
     hashed = claims.filter("key is not null").withColumn("hash", F.xxhash64("key"))
     wanted = cut_lineage(hashed.select("hash").distinct())
     held = stored.select(F.col("id").alias("row"), "key").withColumn("hash", F.xxhash64("key"))
-    held = cut_lineage(held.join(wanted, "hash", "left_semi").select("row", "key").distinct())
+    held = sieve(held, F.col("hash"), wanted, "hash").join(wanted, "hash", "left_semi")
+    held = cut_lineage(held.select("row", "key").distinct())
     touched = hashed.select("key", F.col("target").alias("row")).unionByName(held.select("key", "row"))
     contested = touched.groupBy("key").agg(F.min("row").alias("a"), F.max("row").alias("b")).filter("a <> b")
     contested = numbered(contested)

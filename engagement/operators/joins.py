@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..session import cut_lineage
+from .keyfilter import sieve
 
 
 def with_creators(df: DataFrame, creators: DataFrame) -> DataFrame:
@@ -31,8 +33,9 @@ def with_metrics(df: DataFrame, metrics: DataFrame) -> DataFrame:
 def star(contents, creators, projects, metrics) -> DataFrame:
     """Contents with their creator, and their project and metrics where there are any.
 
-    Metrics come first: tables bucketed by content id join without a shuffle, and a
-    filter on a counter cuts the rows down before the other joins.
+    Metrics come first: tables bucketed by content id join without a shuffle, a hot
+    creator's contents lying in all buckets, and a filter on a counter cuts the rows down
+    before the other joins.
     """
     return with_creators(with_projects(with_metrics(contents.alias("c"), metrics), projects), creators)
 
@@ -59,9 +62,15 @@ def missing_references(contents, creators, projects) -> DataFrame:
 
 
 def stored_with_keys_of(incoming: DataFrame, stored: DataFrame, keys) -> DataFrame:
-    """Stored rows whose ``keys`` are filled and occur in the incoming rows."""
+    """Stored rows whose ``keys`` are filled and occur in the incoming rows.
+
+    The keys of the batch are written, so that Spark knows their size: a small batch is
+    broadcast, and for a big one a Bloom filter drops most other stored rows at the scan.
+    """
     filled = " and ".join(f"`{key}` <> ''" for key in keys)
-    return stored.join(incoming.filter(filled).select(*keys).distinct(), list(keys), "left_semi")
+    wanted = cut_lineage(incoming.filter(filled).select(*keys).distinct())
+    hashes = wanted.select(F.xxhash64(*keys).alias("hash"))
+    return sieve(stored, F.xxhash64(*keys), hashes, "hash").join(wanted, list(keys), "left_semi")
 
 
 def stored_duplicates(incoming, stored, keys, exclude_self=False, id_col="id") -> DataFrame:

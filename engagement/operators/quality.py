@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import contacts
 from ..functions.lifecycle import with_project_status
 from ..functions.links import with_canonical_url, with_content_id
-from ..functions.tags import clean_tags
+from ..functions.tags import clean_tags, tag_list
 from ..functions.text import or_default
 from ..schemas import (
     CONTENT_NORMAL,
@@ -394,3 +394,11 @@ def normalize_tags(df: DataFrame, col="category") -> DataFrame:
         .withColumn("unknown_tag", F.col("_tags.unknown_tag"))
         .drop("_tags")
     )
+
+
+def with_tags(df: DataFrame, col="category") -> DataFrame:
+    """Add the array ``tags``: the different tags of a joined column, in their order.
+
+    Stored once, it answers whole-tag filters without splitting texts again.
+    """
+    return df.withColumn("tags", F.array_distinct(tag_list(F.col(col))))

@@ -14,16 +14,22 @@ from ..session import cut_lineage
 from .joins import with_metrics
 
 
-def platform_totals(creators, projects, contents, metrics, as_of) -> DataFrame:
-    """One row of totals; every table is scanned once.
-
-    Each table is reduced to one row of its own columns, and the rows are laid over each
-    other by a sum that ignores the columns a table does not have.
-    """
-    reactions = F.col(INTERACTIONS[0])
+def _reactions():
+    total = F.col(INTERACTIONS[0])
     for name in INTERACTIONS[1:]:
-        reactions = reactions + F.col(name)
-    parts = [
+        total = total + F.col(name)
+    return total
+
+
+def _one_row(parts: list[DataFrame]) -> DataFrame:
+    """Rows of different columns laid over each other by a sum that ignores missing ones."""
+    names = [name for part in parts for name in part.columns]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return rows.agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in names])
+
+
+def _people(creators, projects, as_of) -> list[DataFrame]:
+    return [
         creators.agg(
             F.count("*").alias("influencer_count"),
             F.count_if(F.col("status") == CREATOR_ACTIVE).alias("active_influencer_count"),
@@ -33,15 +39,56 @@ def platform_totals(creators, projects, contents, metrics, as_of) -> DataFrame:
             F.count_if(F.col("status") == PROJECT_RUNNING).alias("active_project_count"),
             F.count("status_error").alias("status_error_count"),
         ),
-        contents.agg(F.count("*").alias("content_count")),
-        metrics.agg(
-            F.sum("view_count").alias("total_views"),
-            F.sum(reactions).alias("total_interactions"),
-        ),
     ]
-    names = [name for part in parts for name in part.columns]
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return rows.agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in names])
+
+
+def platform_totals(creators, projects, contents, metrics, as_of) -> DataFrame:
+    """One row of totals; every table is scanned once and reduced to one row of its own."""
+    counted = contents.agg(F.count("*").alias("content_count"))
+    summed = metrics.agg(F.sum("view_count").alias("total_views"), F.sum(_reactions()).alias("total_interactions"))
+    return _one_row([*_people(creators, projects, as_of), counted, summed])
+
+
+def overview_cells(contents: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Counts and sums by platform and sync status, from which other rollups are added up.
+
+    One scan of either table, one join on the content id, which is unique in both, and one
+    aggregation with partial sums; the result has as many rows as there are pairs of
+    platform and status. ``n_contents`` counts contents, ``n_metrics`` metrics rows, also
+    those of no content, ``views`` those of contents only.
+    """
+    left = contents.select("id", "platform", F.lit(1).alias("is_content"))
+    right = metrics.select("content_id", "sync_status", "view_count", _reactions().alias("reactions"), F.lit(1).alias("is_metrics"))
+    both = left.join(right, F.col("id") == F.col("content_id"), "full")
+    return both.groupBy("platform", "sync_status").agg(
+        F.count("is_content").alias("n_contents"),
+        F.count("is_metrics").alias("n_metrics"),
+        F.sum(F.when(F.col("is_content") == 1, F.col("view_count"))).alias("views"),
+        F.sum("view_count").alias("all_views"),
+        F.sum("reactions").alias("all_reactions"),
+    )
+
+
+def totals_of_cells(cells: DataFrame, creators, projects, as_of) -> DataFrame:
+    """``platform_totals`` from the rows of ``overview_cells``."""
+    summed = cells.agg(
+        F.coalesce(F.sum("n_contents"), F.lit(0)).alias("content_count"),
+        F.sum("all_views").alias("total_views"),
+        F.sum("all_reactions").alias("total_interactions"),
+    )
+    return _one_row([*_people(creators, projects, as_of), summed])
+
+
+def platforms_of_cells(cells: DataFrame) -> DataFrame:
+    """``platform_rollup`` from the rows of ``overview_cells``."""
+    return cells.filter("n_contents > 0").groupBy("platform").agg(
+        F.sum("n_contents").alias("content_count"), F.coalesce(F.sum("views"), F.lit(0)).alias("view_count")
+    )
+
+
+def statuses_of_cells(cells: DataFrame) -> DataFrame:
+    """``sync_rollup`` from the rows of ``overview_cells``."""
+    return cells.filter("n_metrics > 0").groupBy("sync_status").agg(F.sum("n_metrics").alias("content_count"))
 
 
 def running_projects(projects: DataFrame, as_of) -> DataFrame:

@@ -7,27 +7,43 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import interactions_or_zero
 from ..operators.joins import star
-from ..operators.rollups import platform_rollup, platform_totals, ranked, sync_rollup
+from ..operators.rollups import overview_cells, platforms_of_cells, ranked, statuses_of_cells, totals_of_cells
 from ..schemas import RECENT_ROWS, SYNC_PENDING
 from ..session import cut_lineage
 
 
+def latest_ids(contents, creators, rows: int) -> DataFrame:
+    """(id, published_at) of the ``rows`` latest contents whose creator exists.
+
+    The newest ids are taken first, on three narrow columns and without a shuffle, and
+    their creators looked up. While too few have one, twice as many are taken; that goes
+    on for as long as newer contents without a creator fill the list, or until it holds
+    all contents.
+    """
+    newest = [F.col("published_at").desc(), F.col("id").desc()]
+    taken = rows
+    while True:
+        some = cut_lineage(contents.select("id", "published_at", "influencer_id").orderBy(*newest).limit(taken))
+        wanted = some.select(F.col("influencer_id").alias("id")).distinct()
+        there = cut_lineage(creators.select("id").join(wanted, "id", "left_semi").distinct())
+        known = some.join(there.withColumnRenamed("id", "influencer_id"), "influencer_id", "left_semi")
+        counted = known.agg(F.count("*").alias("n")).first()["n"]
+        if counted >= rows or some.count() < taken:
+            return cut_lineage(known.select("id", "published_at").orderBy(*newest).limit(rows))
+        taken *= 2
+
+
 def recent_contents(contents, creators, projects, metrics, rows=RECENT_ROWS) -> DataFrame:
     """Latest contents by ``published_at``, then id, with names and counters.
 
-    The only join over whole tables finds the contents whose creator exists, on three
-    narrow columns. The ``rows`` latest are then written out, and all other columns and
-    tables are scanned for those few ids instead of being shuffled.
+    All but the ids of the latest is scanned for these few ids instead of being shuffled.
+    They are written out, so that Spark knows how few they are.
     """
     newest = [F.col("published_at").desc(), F.col("id").desc()]
-    known = contents.join(
-        creators.select(F.col("id").alias("influencer_id")), "influencer_id", "left_semi"
-    )
-    top = cut_lineage(known.select("id", "published_at").orderBy(*newest).limit(rows))
+    top = latest_ids(contents, creators, rows)
 
     def only(table, key, ids):
-        # ``ids`` has at most ``rows`` rows, whatever the size of the tables.
-        return table.join(F.broadcast(ids.toDF(key)), key, "left_semi")
+        return table.join(cut_lineage(ids.toDF(key)), key, "left_semi")
 
     latest = cut_lineage(
         only(contents, "id", top.select("id")).select(
@@ -68,11 +84,11 @@ class Dashboard:
 
 
 def dashboard(creators, projects, contents, metrics, as_of) -> Dashboard:
+    """All parts; totals and both distributions come from one pass over contents and metrics."""
+    cells = cut_lineage(overview_cells(contents, metrics))
     return Dashboard(
-        totals=platform_totals(creators, projects, contents, metrics, as_of),
+        totals=totals_of_cells(cells, creators, projects, as_of),
         recent_contents=recent_contents(contents, creators, projects, metrics),
-        platform_distribution=ranked(
-            platform_rollup(contents, metrics), "content_count", "view_count"
-        ),
-        sync_distribution=ranked(sync_rollup(metrics), "content_count"),
+        platform_distribution=ranked(platforms_of_cells(cells), "content_count", "view_count"),
+        sync_distribution=ranked(statuses_of_cells(cells), "content_count"),
     )

@@ -8,12 +8,12 @@ from ..functions.links import with_canonical_url, with_content_id
 from ..functions.numbers import interactions, interactions_or_zero
 from ..functions.text import matches_keyword
 from ..operators import backfill, identity, joins, metrics, pages, quality, rollups
-from ..operators.filters import equals, in_range, linked_to, where
+from ..operators.filters import equals, has_tag, in_range, linked_to, where
 from ..schemas import CREATORS, PROJECTS, ddl
-from ..session import configure, scratch_path
+from ..session import configure, cut_lineage, scratch_path
 from ..sources import records, tables
 from ..sources.adapters import AS_OF, NOW, PAGE_ID_RULES, Tables
-from ..sources.sinks import append_log, metric_table, upsert_metrics, write_parts
+from ..sources.sinks import append_log, metric_table, upsert_metrics, write_parts, write_star
 from ..streaming.metric_stream import start_metric_table
 from . import report, search
 from .dashboard import dashboard, recent_contents
@@ -158,6 +158,14 @@ def flt_6_tag(t):
     return where(t.part_creators(), matches_keyword("Economy", "category")).select("id", "category")
 
 
+@registered
+def flt_6_tag_array(t):
+    # A keyword finds Brand#1 inside Brand#12 as well, a whole tag does not.
+    tagged = cut_lineage(quality.with_tags(t.part_creators()))
+    found = where(tagged, has_tag("tags", "Brand#1")).select("id", F.lit("tag").alias("form"))
+    return found.unionByName(where(tagged, matches_keyword("Brand#1", "category")).select("id", F.lit("keyword").alias("form")))
+
+
 @registered
 def prj_1_content_detail(t):
     return search.content_details(*t.star())
@@ -249,6 +257,18 @@ def jn_1_star(t):
     )
 
 
+@registered
+def jn_1_bucketed_star(t):
+    contents, creators, projects, content_metrics = t.star()
+    contents, content_metrics = write_star(contents, content_metrics, scratch_path(t.spark, "star"))
+    return joins.star(contents, creators, projects, content_metrics).select(
+        "c.id",
+        F.col("i.name").alias("influencer_name"),
+        F.col("p.name").alias("project_name"),
+        "m.view_count",
+    )
+
+
 @registered
 def jn_2_contents_metrics(t):
     rows = joins.with_metrics(t.contents().alias("c"), t.metrics())
@@ -304,6 +324,22 @@ def agg_1_totals(t):
     return rollups.platform_totals(t.creators(), t.dated_projects(), t.contents(), t.metrics(), AS_OF)
 
 
+@registered
+def agg_1_one_pass(t):
+    # Totals and both distributions from one pass over contents and metrics.
+    cells = cut_lineage(rollups.overview_cells(t.contents(), t.metrics()))
+    totals = rollups.totals_of_cells(cells, t.creators(), t.dated_projects(), AS_OF)
+    parts = [
+        totals.select(
+            F.lit("totals").alias("part"), F.lit("").alias("name"), "content_count",
+            F.col("total_views").alias("view_count"), "total_interactions", "active_project_count",
+        ),
+        rollups.platforms_of_cells(cells).select(F.lit("platform").alias("part"), F.col("platform").alias("name"), "content_count", "view_count"),
+        rollups.statuses_of_cells(cells).select(F.lit("status").alias("part"), F.col("sync_status").alias("name"), "content_count"),
+    ]
+    return parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+
+
 @registered
 def agg_2_platform_rollup(t):
     return rollups.platform_rollup(t.contents(), t.metrics())
@@ -539,6 +575,17 @@ def job_11_migrate_creators(t):
     return backfill.migrate_creators(t.old_creators(), NOW).select(*CREATORS)
 
 
+@registered
+def job_11_mixed_extracts(t):
+    # Extracts of three ages in one folder; the oldest has the old name of a counter only.
+    path, age = scratch_path(t.spark, "extracts"), F.floor(F.col("id") / 7) % 3
+    extracts = t.old_creators()
+    for n, gone in enumerate((("followers_count", "category", "updated_at"), ("updated_at",), ("followers",))):
+        extracts.filter(age == n).drop(*gone).write.mode("append").parquet(path)
+    read = backfill.read_extracts(t.spark, path, "creators", ("id", "name", "platform"), {"followers": "int"})
+    return backfill.migrate_creators(read, NOW).select(*CREATORS)
+
+
 @registered
 def job_11_migrate_projects(t):
     old = t.dated_projects().drop("project_code", "description")

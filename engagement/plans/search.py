@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.lifecycle import with_project_status
 from ..functions.numbers import interactions
 from ..functions.text import whole_number
-from ..operators.filters import equals, in_range, linked_to, matches_keyword, where
+from ..operators.filters import equals, has_tag, in_range, linked_to, matches_keyword, where
 from ..operators.joins import star, with_creators, with_metrics
+from ..operators.keyfilter import sieve
 from ..schemas import COUNTERS, CREATORS, PROJECTS
+from ..session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -21,6 +23,8 @@ class CreatorSearch:
     owner: str = ""
     followers_min: int | str | None = None
     followers_max: int | str | None = None
+    #: A whole tag, looked up in the array column ``tags`` that ``with_tags`` makes.
+    tag: str = ""
 
     def matching(self, creators: DataFrame) -> DataFrame:
         return where(
@@ -28,6 +32,7 @@ class CreatorSearch:
             matches_keyword(self.keyword, "name"),
             equals(F.col("platform"), self.platform),
             matches_keyword(self.category, "category"),
+            has_tag("tags", self.tag),
             matches_keyword(self.owner, "owner"),
             in_range(F.col("followers_count"), self.followers_min, self.followers_max, "followers"),
         )
@@ -147,13 +152,17 @@ def count_contents(contents, creators, metrics, search: ContentSearch) -> DataFr
 def lookup_contents(keys: DataFrame, contents, creators, projects, metrics, key_col="key") -> DataFrame:
     """One row per requested key: ``lookup`` is ok, not_found or bad_id, then the detail.
 
-    Contents and metrics are cut down to the requested ids before the star join; a short
-    list of keys is broadcast, and neither table is shuffled whole.
+    Contents and metrics are cut down to the requested ids before the star join: a short
+    list of keys is broadcast, for a long one a Bloom filter drops most other rows where
+    they are scanned. Neither table is shuffled whole.
     """
     wanted = keys.select(key_col, whole_number(F.col(key_col)).alias("wanted_id"))
-    ids = wanted.select("wanted_id").distinct()
-    contents = contents.join(ids, F.col("id") == F.col("wanted_id"), "left_semi")
-    metrics = metrics.join(ids, F.col("content_id") == F.col("wanted_id"), "left_semi")
+    ids = cut_lineage(wanted.select("wanted_id").filter("wanted_id is not null").distinct())
+
+    def asked(table, id_col):
+        return sieve(table, F.col(id_col), ids, "wanted_id").join(ids, F.col(id_col) == F.col("wanted_id"), "left_semi")
+
+    contents, metrics = asked(contents, "id"), asked(metrics, "content_id")
     return _answer(wanted, content_details(contents, creators, projects, metrics))
 
 

@@ -1,5 +1,7 @@
 """Writers: result sets, metric table, sync log."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
@@ -29,6 +31,15 @@ def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int)
     return df.sparkSession.table(table)
 
 
+def write_star(contents: DataFrame, metrics: DataFrame, folder: str, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
+    """Contents and metrics as catalog tables below ``folder`` in buckets of the content id."""
+    name = f"star_{uuid.uuid4().hex}"
+    return (
+        write_bucketed(contents, f"{name}_contents", f"{folder}/contents", "id", buckets),
+        write_bucketed(metrics, f"{name}_metrics", f"{folder}/content_metrics", "content_id", buckets),
+    )
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 

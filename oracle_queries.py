@@ -188,6 +188,10 @@ ORACLE["flt_5_derived_status"] = with_views(
 ORACLE["flt_6_tag"] = with_views(
     "part_creators", f"SELECT id, category FROM part_creators WHERE {fold('category')} LIKE '%ECONOMY%'")
 
+ORACLE["flt_6_tag_array"] = with_views("part_creators", f"""
+    SELECT id, 'tag' AS form FROM part_creators WHERE platform = 'Brand#1'
+    UNION ALL SELECT id, 'keyword' FROM part_creators WHERE {fold('category')} LIKE '%BRAND#1%'""")
+
 ORACLE["prj_1_content_detail"] = with_views("details", f"SELECT {DETAIL_COLUMNS} FROM details")
 ORACLE["prj_2_interactions"] = with_views("contents metrics", """
     SELECT c.id,
@@ -236,6 +240,7 @@ ORACLE["jn_1_star"] = with_views("details", """
     SELECT c.id, i.name AS influencer_name, p.name AS project_name, m.view_count
     FROM contents c JOIN creators i ON i.id = c.influencer_id
     LEFT JOIN projects p ON p.id = c.project_id LEFT JOIN metrics m ON m.content_id = c.id""")
+ORACLE["jn_1_bucketed_star"] = ORACLE["jn_1_star"]
 ORACLE["jn_2_contents_metrics"] = with_views("contents metrics", """
     SELECT c.id, m.view_count, m.sync_status
     FROM contents c LEFT JOIN metrics m ON m.content_id = c.id""")
@@ -291,6 +296,14 @@ ORACLE["agg_1_totals"] = with_views("contents creators metrics lived", """
         CAST(coalesce((SELECT sum(view_count) FROM metrics), 0) AS BIGINT) AS total_views,
         CAST(coalesce((SELECT sum(like_count + comment_count + collect_count + share_count) FROM metrics), 0)
             AS BIGINT) AS total_interactions""")
+ORACLE["agg_1_one_pass"] = with_views("contents metrics lived", f"""
+    SELECT 'totals' AS part, '' AS name, (SELECT count(*) FROM contents) AS content_count,
+        CAST(sum(view_count) AS BIGINT) AS view_count,
+        CAST(sum(like_count + comment_count + collect_count + share_count) AS BIGINT) AS total_interactions,
+        (SELECT count(*) FROM lived WHERE status = '进行中') AS active_project_count
+    FROM metrics
+    UNION ALL SELECT 'platform', platform, content_count, view_count, NULL, NULL FROM ({ROLLUP})
+    UNION ALL SELECT 'status', sync_status, count(*), NULL, NULL, NULL FROM metrics GROUP BY sync_status""")
 ORACLE["agg_3_sync_rollup"] = with_views(
     "metrics", "SELECT sync_status, count(*) AS content_count FROM metrics GROUP BY sync_status")
 ORACLE["agg_4_running_projects"] = with_views("lived", """
@@ -714,6 +727,20 @@ ORACLE["job_11_migrate_creators"] = """
         CASE WHEN c_custkey % 5 = 1 THEN '2023-06-06 10:00:00'
             WHEN c_custkey % 4 <> 0 THEN '2023-05-05 10:00:00' ELSE '2024-06-01 00:00:00' END AS updated_at
     FROM customer"""
+ORACLE["job_11_mixed_extracts"] = """
+    WITH aged AS (
+        SELECT *, c_custkey // 7 % 3 AS age,
+            CASE WHEN c_custkey % 4 <> 0 THEN '2023-05-05 10:00:00' END AS made,
+            CASE WHEN c_custkey % 3 <> 0 AND c_custkey // 7 % 3 < 2 THEN c_custkey * 10 END AS followers,
+            CASE WHEN c_custkey // 7 % 3 = 0 OR c_custkey % 2 = 0 THEN 0 ELSE c_custkey END AS given
+        FROM customer)
+    SELECT c_custkey AS id, c_name AS name, c_mktsegment AS platform, '' AS account_id, '' AS profile_url,
+        '' AS category, CASE WHEN given = 0 THEN coalesce(followers, 0) ELSE given END AS followers_count,
+        '' AS wechat, '' AS phone, '' AS email, '' AS other_contact, '' AS owner,
+        CASE WHEN c_custkey % 6 = 4 THEN '停用' ELSE '正常' END AS status, '' AS remark, made AS created_at,
+        CASE WHEN age = 2 AND c_custkey % 5 = 1 THEN '2023-06-06 10:00:00'
+            ELSE coalesce(made, '2024-06-01 00:00:00') END AS updated_at
+    FROM aged"""
 ORACLE["job_11_migrate_projects"] = with_views("dated", """
     SELECT id, name, '' AS project_code, status, owner, start_date, end_date, '' AS description,
         created_at, updated_at FROM dated""")
