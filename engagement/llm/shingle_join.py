@@ -22,7 +22,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -328,3 +328,28 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, counters:
     return out.select(
         heads["doc_id"], F.col("n").alias("n_shingles"), F.coalesce("component", heads["doc_id"]).alias("component_id")
     )
+
+
+def distinct_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One row of ``docs`` (doc_id, text, ...) for each group of similar documents.
+
+    Rows that share a doc_id but not the text are documents of their own: the join knows
+    them by a hash of both. Of a group stays that with the smallest doc_id, of several with
+    that doc_id one of them, and of equal rows one. Texts without words are similar to
+    nothing and rows without a doc_id are not compared: all of them stay. All columns are
+    kept, an empty table gives an empty result.
+    """
+    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    reused = stored(ids.where("n > 1").select(F.col("doc_id").alias("sim__reused")))
+    own = docs.where("doc_id is not null").join(reused, F.col("doc_id") == F.col("sim__reused"), "left")
+    key = F.when(F.col("sim__reused").isNotNull(), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id"))
+    own = own.withColumn("sim__key", key).drop("sim__reused")
+    groups = similar_documents(own.select(F.col("sim__key").alias("doc_id"), "text"), k, percent)
+    groups = stored(groups.groupBy(F.col("doc_id").alias("key")).agg(F.max("n_shingles").alias("n"), F.max("component_id").alias("part")))
+    named = own.select("doc_id", "sim__key").distinct().join(groups.hint("merge"), F.col("sim__key") == F.col("key"))
+    first = named.groupBy("part").agg(F.min(F.struct("doc_id", "key"))["key"].alias("key"), F.max("n").alias("n"))
+    kept = first.select(F.col("key").alias("sim__kept"), F.col("n").alias("sim__n"))
+    met = own.join(kept.hint("merge"), F.col("sim__key") == F.col("sim__kept"))
+    place = F.row_number().over(Window.partitionBy("sim__key").orderBy("doc_id"))
+    out = met.withColumn("sim__place", place).where("sim__place = 1 or sim__n = 0").select(*docs.columns)
+    return out.union(docs.where("doc_id is null"))
