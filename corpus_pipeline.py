@@ -5,14 +5,14 @@ every stage's rows to the shared folder, so that a lost executor costs a stage a
 """
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engagement.llm.queries import SURROGATE_KEY
 from engagement.llm.rule_classifier import keep_quality
 from engagement.llm.scratch import stored
 from engagement.llm.sentence_pieces import encode_pieces
-from engagement.llm.shingle_join import similar_documents
+from engagement.llm.shingle_join import distinct_documents
 from engagement.llm.source_mix import mix_sources
 from engagement.llm.surrogates import replace_personal_data
 from engagement.session import configure
@@ -21,7 +21,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that the classifier takes for good ones, each row by its own text."""
+    """Documents that the classifier takes for good ones, each row by its own text.
+
+    A null or empty text is judged as an empty one; repeated rows and rows without a doc_id
+    are judged one by one.
+    """
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     return keep_quality(docs, labels, threshold=0.7).select(*COLUMNS)
 
@@ -29,31 +33,36 @@ def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group of similar ones: that with the smallest doc_id.
 
-    Of rows that share its doc_id the first by text stays; rows without a doc_id, and texts
-    without words, are similar to nothing and all stay.
+    Rows that share a doc_id but not the text are documents of their own, equal rows are
+    one. Rows without a doc_id, and texts without words, are similar to nothing and all stay.
     """
-    groups = similar_documents(docs, k=5, percent=80)
-    kept = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
-    met = docs.join(kept.hint("merge"), "doc_id")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
-    first = met.withColumn("place", place).where("place = 1 or n_shingles = 0").select(*COLUMNS)
-    return first.union(docs.where("doc_id is null").select(*COLUMNS))
+    return distinct_documents(docs.select(*COLUMNS), k=5, percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """All documents, with surrogates for personal data; n_chars is counted anew."""
+    """All documents, with surrogates for personal data; n_chars of changed texts is counted anew.
+
+    Null texts stay null, empty ones empty, and each row stays a row.
+    """
     out = replace_personal_data(docs, key=SURROGATE_KEY)
     n_chars = F.when(F.col("n_replaced") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n_chars).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Copies of the documents, sources weighing mass ** 0.7, dealt out at random."""
+    """Copies of the documents, sources weighing mass ** 0.7, dealt out at random.
+
+    A null source is a source of its own; null texts weigh nothing but are repeated at their
+    source's rate. Rows with one doc_id get equal numbers of copies in one source.
+    """
     return mix_sources(docs, exponent=0.7, epochs=1.0, seed=0).select(*COLUMNS)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The documents with their number of pieces, the pieces, and whether they are lossless."""
+    """The documents with their number of pieces, the pieces, and whether they are lossless.
+
+    A null text has null pieces, an empty one none; equal rows get equal pieces.
+    """
     return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), sharpness=1.0, seed=0)
 
 
