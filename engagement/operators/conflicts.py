@@ -30,7 +30,6 @@ def components(touched: DataFrame) -> DataFrame:
     turned = spokes.select(F.col("hub").alias("row"), F.col("row").alias("hub"))
     edges = cut_lineage(spokes.unionByName(turned).withColumnRenamed("hub", "other"))
     labels = edges.groupBy("row").agg(F.least(F.min("other"), F.first("row")).alias("part"))
-    labels = cut_lineage(labels)
     while True:
         changed = Observation()
         near = edges.join(labels.withColumnRenamed("row", "other"), "other").select("row", "part", F.lit(None).cast("bigint").alias("before"))

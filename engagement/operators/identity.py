@@ -188,10 +188,12 @@ def refused_updates(claims: DataFrame, stored: DataFrame) -> DataFrame:
     keys = wants.groupBy("id").agg(F.collect_list("key").alias("keys"))
     turns = updates.join(parts, "row").join(hopeless, "id", "left_anti").join(keys, "id", "left")
     none = F.expr("cast(array() as array<bigint>)")
-    turns = cut_lineage(turns.select("part", "id", F.col("row").alias("target"), F.coalesce("keys", none).alias("keys")))
-    start = cut_lineage(moving.join(parts, "row").select("part", "row", "key"))
-    sizes = turns.select("part", (F.size("keys") + 1).alias("entries")).union(start.select("part", F.lit(1)))
-    small = cut_lineage(small_parts(sizes))
+    turns = turns.select("part", "id", F.col("row").alias("target"), F.coalesce("keys", none).alias("keys"))
+    start = moving.join(parts, "row").select("part", F.col("row").alias("target"), F.col("key").alias("held"))
+    entries = cut_lineage(turns.unionByName(start, allowMissingColumns=True))
+    small = small_parts(entries.select("part", (F.coalesce(F.size("keys"), F.lit(0)) + 1).alias("entries")))
+    turns = entries.filter("held is null").drop("held")
+    start = entries.filter("held is not null").select("part", F.col("target").alias("row"), F.col("held").alias("key"))
     is_small, is_large = small.filter("small").select("part"), small.filter("not small").select("part")
     folded = fold_updates(turns.join(is_small, "part"), start.join(is_small, "part"))
     cut_lineage(folded, f"{path}/round=1")
