@@ -17,7 +17,7 @@ from .source_mix import mix_sources, mix_sql
 from .span_dedup import dedup_spans
 from .surrogates import replace_personal_data
 from .token_counts import count_tokens
-from .url_digests import judge_urls
+from .url_digests import UNWANTED, judge_urls, unwanted_hosts
 from .vector_codes import compress_vectors
 from .vector_forest import near_vectors
 
@@ -31,12 +31,6 @@ URL_RULES = [
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 ]
-#: Blocked hosts with all their subdomains.
-BLOCKED_HOSTS = [
-    f"{name}.example.{top}"
-    for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
-    for top in ("com", "net", "org")
-]
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -75,7 +69,8 @@ def op7_vector_forest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_url_filters(spark: SparkSession, folder: str) -> DataFrame:
-    return judge_urls(_table(spark, folder, "pages"), URL_RULES, BLOCKED_HOSTS)
+    pages = _table(spark, folder, "pages")
+    return judge_urls(pages, URL_RULES, unwanted_hosts(pages))
 
 
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -283,9 +278,13 @@ ORACLE: dict[str, str] = {
             end as rule
             from parts
         ),
+        list as (
+            select distinct regexp_extract(host, '(?:^|\\.)((?:[^.]*-)?(?:{"|".join(UNWANTED)})(?:-[^.]*)?\\..+)$', 1) as h
+            from parts
+        ),
         listed as (
-            select *, (select min(h) from (values {", ".join(f"('{h}')" for h in BLOCKED_HOSTS)}) as t(h)
-                where host = h or host like '%.' || h) as entry
+            select *, (select arg_max(h, length(h)) from list
+                where h <> '' and (host = h or ends_with(host, '.' || h))) as entry
             from ruled
         )
         select page_id, host, path, rule, case

@@ -8,7 +8,7 @@ import pytest
 from engagement.llm import queries
 from engagement.llm.source_mix import mix_sources, poisson_steps
 from engagement.llm.surrogates import assign_surrogates, proposal, replace_personal_data
-from engagement.llm.url_digests import DigestArray, judge_urls, probes
+from engagement.llm.url_digests import DigestArray, judge_urls, unwanted_hosts
 
 ROWS = "doc_id long, source string, text string, copy string, n_replaced int"
 
@@ -246,13 +246,33 @@ def test_digest_array(tmp_path):
     def clash(text):
         return len(text) % 3
 
-    DigestArray.write(["a.com", "b.org/x/", None, "", "zzz", "zzz"], path, digest=clash)
+    entries = sorted((clash(t), t) for t in (b"a.com", b"b.org/x/", b"zzz"))
+    DigestArray.write(entries, path)
     found = DigestArray(path).find([b"a.com", b"zzz", b"b.org/x/", b"bbb", b"", b"xx.com"], digest=clash)
     assert found.tolist() == [True, True, True, False, False, False]
+    assert DigestArray(path).probes(b"m.a.com", b"/x/y") == [b"a.com", b"com", b"a.com/x/", b"com/x/"]
+    assert DigestArray(path).probes(b"", b"") == []
     DigestArray.write([], path)
-    assert DigestArray(path).find([b"a"]).tolist() == [False]
-    assert probes("m.a.com", "/x/y") == ["m.a.com", "a.com", "com", *(n + p for n in ("m.a.com", "a.com", "com") for p in ("/x/", "/x/y"))]
-    assert probes("", "") == []
+    assert DigestArray(path).find([b"a"]).tolist() == [False] and DigestArray(path).probes(b"a.com", b"/") == []
+
+
+def list_of(spark, *entries):
+    return spark.createDataFrame([(e,) for e in entries], "entry string")
+
+
+def test_long_urls_are_tried_at_the_lengths_of_the_list(spark):
+    deep, wide = "/" + "a/" * 400_000, "x." * 100_000 + "spam.example"
+    urls = [f"http://ok.example{deep}", f"http://{wide}{deep}", "http://" + "a" * 500_000, f"http://sub.ok.example/bad{deep}"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    entries = ["spam.example", "ok.example/bad/", "ok.example/" + "a/" * 1000, "", None, "spam.example", "日本.example"]
+    found = {x["page_id"]: x["entry"] for x in judge_urls(pages, [], list_of(spark, *entries)).collect()}
+    assert found == {0: "ok.example/" + "a/" * 1000, 1: "spam.example", 2: None, 3: "ok.example/bad/"}
+
+
+def test_unwanted_hosts(spark):
+    urls = ["http://m.ads-track.a.org/x", "http://ADS.b.com", "http://loads.com", "http://x.cheap-pills.c.net/casino", "http://casino", "http://badspam.d.org", None, "x"]
+    pages = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert {x["entry"] for x in unwanted_hosts(pages).collect()} == {"ads-track.a.org", "ads.b.com", "cheap-pills.c.net"}
 
 
 def test_urls(spark):
@@ -262,7 +282,7 @@ def test_urls(spark):
         "no host", None, "", "http://notexample.org/es/", "a://b://c.com/de/\nx", "http://[::1]/x",
     ]
     pages = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string")
-    found = judge_urls(pages, queries.URL_RULES, ["spam.example", "ok.example/bad/"]).collect()
+    found = judge_urls(pages, queries.URL_RULES, list_of(spark, "spam.example", "ok.example/bad/")).collect()
     got = {x["page_id"]: (x["host"], x["path"], x["rule"], x["verdict"]) for x in found}
     assert [got[i] for i in range(len(urls))] == [
         ("sub.example.org", "/es/1", "example.org/es/", "block"),
@@ -281,4 +301,4 @@ def test_urls(spark):
         ("b:", "//c.com/de/\nx", None, "allow"),
         ("[::1]", "/x", None, "allow"),
     ]
-    assert judge_urls(pages.limit(0), queries.URL_RULES, []).count() == 0
+    assert judge_urls(pages.limit(0), queries.URL_RULES, list_of(spark)).count() == 0
