@@ -10,6 +10,12 @@ row gives the same pieces on any executor and in any partition.
 No piece runs from a letter into a space, so the lattice falls apart into units (the
 spaces before a word, and the word). The lattice of a unit is built once for each chunk of
 text, and the draws of all units of a chunk go step by step in numpy.
+
+A text need not have spaces. A long unit falls apart further wherever no piece of the
+vocabulary spans a place; that is found in windows. What is still long, such as one letter
+a million times, is walked block by block: the sums are kept at the blocks' beginnings only
+and made again for a block when its pieces are drawn. A draw depends on the unit's key and
+the place in it, so the same pieces come out whichever way is taken.
 """
 
 from functools import lru_cache
@@ -25,6 +31,12 @@ from .words import mix, signed
 SPACE = "▁"
 #: Characters whose units are sampled together.
 CHUNK = 1 << 19
+#: Longer units are looked through for places that no piece spans.
+LONG = 1024
+#: Longer parts of them are walked block by block.
+WALKED = 2048
+#: Characters of a window, and of a block that is walked.
+WINDOW = 1 << 16
 #: Stands for a literal U+2581 in a text, which the vocabulary uses for the space.
 LITERAL = chr(0xF0000)
 
@@ -128,10 +140,71 @@ class Pieces:
                 ahead[last] /= total[i]
         return chances
 
-    def sample(self, units: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def free_places(self, codes: np.ndarray) -> np.ndarray:
+        """Places between characters that no piece spans, with both ends."""
+        spans = np.zeros(len(codes) + 2, dtype=np.int64)
+        for a in range(0, len(codes), WINDOW):
+            from_ = max(0, a - self.longest + 1)
+            window = codes[from_ : a + WINDOW]
+            ids, _ = self.edges(window, np.arange(len(window)))
+            end, n = np.nonzero(ids[a - from_ :, 1:] >= 0)
+            end += a
+            np.add.at(spans, end - n, 1)
+            np.add.at(spans, end + 1, -1)
+        free = np.flatnonzero(np.cumsum(spans[: len(codes)]) == 0)
+        return np.unique(np.concatenate(([0], free, [len(codes)])))
+
+    def walk(self, codes: np.ndarray, key: int, offset: int) -> np.ndarray:
+        """Pieces of one part of a unit that begins ``offset`` characters after its start."""
+        width, begins = self.longest, range(0, len(codes), WINDOW)
+
+        def block(a: int, before: list[float], drawing: bool):
+            """Pieces that end at each place of a block, the cumulative chances of them, and
+            the last ``width`` sums; ``before`` has those of the block before."""
+            from_ = max(0, a - width + 1)
+            window = codes[from_ : a + WINDOW]
+            ids, weights = self.edges(window, np.arange(len(window)))
+            ids, chances, ahead = ids[a - from_ :].tolist() if drawing else [], [], list(before)
+            for row in weights[a - from_ :].tolist():
+                sums, total = [], 0.0
+                for n in range(min(width, len(ahead))):
+                    total += ahead[-1 - n] * row[n]
+                    sums.append(total)
+                if drawing:
+                    chances.append([x / total for x in sums[:-1]])
+                ahead.append(total)
+                if len(ahead) > width:
+                    del ahead[0]
+                if total < 1e-100:
+                    # Only ratios matter, and only the last places count on.
+                    ahead = [x / total for x in ahead]
+            return ids, chances, ahead
+
+        sums, starts = [1.0], []
+        for a in begins:
+            starts.append(sums)
+            sums = block(a, sums, False)[2]
+        drawn, left = [], len(codes)
+        for a in reversed(begins):
+            ids, chances, _ = block(a, starts.pop(), True)
+            lefts = (offset + np.arange(a + 1, left + 1)).astype(np.uint64)
+            random = mix(np.uint64(key) + np.uint64(0x9E3779B97F4A7C15) * lefts)
+            points = ((random >> np.uint64(11)).astype(np.float64) / (1 << 53)).tolist()
+            while left > a:
+                at = left - a - 1
+                size = 0
+                while size < len(chances[at]) and chances[at][size] <= points[at]:
+                    size += 1
+                piece = ids[at][size]
+                drawn += [piece] if piece >= 0 else reversed(self.spell(int(codes[left - 1])))
+                left -= size + 1
+        return np.array(drawn[::-1], dtype=np.int32)
+
+    def sample(self, units: list[str], keys: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces in text order and how many of them each unit has.
 
-        ``keys`` are random 64-bit numbers, one for a unit. Equal units share a lattice.
+        ``keys`` are random 64-bit numbers, one for a unit; a part of a unit comes with the
+        unit's key and the ``offset`` at which it begins. Equal units share a lattice.
         """
         number = {unit: i for i, unit in enumerate(dict.fromkeys(units))}
         which = np.fromiter(map(number.__getitem__, units), dtype=np.int64, count=len(units))
@@ -146,7 +219,7 @@ class Pieces:
         counts = np.zeros(len(units), dtype=np.int64)
         while len(rows):
             end = first[rows] + left - 1
-            random = mix(keys[rows] + np.uint64(0x9E3779B97F4A7C15) * left.astype(np.uint64))
+            random = mix(keys[rows] + np.uint64(0x9E3779B97F4A7C15) * (left + offsets[rows]).astype(np.uint64))
             point = (random >> np.uint64(11)).astype(np.float64) / (1 << 53)
             size, longer = np.zeros(len(rows), dtype=np.int64), np.arange(len(rows))
             for n in range(self.longest - 1):
@@ -206,18 +279,42 @@ def units_of(text: str) -> list[str]:
     return units
 
 
+def _parts(pieces: Pieces, units: list[str]):
+    """(parts, unit, offset): long units in parts that no piece spans, others as they are."""
+    if not units or max(map(len, units)) <= LONG:
+        return units, np.arange(len(units)), np.zeros(len(units), dtype=np.int64)
+    parts, unit, offsets = [], [], []
+    for i, text in enumerate(units):
+        cuts = pieces.free_places(_codes(text)).tolist() if len(text) > LONG else [0, len(text)]
+        parts += [text[a:b] for a, b in zip(cuts, cuts[1:])]
+        unit += [i] * (len(cuts) - 1)
+        offsets += cuts[:-1]
+    return parts, np.array(unit, dtype=np.int64), np.array(offsets, dtype=np.int64)
+
+
 def _sample(pieces: Pieces, units: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As ``Pieces.sample``, ``CHUNK`` characters or one longer unit at a time."""
+    """As ``Pieces.sample``, about ``CHUNK`` characters or one long part at a time."""
+    parts, unit, offsets = _parts(pieces, units)
     ids, counts = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)]
-    ends = np.cumsum(np.fromiter(map(len, units), dtype=np.int64, count=len(units)))
+    lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+    ends, walked = np.cumsum(lengths), np.append(np.flatnonzero(lengths > WALKED), len(parts))
     first = 0
-    while first < len(units):
+    while first < len(parts):
+        if lengths[first] > WALKED:
+            out = pieces.walk(_codes(parts[first]), int(keys[unit[first]]), int(offsets[first]))
+            ids.append(out)
+            counts.append(np.array([len(out)]))
+            first += 1
+            continue
         done = ends[first - 1] if first else 0
         last = max(first + 1, int(np.searchsorted(ends, done + CHUNK, "right")))
-        for out, part in zip((ids, counts), pieces.sample(units[first:last], keys[first:last])):
+        last = min(last, int(walked[np.searchsorted(walked, first)]))
+        for out, part in zip((ids, counts), pieces.sample(parts[first:last], keys[unit[first:last]], offsets[first:last])):
             out.append(part)
         first = last
-    return np.concatenate(ids), np.concatenate(counts)
+    per_unit = np.zeros(len(units), dtype=np.int64)
+    np.add.at(per_unit, unit, np.concatenate(counts))
+    return np.concatenate(ids), per_unit
 
 
 def _encode(path: str, sharpness: float, seed: int, kept: list[str]):

@@ -4,13 +4,15 @@ import collections
 import math
 import random
 import re
+import time
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from engagement.llm import quality_rules
+from engagement.llm import quality_rules, sentence_pieces
 from engagement.llm.quality_rules import estimate_accuracies, judge_quality
 from engagement.llm.rule_classifier import RuleModel, keep_quality, rules_of, score_quality
 from engagement.llm.sentence_pieces import _pieces, decode_pieces, encode_pieces, units_of
@@ -75,6 +77,29 @@ def test_pieces_are_lossless_and_reproducible(spark):
     assert [x["decoded"] for x in decode_pieces(odd, PIECES).collect()] == [None, "", ""]
 
 
+@pytest.mark.parametrize("windows", [(1024, 2048, 1 << 16), (8, 4, 64), (8, 1, 7), (8, 10**9, 1 << 16)])
+def test_long_units_give_the_same_pieces_in_parts(monkeypatch, windows):
+    pieces, draw = _pieces(PIECES, 1.0), random.Random(4)
+    kinds = ["a", "ab", "aé", "0123456789abcdef", "語漢字テスト", "ACGT", "thequickbrownfox", "=-_", "😀x"]
+    units = ["▁" + "".join(draw.choice(k) for _ in range(3000)) for k in kinds] + ["▁thing", "▁" * 2000 + "x"]
+    keys = np.arange(1, len(units) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ids, counts = pieces.sample(units, keys, np.zeros(len(units), dtype=np.int64))
+    for name, value in zip(("LONG", "WALKED", "WINDOW"), windows):
+        monkeypatch.setattr(sentence_pieces, name, value)
+    again, per_unit = sentence_pieces._sample(pieces, units, keys)
+    assert counts.tolist() == per_unit.tolist() and ids.tolist() == again.tolist()
+
+
+@pytest.mark.parametrize("text", ["語漢字テ" * 500_000, "a" * 2_000_000, "0f3a9c" * 400_000, "\u2581" * 100_000, " " * 1_000_000 + "x"])
+def test_texts_without_a_space(text):
+    pieces = _pieces(PIECES, 1.0)
+    units = units_of(text)
+    began = time.monotonic()
+    ids, counts = sentence_pieces._sample(pieces, units, np.arange(1, len(units) + 1, dtype=np.uint64))
+    assert sentence_pieces.decode_flat(pieces, ids, np.array([0, len(ids)])) == [text.encode()]
+    assert time.monotonic() - began < 100
+
+
 def test_segmentations_have_their_probability(spark):
     weights = _pieces(PIECES, 1.0).weights
     unit = units_of("thing")[0]
