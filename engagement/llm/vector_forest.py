@@ -4,14 +4,19 @@ Trees are grown on a bounded sample: each node splits its vectors at the median
 random projection, and those within a margin of the median go to both sides. The margin is
 a share of what two vectors of the least similarity differ by in a random direction, so a
 cluster of similar vectors is not cut up: where most vectors would go both ways, the node
-stays a leaf, however large. All vectors
-are then sent down every tree, vectors of one leaf are compared exactly, and links are
-united. Equal vectors are one vector with a weight throughout, and a pair that meets in
-several leaves counts in the first of them only. Leaves put out one row for each vector
-with a link, never pairs.
+stays a leaf, however large. All vectors are sent down every tree; a leaf that holds too
+many of them grows a tree of its own, from a sample of its vectors, and so on, until leaves
+are bounded or cannot be parted. So leaves do not grow with the table.
+
+Vectors of one leaf are compared exactly, and links are united. A leaf that cannot be parted
+and has more than ``BLOCK_BYTES`` of vectors is compared in packed blocks, pair by pair.
+Equal vectors are one vector with a weight throughout, and a pair that meets in several
+leaves counts in the first of them only. Leaves put out one row for each vector with a link,
+never pairs.
 """
 
 import hashlib
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,14 +25,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .scratch import stored
+from .scratch import dropped, stored
 from .ship import ship
+from .words import mix, signed
 
-#: Vectors on which the trees are grown. More vectors than this allow deeper trees, which
-#: keep leaves small in a larger table.
+#: Vectors on which the trees are grown.
 SAMPLE = 16_384
-#: Rows of a leaf that are compared in one go; larger leaves are compared block by block.
-BLOCK = 1024
+#: Vectors of a large leaf on which its own tree is grown, and how many times the wanted
+#: rows a leaf may hold before that.
+LEAF_SAMPLE, LARGE = 2048, 8
+#: Projections tried to part a node.
+TRIES = 12
+#: Bytes of the vectors of a leaf that are held and compared in one task.
+BLOCK_BYTES = 8 << 20
 
 
 @dataclass
@@ -70,13 +80,17 @@ def grow(sample: np.ndarray, total: int, leaf_rows: int, margin: float, seed: in
         rows, parent, side = todo.pop()
         split = None
         if len(rows) * weight > leaf_rows and len(rows) >= 16:
-            direction = random.standard_normal(sample.shape[1])
-            seen = sample[rows] @ (direction / np.linalg.norm(direction)).astype(np.float32)
-            a, b = np.median(seen) - margin, np.median(seen) + margin
-            left, right = rows[seen < b], rows[seen >= a]
-            # Vectors that no projection parts stay together in one leaf.
-            if max(len(left), len(right)) <= 0.75 * len(rows):
-                split = direction / np.linalg.norm(direction), a, b, left, right
+            for attempt in range(TRIES):
+                direction = random.standard_normal(sample.shape[1])
+                seen = sample[rows] @ (direction / np.linalg.norm(direction)).astype(np.float32)
+                # First at the median; beside it where a cluster lies there.
+                middle = np.quantile(seen, (0.5, 0.35, 0.65)[attempt % 3])
+                a, b = middle - margin, middle + margin
+                left, right = rows[seen < b], rows[seen >= a]
+                # Vectors that no projection parts stay together in one leaf.
+                if max(len(left), len(right)) <= 0.75 * len(rows):
+                    split = direction / np.linalg.norm(direction), a, b, left, right
+                    break
         if split is None:
             place(parent, side, -1 - leaves)
             leaves += 1
@@ -129,8 +143,25 @@ def _matrix(vectors: list[bytes], dim: int) -> np.ndarray:
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
+NODE = ("fa", "fb", "node", "copies", "dim", "vec")
+
+
+def _named(leaves: np.ndarray, parent) -> np.ndarray:
+    """64-bit names of leaves: of a tree by number, or of the leaves another one is cut into."""
+    return signed(mix(np.array([parent], dtype=np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + leaves.astype(np.uint64)))
+
+
+def _reached(tree: Tree, unit: np.ndarray, parent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, names) of the leaves of one tree that the vectors reach."""
+    rows, leaves = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for leaf, reached in tree.walk(unit):
+        rows.append(reached)
+        leaves.append(np.full(len(reached), leaf))
+    return np.concatenate(rows), _named(np.concatenate(leaves), parent)
+
+
 def _assign(forest):
-    """A row for each vector and leaf, with all leaves of the vector."""
+    """The leaves of each vector, of all trees; lengths without trees are one leaf."""
 
     def assign(batches):
         trees = forest.value
@@ -138,87 +169,186 @@ def _assign(forest):
             dims = np.array(batch.column("dim").to_pylist(), dtype=np.int64)
             for dim in np.unique(dims):
                 part = batch.take(pa.array(np.flatnonzero(dims == dim)))
-                unit = _matrix(part.column("vec").to_pylist(), int(dim)).astype(np.float32)
-                rows, leaves, first = [], [], 0
-                for tree in trees[int(dim)]:
-                    for leaf, reached in tree.walk(unit):
-                        rows.append(reached)
-                        leaves.append(np.full(len(reached), first + leaf))
-                    first += tree.leaves
-                rows, leaves = np.concatenate(rows), np.concatenate(leaves)
+                if int(dim) in trees:
+                    unit = _matrix(part.column("vec").to_pylist(), int(dim)).astype(np.float32)
+                    found = [_reached(tree, unit, i) for i, tree in enumerate(trees[int(dim)])]
+                    rows, leaves = (np.concatenate(x) for x in zip(*found))
+                else:
+                    rows, leaves = np.arange(len(part)), np.zeros(len(part), dtype=np.int64)
                 order = np.lexsort((leaves, rows))
-                rows, leaves = rows[order], leaves[order]
-                bounds = np.searchsorted(rows, np.arange(len(part) + 1))
-                every = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(leaves.astype(np.int32)))
-                at = pa.array(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(c).take(at) for c in NODE] + [pa.array(leaves.astype(np.int32)), every.take(at)],
-                    names=[*NODE, "leaf", "leaves"],
-                )
+                bounds = np.searchsorted(rows[order], np.arange(len(part) + 1))
+                every = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(leaves[order]))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("fa", "fb", "dim")], every], names=["fa", "fb", "dim", "leaves"])
 
     return assign
 
 
-NODE = ("fa", "fb", "node", "copies", "dim", "vec")
+def _grow_leaf(leaf_rows: int, margins: dict[int, float], leaf_sample: int):
+    """A tree for a large leaf from a sample of its vectors; null if it cannot be parted."""
 
+    def grow_leaf(key, table):
+        dim, leaf = key[0].as_py(), key[1].as_py()
+        unit = _matrix(table.column("vec").to_pylist(), dim).astype(np.float32)
+        total = table.column("n")[0].as_py()
+        tree = grow(unit[:leaf_sample], total, leaf_rows, margins[dim], leaf % (1 << 63))
+        made = pickle.dumps(tree) if tree.leaves > 1 else None
+        return pa.table({"dim": pa.array([dim], pa.int32()), "leaf": pa.array([leaf], pa.int64()), "tree": pa.array([made], pa.binary())})
 
-def _compare(least: float):
-    """Rows sorted by (dim, leaf, i, j): links of each vector, and one link to its part."""
-
-    def compared(rows):
-        dim, leaf, i, j = rows[0][:4]
-        unit = _matrix([r[9] for r in rows], dim)
-        block = np.array([r[4] for r in rows])
-        copies = np.array([r[8] for r in rows], dtype=np.int64)
-        width = max(len(r[10]) for r in rows)
-        leaves = np.full((len(rows), width), -1, dtype=np.int32)
-        for n, r in enumerate(rows):
-            leaves[n, : len(r[10])] = r[10]
-        earlier = np.where(leaves < leaf, leaves, -1)
-        links, part = np.zeros(len(rows), dtype=np.int64), np.arange(len(rows))
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        pairs = []
-        for at in range(0, len(left), 256):
-            a = left[at : at + 256]
-            p, q = np.nonzero(unit[a] @ unit[right].T >= least)
-            p, q = a[p], right[q]
-            keep = p < q if i == j else p >= 0
-            p, q = p[keep], q[keep]
-            pairs.append((p, q))
-            for part_at in range(0, len(p), 4096):
-                x, y = p[part_at : part_at + 4096], q[part_at : part_at + 4096]
-                met = (earlier[x][:, :, None] == earlier[y][:, None, :]) & (earlier[x] >= 0)[:, :, None]
-                new = ~met.any(axis=(1, 2))
-                np.add.at(links, x[new], copies[y[new]])
-                np.add.at(links, y[new], copies[x[new]])
-        p, q = (np.concatenate(z) for z in zip(*pairs)) if pairs else (part[:0], part[:0])
-        before = None
-        while before is None or (before != part).any():
-            before = part.copy()
-            np.minimum.at(part, p, part[q])
-            np.minimum.at(part, q, part[p])
-            part = part[part]
-        linked = np.unique(np.concatenate((p, q)))
-        return [(rows[n][5], rows[n][6], int(links[n]), rows[n][7], rows[part[n]][7]) for n in linked.tolist()]
+    return grow_leaf
 
-    def compare(batches):
+
+def _cut_leaves(batches):
+    """The leaves that take the place of large ones, for rows sorted by (dim, leaf)."""
+    known = {}
+    for batch in batches:
+        leaves = np.array(batch.column("leaf").to_pylist(), dtype=np.int64)
+        for leaf in np.unique(leaves):
+            part = batch.take(pa.array(np.flatnonzero(leaves == leaf)))
+            dim, made = part.column("dim")[0].as_py(), part.column("tree")[0].as_py()
+            if (dim, leaf) not in known:
+                known = {(dim, leaf): pickle.loads(made)}
+            unit = _matrix(part.column("vec").to_pylist(), dim).astype(np.float32)
+            rows, names = _reached(known[dim, leaf], unit, int(leaf))
+            taken = pa.array(rows)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(c).take(taken) for c in ("fa", "fb", "leaf")] + [pa.array(names)], names=["fa", "fb", "leaf", "new"]
+            )
+
+
+def _bounded_leaves(nodes: DataFrame, leaves: DataFrame, leaf_rows: int, margins: dict[int, float]) -> DataFrame:
+    """``leaves`` (fa, fb, dim, leaves) with trees grown in leaves that are too large."""
+    spark = nodes.sparkSession
+    dense = spark.createDataFrame([], "dim int, leaf long")
+    while True:
+        each = leaves.select("fa", "fb", "dim", F.explode("leaves").alias("leaf"))
+        sizes = each.groupBy("dim", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > LARGE * leaf_rows)
+        large = stored(sizes.where(F.col("dim").isin(list(margins))).join(dense, ["dim", "leaf"], "left_anti"))
+        if large.isEmpty():
+            return leaves
+        # Rows of large leaves meet their vectors; a hash of both picks each leaf's sample.
+        held = each.join(large, ["dim", "leaf"]).join(nodes.select("fa", "fb", "vec"), ["fa", "fb"])
+        draw = F.pmod(F.xxhash64("fa", "fb", "leaf"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        sample = held.where(draw < F.lit(1.5 * LEAF_SAMPLE) / F.col("n")).select("dim", "leaf", "n", "vec")
+        grown = _grow_leaf(leaf_rows, margins, LEAF_SAMPLE)
+        trees = stored(sample.groupBy("dim", "leaf").applyInArrow(grown, "dim int, leaf long, tree binary"))
+        parted = trees.where("tree is not null")
+        dense = stored(dense.union(large.select("dim", "leaf").join(parted.select("dim", "leaf"), ["dim", "leaf"], "left_anti")))
+        rows = held.join(parted, ["dim", "leaf"]).sortWithinPartitions("dim", "leaf")
+        cut = stored(rows.mapInArrow(_cut_leaves, "fa long, fb long, leaf long, new long"))
+        cut = cut.groupBy("fa", "fb").agg(F.collect_set("leaf").alias("gone"), F.collect_set("new").alias("new"))
+        both = leaves.join(cut, ["fa", "fb"], "left")
+        kept = F.array_sort(F.array_union(F.array_except("leaves", "gone"), "new"))
+        leaves = stored(both.select("fa", "fb", "dim", F.when(F.col("gone").isNull(), F.col("leaves")).otherwise(kept).alias("leaves")))
+
+
+@dataclass
+class Block:
+    """Vectors of one leaf: (fa, fb, node, copies) of each, their bytes, and all their leaves."""
+
+    heads: np.ndarray
+    vectors: bytes
+    leaves: np.ndarray
+
+    @staticmethod
+    def of(rows) -> "Block":
+        width = max(len(r[5]) for r in rows)
+        leaves = np.full((len(rows), width), np.iinfo(np.int64).max, dtype=np.int64)
+        for i, r in enumerate(rows):
+            leaves[i, : len(r[5])] = r[5]
+        return Block(np.array([r[:4] for r in rows], dtype=np.int64), b"".join(r[4] for r in rows), leaves)
+
+    def unit(self, dim: int) -> np.ndarray:
+        size = len(self.vectors) // len(self.heads)
+        return _matrix([self.vectors[i * size : (i + 1) * size] for i in range(len(self.heads))], dim)
+
+
+def _united(part: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Parts (each by its smallest member) after the links x-y."""
+    while True:
+        while (part != part[part]).any():
+            part = part[part]
+        a, b = part[x], part[y]
+        differ = a != b
+        if not differ.any():
+            return part
+        np.minimum.at(part, np.maximum(a, b)[differ], np.minimum(a, b)[differ])
+
+
+def compared(a: Block, b: Block | None, dim: int, leaf: int, least: float):
+    """Links of each vector of a block, or across two, that meet in no earlier leaf, and one
+    link of each vector to its part: (fa, fb, links, node, node of the part)."""
+    unit = a.unit(dim)
+    right = unit if b is None else b.unit(dim)
+    heads = a.heads if b is None else np.concatenate((a.heads, b.heads))
+    shift = 0 if b is None else len(unit)
+    early = [np.where(x.leaves < leaf, x.leaves, np.iinfo(np.int64).max) for x in (a, b or a)]
+    links, part, linked = np.zeros(len(heads), dtype=np.int64), np.arange(len(heads)), np.zeros(len(heads), dtype=bool)
+    for i in range(0, len(unit), 256):
+        for j in range(i if b is None else 0, len(right), 4096):
+            p, q = np.nonzero(unit[i : i + 256] @ right[j : j + 4096].T >= least)
+            p, q = p + i, q + j
+            if b is None:
+                p, q = p[p < q], q[p < q]
+            for at in range(0, len(p), 1 << 16):
+                x, y = p[at : at + (1 << 16)], q[at : at + (1 << 16)]
+                new = np.ones(len(x), dtype=bool)
+                for k in range(early[0].shape[1]):
+                    own = early[0][x, k]
+                    if (own < np.iinfo(np.int64).max).any():
+                        new &= ~((early[1][y] == own[:, None]) & (own < np.iinfo(np.int64).max)[:, None]).any(axis=1)
+                links += np.bincount(x[new], heads[y[new] + shift, 3], len(heads)).astype(np.int64)
+                links += np.bincount(y[new] + shift, heads[x[new], 3], len(heads)).astype(np.int64)
+                linked[x] = linked[y + shift] = True
+                part = _united(part, x, y + shift)
+    return [(*heads[n, :2].tolist(), int(links[n]), int(heads[n, 2]), int(heads[part[n], 2])) for n in np.flatnonzero(linked).tolist()]
+
+
+FOUND = pa.schema([("fa", pa.int64()), ("fb", pa.int64()), ("links", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+PACKED = pa.schema([*FOUND, ("dim", pa.int32()), ("leaf", pa.int64()), ("block", pa.int32()), ("blocks", pa.int32()), ("packed", pa.binary())])
+
+
+def _leaves(least: float):
+    """Rows sorted by (dim, leaf, block): links of whole leaves; blocks of others, packed."""
+
+    def settle(key, rows):
+        dim, leaf, block, blocks = key
+        made = Block.of(rows)
+        if blocks == 1:
+            return [(*x, None, None, None, None, None) for x in compared(made, None, dim, leaf, least)] if len(rows) > 1 else []
+        return [(None, None, None, None, None, dim, leaf, block, blocks, pickle.dumps(made))]
+
+    def leaves(batches):
         key, rows = None, []
         for batch in batches:
             out = []
-            columns = [batch.column(c).to_pylist() for c in ("dim", "leaf", "i", "j", "block", "fa", "fb", "node", "copies", "vec", "leaves")]
+            columns = [batch.column(c).to_pylist() for c in ("dim", "leaf", "block", "blocks", "fa", "fb", "node", "copies", "vec", "leaves")]
             for row in zip(*columns):
                 if key != row[:4]:
-                    out += compared(rows) if len(rows) > 1 else []
+                    out += settle(key, rows) if rows else []
                     key, rows = row[:4], []
-                rows.append(row)
-            yield _links(out)
-        yield _links(compared(rows) if len(rows) > 1 else [])
+                rows.append(row[4:])
+            yield _table(out, PACKED)
+        yield _table(settle(key, rows) if rows else [], PACKED)
+
+    return leaves
 
-    def _links(rows):
-        columns = list(zip(*rows)) or [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["fa", "fb", "links", "a", "b"])
 
-    return compare
+def _table(rows, schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _across(least: float):
+    """Pairs of packed blocks, one after the other."""
+
+    def across(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                a = pickle.loads(row["packed"])
+                b = None if row["other"] is None else pickle.loads(row["other"])
+                yield _table(compared(a, b, row["dim"], row["leaf"], least), FOUND)
+
+    return across
 
 
 def near_vectors(
@@ -231,7 +361,7 @@ def near_vectors(
     the smallest vec_id reachable by links, itself included, and kept tells whether that
     is the vector's own. Links below ``least`` are never made; a link is missed only if
     its two vectors share no leaf of any tree (none is, in a table of up to ``leaf_rows``
-    different vectors).
+    different vectors of one length).
 
     Vectors that are null, empty or zero, hold null or non-finite components, or have a
     null vec_id link with nothing and are kept. Repeated rows are one vector; rows that
@@ -249,24 +379,36 @@ def near_vectors(
     # The copies of a vector hold the same bytes: the row of the smallest vec_id stands for all.
     own = usable.join(weights, ["fa", "fb"]).where("vec_id = node").select(*NODE)
     nodes = stored(own.dropDuplicates(["fa", "fb"]))
-    forest = {}
-    for size in nodes.groupBy("dim").count().collect():
+    forest, margins = {}, {}
+    for size in nodes.groupBy("dim").count().where(F.col("count") > leaf_rows).collect():
         chosen = nodes.where(F.col("dim") == size["dim"]).orderBy(F.xxhash64("fa", "fb"), "fa", "fb").limit(sample)
         taken = [bytes(r["vec"]) for r in chosen.select("vec").collect()]
         unit = _matrix(taken, size["dim"]).astype(np.float32)
-        margin = spill * (max(0.0, 2 - 2 * least) / size["dim"]) ** 0.5
-        forest[size["dim"]] = [grow(unit, size["count"], leaf_rows, margin, seed) for seed in range(trees)]
+        margins[size["dim"]] = spill * (max(0.0, 2 - 2 * least) / size["dim"]) ** 0.5
+        forest[size["dim"]] = [grow(unit, size["count"], leaf_rows, margins[size["dim"]], seed) for seed in range(trees)]
     shared = spark.sparkContext.broadcast(forest)
-    node_kind = "fa long, fb long, node long, copies long, dim int, vec binary"
-    placed = stored(nodes.mapInArrow(_assign(shared), f"{node_kind}, leaf int, leaves array<int>"))
-    sizes = placed.groupBy("dim", "leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n"))
-    placed = placed.join(sizes.where("n > 1").drop("n"), ["dim", "leaf"])
+    leaves = stored(nodes.mapInArrow(_assign(shared), "fa long, fb long, dim int, leaves array<long>"))
+    leaves = _bounded_leaves(nodes, leaves, leaf_rows, margins)
+    each = leaves.select("dim", F.explode("leaves").alias("leaf"))
+    room = F.lit(float(BLOCK_BYTES)) / (F.col("dim") * 4)
+    sizes = each.groupBy("dim", "leaf").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / room).cast("int"))
+    many = stored(sizes.where("blocks > 1").select("dim", "leaf", "blocks"))
+    placed = nodes.join(leaves.drop("dim"), ["fa", "fb"]).withColumn("leaf", F.explode("leaves")).join(many, ["dim", "leaf"], "left")
+    placed = placed.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("fa", "fb"), "blocks").cast("int"))
-    turns = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    turns = turns.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    key = ["dim", "leaf", "i", "j"]
-    turns = turns.repartition(*key).sortWithinPartitions(*key)
-    found = stored(turns.mapInArrow(_compare(least), "fa long, fb long, links long, a long, b long"))
+    key = ["dim", "leaf", "block"]
+    placed = placed.repartition(*key).sortWithinPartitions(*key)
+    kinds = "fa long, fb long, links long, a long, b long"
+    packed = stored(placed.mapInArrow(_leaves(least), f"{kinds}, dim int, leaf long, block int, blocks int, packed binary"))
+    blocks = packed.where("packed is not null").select("dim", "leaf", "block", "blocks", "packed")
+    # A block meets itself and the later ones; a pair of blocks is one row.
+    others = blocks.select("dim", "leaf", F.col("block").alias("later"), F.col("packed").alias("other"))
+    turns = blocks.withColumn("later", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
+    turns = turns.repartition("dim", "leaf", "block", "later").join(others.hint("merge"), ["dim", "leaf", "later"])
+    turns = turns.withColumn("other", F.when(F.col("block") < F.col("later"), F.col("other")))
+    across = turns.select("dim", "leaf", "packed", "other").mapInArrow(_across(least), kinds)
+    found = stored(packed.where("packed is null").select("fa", "fb", "links", "a", "b").union(across))
+    dropped(packed)
     links = found.groupBy("fa", "fb").agg(F.sum("links").alias("links"))
     same_id = keys.groupBy("fa", "fb").agg(F.min("vec_id").alias("b"))
     copies = keys.join(same_id, ["fa", "fb"]).select(F.col("vec_id").alias("a"), "b")

@@ -159,8 +159,9 @@ def vectors_of(spark, rows):
     return spark.createDataFrame([(i, None if v is None else [None if x is None else float(x) for x in v], 0, 1) for i, v in rows], "vec_id long, embedding array<float>, label int, node int")
 
 
-def test_vectors_recall(spark, monkeypatch):
-    monkeypatch.setattr(vector_forest, "BLOCK", 64)
+@pytest.mark.parametrize("block_bytes", [8 << 20, 32 * 4 * 50])
+def test_vectors_recall(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(vector_forest, "BLOCK_BYTES", block_bytes)
     r = np.random.default_rng(5)
     base = r.standard_normal((500, 32))
     near = [base[i] + (e := r.standard_normal(32)) / np.linalg.norm(e) * np.linalg.norm(base[i]) * r.uniform(0.1, 0.4) for i in range(200)]
@@ -181,6 +182,71 @@ def test_vectors_recall(spark, monkeypatch):
     }
 
 
+def planted(n, dim, seed=8):
+    """Random vectors, a third of them near copies of some others, and one dense cluster."""
+    r = np.random.default_rng(seed)
+    base = r.standard_normal((n // 2, dim))
+    e = r.standard_normal((n // 3, dim))
+    own = base[r.integers(0, len(base), n // 3)]
+    near = own + e / np.linalg.norm(e, axis=1, keepdims=True) * np.linalg.norm(own, axis=1, keepdims=True) * r.uniform(0.05, 0.3, (n // 3, 1))
+    center = r.standard_normal(dim)
+    dense = center + r.standard_normal((n - len(base) - len(near), dim)) * 0.05
+    return np.concatenate((base, near, dense)).astype(np.float32)
+
+
+def test_leaves_of_a_larger_table_are_parted_again(spark, monkeypatch):
+    """Trees from 500 of 12,000 vectors: recall of the ids divisible by 50 against all rows."""
+    monkeypatch.setattr(vector_forest, "LARGE", 2)
+    monkeypatch.setattr(vector_forest, "LEAF_SAMPLE", 400)
+    sizes = []
+    bounded = vector_forest._bounded_leaves
+
+    def kept(*given):
+        out = bounded(*given)
+        sizes.extend(r["count"] for r in out.selectExpr("explode(leaves) as leaf").groupBy("leaf").count().collect())
+        return out
+
+    monkeypatch.setattr(vector_forest, "_bounded_leaves", kept)
+    x = planted(12_000, 24)
+    found = {v["vec_id"]: v for v in near_vectors(vectors_of(spark, list(enumerate(x.tolist()))), leaf_rows=64, sample=500).collect()}
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    asked = np.arange(0, len(x), 50)
+    links = (unit[asked] @ unit.T >= 0.95).sum(axis=1) - 1
+    got = np.array([found[i]["n_links"] for i in asked])
+    assert (got <= links).all() and got.sum() >= 0.97 * links.sum()
+    alone = asked < 10_000
+    assert got[alone].sum() >= 0.95 * links[alone].sum()
+    # Only leaves around the dense cluster's 2000 vectors stay larger than wanted: no
+    # projection parts them. Spill puts the cluster into several leaves of a tree.
+    large = [n for n in sizes if n > 2 * 64]
+    assert max(large) <= 2 * 2000 and len(large) <= 8 * 6 and len(sizes) > 8 * 60
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_blocks_count_each_link_once(seed):
+    r = np.random.default_rng(seed)
+    x = r.standard_normal((40, 4)).astype(np.float32)
+    copies = r.integers(1, 4, 40)
+    leaves = [sorted({int(z) for z in r.integers(0, 6, 3)} | {7}) for _ in range(40)]
+    rows = [(i, -i, i, int(copies[i]), x[i].tobytes(), leaves[i]) for i in range(40)]
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.6
+    total, links = np.zeros(40, dtype=int), []
+    for cuts in ((0, 40), (0, 13, 25, 40)):
+        total[:], links = 0, []
+        for leaf in range(8):
+            blocks = [[r for r in rows[a:b] if leaf in r[5]] for a, b in zip(cuts, cuts[1:])]
+            for i, one in enumerate(blocks):
+                for j in range(i, len(blocks)):
+                    if one and blocks[j]:
+                        other = None if i == j else vector_forest.Block.of(blocks[j])
+                        for fa, _, n, a, b in vector_forest.compared(vector_forest.Block.of(one), other, 4, leaf, 0.6):
+                            total[fa] += n
+                            links.append((a, b))
+        assert total.tolist() == [sum(copies[j] for j in range(40) if j != i and near[i, j]) for i in range(40)]
+        assert parts_of(range(40), links) == parts_of(range(40), np.argwhere(near).tolist())
+
+
 def test_vectors_odd_rows(spark):
     nan = float("nan")
     rows = [(1, [1, 0]), (1, [1, 0]), (2, [2, 0]), (3, None), (4, []), (5, [0, 0]), (6, [None, 1]), (7, [nan, 1]), (None, [1, 0]), (8, [1, 0, 0]), (9, [-1, 0]), (10, [float("inf"), 0])]
