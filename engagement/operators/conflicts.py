@@ -10,7 +10,7 @@ the whole table.
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_tables
 
 #: Entries (rows, their keys, keys held at the start) of a group that one fold may walk.
 FOLD = 1000
@@ -30,16 +30,20 @@ def components(touched: DataFrame) -> DataFrame:
     turned = spokes.select(F.col("hub").alias("row"), F.col("row").alias("hub"))
     edges = cut_lineage(spokes.unionByName(turned).withColumnRenamed("hub", "other"))
     labels = edges.groupBy("row").agg(F.least(F.min("other"), F.first("row")).alias("part"))
+    written = []
     while True:
         changed = Observation()
         near = edges.join(labels.withColumnRenamed("row", "other"), "other").select("row", "part", F.lit(None).cast("bigint").alias("before"))
         own = labels.select("row", "part", F.col("part").alias("before"))
         least = near.unionByName(own).groupBy("row").agg(F.min("part").alias("part"), F.max("before").alias("before"))
         least = cut_lineage(least.observe(changed, F.count_if(F.col("part") < F.col("before")).alias("rows")))
+        drop_tables(*written)
         if not changed.get["rows"]:
+            drop_tables(edges)
             return least.select("row", "part")
         jump = least.select(F.col("row").alias("part"), F.col("part").alias("next"))
         labels = cut_lineage(least.join(jump, "part").select("row", F.col("next").alias("part")))
+        written = [least, labels]
 
 
 def numbered(keys: DataFrame) -> DataFrame:

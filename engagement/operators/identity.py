@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, scratch_path
+from ..session import cut_lineage, drop_tables, scratch_path
 from .conflicts import components, fold_entries, fold_updates, numbered, small_parts
 from .keyfilter import sieve
 
@@ -89,14 +89,16 @@ def rejected_ids(contents: DataFrame, id_col="id") -> DataFrame:
     spark = contents.sparkSession
     rounds = scratch_path(spark, "rounds")
     done, remaining = 0, Observation()
+    contested = cut_lineage(contested.select("hash"))
     settled = cut_lineage(
-        held.join(cut_lineage(contested.select("hash")), "hash", "left_semi")
+        held.join(contested, "hash", "left_semi")
         .groupBy("id")
         .agg(F.collect_list("key").alias("keys"))
         .withColumn("verdict", F.lit(None).cast("string"))
         .observe(remaining, F.count("*").alias("rows")),
         f"{rounds}/round={done}",
     )
+    drop_tables(contested)
     while remaining.get["rows"]:
         opened = settled.filter("verdict is null")
         walk = _walk_groups if done == ROUNDS_FIRST else _settle_first
@@ -174,15 +176,15 @@ def refused_updates(claims: DataFrame, stored: DataFrame) -> DataFrame:
     contested = touched.groupBy("key").agg(F.min("row").alias("a"), F.max("row").alias("b")).filter("a <> b")
     contested = numbered(contested)
     numbers = ["id", "target", F.col("number").alias("key")]
-    wants = cut_lineage(hashed.join(contested, "key").select(*numbers).distinct())
+    claimed = cut_lineage(hashed.join(contested, "key").select(*numbers).distinct())
     holds = cut_lineage(held.join(contested, "key").select("row", F.col("number").alias("key")))
     updates = claims.select("id", F.col("target").alias("row")).distinct()
     changing = updates.select("row").distinct()
     fixed = holds.join(changing, "row", "left_anti").groupBy("key")
     fixed = fixed.agg(F.min("row").alias("a"), F.max("row").alias("b"))
-    hopeless = wants.join(fixed, "key").filter("a <> target or b <> target")
+    hopeless = claimed.join(fixed, "key").filter("a <> target or b <> target")
     hopeless = cut_lineage(hopeless.select("id").distinct(), f"{path}/round=0")
-    wants = wants.join(hopeless, "id", "left_anti")
+    wants = claimed.join(hopeless, "id", "left_anti")
     moving = holds.join(changing, "row", "left_semi")
     parts = components(wants.select(F.col("target").alias("row"), "key").unionByName(moving))
     keys = wants.groupBy("id").agg(F.collect_list("key").alias("keys"))
@@ -201,6 +203,7 @@ def refused_updates(claims: DataFrame, stored: DataFrame) -> DataFrame:
         opened = turns.join(is_large, "part").select("id", "target", F.explode_outer("keys").alias("key"))
         holdings = start.join(is_large, "part").select(F.col("row").alias("holder"), "key")
         _take_turns(opened, holdings, path)
+    drop_tables(wanted, held, contested, claimed, holds, parts, entries)
     refused = spark.read.schema("id bigint, round int").parquet(path)
     return refused.select(F.col("id").alias("seq"))
 
@@ -236,8 +239,10 @@ def _take_turns(opened: DataFrame, holdings: DataFrame, path: str) -> None:
         settled = accepted.select("id").union(refused)
         gained = keyed.join(accepted.select("id"), "id", "left_semi").select(F.col("target").alias("holder"), "key")
         changed = accepted.select(F.col("target").alias("holder"))
+        before = opened, holdings, accepted
         holdings = cut_lineage(holdings.join(changed, "holder", "left_anti").unionByName(gained))
         opened = cut_lineage(opened.join(settled, "id", "left_anti"))
+        drop_tables(*before)
 
 
 def deduplicate(contents: DataFrame, id_col="id") -> DataFrame:

@@ -79,6 +79,13 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete tables that nothing reads any more, each just as ``cut_lineage`` returned it."""
+    for table in tables:
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            remove_folder(table.sparkSession, folder)
+
+
 def cut_lineage(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` to a table in the shared folder and go on from there.
 
