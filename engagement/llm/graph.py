@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .scratch import dropped, stored
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -49,6 +49,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if before == state or not state["n"]:
             break
         before = state
-        edges = stored(_stars(stored(_stars(edges, True)), False))
+        large = stored(_stars(edges, True))
+        small = stored(_stars(large, False))
+        dropped(edges, large)
+        edges = small
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

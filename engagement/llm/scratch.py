@@ -1,4 +1,4 @@
-"""Intermediate tables that go when their step is done."""
+"""Intermediate tables, and their removal."""
 
 from pyspark.sql import DataFrame
 
@@ -17,7 +17,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Delete tables made by ``stored`` that nothing reads any more."""
+    """Delete tables that nothing reads any more, each just as ``stored`` returned it."""
     for table in tables:
         context = table.sparkSession.sparkContext
         for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:

@@ -259,7 +259,7 @@ def _search_groups(percent: int):
 
 
 def candidate_links(postings: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """(a, b) whose components hold every pair that can be similar enough."""
+    """(a, b) whose components hold every pair that can be similar enough, as a table."""
     met = postings.groupBy("h").count().where("count > 1").select("h")
     shared = stored(postings.join(met, "h", "left_semi").join(reps, "doc_id", "left_semi"))
     length = shared.groupBy("h").agg(F.count("*").alias("m"), F.min("doc_id").alias("first")).where("m > 1")
@@ -277,7 +277,9 @@ def candidate_links(postings: DataFrame, reps: DataFrame, percent: int) -> DataF
         .select("a", "b")
     )
     chained = lists.where((F.col("m") > SHORT) & (F.col("doc_id") != F.col("first")))
-    return pairs.union(chained.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
+    links = stored(pairs.union(chained.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))))
+    dropped(shared, lists)
+    return links
 
 
 def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, counters: int = COUNTERS) -> DataFrame:
@@ -305,9 +307,11 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, counters:
     lengths = spark.sparkContext.broadcast(list_lengths(docs, k, counters))
     postings = docs.where("doc_id is not null").mapInArrow(_post(k, percent, lengths), "h long, doc_id long, n long")
     postings = stored(postings)
-    links = stored(candidate_links(postings, reps, percent))
-    dropped(postings)
-    groups = components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("g"))
+    links = candidate_links(postings, reps, percent)
+    dropped(postings, reps)
+    groups = components(links)
+    dropped(links)
+    groups = groups.select(F.col("node").alias("doc_id"), F.col("component").alias("g"))
     groups = stored(groups.join(known.groupBy("doc_id").agg(F.sum("n").alias("n")), "doc_id"))
     blocks = groups.groupBy("g").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     groups = groups.join(blocks, "g").select(

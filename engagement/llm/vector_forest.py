@@ -234,11 +234,13 @@ def _bounded_leaves(nodes: DataFrame, leaves: DataFrame, leaf_rows: int, margins
         parted = trees.where("tree is not null")
         dense = stored(dense.union(large.select("dim", "leaf").join(parted.select("dim", "leaf"), ["dim", "leaf"], "left_anti")))
         rows = held.join(parted, ["dim", "leaf"]).sortWithinPartitions("dim", "leaf")
-        cut = stored(rows.mapInArrow(_cut_leaves, "fa long, fb long, leaf long, new long"))
-        cut = cut.groupBy("fa", "fb").agg(F.collect_set("leaf").alias("gone"), F.collect_set("new").alias("new"))
+        new = stored(rows.mapInArrow(_cut_leaves, "fa long, fb long, leaf long, new long"))
+        cut = new.groupBy("fa", "fb").agg(F.collect_set("leaf").alias("gone"), F.collect_set("new").alias("new"))
         both = leaves.join(cut, ["fa", "fb"], "left")
         kept = F.array_sort(F.array_union(F.array_except("leaves", "gone"), "new"))
+        before = leaves
         leaves = stored(both.select("fa", "fb", "dim", F.when(F.col("gone").isNull(), F.col("leaves")).otherwise(kept).alias("leaves")))
+        dropped(before, new, large, trees)
 
 
 @dataclass
@@ -408,7 +410,7 @@ def near_vectors(
     turns = turns.withColumn("other", F.when(F.col("block") < F.col("later"), F.col("other")))
     across = turns.select("dim", "leaf", "packed", "other").mapInArrow(_across(least), kinds)
     found = stored(packed.where("packed is null").select("fa", "fb", "links", "a", "b").union(across))
-    dropped(packed)
+    dropped(packed, many, nodes, leaves)
     links = found.groupBy("fa", "fb").agg(F.sum("links").alias("links"))
     same_id = keys.groupBy("fa", "fb").agg(F.min("vec_id").alias("b"))
     copies = keys.join(same_id, ["fa", "fb"]).select(F.col("vec_id").alias("a"), "b")
