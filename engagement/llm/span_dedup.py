@@ -1,19 +1,24 @@
-"""Substring de-duplication over a sampled De Bruijn graph of the corpus.
+"""Substring de-duplication over a De Bruijn graph of the corpus, sampled at anchors.
 
 Words that lie in a window of ``window`` words which already occurred earlier are removed.
 
 A window's ``k``-word edge with the smallest hash is its *anchor* (the leftmost of equal
-ones), so equal windows have equal anchors at equal offsets. Only anchors are shuffled,
-about one for every ``(window - k) / 2`` words:
+ones), so equal windows have equal anchors at equal offsets. Of the k-mers only anchors are
+shuffled, about one for every ``(window - k) / 2`` words:
 
 1. anchors whose hash occurs once cannot lie in a repeated window; they go;
-2. occurrences of an anchor with the same words around, as far as any window of the
-   anchor reaches, form one path: all windows repeat there exactly where the anchor does,
-   so they are not first but at the path's first occurrence (smallest doc_id, then place);
-3. where an anchor has several paths it *branches*, as at the ends of shared passages:
-   the windows at the first occurrence of each such path are hashed and grouped one by one;
-4. the windows that are not first are laid on the source text by their coordinates, where
-   runs of them compact to spans.
+2. a node of the graph is an anchor with the words around it, as far as any window of the
+   anchor reaches: all windows repeat there exactly where the node does. An edge leads to
+   the next anchor of the text, if its windows follow without a gap. An aggregation by
+   node gives its degrees, in which a text's end or a gap counts as a branch;
+3. nodes joined by an edge that is the only one out of the one and into the other compact
+   to paths, by joins that double what is known of a path in each round. All occurrences
+   of a path are alike, so it is its head that is looked up in the sources: where that is
+   not the first (smallest doc_id, then place), the whole path is a repeated span;
+4. where an anchor has several nodes, as at the ends of shared passages, the windows at
+   the first occurrence of each of them are hashed and grouped one by one;
+5. the windows that are not first are laid on the source text by their coordinates, where
+   runs of them make spans.
 
 Windows are told apart by 128 bits (two independent hashes over all their words).
 """
@@ -22,7 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import dropped, stored
@@ -207,6 +212,66 @@ def _reached() -> list[Column]:
     return ["doc_id", _mark(), first, last]
 
 
+def _nodes(seen: DataFrame) -> DataFrame:
+    """The nodes: id, h, around, earliest occurrence, and their only neighbours.
+
+    ``next`` and ``before`` are the key of the only node that follows or comes before, null
+    where there are several, or a text ends or has a gap; ``step`` is how many words on the
+    next one lies. Neighbours are told apart by a hash of 64 bits within one node.
+    """
+    text = Window.partitionBy("doc_id", "mark").orderBy("place")
+    first, last = _pos() - F.shiftright("reach", 8), _pos() - F.col("reach").bitwiseAND(255)
+    rows = seen.select("*", _mark(), F.struct("h", "around").alias("node"), first.alias("first"), last.alias("last"), _pos().alias("pos"))
+
+    def neighbour(move, meets) -> Column:
+        there = F.struct(move("node").over(text).alias("node"), move("pos").over(text).alias("pos"))
+        return F.when(meets, there)
+
+    rows = rows.select(
+        "doc_id", "place", "reach", "h", "around", "pos",
+        neighbour(F.lead, F.lead("first").over(text) == F.col("last") + 1).alias("next"),
+        neighbour(F.lag, F.lag("last").over(text) + 1 == F.col("first")).alias("before"),
+    )
+
+    def only(side: str) -> Column:
+        key = F.xxhash64(f"{side}.node")
+        alike = (F.count(side) == F.count("*")) & (F.min(key) == F.max(key))
+        return F.when(alike, F.first(f"{side}.node"))
+
+    nodes = rows.groupBy("h", "around").agg(
+        _first("reach"), F.count("*").alias("n"), only("next").alias("next"), only("before").alias("before"),
+        F.first(F.col("next.pos") - F.col("pos")).alias("step"),
+    )
+    return nodes.withColumn("id", F.monotonically_increasing_id())
+
+
+def compact_paths(nodes: DataFrame) -> DataFrame:
+    """(id, head, words): the head of each node's path, and how many words it lies behind it.
+
+    ``nodes`` has (id, h, around, n, next, before, step) as ``_nodes`` gives them. An edge
+    is part of a path if it is the only one out of its first node and into its second. Every
+    round joins the pointers with themselves, so a path of m nodes takes log2(m) of them;
+    a path cannot be a circle, as it would have no end in any text.
+    """
+    many = nodes.where("n > 1")
+    ends = many.where("before is not null").select(F.col("id").alias("to"), F.struct("h", "around").alias("key"), "before")
+    edges = many.where("next is not null").select(F.col("id").alias("up"), F.struct("h", "around").alias("own"), F.col("next").alias("key"), "step")
+    pointers = ends.join(edges, "key").where(F.col("before") == F.col("own")).select(F.col("to").alias("id"), "up", F.col("step").cast("long").alias("words"))
+    pointers = stored(pointers)
+    while True:
+        above = pointers.select(F.col("id").alias("up"), F.col("up").alias("top"), F.col("words").alias("more"))
+        met = pointers.join(above, "up", "left")
+        more = F.coalesce("more", F.lit(0))
+        jumped = stored(met.select("id", F.coalesce("top", "up").alias("up"), (F.col("words") + more).alias("words"), F.col("top").isNotNull().alias("went")))
+        dropped(pointers)
+        pointers = jumped.drop("went")
+        if jumped.where("went").isEmpty():
+            inner = jumped.select("id", F.col("up").alias("head"), "words")
+            heads = nodes.select("id").join(inner.select("id"), "id", "left_anti")
+            return inner.unionByName(heads.select("id", F.col("id").alias("head"), F.lit(0).cast("long").alias("words")))
+        pointers = jumped.drop("went")
+
+
 def repeated_windows(docs: DataFrame, window: int = 20, k: int = 6) -> DataFrame:
     """(doc_id, mark, first, last): runs of windows that occurred earlier.
 
@@ -216,15 +281,21 @@ def repeated_windows(docs: DataFrame, window: int = 20, k: int = 6) -> DataFrame
     repeated = anchors.groupBy("h").count().where("count > 1").select("h")
     seen = stored(anchors.join(repeated, "h", "left_semi"))
     dropped(anchors)
-    classes = stored(seen.groupBy("h", "around").agg(_first("reach")))
+    nodes = stored(_nodes(seen))
+    # The last window of a path is that of its last node.
+    paths = compact_paths(nodes).join(nodes.select("id", "earliest.reach"), "id")
+    tail = F.max(F.struct(F.col("words"), F.col("reach").bitwiseAND(255).alias("back"))).alias("tail")
+    heads = paths.groupBy(F.col("head").alias("id")).agg(tail).join(nodes.where("n > 1").select("id", "h", "around", "earliest"), "id")
+    met = seen.join(heads.drop("id"), ["h", "around"]).where(~_is_first())
+    first = (_pos() - F.shiftright("reach", 8)).alias("first")
+    later = stored(met.select("doc_id", _mark(), first, (_pos() + F.col("tail.words") - F.col("tail.back")).cast("int").alias("last")))
+    dropped(seen)
     # The surroundings decide all windows of an anchor, so only the first occurrence of
     # each kind of surroundings can hold a window's first occurrence.
-    later = stored(seen.join(classes, ["h", "around"]).where(~_is_first()).select(*_reached()))
-    dropped(seen)
-    branching = classes.groupBy("h").count().where("count > 1").select("h")
-    ends = classes.join(branching, "h", "left_semi").select("earliest.*").select(*_reached())
+    branching = nodes.groupBy("h").count().where("count > 1").select("h")
+    ends = nodes.join(branching, "h", "left_semi").select("earliest.*").select(*_reached())
     windows = stored(_with_spans(docs, _spans(ends), "inner").mapInArrow(_hash_windows(window), WINDOW))
-    dropped(classes)
+    dropped(nodes)
     earliest = windows.groupBy("h", "g").agg(F.count("*").alias("n"), _first()).where("n > 1").drop("n")
     again = windows.join(earliest, ["h", "g"]).where(~_is_first())
     again = stored(again.select("doc_id", _mark(), _pos().alias("first"), _pos().alias("last")))

@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from engagement.llm import shingle_join, vector_forest
+from engagement.llm import shingle_join, span_dedup, vector_forest
 from engagement.llm.graph import components
 from engagement.llm.shingle_join import search, similar_documents
 from engagement.llm.span_dedup import dedup_spans
@@ -143,6 +143,34 @@ def test_spans(spark, window, k):
     assert {x["h"] for x in found} == {"x"}
 
 
+def test_paths_are_compacted(spark):
+    """A chain of 100 nodes, a fork, a node that ends a text, and single nodes."""
+    kind = "id long, h long, around long, n long, next struct<h: long, around: long>, before struct<h: long, around: long>, step int"
+    node = lambda i: (i, -i)
+    chain = [(i, *node(i), 2, node(i + 1) if i < 100 else None, node(i - 1) if i > 1 else None, 3) for i in range(1, 101)]
+    # 200 goes to 201 only, but 201 has another one before it; 203 is met from 202 only.
+    fork = [(200, *node(200), 2, node(201), None, 1), (201, *node(201), 4, node(202), None, 1), (202, *node(202), 4, node(203), node(201), 5), (203, *node(203), 4, None, node(202), 2)]
+    single = [(300, *node(300), 1, node(301), None, 1), (301, *node(301), 1, None, node(300), 1)]
+    found = span_dedup.compact_paths(spark.createDataFrame(chain + fork + single, kind))
+    got = {r["id"]: (r["head"], r["words"]) for r in found.collect()}
+    expected = {i: (1, 3 * (i - 1)) for i in range(1, 101)} | {200: (200, 0), 201: (201, 0), 202: (201, 1), 203: (201, 6), 300: (300, 0), 301: (301, 0)}
+    assert got == expected
+    assert span_dedup.compact_paths(spark.createDataFrame([], kind)).count() == 0
+
+
+def test_shared_passages_become_few_spans(spark):
+    r = np.random.default_rng(3)
+    passage = " ".join(f"p{i}" for i in r.integers(0, 10**6, 700))
+    texts = [" ".join(f"w{i}" for i in r.integers(0, 10**6, 60)) + f" {passage} " + "end " * (i % 4) for i in range(12)]
+    rows = docs_of(spark, texts).selectExpr("doc_id", "hash(text) as mark", "text")
+    spans = span_dedup.repeated_windows(rows).collect()
+    # Eleven later occurrences, each a path and the windows at its ends.
+    long = [s for s in spans if s["last"] - s["first"] > 500]
+    assert len(long) == 11
+    found = dedup_spans(docs_of(spark, texts)).collect()
+    assert {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in found} == removed(list(enumerate(texts)), 20)
+
+
 def test_spans_odd_rows(spark):
     passage = " ".join(f"p{i}" for i in range(25))
     rows = [(7, passage), (7, passage), (None, passage), (8, None), (9, ""), (10, f"x {passage} y")]
