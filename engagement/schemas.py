@@ -3,6 +3,7 @@
 Missing text is ``''`` and a missing project is NULL, in every table.
 """
 
+# Names and order of the columns of each table.
 CREATORS = {
     "id": "bigint",
     "name": "string",
