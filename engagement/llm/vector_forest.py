@@ -34,8 +34,8 @@ SAMPLE = 16_384
 #: Vectors of a large leaf on which its own tree is grown, and how many times the wanted
 #: rows a leaf may hold before that.
 LEAF_SAMPLE, LARGE = 2048, 8
-#: Projections tried to part a node.
-TRIES = 12
+#: Projections tried to part a node, and how many rows its parts may have for each of its own.
+TRIES, SPILLED = 6, 1.3
 #: Bytes of the vectors of a leaf that are held and compared in one task.
 BLOCK_BYTES = 8 << 20
 
@@ -87,8 +87,9 @@ def grow(sample: np.ndarray, total: int, leaf_rows: int, margin: float, seed: in
                 middle = np.quantile(seen, (0.5, 0.35, 0.65)[attempt % 3])
                 a, b = middle - margin, middle + margin
                 left, right = rows[seen < b], rows[seen >= a]
-                # Vectors that no projection parts stay together in one leaf.
-                if max(len(left), len(right)) <= 0.75 * len(rows):
+                # Vectors that no projection parts stay together in one leaf, and a cluster
+                # that goes both ways is better parted elsewhere.
+                if max(len(left), len(right)) <= 0.75 * len(rows) and len(left) + len(right) <= SPILLED * len(rows):
                     split = direction / np.linalg.norm(direction), a, b, left, right
                     break
         if split is None:
@@ -144,6 +145,8 @@ def _matrix(vectors: list[bytes], dim: int) -> np.ndarray:
 
 
 NODE = ("fa", "fb", "node", "copies", "dim", "vec")
+#: Fills up lists of leaves, behind all names.
+NONE = np.iinfo(np.int64).max
 
 
 def _named(leaves: np.ndarray, parent) -> np.ndarray:
@@ -254,7 +257,7 @@ class Block:
     @staticmethod
     def of(rows) -> "Block":
         width = max(len(r[5]) for r in rows)
-        leaves = np.full((len(rows), width), np.iinfo(np.int64).max, dtype=np.int64)
+        leaves = np.full((len(rows), width), NONE, dtype=np.int64)
         for i, r in enumerate(rows):
             leaves[i, : len(r[5])] = r[5]
         return Block(np.array([r[:4] for r in rows], dtype=np.int64), b"".join(r[4] for r in rows), leaves)
@@ -283,7 +286,7 @@ def compared(a: Block, b: Block | None, dim: int, leaf: int, least: float):
     right = unit if b is None else b.unit(dim)
     heads = a.heads if b is None else np.concatenate((a.heads, b.heads))
     shift = 0 if b is None else len(unit)
-    early = [np.where(x.leaves < leaf, x.leaves, np.iinfo(np.int64).max) for x in (a, b or a)]
+    early = [np.where(x.leaves < leaf, x.leaves, NONE) for x in (a, b or a)]
     links, part, linked = np.zeros(len(heads), dtype=np.int64), np.arange(len(heads)), np.zeros(len(heads), dtype=bool)
     for i in range(0, len(unit), 256):
         for j in range(i if b is None else 0, len(right), 4096):
@@ -293,11 +296,16 @@ def compared(a: Block, b: Block | None, dim: int, leaf: int, least: float):
                 p, q = p[p < q], q[p < q]
             for at in range(0, len(p), 1 << 16):
                 x, y = p[at : at + (1 << 16)], q[at : at + (1 << 16)]
-                new = np.ones(len(x), dtype=bool)
+                new, todo = np.ones(len(x), dtype=bool), np.arange(len(x))
                 for k in range(early[0].shape[1]):
-                    own = early[0][x, k]
-                    if (own < np.iinfo(np.int64).max).any():
-                        new &= ~((early[1][y] == own[:, None]) & (own < np.iinfo(np.int64).max)[:, None]).any(axis=1)
+                    # Lists are sorted; near vectors share most leaves, so few go on.
+                    own = early[0][x[todo], k]
+                    todo, own = todo[own < NONE], own[own < NONE]
+                    if not len(todo):
+                        break
+                    met = (early[1][y[todo]] == own[:, None]).any(axis=1)
+                    new[todo[met]] = False
+                    todo = todo[~met]
                 links += np.bincount(x[new], heads[y[new] + shift, 3], len(heads)).astype(np.int64)
                 links += np.bincount(y[new] + shift, heads[x[new], 3], len(heads)).astype(np.int64)
                 linked[x] = linked[y + shift] = True
