@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,8 +139,12 @@ def _usable(batches):
 
 def _matrix(vectors: list[bytes], dim: int) -> np.ndarray:
     """Unit vectors in double precision."""
-    kind = np.float32 if len(vectors[0]) == 4 * dim else np.float64
-    out = np.frombuffer(b"".join(vectors), dtype=kind).reshape(len(vectors), dim).astype(np.float64)
+    return _unit(b"".join(vectors), len(vectors), dim)
+
+
+def _unit(data: bytes, n: int, dim: int) -> np.ndarray:
+    kind = np.float32 if len(data) == 4 * n * dim else np.float64
+    out = np.frombuffer(data, dtype=kind).reshape(n, dim).astype(np.float64)
     out = out / np.abs(out).max(axis=1, keepdims=True)
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
@@ -255,16 +260,18 @@ class Block:
     leaves: np.ndarray
 
     @staticmethod
-    def of(rows) -> "Block":
-        width = max(len(r[5]) for r in rows)
-        leaves = np.full((len(rows), width), NONE, dtype=np.int64)
-        for i, r in enumerate(rows):
-            leaves[i, : len(r[5])] = r[5]
-        return Block(np.array([r[:4] for r in rows], dtype=np.int64), b"".join(r[4] for r in rows), leaves)
+    def of(rows: pa.RecordBatch | pa.Table) -> "Block":
+        columns = {c: rows.column(c) for c in ("fa", "fb", "node", "copies", "vec", "leaves")}
+        columns = {c: x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for c, x in columns.items()}
+        sizes = pc.list_value_length(columns["leaves"]).to_numpy(zero_copy_only=False).astype(np.int64)
+        leaves = np.full((len(rows), int(sizes.max())), NONE, dtype=np.int64)
+        row = np.repeat(np.arange(len(rows)), sizes)
+        leaves[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = columns["leaves"].flatten().to_numpy()
+        heads = np.stack([columns[c].to_numpy() for c in ("fa", "fb", "node", "copies")], axis=1)
+        return Block(heads, b"".join(columns["vec"].to_pylist()), leaves)
 
     def unit(self, dim: int) -> np.ndarray:
-        size = len(self.vectors) // len(self.heads)
-        return _matrix([self.vectors[i * size : (i + 1) * size] for i in range(len(self.heads))], dim)
+        return _unit(self.vectors, len(self.heads), dim)
 
 
 def _united(part: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -284,16 +291,22 @@ def compared(a: Block, b: Block | None, dim: int, leaf: int, least: float):
     link of each vector to its part: (fa, fb, links, node, node of the part)."""
     unit = a.unit(dim)
     right = unit if b is None else b.unit(dim)
+    rough = unit.astype(np.float32), right.astype(np.float32)
     heads = a.heads if b is None else np.concatenate((a.heads, b.heads))
     shift = 0 if b is None else len(unit)
     early = [np.where(x.leaves < leaf, x.leaves, NONE) for x in (a, b or a)]
     links, part, linked = np.zeros(len(heads), dtype=np.int64), np.arange(len(heads)), np.zeros(len(heads), dtype=bool)
     for i in range(0, len(unit), 256):
         for j in range(i if b is None else 0, len(right), 4096):
-            p, q = np.nonzero(unit[i : i + 256] @ right[j : j + 4096].T >= least)
+            # Single precision rules most pairs out, double precision decides.
+            p, q = np.nonzero(rough[0][i : i + 256] @ rough[1][j : j + 4096].T >= np.float32(least - 1e-4))
             p, q = p + i, q + j
             if b is None:
                 p, q = p[p < q], q[p < q]
+            exact = np.concatenate([
+                np.einsum("ij,ij->i", unit[p[at : at + (1 << 16)]], right[q[at : at + (1 << 16)]]) for at in range(0, len(p), 1 << 16)
+            ] or [np.zeros(0)])
+            p, q = p[exact >= least], q[exact >= least]
             for at in range(0, len(p), 1 << 16):
                 x, y = p[at : at + (1 << 16)], q[at : at + (1 << 16)]
                 new, todo = np.ones(len(x), dtype=bool), np.arange(len(x))
@@ -322,21 +335,25 @@ def _leaves(least: float):
 
     def settle(key, rows):
         dim, leaf, block, blocks = key
-        made = Block.of(rows)
+        made = Block.of(pa.Table.from_batches(rows))
         if blocks == 1:
-            return [(*x, None, None, None, None, None) for x in compared(made, None, dim, leaf, least)] if len(rows) > 1 else []
+            return [(*x, None, None, None, None, None) for x in compared(made, None, dim, leaf, least)] if len(made.heads) > 1 else []
         return [(None, None, None, None, None, dim, leaf, block, blocks, pickle.dumps(made))]
 
     def leaves(batches):
         key, rows = None, []
         for batch in batches:
+            if not len(batch):
+                continue
             out = []
-            columns = [batch.column(c).to_pylist() for c in ("dim", "leaf", "block", "blocks", "fa", "fb", "node", "copies", "vec", "leaves")]
-            for row in zip(*columns):
-                if key != row[:4]:
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("dim", "leaf", "block", "blocks")], axis=1)
+            edges = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))).tolist()
+            for lo, hi in zip(edges, [*edges[1:], len(batch)]):
+                own = tuple(keys[lo].tolist())
+                if own != key:
                     out += settle(key, rows) if rows else []
-                    key, rows = row[:4], []
-                rows.append(row[4:])
+                    key, rows = own, []
+                rows.append(batch.slice(lo, hi - lo))
             yield _table(out, PACKED)
         yield _table(settle(key, rows) if rows else [], PACKED)
 

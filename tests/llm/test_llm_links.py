@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from engagement.llm import shingle_join, span_dedup, vector_forest
@@ -260,6 +261,10 @@ def test_blocks_count_each_link_once(seed):
     unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
     near = unit @ unit.T >= 0.6
     total, links = np.zeros(40, dtype=int), []
+
+    def block(rows):
+        return vector_forest.Block.of(pa.table(dict(zip(("fa", "fb", "node", "copies", "vec", "leaves"), map(list, zip(*rows))))))
+
     for cuts in ((0, 40), (0, 13, 25, 40)):
         total[:], links = 0, []
         for leaf in range(8):
@@ -267,8 +272,8 @@ def test_blocks_count_each_link_once(seed):
             for i, one in enumerate(blocks):
                 for j in range(i, len(blocks)):
                     if one and blocks[j]:
-                        other = None if i == j else vector_forest.Block.of(blocks[j])
-                        for fa, _, n, a, b in vector_forest.compared(vector_forest.Block.of(one), other, 4, leaf, 0.6):
+                        other = None if i == j else block(blocks[j])
+                        for fa, _, n, a, b in vector_forest.compared(block(one), other, 4, leaf, 0.6):
                             total[fa] += n
                             links.append((a, b))
         assert total.tolist() == [sum(copies[j] for j in range(40) if j != i and near[i, j]) for i in range(40)]
