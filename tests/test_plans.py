@@ -16,7 +16,7 @@ from engagement.plans import search
 from engagement.plans.dashboard import latest_ids, recent_contents
 from engagement.plans.registered import QUERIES
 from engagement.schemas import TABLES
-from engagement.session import cut_lineage, shared_folder
+from engagement.session import BROADCAST, configure, cut_lineage, shared_folder
 from engagement.sources.adapters import AS_OF, Tables
 from engagement.sources.sinks import write_bucketed, write_parts, write_star
 from engagement.sources.tables import read_table
@@ -247,3 +247,21 @@ def test_a_tag_is_not_found_inside_a_longer_one(spark):
     tagged = with_tags(rows)
     assert [r["id"] for r in tagged.where(has_tag("tags", " 科技 ")).collect()] == [1]
     assert has_tag("tags", " ") is None
+
+
+def test_well_compressed_table_is_not_broadcast_by_its_file_size(spark):
+    session = configure(spark.newSession())
+    assert configure(session).conf.get("spark.sql.autoBroadcastJoinThreshold") == str(BROADCAST)
+    # 800,000 rows of 100 bytes and more in a file of some 3 MB.
+    wide = session.range(800_000).select(F.col("id").alias("content_id"), F.lit("x" * 80).alias("note"))
+    wide = cut_lineage(wide.repartition(1))
+    found = session.range(2_000_000).join(wide, F.col("id") == F.col("content_id"), "left")
+    assert "BroadcastHashJoin" not in plan_of(found)
+
+
+def test_threshold_that_is_smaller_or_off_stays(spark):
+    for given in ("-1", "262144"):
+        session = spark.newSession()
+        session.conf.set("spark.sql.autoBroadcastJoinThreshold", given)
+        configure(session)
+        assert session.conf.get("spark.sql.autoBroadcastJoinThreshold") == given
