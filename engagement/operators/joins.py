@@ -106,6 +106,9 @@ def creator_directory(creators: DataFrame) -> DataFrame:
     newest wins (``created_at``, then ``id``), as in the list the names are picked from.
     A label ``name / account_id`` and a plain name share the kind ``text``: the label
     winner is kept apart because it goes first.
+
+    Entries are dealt out by their key before they are aggregated. The newest is told by a
+    text, so Spark sorts the entries of a task, and a file of few bytes has many.
     """
     label = F.concat(
         "name", F.when(F.col("account_id") != "", F.concat(F.lit(" / "), "account_id")).otherwise("")
@@ -129,7 +132,8 @@ def creator_directory(creators: DataFrame) -> DataFrame:
         return F.max(F.when(F.col("kind") == kind, F.col("newest")))["id"]
 
     by_id = F.when(F.col("kind") == "id", "id").otherwise("text")
-    return named.groupBy("scope", by_id.alias("by"), "text").agg(
+    named = named.withColumn("by", by_id).repartition("scope", "by", "text")
+    return named.groupBy("scope", "by", "text").agg(
         F.coalesce(best("id"), best("label"), best("name")).alias("creator_id")
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from engagement.operators import keyfilter
 from engagement.operators.backfill import read_extracts
 from engagement.operators.filters import has_tag
-from engagement.operators.joins import star, stored_with_keys_of, with_metrics
+from engagement.operators.joins import creator_directory, star, stored_with_keys_of, with_metrics
 from engagement.operators.keyfilter import key_filter
 from engagement.operators.quality import with_tags
 from engagement.operators.rollups import overview_cells, platform_totals
@@ -265,3 +265,9 @@ def test_threshold_that_is_smaller_or_off_stays(spark):
         session.conf.set("spark.sql.autoBroadcastJoinThreshold", given)
         configure(session)
         assert session.conf.get("spark.sql.autoBroadcastJoinThreshold") == given
+
+
+def test_directory_is_dealt_out_before_it_is_aggregated(spark, folder):
+    plan = plan_of(creator_directory(Tables(spark, folder).part_creators()), "simple")
+    assert plan.count("Exchange ") == 1
+    assert plan.rindex("Aggregate") < plan.index("Exchange ")
