@@ -18,6 +18,7 @@ from engagement.plans.registered import QUERIES
 from engagement.schemas import TABLES
 from engagement.session import BROADCAST, configure, cut_lineage, shared_folder
 from engagement.sources.adapters import AS_OF, Tables
+from engagement.sources.records import parse_records
 from engagement.sources.sinks import write_bucketed, write_parts, write_star
 from engagement.sources.tables import read_table
 
@@ -271,3 +272,10 @@ def test_directory_is_dealt_out_before_it_is_aggregated(spark, folder):
     plan = plan_of(creator_directory(Tables(spark, folder).part_creators()), "simple")
     assert plan.count("Exchange ") == 1
     assert plan.rindex("Aggregate") < plan.index("Exchange ")
+
+
+def test_records_are_dealt_out_before_they_are_parsed(spark, tmp_path):
+    lines = spark.range(100).select(F.col("id").alias("seq"), F.concat(F.lit('{"name": "'), F.col("id"), F.lit('"}')).alias("body"))
+    lines.coalesce(1).write.parquet(str(tmp_path / "lines"))
+    plan = plan_of(parse_records(spark.read.parquet(str(tmp_path / "lines"))), "simple")
+    assert plan.index("Project") < plan.index("Exchange hashpartitioning(seq")
