@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import PROFILE_DOMAINS, UNRESTRICTED_PLATFORM
 from .links import SCHEME, doubtful_authority, url_host
-from .text import SPACE_CLASS, drop_whitespace, has_whitespace, strip
+from .text import PRINTABLE, SPACE_CLASS, drop_whitespace, has_whitespace, strip
 
 
 def _checked(value, reason) -> Column:
@@ -24,7 +24,8 @@ def email(col) -> Column:
     """Lower-case address with one ``@`` and a dot after it."""
     text = F.lower(strip(col))
     part = f"[^@{SPACE_CLASS}]+"
-    bad = (text != "") & ~text.rlike(rf"^{part}@{part}\.{part}\z")
+    well = F.when(text.rlike(PRINTABLE), text.rlike(r"^[^@]+@[^@]+\.[^@]+\z"))
+    bad = (text != "") & ~well.otherwise(text.rlike(rf"^{part}@{part}\.{part}\z"))
     return _checked(text, F.when(bad, "email_invalid"))
 
 

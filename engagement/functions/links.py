@@ -21,11 +21,16 @@ DOUBTFUL_SIGNS = "⁇⁈⁉℀℁℅℆⩴︓︖﹕﹖﹟﹫＃／：？＠"
 
 
 def first_link(text) -> Column:
-    """First white-space separated part that starts with http(s)://, else the whole text."""
+    """First white-space separated part that starts with http(s)://, else the whole text.
+
+    Most texts are a link and nothing else, which needs no search.
+    """
+    alone = text.rlike(r"\Ahttps?://[!-~]*\z")
     parts = F.regexp_extract_all(
         text, F.lit(f"(?:^|[{SPACE_CLASS}])(https?://[^{SPACE_CLASS}]*)"), F.lit(1)
     )
-    return F.coalesce(F.trim(F.get(parts, 0), F.lit(LINK_PUNCTUATION)), strip(text))
+    found = F.coalesce(F.trim(F.get(parts, 0), F.lit(LINK_PUNCTUATION)), strip(text))
+    return F.when(alone, F.trim(text, F.lit(LINK_PUNCTUATION))).otherwise(found)
 
 
 def _without_query(text) -> Column:
@@ -69,7 +74,8 @@ def with_canonical_url(
         )
     )
     # Only signs beyond ASCII are in doubt.
-    refused = F.when(link.rlike(f"[{DOUBTFUL_SIGNS}]") & doubtful_authority(clean), "url_invalid")
+    doubtful = (F.octet_length(link) > F.length(link)) & link.rlike(f"[{DOUBTFUL_SIGNS}]")
+    refused = F.when(doubtful & doubtful_authority(clean), "url_invalid")
     out = (
         df.withColumn("_link", first_link(F.col(source)))
         .withColumn("_head", F.lower(F.regexp_extract(clean, f"^{SCHEME}://[^/?#]+", 0)))

@@ -274,3 +274,36 @@ def test_report_texts(one):
     first, more, joined = report.tag_summary(F.col("t"))
     assert one(F.array(first, more, joined), t="a，b, c") == ["a", "+2", "a、b、c"]
     assert one(F.array(first, more, joined), t="") == ["-", "", ""]
+
+
+def test_texts_with_and_without_odd_characters_are_judged_alike(spark):
+    from engagement.functions.contacts import email
+    from engagement.functions.links import LINK_PUNCTUATION, first_link
+    from engagement.functions.text import SPACE_CLASS, drop_whitespace, has_whitespace, strip
+
+    links = [None, "", "http://", "https://a/b.", "https://a/b。", "https://a b", "x https://a/,", "https://a\n", "https://a,https://b", "https://a\u3000https://b", "HTTP://a", " https://a)", "ahttps://b", "https://\x7f a"]
+    texts = [*links, "a@b.co", "a@b", "@b.co", "a@@b.co", "a b@c.co", "a\u2028@b.co", "é@b.co", "a@b.co\n", "a@b.\u3000"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n int, t string")
+    t, part = F.col("t"), f"[^@{SPACE_CLASS}]+"
+    parts = F.regexp_extract_all(t, F.lit(f"(?:^|[{SPACE_CLASS}])(https?://[^{SPACE_CLASS}]*)"), F.lit(1))
+    searched = F.coalesce(F.trim(F.get(parts, 0), F.lit(LINK_PUNCTUATION)), strip(t))
+    low = F.lower(strip(t))
+    pairs = [
+        (first_link(t), searched),
+        (has_whitespace(t), t.rlike(f"[{SPACE_CLASS}]")),
+        (drop_whitespace(t), F.regexp_replace(t, f"[{SPACE_CLASS}]+", "")),
+        (email(t)["reason"].isNotNull(), (low != "") & ~low.rlike(rf"^{part}@{part}\.{part}\z")),
+    ]
+    for found, expected in pairs:
+        assert rows.where(~found.eqNullSafe(expected)).collect() == []
+
+
+def test_plain_link_is_not_searched(spark):
+    plan = spark.range(1).select(first_plain().alias("v"))._jdf.queryExecution().analyzed().toString()
+    assert plan.index("RLIKE") < plan.index("regexp_extract_all")
+
+
+def first_plain():
+    from engagement.functions.links import first_link
+
+    return first_link(F.concat(F.lit("https://a/"), F.col("id").cast("string")))
