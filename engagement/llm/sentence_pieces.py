@@ -9,7 +9,8 @@ row gives the same pieces on any executor and in any partition.
 
 No piece runs from a letter into a space, so the lattice falls apart into units (the
 spaces before a word, and the word). The lattice of a unit is built once for each chunk of
-text, and the draws of all units of a chunk go step by step in numpy.
+text, or once for a worker if it is among the first ``KNOWN`` characters of units, and the
+draws of all units of a chunk go step by step in numpy.
 
 A text need not have spaces. A long unit falls apart further wherever no piece of the
 vocabulary spans a place; that is found in windows. What is still long, such as one letter
@@ -19,6 +20,7 @@ the place in it, so the same pieces come out whichever way is taken.
 """
 
 from functools import lru_cache
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,8 @@ LONG = 1024
 WALKED = 2048
 #: Characters of a window, and of a block that is walked.
 WINDOW = 1 << 16
+#: Characters of units whose lattices a worker keeps for its next chunks, some 200 bytes each.
+KNOWN = 1 << 19
 #: Stands for a literal U+2581 in a text, which the vocabulary uses for the space.
 LITERAL = chr(0xF0000)
 
@@ -71,8 +75,13 @@ class Pieces:
         self.sorted_weights = np.array([w for _, _, w in keyed])
         if (np.diff(self.sorted_keys.astype(object)) == 0).any():
             raise ValueError("two pieces have the same key")
-        self.maybe = np.zeros(1 << 20, dtype=bool)
-        self.maybe[self.sorted_keys >> np.uint64(44)] = True
+        # Keys by their first 20 bits: whether there are any, the first one, and the most but one.
+        count = np.bincount((self.sorted_keys >> np.uint64(44)).astype(np.int64), minlength=1 << 20)
+        self.maybe, self.first_key, self.steps = count > 0, (np.cumsum(count) - count).astype(np.int32), int(count.max()) - 1
+        # Lattices: numbers of the units kept, their lengths and places in the tables below.
+        self.known, self.kept = {}, 0
+        self.lengths, self.begin = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self._reserve(0)
 
     def _key(self, text: str) -> int:
         codes = _codes(text)
@@ -99,9 +108,13 @@ class Pieces:
         ids = np.full((len(codes), self.longest), -1, dtype=np.int32)
         weights = np.zeros((len(codes), self.longest))
         for n, (ends, keys) in enumerate(self.keys(codes, place)):
-            at = np.flatnonzero(self.maybe[keys >> np.uint64(44)])
-            found = np.minimum(np.searchsorted(self.sorted_keys, keys[at]), len(self.sorted_keys) - 1)
-            same = self.sorted_keys[found] == keys[at]
+            bits = (keys >> np.uint64(44)).astype(np.int64)
+            at = np.flatnonzero(self.maybe[bits])
+            found, wanted = self.first_key[bits[at]], keys[at]
+            for _ in range(self.steps):
+                other = np.flatnonzero(self.sorted_keys[found] != wanted)
+                found[other] = np.minimum(found[other] + 1, len(self.sorted_keys) - 1)
+            same = self.sorted_keys[found] == wanted
             at, found = ends[at[same]], found[same]
             ids[at, n] = self.sorted_ids[found]
             weights[at, n] = self.sorted_weights[found]
@@ -200,20 +213,54 @@ class Pieces:
                 left -= size + 1
         return np.array(drawn[::-1], dtype=np.int32)
 
+    def _reserve(self, size: int) -> None:
+        """Tables of lattices for ``size`` characters, with what is kept."""
+        shapes = ("codes", (size,), np.uint32), ("ids", (size, self.longest), np.int32), ("chances", (size, self.longest), np.float64)
+        for name, shape, kind in shapes:
+            table = np.empty(shape, dtype=kind)
+            if self.kept:
+                table[: self.kept] = getattr(self, name)[: self.kept]
+            setattr(self, name, table)
+
+    def lattices(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of each unit, and by number the lengths and the places in the tables.
+
+        Lattices that are not known are built behind those kept, and stay until the next
+        call; the first of them are kept as long as all kept ones have ``KNOWN`` characters.
+        """
+        which = np.fromiter(map(self.known.get, units, repeat(-1)), dtype=np.int64, count=len(units))
+        new = [units[i] for i in np.flatnonzero(which < 0).tolist()]
+        if not new:
+            return which, self.lengths, self.begin
+        number = {unit: i for i, unit in enumerate(dict.fromkeys(new), len(self.known))}
+        which[which < 0] = np.fromiter(map(number.__getitem__, new), dtype=np.int64, count=len(new))
+        lengths = np.fromiter(map(len, number), dtype=np.int64, count=len(number))
+        ends = np.cumsum(lengths)
+        codes = _codes("".join(number))
+        place = np.arange(len(codes)) - np.repeat(ends - lengths, lengths)
+        ids, weights = self.edges(codes, place)
+        rows = slice(self.kept, self.kept + len(codes))
+        if rows.stop > len(self.codes):
+            self._reserve(KNOWN + max(len(codes), CHUNK))
+        self.codes[rows], self.ids[rows] = codes, ids
+        self.chances[rows] = self.filter_forward(lengths, place, weights)
+        all_lengths = np.concatenate((self.lengths, lengths))
+        all_begin = np.concatenate((self.begin, self.kept + ends - lengths))
+        stay = int(np.searchsorted(ends, KNOWN - self.kept, "right"))
+        if stay:
+            self.known.update(islice(number.items(), stay))
+            self.lengths, self.begin = all_lengths[: len(self.known)], all_begin[: len(self.known)]
+            self.kept += int(ends[stay - 1])
+        return which, all_lengths, all_begin
+
     def sample(self, units: list[str], keys: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces in text order and how many of them each unit has.
 
         ``keys`` are random 64-bit numbers, one for a unit; a part of a unit comes with the
         unit's key and the ``offset`` at which it begins. Equal units share a lattice.
         """
-        number = {unit: i for i, unit in enumerate(dict.fromkeys(units))}
-        which = np.fromiter(map(number.__getitem__, units), dtype=np.int64, count=len(units))
-        lengths = np.fromiter(map(len, number), dtype=np.int64, count=len(number))
-        begin = np.cumsum(lengths) - lengths
-        codes = _codes("".join(number))
-        place = np.arange(len(codes)) - np.repeat(begin, lengths)
-        ids, weights = self.edges(codes, place)
-        chances = self.filter_forward(lengths, place, weights)
+        which, lengths, begin = self.lattices(units)
+        codes, ids, chances = self.codes, self.ids, self.chances
         rows, left, first = np.arange(len(units)), lengths[which], begin[which]
         drawn, spelled = [], np.zeros(len(units), dtype=np.int64)
         counts = np.zeros(len(units), dtype=np.int64)

@@ -189,3 +189,25 @@ def test_rules_from_a_printed_forest():
     low = ("x", True, 2.5)
     assert rules == [(low,), (low, ("z", True, 0.1)), (low, ("z", False, 0.1)), (("x", False, 2.5),)]
     assert RuleModel(0.0, []).score() is not None
+
+
+def test_lattices_are_kept_and_change_nothing(monkeypatch):
+    words = ["▁" + w for w in " ".join(t.replace("▁", "") for t in mixed(5, 400)).split()]
+    keys = np.arange(len(words), dtype=np.uint64)
+    offsets = np.zeros(len(words), dtype=np.int64)
+    pieces = sentence_pieces.Pieces(PIECES, 1.0)
+    first = pieces.sample(words, keys, offsets)
+    built = []
+    monkeypatch.setattr(pieces, "edges", lambda *args: built.append(args))
+    again = pieces.sample(words, keys, offsets)
+    assert not built and all((a == b).all() for a, b in zip(first, again))
+    monkeypatch.undo()
+    # Bounded, and the same where only a part of the lattices can be kept.
+    monkeypatch.setattr(sentence_pieces, "KNOWN", 200)
+    bounded = sentence_pieces.Pieces(PIECES, 1.0)
+    for a in range(0, len(words), 100):
+        part = slice(a, a + 100)
+        ids, counts = bounded.sample(words[part], keys[part], offsets[part])
+        own, own_counts = pieces.sample(words[part], keys[part], offsets[part])
+        assert (ids == own).all() and (counts == own_counts).all()
+    assert bounded.kept <= 200
