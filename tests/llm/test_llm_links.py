@@ -110,6 +110,58 @@ def test_shingle_join_odd_rows(spark):
     assert similar_documents(docs_of(spark, []), 3, 90).count() == 0
 
 
+def measured(monkeypatch, name, target):
+    """Column names and row counts of what goes through a method or function from now on."""
+    seen, old = [], getattr(target, name)
+
+    def method(df, *args):
+        out = old(df, *args)
+        seen.append((df.columns, df.count()))
+        return out
+
+    monkeypatch.setattr(target, name, method)
+    return seen
+
+
+def test_shingle_join_of_a_large_group(spark, monkeypatch):
+    # 100 near copies fill some 14 blocks; each went to all of them.
+    monkeypatch.setattr(shingle_join, "BLOCK_SHINGLES", 400)
+    words = [f"w{i}" for i in range(62)]
+    texts = [" ".join([*words[: i % 60], f"x{i}", *words[i % 60 + 1 :]]) for i in range(100)]
+    docs = docs_of(spark, texts)
+    turns = measured(monkeypatch, "repartition", type(docs))
+    found = similar_documents(docs, 3, 80, counters=1 << 12).collect()
+    assert {x["component_id"] for x in found} == {0}
+    assert sum(n for columns, n in turns if "doc_id" in columns) <= 3 * len(texts)
+
+
+def test_shingle_join_posts_copies_once(spark, monkeypatch):
+    monkeypatch.setattr(shingle_join, "SLICE_ROWS", 50, raising=False)
+    texts = corpus(9, 40)
+    sizes, parts = similar(texts * 12, list(range(12 * len(texts))), 3, 90)
+    docs = docs_of(spark, texts * 12)
+    tables = measured(monkeypatch, "stored", shingle_join)
+    found = similar_documents(docs, 3, 90, counters=1 << 12).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in found} == {i: (sizes[i], parts[i]) for i in parts}
+    posted = [n for columns, n in tables if columns == ["h", "doc_id", "n"]]
+    assert len(posted) == 1 and posted[0] <= sum(sizes) // 12
+
+
+def test_sketch():
+    r = np.random.default_rng(5)
+    cells = np.sort(np.concatenate((r.integers(0, 1 << 12, 300), np.full(50, 700), [0, 0, 4095])))
+    counts = np.zeros(1 << 12, dtype=np.int64)
+    for block, gaps in shingle_join._gaps(cells, 1 << 10):
+        counts[block << 10 : (block + 1) << 10] += shingle_join._count_gaps(gaps, 1 << 10)
+    assert (counts == np.bincount(cells, minlength=1 << 12)).all()
+    for mean in (0, 0.3, 7, 400):
+        levels = shingle_join._levels(np.arange(100_000), mean)
+        assert (np.diff(levels.astype(int)) >= 0).all() and set(levels) <= set(range(16)) and levels[-1] == 15
+    # One shingle of 40 documents still stands out among 90 others on the same counter.
+    rare, common = shingle_join._levels(np.array([90, 130]), 90)
+    assert rare < common
+
+
 def test_search_probes_long_lists():
     r = np.random.default_rng(3)
     base = r.integers(0, 1 << 60, 200, dtype=np.uint64)
