@@ -11,7 +11,7 @@ import pytest
 
 from engagement.llm import shingle_join, span_dedup, vector_forest
 from engagement.llm.graph import components
-from engagement.llm.shingle_join import search, similar_documents
+from engagement.llm.shingle_join import distinct_documents, search, similar_documents
 from engagement.llm.span_dedup import dedup_spans
 from engagement.llm.vector_forest import near_vectors
 
@@ -147,6 +147,17 @@ def test_shingle_join_posts_copies_once(spark, monkeypatch):
     assert len(posted) == 1 and posted[0] <= sum(sizes) // 12
 
 
+def test_distinct_documents_of_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(shingle_join, "BLOCK_SHINGLES", 400)
+    words = [f"w{i}" for i in range(62)]
+    texts = [" ".join([*words[: i % 60], f"x{i}", *words[i % 60 + 1 :]]) for i in range(100)] + ["else", None]
+    docs = docs_of(spark, texts)
+    turns = measured(monkeypatch, "repartition", type(docs))
+    kept = distinct_documents(docs, 3, 80).collect()
+    assert sorted(x["doc_id"] for x in kept) == [0, 100, 101]
+    assert sum(n for columns, n in turns if "doc_id" in columns) <= 3 * len(texts)
+
+
 def test_sketch():
     r = np.random.default_rng(5)
     cells = np.sort(np.concatenate((r.integers(0, 1 << 12, 300), np.full(50, 700), [0, 0, 4095])))
